@@ -71,3 +71,13 @@ def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round every double column (presentation / oracle comparison; hazards H2, H3)."""
     return df.select([F.round(F.col(f.name), digits).alias(f.name) if isinstance(f.dataType, (T.DoubleType, T.FloatType))
                       else F.col(f.name) for f in df.schema.fields])
+
+
+def round_half_up(c: Column, digits: int) -> Column:
+    """floor(x * 10^d + 0.5) / 10^d in double arithmetic: the same bits in every IEEE engine (display rounding)."""
+    s = float(10 ** digits)
+    return F.floor(c * F.lit(s) + F.lit(0.5)) / F.lit(s)
+
+
+def sql_round_half_up(x: str, digits: int) -> str:
+    return f"(floor(({x}) * {float(10 ** digits)} + 0.5) / {float(10 ** digits)})"
