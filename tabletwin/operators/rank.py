@@ -102,13 +102,13 @@ def draw_from_pool(
     """
     bucket = pool_bucket if pool_bucket is not None else F.lit(0)
     p = pool.where(F.col(weight_col) > 0).select(*value_cols, weight_col, *[c for c in order_cols if c not in value_cols])
-    p = prefix_sum(p, F.col(weight_col).cast("bigint"), [F.col(c) for c in order_cols], bucket, total_col="_tt_W")
+    p = prefix_sum(p, F.col(weight_col).cast("bigint"), [F.col(c) for c in order_cols], bucket, total_col="_tt_total")
     D = int(n_draw_buckets)
-    lo_b = F.greatest(F.floor(F.col("cum_lo") / F.col("_tt_W") * D) - 1, F.lit(0))
-    hi_b = F.least(F.floor(F.col("cum_hi") / F.col("_tt_W") * D) + 1, F.lit(D - 1))
-    p = p.select(*value_cols, "cum_lo", "cum_hi", "_tt_W", F.explode(F.sequence(lo_b.cast("int"), hi_b.cast("int"))).alias("_tt_d"))
+    lo_b = F.greatest(F.floor(F.col("cum_lo") / F.col("_tt_total") * D) - 1, F.lit(0))
+    hi_b = F.least(F.floor(F.col("cum_hi") / F.col("_tt_total") * D) + 1, F.lit(D - 1))
+    p = p.select(*value_cols, "cum_lo", "cum_hi", "_tt_total", F.explode(F.sequence(lo_b.cast("int"), hi_b.cast("int"))).alias("_tt_d"))
     d = draws.withColumn("_tt_u", u).withColumn("_tt_d", F.least(F.floor(F.col("_tt_u") * D), F.lit(D - 1)).cast("int"))
     j = d.join(p, "_tt_d")
-    k = F.floor(F.col("_tt_u") * F.col("_tt_W"))
+    k = F.floor(F.col("_tt_u") * F.col("_tt_total"))
     j = j.where((k >= F.col("cum_lo")) & (k < F.col("cum_hi")))
-    return j.drop("_tt_d", "_tt_u", "cum_lo", "cum_hi", "_tt_W")
+    return j.drop("_tt_d", "_tt_u", "cum_lo", "cum_hi", "_tt_total")
