@@ -218,3 +218,13 @@ def ks_pvalue(d: Column, n: Column) -> Column:
                         lambda k: F.pow(F.lit(-1.0), k - 1) * F.exp(F.lit(-2.0) * k * k * lam * lam))
     p = F.lit(2.0) * F.aggregate(terms, F.lit(0.0), lambda a, t: a + t)
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), p))
+
+
+def fit_fixed_loc(df: DataFrame, col: str, name: str, loc: float = 0.0) -> dict:
+    """lognorm with a fixed loc (SciPy ``floc``): closed form s = std(ln(x - loc)), scale = exp(mean(ln(x - loc)))."""
+    if name != "lognorm":
+        raise ValueError(name)
+    x = F.col(col).cast("double")
+    r = nan_to_null(df.select(col)).where(x.isNotNull() & (x > loc)).agg(
+        F.stddev_pop(F.log(x - F.lit(loc))).alias("s"), F.avg(F.log(x - F.lit(loc))).alias("m")).first()
+    return {"name": "lognorm", "params": {"s": round(r["s"], 8), "loc": float(loc), "scale": round(math.exp(r["m"]), 8)}}

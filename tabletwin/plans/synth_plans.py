@@ -251,3 +251,163 @@ def alloc_rest_prop(spark, sf):
 def synth_allocation_counts(spark, sf):
     """AG26: rows per key of an equal-rest allocation (max - min <= 1 among the rest)."""
     return CMP.allocation_counts(alloc_rest_equal(spark, sf), "model")
+
+
+# ---- lookup, perturbation, numeric draws, bootstrap (SY14-SY24, JN1, JN2) --------------------------
+
+def _lookup_join_sql() -> str:
+    keys = Q.draw(Q.ids(N_POL), Q.key_pool(POL, "model"), "v", SEED, "key", "model")
+    return (f"(SELECT d.id, d.model, " + ", ".join(f"l.{c}" for c in DETERMINED) + f" FROM {keys} d "
+            f"LEFT JOIN {Q.lookup(POL, 'model', DETERMINED, 'policy_id')} l ON d.model = l.model)")
+
+
+def _keys_with_lookup(spark, sf):
+    bp = blueprint(spark, sf)
+    n = policies(spark, sf).count()
+    df = SY.assign_keys(ids(spark, n), bp, SY.Plan(n_rows=n), SEED, n)
+    return bp, df.join(F.broadcast(bp.lookup.withColumn("model", F.col("model").cast("string"))), "model", "left")
+
+
+@query("fd_lookup_join", f"SELECT * FROM {_lookup_join_sql()}")
+def fd_lookup_join(spark, sf):
+    """SY14/JN1: keys drawn by frequency, then the key-determined columns from the representative-row lookup."""
+    bp, df = _keys_with_lookup(spark, sf)
+    return df.select("id", "model", *DETERMINED)
+
+
+def _perturb_sql(src: str) -> str:
+    cols = []
+    for c in DET_NUM:
+        mn, mx = f"(SELECT min({c})::DOUBLE FROM {POL})", f"(SELECT max({c})::DOUBLE FROM {POL})"
+        u = sql_uniform(SEED, f"perturb:{c}", "id")
+        x = f"(CAST({c} AS DOUBLE) + ((-0.02 * ({mx} - {mn})) + (0.04 * ({mx} - {mn})) * {u}))"
+        cols.append(f"CAST(round_even(greatest(greatest({mn}, 0), least({mx}, {x})), 0) AS BIGINT) AS {c}")
+    return f"SELECT id, model, {', '.join(cols)} FROM {src}"
+
+
+@query("perturb_numeric", _perturb_sql(_lookup_join_sql()))
+def perturb_numeric(spark, sf):
+    """SY15: +-2 % uniform noise on the key-determined numeric columns, clipped and rounded."""
+    bp, df = _keys_with_lookup(spark, sf)
+    return SY.perturb(df, bp, SEED).select("id", "model", *DET_NUM)
+
+
+def _stats(df, col):
+    r = df.agg(F.min(F.col(col).cast("double")).alias("min"), F.max(F.col(col).cast("double")).alias("max"),
+               F.avg(F.col(col).cast("double")).alias("mean"), F.stddev_samp(F.col(col).cast("double")).alias("std")).first()
+    return r.asDict()
+
+
+def _draw_numeric(spark, df, col, dist, integral=False):
+    """A numeric column drawn from ``dist`` for every row of ``df`` (n = its row count)."""
+    st = dict(_stats(df, col), integral=integral)
+    n = df.count()
+    x, _ = SY.numeric_draw(dist, st, SEED, col)
+    return ids(spark, n).select("id", SY.finish_numeric(x, st).alias(col))
+
+
+def _num_sql(src: str, col: str, draw: str, integral: bool = False) -> str:
+    mn, mx = f"(SELECT min({col})::DOUBLE FROM {src})", f"(SELECT max({col})::DOUBLE FROM {src})"
+    return f"SELECT id, {Q.finish(draw, mn, mx, integral)} AS {col} FROM {Q.ids(f'SELECT count(*) FROM {src}')}"
+
+
+def _p(expr, src):
+    return f"(SELECT round({expr}, 8) FROM {src})"
+
+
+@query("synth_numeric_norm", _num_sql(POL, "subscription_length",
+       f"({_p('avg(subscription_length)', POL)} + {_p('stddev_pop(subscription_length)', POL)} * {Q.normal(SEED, 'subscription_length')})"))
+def synth_numeric_norm(spark, sf):
+    """SY16 norm: loc + scale * z (Box-Muller), clipped to [max(min, 0), max], 1 dp."""
+    from tabletwin.operators.fit import fit_column
+    p = policies(spark, sf)
+    return _draw_numeric(spark, p, "subscription_length", fit_column(p, "subscription_length", ("norm",)))
+
+
+@query("synth_numeric_expon", _num_sql("events", "value",
+       f"({_p('min(value)', 'events')} + {_p('avg(value) - min(value)', 'events')} * {Q.expo(SEED, 'value')})"))
+def synth_numeric_expon(spark, sf):
+    """SY16 expon: loc + scale * (-ln(1 - u))."""
+    from tabletwin.operators.fit import fit_column
+    e = table(spark, sf, "events")
+    return _draw_numeric(spark, e, "value", fit_column(e, "value", ("expon",)))
+
+
+@query("synth_numeric_uniform", _num_sql("lineitem", "l_discount",
+       f"({_p('min(l_discount)', 'lineitem')} + {_p('max(l_discount) - min(l_discount)', 'lineitem')} * {Q.unif(SEED, 'l_discount')})"))
+def synth_numeric_uniform(spark, sf):
+    """SY16 uniform: loc + scale * u."""
+    from tabletwin.operators.fit import fit_column
+    li = table(spark, sf, "lineitem")
+    return _draw_numeric(spark, li, "l_discount", fit_column(li, "l_discount", ("uniform",)))
+
+
+@query("synth_numeric_lognorm", _num_sql("events", "value",
+       f"(0.0 + {_p('exp(avg(ln(value)))', 'events WHERE value > 0')} * exp({_p('stddev_pop(ln(value))', 'events WHERE value > 0')} * {Q.normal(SEED, 'value')}))"))
+def synth_numeric_lognorm(spark, sf):
+    """SY16 lognorm (loc fixed at 0): loc + scale * exp(s * z)."""
+    from tabletwin.operators.fit import fit_fixed_loc
+    e = table(spark, sf, "events")
+    return _draw_numeric(spark, e, "value", fit_fixed_loc(e, "value", "lognorm", 0.0))
+
+
+@query("synth_numeric_fallback", f"""SELECT a.id, a.customer_age, b.subscription_length FROM
+  ({_num_sql(POL, 'customer_age', f"((SELECT avg(customer_age::DOUBLE) FROM {POL}) + (SELECT stddev_samp(customer_age::DOUBLE) FROM {POL}) * {Q.normal(SEED, 'customer_age')})", True)}) a
+  JOIN ({_num_sql(POL, 'subscription_length', f"((SELECT min(subscription_length) FROM {POL}) + ((SELECT max(subscription_length) FROM {POL}) - (SELECT min(subscription_length) FROM {POL})) * {Q.unif(SEED, 'subscription_length')})")}) b
+  ON a.id = b.id""")
+def synth_numeric_fallback(spark, sf):
+    """SY17/SY18: 'empirical' (no usable fit) -> normal(mean, std); an unknown family -> uniform(min, max)."""
+    p = policies(spark, sf)
+    a = _draw_numeric(spark, p, "customer_age", {"name": "empirical", "params": {}}, integral=True)
+    b = _draw_numeric(spark, p, "subscription_length", {"name": "weibull", "params": {"c": 1.0}})
+    return a.join(b, "id")
+
+
+def _boot_pool(rng=None):
+    where = f"WHERE vehicle_age IS NOT NULL" + (f" AND vehicle_age BETWEEN {rng[0]} AND {rng[1]}" if rng else "")
+    return f"(SELECT vehicle_age::DOUBLE AS v, count(*) AS w FROM {POL} {where} GROUP BY 1)"
+
+
+def _boot_sql(rng=None):
+    return Q.draw(Q.ids(N_POL), _boot_pool(rng), "v", SEED, "boot:vehicle_age", "vehicle_age")
+
+
+def _boot(spark, sf, rng=None):
+    bp = blueprint(spark, sf)
+    n = policies(spark, sf).count()
+    return bp, SY.bootstrap_draw(ids(spark, n), bp, "vehicle_age", SEED, rng)
+
+
+@query("sample_empirical", f"SELECT id, vehicle_age FROM {_boot_sql()}")
+def sample_empirical(spark, sf):
+    """SY20: bootstrap from the real values (same law as indexing a random row)."""
+    return _boot(spark, sf)[1].select("id", "vehicle_age")
+
+
+@query("sample_empirical_range", f"SELECT id, vehicle_age FROM {_boot_sql((2, 5))}")
+def sample_empirical_range(spark, sf):
+    """SY21/PF11: bootstrap restricted to real values in [2, 5]."""
+    return _boot(spark, sf, (2, 5))[1].select("id", "vehicle_age")
+
+
+def _jitter_sql(src):
+    mx = f"(SELECT max(vehicle_age)::DOUBLE FROM {POL})"
+    u = sql_uniform(SEED, "jitter:vehicle_age", "id")
+    return f"SELECT id, CAST(round_even(greatest(0.0, least({mx}, vehicle_age + (-0.1 + 0.2 * {u}))) * 12.0, 0) AS BIGINT) AS vehicle_age FROM {src}"
+
+
+@query("sample_jitter", _jitter_sql(_boot_sql()))
+def sample_jitter(spark, sf):
+    """SY22: bootstrap, +-0.1 jitter, clip to [0, max], years -> months."""
+    bp, d = _boot(spark, sf)
+    return SY.jitter(d, bp, "vehicle_age", SEED, 12.0).select("id", "vehicle_age")
+
+
+@query("sample_clipped", f"""SELECT id, CAST(greatest(35, least(50, customer_age)) AS BIGINT) AS customer_age FROM
+  ({_num_sql(POL, 'customer_age', f"({_p('avg(customer_age::DOUBLE)', POL)} + {_p('stddev_pop(customer_age::DOUBLE)', POL)} * {Q.normal(SEED, 'customer_age')})", True)})""")
+def sample_clipped(spark, sf):
+    """SY23: a fitted draw clipped to a requested range (mass piles up at the bounds), age as int."""
+    from tabletwin.operators.fit import fit_column
+    p = policies(spark, sf)
+    d = _draw_numeric(spark, p, "customer_age", fit_column(p, "customer_age", ("norm",)), integral=True)
+    return d.select("id", F.greatest(F.lit(35), F.least(F.lit(50), F.col("customer_age"))).cast("bigint").alias("customer_age"))
