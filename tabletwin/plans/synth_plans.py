@@ -411,3 +411,102 @@ def sample_clipped(spark, sf):
     p = policies(spark, sf)
     d = _draw_numeric(spark, p, "customer_age", fit_column(p, "customer_age", ("norm",)), integral=True)
     return d.select("id", F.greatest(F.lit(35), F.least(F.lit(50), F.col("customer_age"))).cast("bigint").alias("customer_age"))
+
+
+# ---- the whole table (SY26), and comparisons on it (AG20, AG25) ----------------------------------
+
+TABLE_PLAN = [("M3", "count", 100)]
+FITTED = ["subscription_length", "customer_age"]
+POL_COLS = ["policy_id", "subscription_length", "vehicle_age", "customer_age", "region_code", "region_density", "model",
+            "segment", "fuel_type", "transmission_type", "steering_type", "rear_brakes_type", "is_esc",
+            "is_parking_camera", "is_tpms", "airbags", "displacement", "ncap_rating", "claim_status"]
+
+
+def _fit_sql(c: str) -> str:
+    x = f"{c}::DOUBLE"
+    n = f"count({x})"
+    return f"""(SELECT name, round(loc, 8) AS loc, round(scale, 8) AS scale FROM (
+  SELECT 'norm' AS name, 0 AS o, avg({x}) AS loc, stddev_pop({x}) AS scale,
+         4 - 2 * (-{n} / 2 * ln(2 * pi()) - {n} * ln(stddev_pop({x})) - {n} / 2) AS aic FROM {POL}
+  UNION ALL SELECT 'expon', 1, min({x}), avg({x}) - min({x}), 4 - 2 * (-{n} * ln(avg({x}) - min({x})) - {n}) FROM {POL}
+  UNION ALL SELECT 'uniform', 2, min({x}), max({x}) - min({x}), 4 - 2 * (-{n} * ln(max({x}) - min({x}))) FROM {POL})
+  WHERE scale > 0 ORDER BY aic, o LIMIT 1)"""
+
+
+def _fitted_expr(c: str, integral: bool) -> str:
+    f = _fit_sql(c)
+    draw = (f"CASE (SELECT name FROM {f}) WHEN 'norm' THEN (SELECT loc FROM {f}) + (SELECT scale FROM {f}) * {Q.normal(SEED, c)} "
+            f"WHEN 'expon' THEN (SELECT loc FROM {f}) + (SELECT scale FROM {f}) * {Q.expo(SEED, c)} "
+            f"ELSE (SELECT loc FROM {f}) + (SELECT scale FROM {f}) * {Q.unif(SEED, c)} END")
+    return Q.finish(draw, f"(SELECT min({c})::DOUBLE FROM {POL})", f"(SELECT max({c})::DOUBLE FROM {POL})", integral)
+
+
+def synth_table_sql() -> str:
+    n = f"({N_POL})"
+    lab = Q.ranked(Q.ids(N_POL), SEED, "label", "_label_rank")
+    lab = f"(SELECT id, CAST(_label_rank < (SELECT greatest(0, least(round_even({n} * 0.06, 0), {n}))) AS BIGINT) AS claim_status FROM {lab})"
+    keys = f"({_alloc_sql(TABLE_PLAN, rest='equal')})"
+    look = Q.lookup(POL, "model", DETERMINED, "policy_id")
+    base = (f"(SELECT k.id, k.model, lb.claim_status, " + ", ".join(f"l.{c}" for c in DETERMINED) +
+            f" FROM {keys} k JOIN {lab} lb ON k.id = lb.id LEFT JOIN {look} l ON k.model = l.model)")
+    pert = []
+    for c in DET_NUM:
+        mn, mx = f"(SELECT min({c})::DOUBLE FROM {POL})", f"(SELECT max({c})::DOUBLE FROM {POL})"
+        u = sql_uniform(SEED, f"perturb:{c}", "id")
+        x = f"(CAST({c} AS DOUBLE) + ((-0.02 * ({mx} - {mn})) + (0.04 * ({mx} - {mn})) * {u}))"
+        pert.append(f"CAST(round_even(greatest(greatest({mn}, 0), least({mx}, {x})), 0) AS BIGINT) AS {c}")
+    step = (f"(SELECT * REPLACE ({', '.join(pert)}), {_fitted_expr('subscription_length', False)} AS subscription_length, "
+            f"{_fitted_expr('customer_age', True)} AS customer_age FROM {base})")
+    boot = Q.draw(step, _boot_pool(), "v", SEED, "boot:vehicle_age", "vehicle_age")
+    mx = f"(SELECT max(vehicle_age)::DOUBLE FROM {POL})"
+    ju = sql_uniform(SEED, "jitter:vehicle_age", "id")
+    boot = (f"(SELECT * REPLACE (CAST(round_even(greatest(0.0, least({mx}, vehicle_age + (-0.1 + 0.2 * {ju}))) * 12.0, 0) AS BIGINT) "
+            f"AS vehicle_age) FROM {boot})")
+    reg = Q.draw(boot, Q.key_pool(POL, "region_code"), "v", SEED, "cat:region_code", "region_code")
+    dens = Q.lookup(POL, "region_code", ["region_density"], "policy_id")
+    out = f"(SELECT r.*, d.region_density, printf('SYN%06d', r.id) AS policy_id FROM {reg} r LEFT JOIN {dens} d ON r.region_code = d.region_code)"
+    return f"SELECT id, {', '.join(POL_COLS)} FROM {out}"
+
+
+def _synth_table(spark, sf):
+    bp = blueprint(spark, sf, fitted=tuple(FITTED))
+    n = policies(spark, sf).count()
+    plan = SY.Plan(n_rows=n, label_rate=0.06, allocations=[SY.Allocation(k, t, v) for k, t, v in TABLE_PLAN], rest="equal")
+    return SY.generate(spark, bp, plan, seed=SEED)
+
+
+SYNTH_TABLE_SQL = synth_table_sql()
+
+
+@query("synth_table", SYNTH_TABLE_SQL)
+def synth_table(spark, sf):
+    """SY26: keys (100 x M3, the rest split equally) -> lookup -> perturb -> fitted columns -> bootstrap ->
+    region and density -> ids -> exact 6 % label, in the real table's column order."""
+    return _synth_table(spark, sf)
+
+
+OVERLAP_COLS = ["model", "customer_age", "region_code", "subscription_length", "fuel_type", "segment", "airbags"]
+
+
+@query("overlap_rate", f"""WITH s AS (SELECT DISTINCT {', '.join(OVERLAP_COLS)} FROM ({SYNTH_TABLE_SQL})),
+b AS (SELECT * FROM s INTERSECT SELECT {', '.join(OVERLAP_COLS)} FROM {POL})
+SELECT (SELECT count(*) FROM s) AS n_synthetic, (SELECT count(*) FROM b) AS n_copied,
+  (SELECT count(*) FROM b)::DOUBLE / (SELECT count(*) FROM s) AS copied_rate""")
+def overlap_rate(spark, sf):
+    """AG25: share of distinct synthetic tuples that also occur in the real table."""
+    return CMP.overlap_rate(_synth_table(spark, sf), policies(spark, sf), OVERLAP_COLS)
+
+
+def _cmp_sql() -> str:
+    from tabletwin.plans.compare_plans import describe_sql
+    s = describe_sql(f"({SYNTH_TABLE_SQL})", FITTED, "synthetic")
+    r = describe_sql(POL, FITTED, "real")
+    return f"""SELECT s.column_name, s.stat, s.stat_order, s.synthetic, r.real,
+  floor(((s.synthetic - r.real) / CASE WHEN r.real <> 0 THEN r.real END * 100) * 10.0 + 0.5) / 10.0 AS difference_pct
+FROM ({s}) s JOIN ({r}) r ON s.column_name = r.column_name AND s.stat = r.stat"""
+
+
+@query("compare_describe", _cmp_sql())
+def compare_describe(spark, sf):
+    """AG20/JN5: describe of synthetic and real side by side with the difference in %."""
+    return CMP.compare_describe(_synth_table(spark, sf), policies(spark, sf), FITTED)
