@@ -89,7 +89,7 @@ def _num_check_name(lo, hi) -> str:
 
 
 def check(df: DataFrame, contract: DataFrame, row_key: str, inline_limit: int = INLINE_LIMIT,
-          lazy: bool = True) -> DataFrame:
+          lazy: bool = True, include_missing: bool = True) -> DataFrame:
     """CT7-CT14: violations (column_name, check, failure_case, row_key) of ``df`` against ``contract``.
 
     Extra columns are allowed (strict=False). ``lazy=False`` keeps only the first violation (CT14).
@@ -147,7 +147,7 @@ def check(df: DataFrame, contract: DataFrame, row_key: str, inline_limit: int =
         bad = pairs.join(allowed, ["column_name", "value"], "left_anti").select(
             "column_name", F.lit("isin").alias("check_name"), F.col("value").alias("failure_case"), "row_key")
         out = bad if out is None else out.unionByName(bad)
-    if missing:
+    if missing and include_missing:
         m = spark.createDataFrame(missing, VIOLATION_SCHEMA)
         out = m if out is None else m.unionByName(out)
     if out is None:
@@ -174,3 +174,11 @@ def report_lines(violations: DataFrame, show: int = 50) -> DataFrame:
     more = total.where(F.col("t") > show).select(
         F.lit(show + 1).cast("bigint").alias("n"), F.format_string("  ... and %d more.", F.col("t") - show).alias("line"))
     return lines.unionByName(more)
+
+
+def missing_columns(df: DataFrame, contract: DataFrame) -> DataFrame:
+    """CT7 alone: one row per contract column absent from ``df`` (a schema check, no data scan)."""
+    have = set(df.columns)
+    rows = [(r["column_name"], "column_in_dataframe", r["column_name"], None)
+            for r in contract.select("column_name", "position").orderBy("position").collect() if r["column_name"] not in have]
+    return df.sparkSession.createDataFrame(rows, VIOLATION_SCHEMA)

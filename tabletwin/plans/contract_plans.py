@@ -20,15 +20,8 @@ GEO = [("c_custkey", "numeric", True), ("c_name", "categorical", None), ("c_nati
 def customer_bad(spark, sf):
     """customer with planted faults: out-of-range balances, unknown segments and names, a string-typed
     nation key with NULLs and non-numbers; the nation/region columns of the contract are missing."""
-    c = table(spark, sf, "customer")
-    k = F.col("c_custkey")
-    return c.select(
-        "c_custkey",
-        F.when(k % 101 == 0, F.lit("Nobody")).otherwise(F.col("c_name")).alias("c_name"),
-        F.when(k % 83 == 0, F.lit(None).cast("string")).when(k % 79 == 0, F.lit("x"))
-         .otherwise(F.col("c_nationkey").cast("string")).alias("c_nationkey"),
-        F.when(k % 97 == 0, F.col("c_acctbal") + 1_000_000).otherwise(F.col("c_acctbal")).alias("c_acctbal"),
-        F.when(k % 89 == 0, F.lit("UNKNOWN")).otherwise(F.col("c_mktsegment")).alias("c_mktsegment"))
+    from tabletwin.plans.io_plans import customer_bad_frame
+    return customer_bad_frame(table(spark, sf, "customer"))
 
 
 BAD_SQL = """(SELECT c_custkey, CASE WHEN c_custkey % 101 = 0 THEN 'Nobody' ELSE c_name END AS c_name,
