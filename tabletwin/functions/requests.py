@@ -149,91 +149,84 @@ class Dialect:
         return self.at(a, "-1")
 
 
-def field_exprs(engine: str, p: str = "p") -> dict[str, str]:
-    """Ordered {field: SQL expression} over the normalised text column ``p`` (EX1 is done by the caller)."""
+def field_stages(engine: str) -> list[dict[str, str]]:
+    """The rules as ordered stages of {name: SQL expression}; each stage may use the names of the stages
+    before it, so every regular expression runs once per row (EX1 is the caller's ``p``)."""
     d = Dialect(engine)
-    e: dict[str, str] = {}
-    # EX2/EX3: rows, first rule that matches
-    e["n_rows"] = (f"coalesce({d.trunc_int('CAST(' + d.opt(p, P_ROWS_K, 1) + ' AS DOUBLE) * 1000')}, "
-                   f"CAST({d.opt(p, P_ROWS, 1)} AS BIGINT), CAST({d.opt(p, P_VERB, 1)} AS BIGINT))")
-    n = f"({e['n_rows']})"
+    p = "p"
     up = lambda a: d.map(a, "x", "upper(x)")
-    k4, v4 = up(d.all(p, P_ASSIGN, 1)), d.all(p, P_ASSIGN, 2)
-    k5, v5 = up(d.all(p, P_COUNT, 2)), d.all(p, P_COUNT, 1)
-    k6, v6 = up(d.all(p, P_PCT, 2)), d.all(p, P_PCT, 1)
-    # EX5: "<count> <key>" kept unless it is the row count, or the key was set by "key=count", first one wins
-    k5p = d.map(k5, "x, i", f"CASE WHEN CAST({d.at(v5, d.idx('i'))} AS BIGINT) IS DISTINCT FROM {n} THEN x END")
-    k5f = d.filt(k5p, "x, i", f"x IS NOT NULL AND NOT {d.contains(k4, 'x')} AND {d.pos(k5p, 'x')} = {d.idx('i')}")
-    allk = d.cat(k4, k5f, k6)
-    keys = d.filt(allk, "x, i", f"{d.pos(allk, 'x')} = {d.idx('i')}")
+    # stage 1: every regex result used more than once
+    s1 = {
+        "n_rows": (f"coalesce({d.trunc_int('CAST(' + d.opt(p, P_ROWS_K, 1) + ' AS DOUBLE) * 1000')}, "
+                   f"CAST({d.opt(p, P_ROWS, 1)} AS BIGINT), CAST({d.opt(p, P_VERB, 1)} AS BIGINT))"),
+        "_k4": up(d.all(p, P_ASSIGN, 1)), "_v4": d.all(p, P_ASSIGN, 2),
+        "_k5": up(d.all(p, P_COUNT, 2)), "_v5": d.all(p, P_COUNT, 1),
+        "_k6": up(d.all(p, P_PCT, 2)), "_v6": d.all(p, P_PCT, 1),
+        "_only": f"upper(coalesce({d.opt(p, P_ONLY, 1)}, {d.opt(p, P_ONLY, 2)}))",
+        "_excl": up(d.all(p, P_EXCL, 1)),
+        "_rest": f"upper({d.opt(p, P_REST, 1)})",
+        "_keys1": up(d.all(p, P_KEY, 1)),
+        "_seg": f"upper(coalesce({d.opt(p, P_SEG, 1)}, {d.opt(p, P_SEG, 2)}, {d.opt(p, P_SEG, 3)}))",
+        # Q6 mended: a steering phrase does not set the transmission
+        "_nosteer": d.sub(p, P_STEER, " "),
+        # Q4/Q5 mended: vehicle-age ranges and old-car phrases are removed before customer-age rules
+        "_pa": d.sub(d.sub(p, P_VAGE, " "), P_OLD_CARS, " "),
+        "_has_vage": d.has(p, P_VAGE), "_has_new": d.has(p, P_NEW_CARS), "_has_oldcars": d.has(p, P_OLD_CARS),
+        **{f"_on{i}": d.has(p, P_ON + kw) for i, (kw, _, _) in enumerate(SAFETY)},
+        **{f"_off{i}": d.has(p, P_OFF + kw) for i, (kw, _, _) in enumerate(SAFETY)},
+    }
+    # stage 2: EX5 entries kept unless they repeat the row count
+    s2 = {"_k5p": d.map("_k5", "x, i", f"CASE WHEN CAST({d.at('_v5', d.idx('i'))} AS BIGINT) IS DISTINCT FROM n_rows THEN x END"),
+          "_age_hit": d.has("_pa", P_AGE)}
+    # stage 3: keys in order of first appearance (key=count, then kept count-key, then percent)
+    s3 = {"_allk": d.cat("_k4", d.filt("_k5p", "x, i", f"x IS NOT NULL AND NOT {d.contains('_k4', 'x')} AND {d.pos('_k5p', 'x')} = {d.idx('i')}"), "_k6")}
+    s4 = {"_keys": d.filt("_allk", "x, i", f"{d.pos('_allk', 'x')} = {d.idx('i')}")}
 
     def last_of(ks, vs, x):
         return d.last(d.filt(d.map(ks, "y, j", f"CASE WHEN y = {x} THEN {d.at(vs, d.idx('j'))} END"), "z", "z IS NOT NULL"))
 
-    kind = f"CASE WHEN {d.contains(k6, 'x')} THEN 'percent' ELSE 'count' END"
-    val = (f"CASE WHEN {d.contains(k6, 'x')} THEN CAST(CAST({last_of(k6, v6, 'x')} AS DOUBLE) AS STRING) "
-           f"WHEN {d.contains(k4, 'x')} THEN CAST(CAST({last_of(k4, v4, 'x')} AS BIGINT) AS STRING) "
-           f"ELSE CAST(CAST({d.at(v5, d.pos(k5p, 'x'))} AS BIGINT) AS STRING) END")
-    entries = d.map(keys, "x", f"concat(x, ':', {kind}, ':', {val})")
-    only = f"upper(coalesce({d.opt(p, P_ONLY, 1)}, {d.opt(p, P_ONLY, 2)}))"
-    e["allocation"] = (f"CASE WHEN {d.size(keys)} > 0 THEN {d.join(entries, ',')} "
-                       f"WHEN {only} IS NOT NULL THEN concat({only}, ':exclusive') END")
-    has_alloc = f"({e['allocation']} IS NOT NULL)"
-    # EX8: excluded keys (a set)
-    excl = up(d.all(p, P_EXCL, 1))
-    e["exclude"] = f"nullif({d.join(d.sort_distinct(excl), ',')}, '')"
-    # EX9: rest strategy, only with an allocation
-    e["rest"] = (f"CASE WHEN {has_alloc} THEN coalesce(upper({d.opt(p, P_REST, 1)}), "
+    kind = f"CASE WHEN {d.contains('_k6', 'x')} THEN 'percent' ELSE 'count' END"
+    val = (f"CASE WHEN {d.contains('_k6', 'x')} THEN CAST(CAST({last_of('_k6', '_v6', 'x')} AS DOUBLE) AS STRING) "
+           f"WHEN {d.contains('_k4', 'x')} THEN CAST(CAST({last_of('_k4', '_v4', 'x')} AS BIGINT) AS STRING) "
+           f"ELSE CAST(CAST({d.at('_v5', d.pos('_k5p', 'x'))} AS BIGINT) AS STRING) END")
+    entries = d.map("_keys", "x", f"concat(x, ':', {kind}, ':', {val})")
+    s5 = {"allocation": (f"CASE WHEN {d.size('_keys')} > 0 THEN {d.join(entries, ',')} "
+                         f"WHEN _only IS NOT NULL THEN concat(_only, ':exclusive') END")}
+    e: dict[str, str] = {}
+    e["exclude"] = f"nullif({d.join(d.sort_distinct('_excl'), ',')}, '')"
+    e["rest"] = (f"CASE WHEN allocation IS NOT NULL THEN coalesce(_rest, "
                  f"CASE WHEN instr({p}, 'equal') > 0 THEN 'equal' END, 'distribute') END")
-    # EX10: single key, only without an allocation: first key not excluded
-    e["model"] = (f"CASE WHEN NOT {has_alloc} THEN "
-                  f"{d.first(d.filt(up(d.all(p, P_KEY, 1)), 'x', 'NOT ' + d.contains(excl, 'x')))} END")
-    # EX11: fuels in fixed order
+    e["model"] = f"CASE WHEN allocation IS NULL THEN {d.first(d.filt('_keys1', 'x', 'NOT ' + d.contains('_excl', 'x')))} END"
     fuels = d.filt(d.arr(*[f"CASE WHEN {d.has(p, chr(92) + 'b' + f + chr(92) + 'b')} THEN {d.s(lab)} END" for f, lab in FUELS]),
                    "x", "x IS NOT NULL")
     e["fuel_types"] = f"nullif({d.join(fuels, ',')}, '')"
-    # EX12: segment
-    seg = f"upper(coalesce({d.opt(p, P_SEG, 1)}, {d.opt(p, P_SEG, 2)}, {d.opt(p, P_SEG, 3)}))"
-    e["segment"] = f"CASE WHEN {seg} = 'UTILITY' THEN 'Utility' ELSE {seg} END"
-    # EX13-EX15: drivetrain (Q6 mended: a steering phrase does not set the transmission)
-    no_steer = d.sub(p, P_STEER, " ")
+    e["segment"] = "CASE WHEN _seg = 'UTILITY' THEN 'Utility' ELSE _seg END"
     e["transmission_type"] = (f"CASE WHEN {d.has(p, P_AUTO)} THEN 'Automatic' "
-                              f"WHEN {d.has(no_steer, P_MANUAL)} THEN 'Manual' END")
-    e["steering_type"] = f"{d.cap(d.opt(p, P_STEER, 1))}"
+                              f"WHEN {d.has('_nosteer', P_MANUAL)} THEN 'Manual' END")
+    e["steering_type"] = d.cap(d.opt(p, P_STEER, 1))
     e["rear_brakes_type"] = f"CASE WHEN {d.has(p, P_DISC)} THEN 'Disc' WHEN {d.has(p, P_DRUM)} THEN 'Drum' END"
-    # EX16: safety flags, ON wins per keyword
-    on = [f"CASE WHEN {d.has(p, P_ON + kw)} THEN {d.s(col)} END" for kw, col, _ in SAFETY]
-    off = [f"CASE WHEN NOT {d.has(p, P_ON + kw)} AND {d.has(p, P_OFF + kw)} THEN {d.s(col)} END" for kw, col, _ in SAFETY]
+    on = [f"CASE WHEN _on{i} THEN {d.s(col)} END" for i, (_, col, _) in enumerate(SAFETY)]
+    off = [f"CASE WHEN NOT _on{i} AND _off{i} THEN {d.s(col)} END" for i, (_, col, _) in enumerate(SAFETY)]
     e["safety_on"] = f"nullif({d.join(d.filt(d.arr(*on), 'x', 'x IS NOT NULL'), ',')}, '')"
     e["safety_off"] = f"nullif({d.join(d.filt(d.arr(*off), 'x', 'x IS NOT NULL'), ',')}, '')"
-    # EX17: rating floor
     e["ncap_min"] = f"CAST(coalesce({d.opt(p, P_NCAP, 1)}, {d.opt(p, P_STAR, 1)}) AS BIGINT)"
-    # EX18: customer age (Q4/Q5 mended: vehicle-age ranges and old-car phrases are removed first)
-    pa = d.sub(d.sub(p, P_VAGE, " "), P_OLD_CARS, " ")
     yo, mi, ol = AGE_PRESETS["young"], AGE_PRESETS["middle"], AGE_PRESETS["old"]
-    age_lo = (f"CASE WHEN {d.has(pa, P_AGE)} THEN CAST({d.ext(pa, P_AGE, 1)} AS BIGINT) WHEN instr({pa}, 'young') > 0 THEN {yo[0]} "
-              f"WHEN {d.has(pa, P_MIDDLE)} THEN {mi[0]} WHEN {d.has(pa, P_OLD)} THEN {ol[0]} END")
-    age_hi = (f"CASE WHEN {d.has(pa, P_AGE)} THEN CAST({d.ext(pa, P_AGE, 2)} AS BIGINT) WHEN instr({pa}, 'young') > 0 THEN {yo[1]} "
-              f"WHEN {d.has(pa, P_MIDDLE)} THEN {mi[1]} WHEN {d.has(pa, P_OLD)} THEN {ol[1]} END")
-    e["age_min"], e["age_max"] = age_lo, age_hi
-    # EX19: vehicle age
+    for j, name in ((0, "age_min"), (1, "age_max")):
+        e[name] = (f"CASE WHEN _age_hit THEN CAST({d.ext('_pa', P_AGE, j + 1)} AS BIGINT) WHEN instr(_pa, 'young') > 0 THEN {yo[j]} "
+                   f"WHEN {d.has('_pa', P_MIDDLE)} THEN {mi[j]} WHEN {d.has('_pa', P_OLD)} THEN {ol[j]} END")
     nw, od = VAGE_PRESETS["new"], VAGE_PRESETS["old"]
-    e["vehicle_age_min"] = (f"CASE WHEN {d.has(p, P_VAGE)} THEN CAST({d.ext(p, P_VAGE, 1)} AS BIGINT) "
-                            f"WHEN {d.has(p, P_NEW_CARS)} THEN {nw[0]} WHEN {d.has(p, P_OLD_CARS)} THEN {od[0]} END")
-    e["vehicle_age_max"] = (f"CASE WHEN {d.has(p, P_VAGE)} THEN CAST({d.ext(p, P_VAGE, 2)} AS BIGINT) "
-                            f"WHEN {d.has(p, P_NEW_CARS)} THEN {nw[1]} WHEN {d.has(p, P_OLD_CARS)} THEN {od[1]} END")
-    # EX20: subscription range
+    for j, name in ((0, "vehicle_age_min"), (1, "vehicle_age_max")):
+        e[name] = (f"CASE WHEN _has_vage THEN CAST({d.ext(p, P_VAGE, j + 1)} AS BIGINT) "
+                   f"WHEN _has_new THEN {nw[j]} WHEN _has_oldcars THEN {od[j]} END")
     e["subscription_min"] = f"CAST({d.opt(p, P_SUB, 1)} AS BIGINT)"
     e["subscription_max"] = f"CAST({d.opt(p, P_SUB, 2)} AS BIGINT)"
-    # EX21: region
     e["region_code"] = f"upper({d.opt(p, P_REGION, 1)})"
-    # EX22: label rate; an explicit "N% claim" wins
     r = RATE_PRESETS
     preset = (f"CASE WHEN {d.has(p, P_RATE0)} THEN {r['none']} WHEN {d.has(p, P_RATE1)} THEN {r['all']} "
               f"WHEN instr({p}, 'high risk') > 0 OR instr({p}, 'risky') > 0 THEN {r['high']} "
               f"WHEN instr({p}, 'low risk') > 0 OR instr({p}, 'safe') > 0 THEN {r['low']} END")
     e["claim_rate"] = f"CAST(coalesce(CAST({d.opt(p, P_RATE, 1)} AS DOUBLE) / 100.0, {preset}) AS DOUBLE)"
-    return e
+    return [s1, s2, s3, s4, s5, e]
 
 
 def describe_expr(engine: str, f: dict[str, str]) -> str:
@@ -282,16 +275,20 @@ FIELDS = ["n_rows", "allocation", "exclude", "rest", "model", "fuel_types", "seg
 
 
 def parse_requests(df: DataFrame, text_col: str = "prompt", keep: tuple[str, ...] = ("request_id",)) -> DataFrame:
-    """EX1-EX23 as one narrow projection: every field plus the description line."""
-    e = field_exprs("spark")
-    base = df.selectExpr(*keep, f"lower(trim({text_col})) AS p")
-    out = base.selectExpr(*keep, "p", *[f"{v} AS {k}" for k, v in e.items()])
+    """EX1-EX23 as a chain of narrow projections: every field plus the description line."""
+    from tabletwin.session import spread
+    src = df if df.isStreaming else spread(df)
+    out = src.selectExpr(*keep, f"lower(trim({text_col})) AS p")
+    carried = list(keep) + ["p"]
+    for st in field_stages("spark"):
+        out = out.selectExpr(*carried, *[f"{v} AS {k}" for k, v in st.items()])
+        carried += list(st)
     return out.selectExpr(*keep, *FIELDS, f"{describe_expr('spark', {k: k for k in FIELDS})} AS description")
 
 
 def parse_sql(src: str, text_col: str = "prompt", key: str = "request_id") -> str:
     """The same rules as one DuckDB SELECT over ``src``."""
-    e = field_exprs("duckdb")
-    inner = f"SELECT {key}, lower(trim({text_col})) AS p FROM {src}"
-    mid = f"SELECT {key}, " + ", ".join(f"{v} AS {k}" for k, v in e.items()) + f" FROM ({inner})"
-    return (f"SELECT {key}, {', '.join(FIELDS)}, {describe_expr('duckdb', {k: k for k in FIELDS})} AS description FROM ({mid})")
+    q = f"SELECT {key}, lower(trim({text_col})) AS p FROM {src}"
+    for st in field_stages("duckdb"):
+        q = f"SELECT *, " + ", ".join(f"{v} AS {k}" for k, v in st.items()) + f" FROM ({q})"
+    return (f"SELECT {key}, {', '.join(FIELDS)}, {describe_expr('duckdb', {k: k for k in FIELDS})} AS description FROM ({q})")

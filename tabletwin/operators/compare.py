@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tabletwin.functions.numeric import nan_to_null, round_half_up
 from tabletwin.operators.profile import Profiler
+from tabletwin.session import spread
 
 DESCRIBE_STATS = ["count", "mean", "std", "min", "25%", "50%", "75%", "max"]
 QUANTILE_LEVELS = [1, 5, 25, 50, 75, 95, 99]
@@ -29,7 +30,7 @@ def histogram(df: DataFrame, columns: Sequence[str], bins: int) -> DataFrame:
 
     Rows are unpivoted to (column, x) and joined on the column name to their (min, max) row; the result
     has columns x bins rows."""
-    d = nan_to_null(df.select(*columns))
+    d = spread(nan_to_null(df.select(*columns)))
     arr = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("x")) for c in columns])
     long = d.select(F.inline(arr)).where(F.col("x").isNotNull())
     mm = long.groupBy("column_name").agg(F.min("x").alias("mn"), F.max("x").alias("mx"))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabletwin.functions.numeric import as_text, is_integral, is_numeric, nan_to_null, scalar_columns
+from tabletwin.session import spread
 
 # Fixed value from the reference: numeric bounds widen by 10 % of the larger absolute bound.
 RANGE_TOLERANCE = 0.10
@@ -136,7 +137,8 @@ def check(df: DataFrame, contract: DataFrame, row_key: str, inline_limit: int =
     out = None
     if viol:
         arr = F.filter(F.array(*viol), lambda e: e.isNotNull())
-        out = df.select(F.explode(arr).alias("v")).select("v.*")
+        src = df
+        out = src.select(F.explode(arr).alias("v")).select("v.*")
     if big:
         # large allowed sets: anti-join of (column, value) pairs against the contract's value list
         allowed = contract.where(F.col("column_name").isin(*big)).select(

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabletwin.functions.numeric import as_text, nan_to_null, scalar_columns
+from tabletwin.session import spread
 
 # Fixed values from the reference's settings.
 DEFAULT_THRESHOLD = 0.95

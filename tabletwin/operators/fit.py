@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from tabletwin.functions import special
 from tabletwin.functions.numeric import nan_to_null
+from tabletwin.session import spread
 
 # Fixed values that must equal the reference: candidate list, constant threshold, rounding of outputs.
 CANDIDATES = ("norm", "gamma", "beta", "lognorm", "expon", "uniform")

@@ -16,17 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabletwin.functions.numeric import (
-    as_text,
-    is_integral,
-    is_numeric,
-    nan_to_null,
-    sample_excess_kurtosis,
-    sample_skewness,
-    scalar_columns,
-)
+from tabletwin.functions.numeric import as_text, is_integral, is_numeric, nan_to_null, scalar_columns
 from tabletwin.operators.rank import prefix_sum
 from tabletwin.operators.topk import top_k_per_group
+from tabletwin.session import spread
 
 # Fixed values that must equal the reference: percentile levels, value-count cap, binary value sets.
 PERCENTILES = [1, 5, 10, 25, 50, 75, 90, 95, 99]
@@ -148,29 +141,58 @@ class Profiler:
             base = base.withColumn("n_unique", F.lit(None).cast("bigint"))
         return base.withColumn("n_unique", F.coalesce(F.col("n_unique"), F.lit(0)).cast("bigint"))
 
-    def moments(self) -> DataFrame:
-        """AG4-AG7 without the median: n, min, max, mean, std (ddof 1), std_pop, skewness, kurtosis."""
+    def moment_rows(self) -> list[dict]:
+        """AG4-AG7 without the median, per numeric column, as driver-side rows (one per column: bounded).
+
+        Two aggregate passes: the mean of every column, then power sums of (x - mean) up to the 4th
+        (moments about a shift near the mean are numerically stable, and plain sums aggregate far faster
+        than Spark's online central-moment aggregates). Computed once per profiler."""
         if self._num is not None:
             return self._num
         nums = self.num_specs
+        if not nums:
+            self._num = []
+            return self._num
+        xs = {s.name: F.col(s.name).cast("double") for s in nums}
+        first = self.df.agg(*[F.avg(x).alias(f"c{i}") for i, x in enumerate(xs.values())]).first()
         aggs = []
-        for s in nums:
-            x = F.col(s.name).cast("double")
-            p = str(s.position)
-            aggs += [F.count(x).alias(f"n{p}"), F.min(x).alias(f"mn{p}"), F.max(x).alias(f"mx{p}"),
-                     F.avg(x).alias(f"av{p}"), F.stddev_samp(x).alias(f"sd{p}"), F.stddev_pop(x).alias(f"sp{p}"),
-                     F.skewness(x).alias(f"sk{p}"), F.kurtosis(x).alias(f"ku{p}")]
-        row = self.df.agg(*aggs)
-        arr = F.array(*[F.struct(
-            F.lit(s.name).alias("column_name"),
-            F.col(f"n{s.position}").alias("n"), F.col(f"mn{s.position}").alias("min"),
-            F.col(f"mx{s.position}").alias("max"), F.col(f"av{s.position}").alias("mean"),
-            F.col(f"sd{s.position}").alias("std"), F.col(f"sp{s.position}").alias("std_pop"),
-            sample_skewness(F.col(f"n{s.position}"), F.col(f"sk{s.position}")).alias("skewness"),
-            sample_excess_kurtosis(F.col(f"n{s.position}"), F.col(f"ku{s.position}")).alias("kurtosis"),
-        ) for s in nums])
-        self._num = row.select(F.inline(arr))
-        return self._num
+        for i, (c, x) in enumerate(xs.items()):
+            shift = first[f"c{i}"] if first[f"c{i}"] is not None else 0.0
+            d = x - F.lit(float(shift))
+            aggs += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"mn{i}"), F.max(x).alias(f"mx{i}"),
+                     F.sum(d).alias(f"s1{i}"), F.sum(d * d).alias(f"s2{i}"), F.sum(d * d * d).alias(f"s3{i}"),
+                     F.sum(d * d * d * d).alias(f"s4{i}")]
+        r = self.df.agg(*aggs).first()
+        rows = []
+        for i, c in enumerate(xs):
+            n = r[f"n{i}"]
+            row = {"column_name": c, "n": n, "min": r[f"mn{i}"], "max": r[f"mx{i}"], "mean": None, "std": None,
+                   "std_pop": None, "skewness": None, "kurtosis": None}
+            if n:
+                shift = first[f"c{i}"]
+                a1, a2, a3, a4 = (r[f"s{k}{i}"] / n for k in (1, 2, 3, 4))
+                m2 = max(a2 - a1 * a1, 0.0)
+                m3 = a3 - 3 * a1 * a2 + 2 * a1 ** 3
+                m4 = a4 - 4 * a1 * a3 + 6 * a1 * a1 * a2 - 3 * a1 ** 4
+                row["mean"] = shift  # Spark's own avg (first pass)
+                row["std_pop"] = m2 ** 0.5
+                row["std"] = (m2 * n / (n - 1)) ** 0.5 if n > 1 else None
+                if m2 > 0:
+                    g1 = m3 / m2 ** 1.5
+                    g2 = m4 / (m2 * m2) - 3.0
+                    row["skewness"] = g1 * (n * (n - 1)) ** 0.5 / (n - 2) if n > 2 else None
+                    row["kurtosis"] = (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6) if n > 3 else None
+            rows.append(row)
+        self._num = rows
+        return rows
+
+    def moments(self) -> DataFrame:
+        """The moment rows as a small local DataFrame (no rescan when joined)."""
+        schema = ("column_name string, n bigint, min double, max double, mean double, std double, std_pop double, "
+                  "skewness double, kurtosis double")
+        rows = [tuple(r[k] for k in ("column_name", "n", "min", "max", "mean", "std", "std_pop", "skewness", "kurtosis"))
+                for r in self.moment_rows()]
+        return self.source.sparkSession.createDataFrame(rows, schema)
 
     def cumulative_counts(self) -> DataFrame:
         """(column, value, count, cum_lo, cum_hi, n): counts of values below / up to each distinct value.

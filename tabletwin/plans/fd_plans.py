@@ -11,6 +11,7 @@ from tabletwin.operators import fd as FD
 from tabletwin.operators.rank import exact_sample
 from tabletwin.plans.registry import query
 from tabletwin.plans.tables import CUSTOMER_GEO_SQL, customer_geo, table
+from tabletwin.session import cut_lineage
 
 GEO_COLS = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment", "n_nationkey", "n_name", "n_regionkey", "r_name"]
 PART_COLS = ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]
@@ -33,7 +34,9 @@ LI_FD_SQL = """(SELECT *, CASE WHEN l_suppkey = 7 AND l_orderkey % 2 = 1 THEN -1
 
 def lineitem_sample(spark, sf):
     li = lineitem_fd(spark, sf).withColumn("_key", F.concat_ws("-", "l_orderkey", "l_linenumber"))
-    return exact_sample(li, SAMPLE_N, seed=SEED, key="_key", salt="fd_sample").drop("_key")
+    # the sample has SAMPLE_N rows: materialise it once in the shared checkpoint folder so the FD jobs
+    # that follow do not redo the rank shuffle
+    return cut_lineage(exact_sample(li, SAMPLE_N, seed=SEED, key="_key", salt="fd_sample").drop("_key"))
 
 
 LI_SAMPLE_SQL = f"""(SELECT * EXCLUDE (_key, _u) FROM (SELECT *, concat_ws('-', l_orderkey, l_linenumber) AS _key,

@@ -49,3 +49,13 @@ def cut_lineage(df):
     """Materialise ``df`` into the shared checkpoint folder (reliable, survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df):
+    """Give CPU-heavy narrow work enough tasks: if the input arrives in fewer partitions than the cluster
+    runs in parallel (e.g. one large Parquet row group), deal its rows round-robin over that many
+    partitions. Inputs that already have enough partitions are returned untouched (no shuffle)."""
+    want = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want)
+    return df
