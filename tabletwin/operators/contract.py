@@ -75,6 +75,13 @@ def learn(df: DataFrame, columns: Sequence[str] | None = None, tolerance: float
         F.when(cat, F.coalesce("allowed_values", F.array().cast("array<string>"))).alias("allowed_values"))
 
 
+def allowed_values_table(contract: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column_name, value) rows of the allowed lists of ``columns``: one row per value, so a big list is
+    spread over tasks instead of living in one array."""
+    return contract.where(F.col("column_name").isin(*columns)).select(
+        "column_name", F.explode("allowed_values").alias("value"))
+
+
 def save(contract: DataFrame, path: str, mode: str = "overwrite") -> None:
     """SNK3: the contract as JSON lines (``mode='ignore'`` skips a finished stage, SNK6)."""
     contract.coalesce(1).write.mode(mode).json(path)
@@ -140,14 +147,20 @@ def check(df: DataFrame, contract: DataFrame, row_key: str, inline_limit: int =
         src = df
         out = src.select(F.explode(arr).alias("v")).select("v.*")
     if big:
-        # large allowed sets: anti-join of (column, value) pairs against the contract's value list
-        allowed = contract.where(F.col("column_name").isin(*big)).select(
-            "column_name", F.explode("allowed_values").alias("value"))
+        # Large allowed sets, checked without putting a hot value in one task: distinct (column, value)
+        # pairs first (map-side combine collapses a value that fills a third of the table), anti-join them
+        # with the allowed list (both sides distinct), then attach the row keys of the few bad values.
+        allowed = allowed_values_table(contract, big)
         arr = F.array(*[F.struct(F.lit(c).alias("column_name"), as_text(c, fields[c]).alias("value"), key.alias("row_key"))
                         for c in big])
         pairs = df.select(F.inline(arr)).where(F.col("value").isNotNull())
-        bad = pairs.join(allowed, ["column_name", "value"], "left_anti").select(
-            "column_name", F.lit("isin").alias("check_name"), F.col("value").alias("failure_case"), "row_key")
+        if df.isStreaming:
+            # a micro-batch against the static allowed list (stream-static anti-join)
+            bad = pairs.join(allowed, ["column_name", "value"], "left_anti")
+        else:
+            bad_vals = pairs.select("column_name", "value").distinct().join(allowed, ["column_name", "value"], "left_anti")
+            bad = pairs.join(bad_vals, ["column_name", "value"], "left_semi")
+        bad = bad.select("column_name", F.lit("isin").alias("check_name"), F.col("value").alias("failure_case"), "row_key")
         out = bad if out is None else out.unionByName(bad)
     if missing and include_missing:
         m = spark.createDataFrame(missing, VIOLATION_SCHEMA)
