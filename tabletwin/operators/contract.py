@@ -21,6 +21,7 @@ from tabletwin.session import spread
 # Fixed value from the reference: numeric bounds widen by 10 % of the larger absolute bound.
 RANGE_TOLERANCE = 0.10
 INLINE_LIMIT = 1000
+LIST_LIMIT = 100_000  # allowed lists longer than this stay as rows of ``learn_values`` (no giant array)
 
 CONTRACT_SCHEMA = ("column_name string, position int, dtype string, nullable boolean, null_fraction double, "
                    "min double, max double, check_lower double, check_upper double, is_integer boolean, "
@@ -38,7 +39,8 @@ def allowed_values_long(df: DataFrame, columns: Sequence[str] | None = None) ->
     return df.select(F.inline(arr)).where(F.col("value").isNotNull()).distinct()
 
 
-def learn(df: DataFrame, columns: Sequence[str] | None = None, tolerance: float = RANGE_TOLERANCE) -> DataFrame:
+def learn(df: DataFrame, columns: Sequence[str] | None = None, tolerance: float = RANGE_TOLERANCE,
+          list_limit: int = LIST_LIMIT) -> DataFrame:
     """CT1-CT5: one contract row per column, bounds rounded to 6 dp (the saved form)."""
     cols = list(columns or scalar_columns(df))
     d = nan_to_null(df.select(cols))
@@ -64,15 +66,24 @@ def learn(df: DataFrame, columns: Sequence[str] | None = None, tolerance: float
             F.round(mn - margin, 6).alias("check_lower"), F.round(mx + margin, 6).alias("check_upper"),
             (F.lit(is_integral(fields[c])) if num else F.lit(None).cast("boolean")).alias("is_integer")))
     base = row.select(F.inline(F.array(*structs)))
-    allowed = allowed_values_long(df, cols).groupBy("column_name").agg(
-        F.count(F.lit(1)).alias("cardinality"), F.sort_array(F.collect_list("value")).alias("allowed_values"))
-    out = base.join(allowed, "column_name", "left")
+    vals = allowed_values_long(df, cols)
+    card = vals.groupBy("column_name").agg(F.count(F.lit(1)).alias("cardinality"))  # one row per column
+    small = vals.join(F.broadcast(card.where(F.col("cardinality") <= list_limit)), "column_name", "left_semi")
+    lists = small.groupBy("column_name").agg(F.sort_array(F.collect_list("value")).alias("allowed_values"))
+    out = base.join(card, "column_name", "left").join(lists, "column_name", "left")
     cat = F.col("dtype") == "categorical"
     return out.select(
         "column_name", "position", "dtype", "nullable", "null_fraction", "min", "max", "check_lower", "check_upper",
         "is_integer",
         F.when(cat, F.coalesce("cardinality", F.lit(0))).cast("bigint").alias("cardinality"),
-        F.when(cat, F.coalesce("allowed_values", F.array().cast("array<string>"))).alias("allowed_values"))
+        F.when(cat & (F.coalesce("cardinality", F.lit(0)) == 0), F.array().cast("array<string>"))
+         .otherwise(F.col("allowed_values")).alias("allowed_values"))
+
+
+def learn_values(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """The allowed values of every categorical column as (column_name, value) rows: the form that scales
+    for columns whose list is longer than ``LIST_LIMIT`` (pass it to ``check(values=...)``)."""
+    return allowed_values_long(df, columns)
 
 
 def allowed_values_table(contract: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -97,7 +108,7 @@ def _num_check_name(lo, hi) -> str:
 
 
 def check(df: DataFrame, contract: DataFrame, row_key: str, inline_limit: int = INLINE_LIMIT,
-          lazy: bool = True, include_missing: bool = True) -> DataFrame:
+          lazy: bool = True, include_missing: bool = True, values: DataFrame | None = None) -> DataFrame:
     """CT7-CT14: violations (column_name, check, failure_case, row_key) of ``df`` against ``contract``.
 
     Extra columns are allowed (strict=False). ``lazy=False`` keeps only the first violation (CT14).
@@ -106,7 +117,8 @@ def check(df: DataFrame, contract: DataFrame, row_key: str, inline_limit: int =
     # rules are one row per column: C rows on the driver; allowed lists only when small
     rules = contract.select(
         "column_name", "position", "dtype", "nullable", "check_lower", "check_upper", "is_integer", "cardinality",
-        F.when(F.col("cardinality") <= inline_limit, F.col("allowed_values")).alias("allowed_values")
+        F.when(F.col("cardinality") <= inline_limit, F.col("allowed_values")).alias("allowed_values"),
+        F.col("allowed_values").isNotNull().alias("has_list")
     ).orderBy("position").collect()
     fields = {f.name: f.dataType for f in df.schema.fields}
     key = F.col(row_key).cast("string")
@@ -139,8 +151,9 @@ def check(df: DataFrame, contract: DataFrame, row_key: str, inline_limit: int =
             if r["cardinality"] and r["cardinality"] > 0:
                 if r["allowed_values"] is not None:
                     viol.append(F.when(s.isNotNull() & ~s.isin(*r["allowed_values"]), mk("isin", s)))
-                else:
+                elif r["has_list"] or values is not None:
                     big.append(c)
+                # else: list kept outside the contract and not given -> no membership check for c
     out = None
     if viol:
         arr = F.filter(F.array(*viol), lambda e: e.isNotNull())
@@ -151,6 +164,8 @@ def check(df: DataFrame, contract: DataFrame, row_key: str, inline_limit: int =
         # pairs first (map-side combine collapses a value that fills a third of the table), anti-join them
         # with the allowed list (both sides distinct), then attach the row keys of the few bad values.
         allowed = allowed_values_table(contract, big)
+        if values is not None:  # lists kept as rows (longer than LIST_LIMIT)
+            allowed = allowed.unionByName(values.where(F.col("column_name").isin(*big)).select("column_name", "value"))
         arr = F.array(*[F.struct(F.lit(c).alias("column_name"), as_text(c, fields[c]).alias("value"), key.alias("row_key"))
                         for c in big])
         pairs = df.select(F.inline(arr)).where(F.col("value").isNotNull())
