@@ -68,7 +68,8 @@ def permutation_rank(df: DataFrame, seed: int, salt: str, id_col: str, n_rows: i
 
 
 def exact_sample(df: DataFrame, n: int, seed: int = 42, key: str | None = None, salt: str = "sample") -> DataFrame:
-    """Exactly ``min(n, count)`` rows, the same ones whatever the partitioning (AG17, FD7, SRC3).
+    """Exactly ``min(n, count)`` rows, the same ones whatever the partitioning (AG17, FD7, SRC3): the rows
+    whose (u, key) is below the cut point at rank n. No row is shuffled except those of one bucket.
 
     ``key`` must be unique per row (a business key); without one, a row hash of all columns is used.
     """
@@ -78,8 +79,9 @@ def exact_sample(df: DataFrame, n: int, seed: int = 42, key: str | None = None,
     total = df.count()
     if n >= total:
         return df.drop("_tt_key") if key == "_tt_key" else df
-    ranked = global_rank(df, uniform(seed, salt, key), key, buckets_for(total))
-    out = ranked.where(F.col("rank") < n).drop("rank")
+    u = uniform(seed, salt, key)
+    cut = rank_cut_points(df, u, key, [n], buckets_for(total)).get(n)
+    out = df.where(below(u, key, cut))
     return out.drop("_tt_key") if key == "_tt_key" else out
 
 
@@ -112,3 +114,45 @@ def draw_from_pool(
     k = F.floor(F.col("_tt_u") * F.col("_tt_total"))
     j = j.where((k >= F.col("cum_lo")) & (k < F.col("cum_hi")))
     return j.drop("_tt_d", "_tt_u", "cum_lo", "cum_hi", "_tt_total")
+
+
+def rank_cut_points(df: DataFrame, u: Column, id_col: str, ranks: Sequence[int], n_buckets: int) -> dict[int, tuple]:
+    """For each 0-based rank r < n, the (u, id) of the row at rank r in the order (u, id), without ranking
+    every row: (1) rows per bucket floor(u*B) (B numbers to the driver), (2) a row_number window over only
+    the buckets that contain a wanted rank (about n/B rows each), keeping the wanted positions.
+    Rows ranked below r are exactly those with (u, id) < cut[r]."""
+    B = int(n_buckets)
+    d = df.select(u.alias("_tt_u"), F.col(id_col).alias("_tt_id"))
+    d = d.withColumn("_tt_b", F.least(F.floor(F.col("_tt_u") * B), F.lit(B - 1)).cast("int"))
+    counts = {r["_tt_b"]: r["c"] for r in d.groupBy("_tt_b").agg(F.count(F.lit(1)).alias("c")).collect()}
+    before, acc = {}, 0
+    for b in range(B):
+        before[b] = acc
+        acc += counts.get(b, 0)
+    total = acc
+    want = {}
+    for r in ranks:
+        if r < 0 or r >= total:
+            continue
+        b = max(bb for bb in range(B) if before[bb] <= r and counts.get(bb, 0) > 0)
+        want.setdefault(b, set()).add(r - before[b] + 1)
+    if not want:
+        return {}
+    sel = d.where(F.col("_tt_b").isin(list(want)))
+    w = Window.partitionBy("_tt_b").orderBy("_tt_u", "_tt_id")
+    sel = sel.withColumn("_tt_rn", F.row_number().over(w))
+    cond = None
+    for b, pos in want.items():
+        c = (F.col("_tt_b") == b) & F.col("_tt_rn").isin(sorted(pos))
+        cond = c if cond is None else (cond | c)
+    rows = sel.where(cond).select("_tt_b", "_tt_rn", "_tt_u", "_tt_id").collect()  # one row per wanted rank
+    cut = {before[r["_tt_b"]] + r["_tt_rn"] - 1: (r["_tt_u"], r["_tt_id"]) for r in rows}
+    return {r: cut[r] for r in ranks if r in cut}
+
+
+def below(u: Column, id_col: str, cut: tuple | None) -> Column:
+    """(u, id) < cut, lexicographically; no cut (rank beyond the table) means every row."""
+    if cut is None:
+        return F.lit(True)
+    cu, cid = cut
+    return (u < F.lit(cu)) | ((u == F.lit(cu)) & (F.col(id_col) < F.lit(cid)))

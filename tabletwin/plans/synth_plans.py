@@ -20,13 +20,14 @@ DET_NUM = ["airbags", "displacement", "ncap_rating"]
 _BP = {}
 
 
-def blueprint(spark, sf, fitted=(), candidates=("norm", "expon", "uniform")):
-    """The learned blueprint of ``policies`` (FD discovery picks the model-determined columns)."""
-    k = (id(spark), sf, tuple(fitted), tuple(candidates))
+def blueprint(spark, sf, fitted=None, candidates=("norm", "expon", "uniform")):
+    """The learned blueprint of ``policies`` (FD discovery picks the model-determined columns). One per
+    session and scale; the fitted columns are always the two independent numeric ones."""
+    k = (id(spark), sf, tuple(candidates))
     if k not in _BP:
         real = policies(spark, sf)
         _BP[k] = SY.Blueprint(real, key="model", row_key="policy_id", label_col="claim_status", id_col="policy_id",
-                              fitted=list(fitted), empirical={"vehicle_age": 12.0},
+                              fitted=["subscription_length", "customer_age"], empirical={"vehicle_age": 12.0},
                               sampled={"region_code": ["region_density"]}, fit_candidates=candidates)
     return _BP[k]
 
@@ -61,9 +62,8 @@ def uniform_draws(spark, sf):
 def label_exact_rate(spark, sf):
     """SY25: exactly round-half-even(n * 0.06) ones at random places."""
     n = n_of(spark, sf, "orders")
-    k = SY.label_count(n, 0.06)
-    r = global_rank(ids(spark, n), uniform(SEED, "label", "id"), "id", buckets_for(n), "lab_rank")
-    return r.select("id", (F.col("lab_rank") < k).cast("bigint").alias("label"))
+    i = ids(spark, n)
+    return i.select("id", SY.exact_label(i, n, 0.06, SEED).alias("label"))
 
 
 @query("sample_weighted", f"""SELECT id, c_mktsegment FROM {Q.draw(Q.ids('SELECT count(*) FROM orders'),
