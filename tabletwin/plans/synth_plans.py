@@ -11,6 +11,7 @@ from tabletwin.operators.rank import buckets_for, global_rank
 from tabletwin.plans import synth_sql as Q
 from tabletwin.plans.registry import query
 from tabletwin.plans.tables import POLICIES_SQL, policies, table
+from tabletwin.session import cut_lineage
 
 SEED = 42
 POL = f"(SELECT * FROM {POLICIES_SQL})"
@@ -25,7 +26,9 @@ def blueprint(spark, sf, fitted=None, candidates=("norm", "expon", "uniform")):
     session and scale; the fitted columns are always the two independent numeric ones."""
     k = (id(spark), sf, tuple(candidates))
     if k not in _BP:
-        real = policies(spark, sf)
+        # the blueprint makes a dozen passes (FDs, statistics, fits, pools) over a table that Spark derives
+        # with a join and an aggregation: materialise it once in the shared checkpoint folder
+        real = cut_lineage(policies(spark, sf))
         _BP[k] = SY.Blueprint(real, key="model", row_key="policy_id", label_col="claim_status", id_col="policy_id",
                               fitted=["subscription_length", "customer_age"], empirical={"vehicle_age": 12.0},
                               sampled={"region_code": ["region_density"]}, fit_candidates=candidates)
@@ -510,3 +513,33 @@ FROM ({s}) s JOIN ({r}) r ON s.column_name = r.column_name AND s.stat = r.stat""
 def compare_describe(spark, sf):
     """AG20/JN5: describe of synthetic and real side by side with the difference in %."""
     return CMP.compare_describe(_synth_table(spark, sf), policies(spark, sf), FITTED)
+
+
+# ---- SRC3 and the gamma / beta draws ------------------------------------------------------------
+
+@query("real_sample", f"""SELECT policy_id, CAST(round(vehicle_age * 12) AS BIGINT) AS vehicle_age, customer_age, model, claim_status FROM
+  (SELECT *, {sql_uniform(SEED, 'real_sample', 'policy_id')} AS _u FROM {POL})
+  QUALIFY row_number() OVER (ORDER BY _u, policy_id) <= 2000""")
+def real_sample(spark, sf):
+    """SRC3/AG17: an exact 2,000-row seeded sample of the real table for comparison, vehicle age in months."""
+    from tabletwin.operators.rank import exact_sample
+    s = exact_sample(policies(spark, sf), 2000, seed=SEED, key="policy_id", salt="real_sample")
+    return s.select("policy_id", F.round(F.col("vehicle_age") * 12).cast("bigint").alias("vehicle_age"),
+                    "customer_age", "model", "claim_status")
+
+
+@query("synth_numeric_gamma_beta")
+def synth_numeric_gamma_beta(spark, sf):
+    """SY16 gamma and beta: draws through a fixed 4,096-point quantile table (broadcast) for the fitted
+    gamma of events.value and beta of lineitem.l_discount, one draw per source row."""
+    from tabletwin.operators.fit import fit_column
+    out = []
+    for name, src, col in (("gamma", "events", "value"), ("beta", "lineitem", "l_discount")):
+        df = table(spark, sf, src)
+        dist = fit_column(df, col, (name,))
+        st = dict(_stats(df, col), integral=False)
+        tmp = SY.Blueprint.__new__(SY.Blueprint)
+        tmp.stats, tmp.dists = {col: st}, {col: dist}
+        d = SY.with_numeric(ids(spark, df.count()), tmp, col, SEED)
+        out.append(d.select("id", F.lit(name).alias("family"), F.col(col).alias("x")))
+    return out[0].unionByName(out[1])

@@ -172,3 +172,28 @@ def test_all_null_column_profile(spark):
     df = spark.createDataFrame([(1, None), (2, None)], "a bigint, b double")
     num = {r["column_name"]: r for r in Profiler(df).numeric().collect()}
     assert num["b"]["n"] == 0 and num["b"]["mean"] is None
+
+
+def test_fit_fallbacks_and_families(spark):
+    from tabletwin.operators.fit import fit_column
+    const = spark.createDataFrame([(3.0,)] * 20, "x double")
+    assert fit_column(const, "x")["name"] == "constant"
+    empty = spark.createDataFrame([(None,)] * 3, "x double")
+    assert fit_column(empty, "x")["name"] == "empirical"  # FT11: nothing to fit
+    rng = np.random.default_rng(0)
+    g = spark.createDataFrame(pd.DataFrame({"x": 10 + rng.gamma(2.5, 3.0, 4000)}))
+    f = fit_column(g, "x", ("gamma", "norm", "uniform"))
+    assert f["name"] == "gamma" and f["params"]["a"] == pytest.approx(2.5, rel=0.2)
+
+
+def test_gamma_beta_draws_follow_the_fit(spark):
+    from tabletwin.plans.synth_plans import synth_numeric_gamma_beta
+    from conftest import SF_MID
+    from tabletwin.operators.fit import fit_column
+    from tabletwin.plans.tables import table
+    d = synth_numeric_gamma_beta(spark, SF_MID)
+    got = {r["family"]: r for r in d.groupBy("family").agg(F.avg("x").alias("m"), F.count("*").alias("n")).collect()}
+    ev = table(spark, SF_MID, "events")
+    f = fit_column(ev, "value", ("gamma",))["params"]
+    assert got["gamma"]["n"] == ev.count()
+    assert got["gamma"]["m"] == pytest.approx(f["loc"] + f["a"] * f["scale"], rel=0.05)
