@@ -28,7 +28,7 @@ def prefix_sum(
     df: DataFrame,
     weight: Column,
     order_cols: Sequence,
-    bucket: Column,
+    bucket: Column | None,
     group_cols: Sequence[str] = (),
     lo_col: str = "cum_lo",
     hi_col: str = "cum_hi",
@@ -41,6 +41,14 @@ def prefix_sum(
     broadcasts it when it is small and shuffles it otherwise.
     """
     g = list(group_cols)
+    if bucket is None:
+        # one window per group: only for tables known to be small (pools of at most a few hundred rows)
+        d = df.withColumn("_tt_w", weight)
+        run = Window.partitionBy(*g).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
+        d = d.withColumn(hi_col, F.sum("_tt_w").over(run)).withColumn(lo_col, F.col(hi_col) - F.col("_tt_w"))
+        if total_col:
+            d = d.withColumn(total_col, F.sum("_tt_w").over(Window.partitionBy(*g)))
+        return d.drop("_tt_w")
     d = df.withColumn("_tt_b", bucket).withColumn("_tt_w", weight)
     tot = d.groupBy(*g, "_tt_b").agg(F.sum("_tt_w").alias("_tt_bt"))
     before = Window.partitionBy(*g).orderBy("_tt_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -102,7 +110,7 @@ def draw_from_pool(
     covers (at most pool rows + draw buckets rows), and the draws join it on their bucket, so neither a
     heavy pool value nor a large pool lands in one task.
     """
-    bucket = pool_bucket if pool_bucket is not None else F.lit(0)
+    bucket = pool_bucket  # None: a small pool, one running window (no offsets join)
     p = pool.where(F.col(weight_col) > 0).select(*value_cols, weight_col, *[c for c in order_cols if c not in value_cols])
     p = prefix_sum(p, F.col(weight_col).cast("bigint"), [F.col(c) for c in order_cols], bucket, total_col="_tt_total")
     D = int(n_draw_buckets)
