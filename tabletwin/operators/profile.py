@@ -209,27 +209,33 @@ class Profiler:
         return prefix_sum(d, F.col("count"), [F.col("value")], b, group_cols=["column_name"]).drop("_mn", "_mx")
 
     def percentiles(self, levels=PERCENTILES) -> DataFrame:
-        """AG8: exact linear-interpolation percentiles (numpy default), 6 dp, one column per level."""
+        """AG8: exact linear-interpolation percentiles (numpy default), 6 dp, one column per level.
+
+        Each level p needs the values at ranks floor(h) and floor(h) + 1, h = (n - 1) p / 100. The C x 2L
+        target ranks (a broadcast table) are matched against the cumulative value counts, and one
+        conditional aggregation per column picks and interpolates them."""
         mm = self.moments().select("column_name", "n").where(F.col("n") > 0)
-        tgt = mm.select("column_name", "n", F.explode(F.array(*[F.lit(float(p)) for p in levels])).alias("p"))
-        tgt = tgt.withColumn("h", (F.col("n") - 1) * F.col("p") / 100.0)
-        tgt = tgt.withColumn("r0", F.floor("h").cast("bigint"))
-        tgt = tgt.withColumn("r1", F.least(F.col("r0") + 1, F.col("n") - 1)).withColumn("g", F.col("h") - F.col("r0"))
+        tgt = mm.select("column_name", F.explode(F.array(*[F.lit(float(p)) for p in levels])).alias("p"), "n")
+        h = (F.col("n") - 1) * F.col("p") / 100.0
+        r0 = F.floor(h).cast("bigint")
         ranks = tgt.select("column_name", "p", F.explode(F.array(
-            F.struct(F.lit(0).alias("which"), F.col("r0").alias("r")),
-            F.struct(F.lit(1).alias("which"), F.col("r1").alias("r")))).alias("t")).select("column_name", "p", "t.*")
+            F.struct(F.lit(0).alias("which"), r0.alias("r")),
+            F.struct(F.lit(1).alias("which"), F.least(r0 + 1, F.col("n") - 1).alias("r")))).alias("t")) \
+            .select("column_name", "p", "t.*")
         cum = self.cumulative_counts()
-        # ranks has C x 18 rows: broadcast it and stream the cumulative table past it
         hit = cum.join(F.broadcast(ranks), "column_name").where((F.col("cum_lo") <= F.col("r")) & (F.col("r") < F.col("cum_hi")))
-        vals = hit.groupBy("column_name", "p").agg(
-            F.max(F.when(F.col("which") == 0, F.col("value"))).alias("v0"),
-            F.max(F.when(F.col("which") == 1, F.col("value"))).alias("v1"))
-        vals = vals.join(tgt.select("column_name", "p", "g"), ["column_name", "p"])
-        v = F.col("v0") + (F.col("v1") - F.col("v0")) * F.col("g")
-        vals = vals.select("column_name", "p", F.round(v, 6).alias("v"))
-        names = [f"p{int(p)}" for p in levels]
-        out = vals.groupBy("column_name").pivot("p", [float(p) for p in levels]).agg(F.first("v"))
-        return out.toDF("column_name", *names)
+        aggs = [F.first("n").alias("n")]
+        for p in levels:
+            for w in (0, 1):
+                aggs.append(F.max(F.when((F.col("p") == float(p)) & (F.col("which") == w), F.col("value"))).alias(f"v{w}_{p}"))
+        g = hit.groupBy("column_name").agg(*aggs)
+        out = []
+        for p in levels:
+            hh = (F.col("n") - 1) * F.lit(float(p)) / 100.0
+            frac = hh - F.floor(hh)
+            v0, v1 = F.col(f"v0_{p}"), F.col(f"v1_{p}")
+            out.append(F.round(v0 + (v1 - v0) * frac, 6).alias(f"p{int(p)}"))
+        return g.select("column_name", *out)
 
     def numeric(self) -> DataFrame:
         """AG4-AG7 with the median from the exact percentiles."""
