@@ -27,7 +27,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) ->
     """(source, source_size) -> (source, source_size, target). One row per source.
 
     Targets are min(level * weight, max_epochs * size) for the one level at which they add up to the total: in the
-    order of size / weight, the first source that is not full at the level its predecessors leave fixes it.
+    order of size / weight, the first source that is not full at the level its predecessors leave fixes it (later levels are lower).
     """
     order = W.orderBy(F.col("source").isNull(), F.encode("source", "UTF-8"))
     s = sizes.withColumn("_i", (F.row_number().over(order) - 1) % len(weights))
@@ -39,7 +39,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) ->
     every = W.orderBy(F.lit(0)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     left = F.sum("source_size").over(every) - F.coalesce(F.sum("_cap").over(earlier), F.lit(0.0))
     s = s.withColumn("_level", left / F.sum("_w").over(here_on))
-    s = s.withColumn("_level", F.min(F.when(F.col("_level") <= F.col("_cap") / F.col("_w"), F.col("_level"))).over(every))
+    s = s.withColumn("_level", F.max(F.when(F.col("_level") <= F.col("_cap") / F.col("_w"), F.col("_level"))).over(every))
     return s.select("source", "source_size", F.least(F.coalesce(F.col("_level") * F.col("_w"), F.col("_cap")), F.col("_cap")).alias("target"))
 
 
@@ -72,7 +72,7 @@ s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, list_value(5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE)[((row_number() OVER (ORDER BY source IS NULL, source COLLATE "C")) - 1) % 3 + 1] AS w, source_size * 3.0::DOUBLE AS cap FROM s),
 l AS (SELECT *, ((SELECT sum(source_size) FROM s)::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / w, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
   / sum(w) OVER (ORDER BY cap / w, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
-t AS (SELECT source, source_size, least((SELECT min(level) FROM l WHERE level <= cap / w) * w, cap) AS target FROM l),
+t AS (SELECT source, source_size, least((SELECT max(level) FROM l WHERE level <= cap / w) * w, cap) AS target FROM l),
 p AS (SELECT d.doc_id, d.size, t.source_size, t.target, coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 e AS (SELECT *, CASE WHEN source_size > 0 THEN round(target)::BIGINT // source_size ELSE 0 END AS passes FROM p)
