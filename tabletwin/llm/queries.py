@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabletwin.llm import mixing, sharding
+from tabletwin.llm import mixing, rules, secrets, sharding
 from tabletwin.llm.store import source_table
 
 SHARDS = 24
@@ -14,11 +14,24 @@ def op4_mixing(spark, sf_dir):
     return mixing.mix(source_table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("source")
 
 
+def op5_quality_rules(spark, sf_dir):
+    # which rule rejects first depends on measured costs; the verdict does not
+    return rules.judge(source_table(spark, sf_dir, "documents")).drop("rejected_by")
+
+
+def op8_secrets(spark, sf_dir):
+    found = secrets.scan(source_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["kind"].isin([r.kind for r in secrets.BASE_RULES]))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    return found.select("doc_id", *[count(r.kind).alias(f"n_{r.kind}") for r in secrets.BASE_RULES],
+                        F.sha2(secrets.digest(base), 256).alias("base_sha256"), secrets.digest(F.col("spans")).alias("spans"))
+
+
 def op10_sharding(spark, sf_dir):
     docs = source_table(spark, sf_dir, "documents").select("doc_id", "text")
     out = sharding.shard(docs, [1.0] * SHARDS, key="doc_id", text="text", grow_by=1.0)
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
-QUERIES = {"op4_mixing": op4_mixing, "op10_sharding": op10_sharding}
+QUERIES = {"op4_mixing": op4_mixing, "op5_quality_rules": op5_quality_rules, "op8_secrets": op8_secrets, "op10_sharding": op10_sharding}
 ORACLE = {"op4_mixing": mixing.MIX_SQL}
