@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabletwin.llm import mixing, rules, secrets, sharding
+from tabletwin.llm import mixing, pii, rules, secrets, sharding
 from tabletwin.llm.store import source_table
 
 SHARDS = 24
@@ -14,6 +14,10 @@ def op4_mixing(spark, sf_dir):
     return mixing.mix(source_table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("source")
 
 
+def op1_pii(spark, sf_dir):
+    return pii.find(source_table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark, sf_dir):
     # which rule rejects first depends on measured costs; the verdict does not
     return rules.judge(source_table(spark, sf_dir, "documents")).drop("rejected_by")
@@ -33,5 +37,5 @@ def op10_sharding(spark, sf_dir):
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
-QUERIES = {"op4_mixing": op4_mixing, "op5_quality_rules": op5_quality_rules, "op8_secrets": op8_secrets, "op10_sharding": op10_sharding}
+QUERIES = {"op1_pii": op1_pii, "op4_mixing": op4_mixing, "op5_quality_rules": op5_quality_rules, "op8_secrets": op8_secrets, "op10_sharding": op10_sharding}
 ORACLE = {"op4_mixing": mixing.MIX_SQL}
