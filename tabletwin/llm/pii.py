@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabletwin.llm import tokens as tk
+from tabletwin.llm.store import map_arrow
 
 SAMPLE_ROWS = 200
 MAX_TOKENS = 13
@@ -377,7 +378,7 @@ def find(docs: DataFrame, weights: np.ndarray | None = None, sample_rows: int =
                      pa.array(cols[4], pa.string()), pa.array(cols[5], pa.string()), pa.array(cols[6], pa.int64())],
                     names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(work, SCHEMA)
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), work, SCHEMA)
 
 
 def log_likelihood(cases, weights: np.ndarray) -> float:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabletwin.llm import mixing, pii, rules, secrets, sharding
+from tabletwin.llm import decontam, mixing, pii, quality, rules, secrets, sharding
 from tabletwin.llm.store import source_table
 
 SHARDS = 24
@@ -23,6 +23,15 @@ def op5_quality_rules(spark, sf_dir):
     return rules.judge(source_table(spark, sf_dir, "documents")).drop("rejected_by")
 
 
+def op6_quality_classifier(spark, sf_dir):
+    return quality.classify(source_table(spark, sf_dir, "documents"), source_table(spark, sf_dir, "labels"))
+
+
+def op7_decontamination(spark, sf_dir):
+    docs = source_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontam.mark(docs, source_table(spark, sf_dir, "benchmark"))
+
+
 def op8_secrets(spark, sf_dir):
     found = secrets.scan(source_table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("spans", lambda s: s["kind"].isin([r.kind for r in secrets.BASE_RULES]))
@@ -37,5 +46,5 @@ def op10_sharding(spark, sf_dir):
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
-QUERIES = {"op1_pii": op1_pii, "op4_mixing": op4_mixing, "op5_quality_rules": op5_quality_rules, "op8_secrets": op8_secrets, "op10_sharding": op10_sharding}
+QUERIES = {"op1_pii": op1_pii, "op4_mixing": op4_mixing, "op5_quality_rules": op5_quality_rules, "op6_quality_classifier": op6_quality_classifier, "op7_decontamination": op7_decontamination, "op8_secrets": op8_secrets, "op10_sharding": op10_sharding}
 ORACLE = {"op4_mixing": mixing.MIX_SQL}

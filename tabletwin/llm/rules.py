@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabletwin.llm import tokens as tk
+from tabletwin.llm.store import map_arrow
 
 #: Documents on which costs and rejections are measured.
 SAMPLE_ROWS = 256
@@ -217,4 +218,4 @@ def judge(docs: DataFrame, rules=CASCADE, sample_rows: int = SAMPLE_ROWS) -> Dat
                      pa.array(base >= 0), pa.array(verdict < 0), why],
                     names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(work, SCHEMA)
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), work, SCHEMA)
