@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabletwin.llm import decontam, jaccard, mixing, pii, quality, rules, secrets, sharding
+from tabletwin.llm import decontam, jaccard, mixing, pii, quality, recompress, rules, secrets, sharding
 from tabletwin.llm.store import source_table
 
 SHARDS = 24
@@ -44,11 +44,15 @@ def op8_secrets(spark, sf_dir):
                         F.sha2(secrets.digest(base), 256).alias("base_sha256"), secrets.digest(F.col("spans")).alias("spans"))
 
 
+def op9_substring_dedup(spark, sf_dir):
+    return recompress.cleaned(source_table(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark, sf_dir):
     docs = source_table(spark, sf_dir, "documents").select("doc_id", "text")
     out = sharding.shard(docs, [1.0] * SHARDS, key="doc_id", text="text", grow_by=1.0)
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
-QUERIES = {"op1_pii": op1_pii, "op2_jaccard_join": op2_jaccard_join, "op4_mixing": op4_mixing, "op5_quality_rules": op5_quality_rules, "op6_quality_classifier": op6_quality_classifier, "op7_decontamination": op7_decontamination, "op8_secrets": op8_secrets, "op10_sharding": op10_sharding}
-ORACLE = {"op4_mixing": mixing.MIX_SQL}
+QUERIES = {"op1_pii": op1_pii, "op2_jaccard_join": op2_jaccard_join, "op4_mixing": op4_mixing, "op5_quality_rules": op5_quality_rules, "op6_quality_classifier": op6_quality_classifier, "op7_decontamination": op7_decontamination, "op8_secrets": op8_secrets, "op9_substring_dedup": op9_substring_dedup, "op10_sharding": op10_sharding}
+ORACLE = {"op4_mixing": mixing.MIX_SQL, "op9_substring_dedup": recompress.CLEAN_SQL}
