@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabletwin.llm import decontam, jaccard, mixing, pii, quality, recompress, rules, secrets, sharding
+from tabletwin.llm import decontam, jaccard, mixing, pii, quality, recompress, rules, secrets, sharding, suffix
 from tabletwin.llm.store import source_table
 
 SHARDS = 24
@@ -14,6 +14,10 @@ def op2_jaccard_join(spark, sf_dir):
     return jaccard.component_rows(source_table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark, sf_dir):
+    return suffix.cleaned(source_table(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark, sf_dir):
     return mixing.mix(source_table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("source")
 
@@ -54,5 +58,5 @@ def op10_sharding(spark, sf_dir):
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
-QUERIES = {"op1_pii": op1_pii, "op2_jaccard_join": op2_jaccard_join, "op4_mixing": op4_mixing, "op5_quality_rules": op5_quality_rules, "op6_quality_classifier": op6_quality_classifier, "op7_decontamination": op7_decontamination, "op8_secrets": op8_secrets, "op9_substring_dedup": op9_substring_dedup, "op10_sharding": op10_sharding}
+QUERIES = {"op1_pii": op1_pii, "op2_jaccard_join": op2_jaccard_join, "op3_suffix_dedup": op3_suffix_dedup, "op4_mixing": op4_mixing, "op5_quality_rules": op5_quality_rules, "op6_quality_classifier": op6_quality_classifier, "op7_decontamination": op7_decontamination, "op8_secrets": op8_secrets, "op9_substring_dedup": op9_substring_dedup, "op10_sharding": op10_sharding}
 ORACLE = {"op4_mixing": mixing.MIX_SQL, "op9_substring_dedup": recompress.CLEAN_SQL}
