@@ -16,12 +16,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabletwin.llm.store import written
+
 #: Fixed masks: 1 is read, 0 is ignored.
 MASKS = ("1101011", "11001011", "111011")
 MIN_TOKENS = 13
 MAX_DIFFERENT = 2
 #: Benchmark seeds up to this many rows are broadcast; larger benchmarks are joined by a shuffle.
 BROADCAST_SEEDS = 400_000
+#: Contaminated documents up to this many (an id, a hash, item ids) are broadcast; more are joined by a shuffle.
+BROADCAST_FOUND = 200_000
 #: The bit table has 32 bits a seed within these bounds (as powers of two).
 TABLE_BITS = (16, 24)
 
@@ -79,7 +83,8 @@ def bit_table(seeds: DataFrame, bits: int) -> Column:
 
 
 def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, item_id, doc_at, item_at, agree): verified hits, ``agree`` is the most equal tokens in one window."""
+    """(doc_id, text_key, item_id, doc_at, item_at, agree): verified hits, ``agree`` is the most equal tokens in one
+    window. Rows are told apart by id and a hash of their text."""
     items = items.where(F.col("text").isNotNull()).select("item_id", "text")
     seeds = benchmark_seeds(items)
     n_seeds = seeds.count()
@@ -102,7 +107,7 @@ def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
                                                      F.slice(words, F.greatest(p["at"] - reach, F.lit(0)) + 1, 2 * reach + 8).alias("near")))
 
     found = let(bit_table(seeds, bits), lambda table: let(tokens(F.col("text")), lambda words: let(word_hashes(words), lambda h: candidates(table, words, h))))
-    cand = docs.select("doc_id", F.explode(found).alias("c")).select("doc_id", "c.at", "c.seed", "c.from", "c.near")
+    cand = docs.select("doc_id", text_key(F.col("text")), F.explode(found).alias("c")).select("doc_id", "text_key", "c.at", "c.seed", "c.from", "c.near")
     joined = cand.join(F.broadcast(seeds) if n_seeds <= BROADCAST_SEEDS else seeds, "seed")
     # item word j stands at document word j + shift; both are compared where the item and the words around the hit meet
     shift = F.col("at") - F.col("item_at")
@@ -114,25 +119,36 @@ def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
         F.sequence(F.lit(1), F.size(e) - F.col("_width") + 1), lambda s: F.aggregate(F.slice(e, s, F.col("_width")), F.lit(0), lambda a, x: a + x))))
     joined = joined.withColumn("_width", width).withColumn("agree", let(equal, windows))
     enough = F.when(F.col("_width") < MIN_TOKENS, F.col("_width") - F.floor(F.col("_width") / 6)).otherwise(F.lit(MIN_TOKENS - MAX_DIFFERENT))
-    return joined.where(F.col("agree") >= enough).select("doc_id", "item_id", F.col("at").alias("doc_at"), "item_at", "agree")
+    return joined.where(F.col("agree") >= enough).select("doc_id", "text_key", "item_id", F.col("at").alias("doc_at"), "item_at", "agree")
+
+
+def text_key(text: Column) -> Column:
+    return F.xxhash64(text).alias("text_key")
 
 
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, n_hits, item_ids) of the documents that overlap benchmark items; every id once."""
-    per_item = hits(docs, items).groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n"))
-    return per_item.groupBy("doc_id").agg(F.sum("n").cast("long").alias("n_hits"), F.array_sort(F.collect_list("item_id")).alias("item_ids"))
+    """(doc_id, text_key, n_hits, item_ids) of the documents that overlap benchmark items, each once."""
+    per_item = hits(docs, items).groupBy("doc_id", "text_key", "item_id").agg(F.count(F.lit(1)).alias("n"))
+    return per_item.groupBy("doc_id", "text_key").agg(F.sum("n").cast("long").alias("n_hits"), F.array_sort(F.collect_list("item_id")).alias("item_ids"))
+
+
+def _found(docs: DataFrame, items: DataFrame) -> DataFrame:
+    found = written(contaminated(docs.select("doc_id", "text"), items), "contaminated")
+    return F.broadcast(found) if found.count() <= BROADCAST_FOUND else found
+
+
+def _same_row() -> Column:
+    return F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.xxhash64(F.col("d.text")) == F.col("f.text_key"))
 
 
 def mark(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Every row of ``docs`` without its text, plus contaminated, n_hits and item_ids."""
-    found = contaminated(docs.select("doc_id", "text"), items)
-    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in {"text", "n_hits", "item_ids", "contaminated"}])
-    out = kept.alias("d").join(found.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")), "left")
-    return out.select("d.*", F.col("f.n_hits").isNotNull().alias("contaminated"), F.coalesce("f.n_hits", F.lit(0)).alias("n_hits"),
+    keep = [c for c in docs.columns if c not in {"text", "n_hits", "item_ids", "contaminated"}]
+    out = docs.alias("d").join(_found(docs, items).alias("f"), _same_row(), "left")
+    return out.select(*[F.col(f"d.`{c}`") for c in keep], F.col("f.n_hits").isNotNull().alias("contaminated"), F.coalesce("f.n_hits", F.lit(0)).cast("long").alias("n_hits"),
                       F.coalesce("f.item_ids", F.array().cast("array<bigint>")).alias("item_ids"))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` that overlap no benchmark item."""
-    found = contaminated(docs.select("doc_id", "text"), items).select(F.col("doc_id").alias("_bad"))
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    return docs.alias("d").join(_found(docs, items).alias("f"), _same_row(), "left_anti").select(*[F.col(f"d.`{c}`") for c in docs.columns])

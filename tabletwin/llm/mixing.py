@@ -16,11 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tabletwin.llm.store import word_count, written
+from tabletwin.llm.store import WORD, word_count, written
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
+#: Plans of up to this many sources (one short row each) are broadcast.
+BROADCAST_SOURCES = 10_000
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -43,9 +45,14 @@ def targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) ->
     return s.select("source", "source_size", F.least(F.coalesce(F.col("_level") * F.col("_w"), F.col("_cap")), F.col("_cap")).alias("target"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken) of every row of ``docs`` (doc_id, text, source)."""
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+def mix_key(doc_id):
+    return F.md5(F.coalesce(doc_id.cast("string"), F.lit("")))
+
+
+def shares(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """(doc_id, source, size, source_size, target, key, passes, part) of every row of ``docs`` (doc_id, text, source):
+    ``passes`` whole passes over the source, then ``part`` words of this document."""
+    key = mix_key(F.col("doc_id"))
     # the table is read for its words once; what follows are a few numbers per document
     sized = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("_key"))
                     .withColumn("_bin", F.substring("_key", 1, 3)), "mix")
@@ -58,12 +65,34 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataF
     inside = W.partitionBy("source", "_bin").orderBy("_key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
     sized = sized.withColumn("_inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     s = (sized.alias("d").join(bins.alias("b"), F.col("d.source").eqNullSafe(F.col("b.source")) & (F.col("d._bin") == F.col("b._bin")))
-              .select("d.doc_id", "d.source", "d.size", "d._inside", "b._before", "b.source_size", "b.target"))
+              .select("d.doc_id", "d.source", "d.size", F.col("d._key").alias("key"), "d._inside", "b._before", "b.source_size", "b.target"))
     budget = F.round("target").cast("long")
     passes = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = budget - passes * F.col("source_size")
     part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("_before") - F.col("_inside")))
-    return s.select("doc_id", "source", "size", "source_size", "target", (passes * F.col("size") + part).cast("long").alias("taken"))
+    return s.select("doc_id", "source", "size", "source_size", "target", "key", passes.alias("passes"), part.cast("long").alias("part"))
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken) of every row of ``docs`` (doc_id, text, source)."""
+    s = shares(docs, weights, max_epochs)
+    return s.select("doc_id", "source", "size", "source_size", "target", (F.col("passes") * F.col("size") + F.col("part")).cast("long").alias("taken"))
+
+
+def repeated(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """The mix itself: rows of ``docs`` as often as it takes them, the one at the cut as a whole. Rows without words
+    are left out. Each source's passes and its key at the cut are one row; texts are neither shuffled nor sorted."""
+    s = shares(docs.select("doc_id", "text", "source"), weights, max_epochs)
+    cut = written(s.groupBy("source").agg(F.max("passes").alias("_passes"), F.max(F.when(F.col("part") > 0, F.col("key"))).alias("_cut")), "cuts")
+    cut = cut.withColumnRenamed("source", "_source")
+    few = cut.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+    out = docs.join(F.broadcast(cut) if few else cut, F.col("source").eqNullSafe(F.col("_source")))
+    last = F.coalesce(mix_key(F.col("doc_id")) <= F.col("_cut"), F.lit(False)).cast("int")
+    times = F.when(F.coalesce(F.col("text"), F.lit("")).rlike(WORD), F.col("_passes").cast("int") + last).otherwise(F.lit(0))
+    out = out.withColumn("_copies", F.sequence(F.lit(1), times)).where(times > 0)
+    return out.withColumn("_copy", F.explode("_copies")).select(*docs.columns)
+
+
 
 
 MIX_SQL = """

@@ -62,6 +62,11 @@ def shard(df: DataFrame, weights: Sequence[float], key: str = "doc_id", text: st
     return slots(out, key)
 
 
+def with_shard(df: DataFrame, weights: Sequence[float], key: str = "doc_id") -> DataFrame:
+    """All columns of ``df`` and ``shard``; rows are not moved."""
+    return df.withColumn("shard", rendezvous(record_key(F.col(key)), weights))
+
+
 def slots(df: DataFrame, key: str) -> DataFrame:
     """Gapless numbers from 0 in each shard: counts of (shard, bin) are summed over bins, rows are numbered within."""
     df = df.withColumn("_bin", F.conv(F.substring(F.md5(F.concat_ws("|", record_key(F.col(key)), "size", "text_crc32")), 1, 3), 16, 10).cast("int") % SLOT_BINS)
