@@ -102,7 +102,7 @@ def blocks(text: str) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for m in _CORE.finditer(text):
         a, b = m.span()
-        if text[a] in "+(" or text[a].isdigit():
+        if any(_number(c) for c in m.group()[:3]):
             b = a + len(m.group().rstrip())
             stop = a - NEAR
             while a > max(0, stop) and not text[a - 1].isspace():
@@ -241,7 +241,8 @@ DISTRACTORS = ("on 2021-05-17 it was", "from 1999 to 2004,", "a price of 12.50 a
                "pages 120-134", "at 10:45:30 on", "order 4821 of 9300", "ISBN 978-3-16-148410-0 in", "3 + 4 = 7", "about 100 000 people", "look at the 5 dots",
                "section 4.2.1", "score 21-17, 18-21", "12345678", "id 555-77", "it was at home and at work", "x = 0.00012", "serial 8827361", "100 200 300 400 500")
 #: Plain examples, used beside those found in the sample.
-EXAMPLES = (("write to ann.lee@mail.example.org today", "email"), ("call +1 (212) 555-0147 now", "phone"), ("host 192.168.20.7 is up", "ip"), ("card 4111 1111 1111 1111 was", "card"))
+EXAMPLES = (("write to ann.lee@mail.example.org today", "email"), ("from bob_r@example.com, who", "email"), ("(j.smith42@site.example.net)", "email"),
+            ("mail: info@example.co.uk", "email"), ("by kim@uni.example.edu.", "email"), ("reach +1 (646) 555-0190 or", "phone"), ("call +1 (212) 555-0147 now", "phone"), ("host 192.168.20.7 is up", "ip"), ("card 4111 1111 1111 1111 was", "card"))
 
 
 def _rewritten(text: str, span: tuple[int, int], kind: str, n: int) -> tuple[str, tuple[int, int]] | None:

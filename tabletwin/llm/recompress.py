@@ -30,7 +30,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tabletwin.llm import tokens as tk
-from tabletwin.llm.store import map_arrow, written
+from tabletwin.llm.store import broadcast_if, map_arrow, written
 
 WINDOW = 50
 ROUNDS = 2
@@ -39,9 +39,10 @@ LONGEST = 2 << ROUNDS
 EDGE = 8
 SPAN = WINDOW - 2 * EDGE - LONGEST + 1
 #: Windows held in a task before those that recur among them are reduced.
-AT_ONCE = 1_000_000
+AT_ONCE = 400_000
 #: Side tables with up to this many numbers are broadcast (8 bytes each); larger ones are joined by a shuffle.
 BROADCAST_NUMBERS = 8_000_000
+BROADCAST_GROUPS = 500_000
 _NONE = np.uint64(2**64 - 1)
 _C1, _C2 = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD1B54A32D192ED03)
 
@@ -243,8 +244,8 @@ def removed_windows(docs: DataFrame) -> DataFrame:
     """(doc_id, k1, xs, whole): window starts to remove in the row of that id and content; ``whole``: all words."""
     table = written(map_arrow(docs, _key_work, KEY_SCHEMA), "keys")
     table = table.where(F.col("doc_id").isNotNull() & (F.col("n_words") >= WINDOW))
-    least = table.groupBy("n_words", "k1", "k2").agg(F.min("doc_id").alias("least"))
-    copies = written(table.select("doc_id", "n_words", "k1", "k2").join(least, ["n_words", "k1", "k2"]).where(F.col("doc_id") > F.col("least"))
+    least = written(table.groupBy("n_words", "k1", "k2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most"), "least")
+    copies = written(table.select("doc_id", "n_words", "k1", "k2").join(broadcast_if(least, BROADCAST_GROUPS), ["n_words", "k1", "k2"]).where(F.col("doc_id") > F.col("least"))
                      .select("doc_id", "k1").distinct(), "copies")
     alone = written(beside(table.select("doc_id", "k1", "keys"), copies.select("doc_id", F.col("k1").alias("c")), copies.count() * 2, "left")
                     .where(F.col("c").isNull() | (F.col("c") != F.col("k1")))

@@ -46,6 +46,11 @@ def source_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def broadcast_if(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``rows`` rows (it should be a written table); else as it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def map_arrow(df: DataFrame, work, schema) -> DataFrame:
     """``df.mapInArrow`` whose Python workers also look for this package where the driver found it (local mode,
     or nodes that share the path; elsewhere ship the package with --py-files)."""

@@ -28,19 +28,20 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tabletwin.llm import tokens as tk
-from tabletwin.llm.store import map_arrow, written
+from tabletwin.llm.store import broadcast_if, map_arrow, written
 
 WIDTH = 100
 GRAM = 24
 REACH = WIDTH - GRAM + 1
 LONGEST = WIDTH + REACH - 1
-SLICE = 2 << 20
+SLICE = 1 << 20
 #: Documents from which on an anchor's windows are grouped one by one.
 HOT = 20_000
 #: Cuts held in a task before equal ones among them are settled.
-AT_ONCE = 100_000
+AT_ONCE = 50_000
 BROADCAST_NUMBERS = 8_000_000
 BROADCAST_KEYS = 2_000_000
+BROADCAST_GROUPS = 500_000
 _POS = np.uint64(2**30 - 1)
 _LOW = np.uint64(1)
 
@@ -298,6 +299,8 @@ def repeats(body: list[bytes], key, doc, k1, at, x1, x2):
     else:
         raise RuntimeError("hash collisions under four bases")
     row, offset = found
+    if len(row) == 0:
+        return row, row, row
     x = at[row] - offset
     o = np.lexsort((x, row))
     row, x = row[o], x[o]
@@ -374,8 +377,8 @@ def removed_windows(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """(doc_id, k1, runs, whole): runs of window starts to remove in the row of that id and content."""
     table = written(map_arrow(docs, _key_work, KEY_SCHEMA), "anchors")
     table = table.where(F.col("doc_id").isNotNull() & (F.col("n_bytes") >= WIDTH))
-    least = table.groupBy("n_bytes", "k1", "k2").agg(F.min("doc_id").alias("least"))
-    copies = written(table.select("doc_id", "n_bytes", "k1", "k2").join(least, ["n_bytes", "k1", "k2"]).where(F.col("doc_id") > F.col("least"))
+    least = written(table.groupBy("n_bytes", "k1", "k2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most"), "least")
+    copies = written(table.select("doc_id", "n_bytes", "k1", "k2").join(broadcast_if(least, BROADCAST_GROUPS), ["n_bytes", "k1", "k2"]).where(F.col("doc_id") > F.col("least"))
                      .select("doc_id", "k1").distinct(), "copies")
     alone = (_beside(table.select("doc_id", "k1", "keys"), copies.select("doc_id", F.col("k1").alias("c")), copies.count() * 2, "left")
              .where(F.col("c").isNull() | (F.col("c") != F.col("k1"))).select("doc_id", F.explode("keys").alias("v")))
@@ -384,7 +387,7 @@ def removed_windows(docs: DataFrame, hot: int = HOT) -> DataFrame:
     shared = (alone.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.max("twice").alias("twice"), F.count(F.lit(1)).alias("n"))
               .where((F.col("lo") < F.col("hi")) | (F.col("twice") == 1)).select("key", (F.col("n") >= hot).cast("long").alias("hot")))
     shared = written(shared, "shared")
-    needed = written(alone.join(F.broadcast(shared) if shared.count() <= BROADCAST_KEYS else shared, "key")
+    needed = written(alone.join(broadcast_if(shared, BROADCAST_KEYS), "key")
                      .groupBy("doc_id").agg(F.collect_set(F.expr("key | hot")).alias("shared")), "needed")
     numbers = needed.agg(F.sum(F.size("shared"))).first()[0] or 0
     cuts = written(map_arrow(_beside(docs.where("doc_id is not null"), needed, numbers, "inner").select("doc_id", "text", "shared"), _cut_work, CUT_SCHEMA), "cuts")
