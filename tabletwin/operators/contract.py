@@ -1,10 +1,12 @@
 """Data contract: learn per-column rules from a table and report every row that breaks one (CT1-CT15).
 
 Learning is two aggregates (numeric min/max/null counts in one wide pass; distinct values of categorical
-columns through the long (column, value) table). Checking is one narrow scan: each rule is a Column that is
-a violation struct or NULL, and ``explode(filter(array(...)))`` emits the violations. Membership in allowed
-sets up to ``inline_limit`` values is an inline IN list; larger sets are checked by an anti-join on the long
-(column, value) table, so no giant literal and no single task holds a big set.
+columns through the long (column, value) table). A contract is one long table: a column's rule fields, once for
+every allowed value (once in all for columns without any). Allowed values are rows, so their number has no limit.
+Checking is one narrow scan: each rule is a Column that is a violation struct or NULL, and
+``explode(filter(array(...)))`` emits the violations. Membership is always tested: in allowed sets up to
+``inline_limit`` values by an inline IN list, in larger ones by an anti-join on the distinct (column, value) pairs, so
+no giant literal and no single task holds a big set.
 """
 
 from __future__ import annotations
@@ -16,16 +18,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabletwin.functions.numeric import as_text, is_integral, is_numeric, nan_to_null, scalar_columns
-from tabletwin.session import spread
 
 # Fixed value from the reference: numeric bounds widen by 10 % of the larger absolute bound.
 RANGE_TOLERANCE = 0.10
 INLINE_LIMIT = 1000
-LIST_LIMIT = 100_000  # allowed lists longer than this stay as rows of ``learn_values`` (no giant array)
 
 CONTRACT_SCHEMA = ("column_name string, position int, dtype string, nullable boolean, null_fraction double, "
                    "min double, max double, check_lower double, check_upper double, is_integer boolean, "
-                   "cardinality bigint, allowed_values array<string>")
+                   "cardinality bigint, allowed_value string")
+RULE_FIELDS = ["column_name", "position", "dtype", "nullable", "null_fraction", "min", "max", "check_lower", "check_upper", "is_integer", "cardinality"]
 VIOLATION_SCHEMA = "column_name string, check_name string, failure_case string, row_key string"
 
 
@@ -39,9 +40,8 @@ def allowed_values_long(df: DataFrame, columns: Sequence[str] | None = None) ->
     return df.select(F.inline(arr)).where(F.col("value").isNotNull()).distinct()
 
 
-def learn(df: DataFrame, columns: Sequence[str] | None = None, tolerance: float = RANGE_TOLERANCE,
-          list_limit: int = LIST_LIMIT) -> DataFrame:
-    """CT1-CT5: one contract row per column, bounds rounded to 6 dp (the saved form)."""
+def learn(df: DataFrame, columns: Sequence[str] | None = None, tolerance: float = RANGE_TOLERANCE) -> DataFrame:
+    """CT1-CT5: the contract's rows, bounds rounded to 6 dp (the saved form)."""
     cols = list(columns or scalar_columns(df))
     d = nan_to_null(df.select(cols))
     fields = {f.name: f.dataType for f in df.schema.fields}
@@ -68,34 +68,28 @@ def learn(df: DataFrame, columns: Sequence[str] | None = None, tolerance: float
     base = row.select(F.inline(F.array(*structs)))
     vals = allowed_values_long(df, cols)
     card = vals.groupBy("column_name").agg(F.count(F.lit(1)).alias("cardinality"))  # one row per column
-    small = vals.join(F.broadcast(card.where(F.col("cardinality") <= list_limit)), "column_name", "left_semi")
-    lists = small.groupBy("column_name").agg(F.sort_array(F.collect_list("value")).alias("allowed_values"))
-    out = base.join(card, "column_name", "left").join(lists, "column_name", "left")
-    cat = F.col("dtype") == "categorical"
-    return out.select(
-        "column_name", "position", "dtype", "nullable", "null_fraction", "min", "max", "check_lower", "check_upper",
-        "is_integer",
-        F.when(cat, F.coalesce("cardinality", F.lit(0))).cast("bigint").alias("cardinality"),
-        F.when(cat & (F.coalesce("cardinality", F.lit(0)) == 0), F.array().cast("array<string>"))
-         .otherwise(F.col("allowed_values")).alias("allowed_values"))
+    # one row per column on the left: the allowed values are not moved
+    out = base.join(card, "column_name", "left").withColumn(
+        "cardinality", F.when(F.col("dtype") == "categorical", F.coalesce("cardinality", F.lit(0))).cast("bigint"))
+    listed = vals.withColumnRenamed("value", "allowed_value").join(F.broadcast(out), "column_name")
+    bare = out.where(F.coalesce("cardinality", F.lit(0)) == 0).withColumn("allowed_value", F.lit(None).cast("string"))
+    return listed.select(*RULE_FIELDS, "allowed_value").unionByName(bare.select(*RULE_FIELDS, "allowed_value"))
 
 
-def learn_values(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """The allowed values of every categorical column as (column_name, value) rows: the form that scales
-    for columns whose list is longer than ``LIST_LIMIT`` (pass it to ``check(values=...)``)."""
-    return allowed_values_long(df, columns)
+def rules(contract: DataFrame) -> DataFrame:
+    """One row per column: the contract without the allowed values."""
+    return contract.select(*RULE_FIELDS).distinct()
 
 
 def allowed_values_table(contract: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column_name, value) rows of the allowed lists of ``columns``: one row per value, so a big list is
-    spread over tasks instead of living in one array."""
-    return contract.where(F.col("column_name").isin(*columns)).select(
-        "column_name", F.explode("allowed_values").alias("value"))
+    """(column_name, value) rows of the allowed values of ``columns``."""
+    return contract.where(F.col("column_name").isin(*columns) & F.col("allowed_value").isNotNull()).select(
+        "column_name", F.col("allowed_value").alias("value"))
 
 
 def save(contract: DataFrame, path: str, mode: str = "overwrite") -> None:
     """SNK3: the contract as JSON lines (``mode='ignore'`` skips a finished stage, SNK6)."""
-    contract.coalesce(1).write.mode(mode).json(path)
+    contract.write.mode(mode).json(path)
 
 
 def load(spark, path: str) -> DataFrame:
@@ -108,24 +102,24 @@ def _num_check_name(lo, hi) -> str:
 
 
 def check(df: DataFrame, contract: DataFrame, row_key: str, inline_limit: int = INLINE_LIMIT,
-          lazy: bool = True, include_missing: bool = True, values: DataFrame | None = None) -> DataFrame:
+          lazy: bool = True, include_missing: bool = True) -> DataFrame:
     """CT7-CT14: violations (column_name, check, failure_case, row_key) of ``df`` against ``contract``.
 
     Extra columns are allowed (strict=False). ``lazy=False`` keeps only the first violation (CT14).
     """
     spark = df.sparkSession
-    # rules are one row per column: C rows on the driver; allowed lists only when small
-    rules = contract.select(
-        "column_name", "position", "dtype", "nullable", "check_lower", "check_upper", "is_integer", "cardinality",
-        F.when(F.col("cardinality") <= inline_limit, F.col("allowed_values")).alias("allowed_values"),
-        F.col("allowed_values").isNotNull().alias("has_list")
-    ).orderBy("position").collect()
+    # rules are one row per column; of the lists only those of at most ``inline_limit`` values come to the driver
+    ordered = rules(contract).orderBy("position").collect()
+    short = [r["column_name"] for r in ordered if r["cardinality"] and r["cardinality"] <= inline_limit]
+    lists: dict[str, list[str]] = {c: [] for c in short}
+    for r in allowed_values_table(contract, short).collect() if short else []:
+        lists[r["column_name"]].append(r["value"])
     fields = {f.name: f.dataType for f in df.schema.fields}
     key = F.col(row_key).cast("string")
     viol: list[Column] = []
     missing = []
     big = []
-    for r in rules:
+    for r in ordered:
         c = r["column_name"]
         if c not in fields:
             missing.append((c, "column_in_dataframe", c, None))
@@ -149,11 +143,10 @@ def check(df: DataFrame, contract: DataFrame, row_key: str, inline_limit: int =
         else:
             s = as_text(c, fields[c])
             if r["cardinality"] and r["cardinality"] > 0:
-                if r["allowed_values"] is not None:
-                    viol.append(F.when(s.isNotNull() & ~s.isin(*r["allowed_values"]), mk("isin", s)))
-                elif r["has_list"] or values is not None:
+                if c in lists:
+                    viol.append(F.when(s.isNotNull() & ~s.isin(*sorted(lists[c])), mk("isin", s)))
+                else:
                     big.append(c)
-                # else: list kept outside the contract and not given -> no membership check for c
     out = None
     if viol:
         arr = F.filter(F.array(*viol), lambda e: e.isNotNull())
@@ -164,8 +157,6 @@ def check(df: DataFrame, contract: DataFrame, row_key: str, inline_limit: int =
         # pairs first (map-side combine collapses a value that fills a third of the table), anti-join them
         # with the allowed list (both sides distinct), then attach the row keys of the few bad values.
         allowed = allowed_values_table(contract, big)
-        if values is not None:  # lists kept as rows (longer than LIST_LIMIT)
-            allowed = allowed.unionByName(values.where(F.col("column_name").isin(*big)).select("column_name", "value"))
         arr = F.array(*[F.struct(F.lit(c).alias("column_name"), as_text(c, fields[c]).alias("value"), key.alias("row_key"))
                         for c in big])
         pairs = df.select(F.inline(arr)).where(F.col("value").isNotNull())
@@ -183,7 +174,7 @@ def check(df: DataFrame, contract: DataFrame, row_key: str, inline_limit: int =
     if out is None:
         out = spark.createDataFrame([], VIOLATION_SCHEMA)
     if not lazy:
-        out = out.orderBy("column_name", "check_name", "row_key").limit(1)
+        out = out.orderBy("column_name", "check_name", "row_key", "failure_case").limit(1)
     return out
 
 
@@ -210,5 +201,5 @@ def missing_columns(df: DataFrame, contract: DataFrame) -> DataFrame:
     """CT7 alone: one row per contract column absent from ``df`` (a schema check, no data scan)."""
     have = set(df.columns)
     rows = [(r["column_name"], "column_in_dataframe", r["column_name"], None)
-            for r in contract.select("column_name", "position").orderBy("position").collect() if r["column_name"] not in have]
+            for r in rules(contract).orderBy("position").collect() if r["column_name"] not in have]
     return df.sparkSession.createDataFrame(rows, VIOLATION_SCHEMA)
