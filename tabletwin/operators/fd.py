@@ -4,12 +4,12 @@ Confidence of ``lhs -> rhs`` = share of lhs groups (rows with a NULL in lhs drop
 one distinct non-null value. Plan:
 
 1. Candidates (FD1): HyperLogLog distinct counts for all columns in one pass; exact distinct counts only
-   for columns whose estimate is within reach of the 500 limit. Candidates are then low-cardinality by
-   construction, so their dictionaries are bounded (<= 500 values each).
-2. String candidates are dictionary-coded to ints (hash aggregation instead of sort aggregation).
+   for columns whose estimate leaves the verdict open. There is no upper limit on distinct values unless one is given.
+2. Values become 64-bit codes of their own type (integers as they are, other types by a 64-bit hash), so
+   grouping is a hash aggregation and no number goes through double.
 3. lhs sets go in batches: each row is expanded once per set of the batch to (set id, key codes, all rhs
-   codes) and grouped by (set id, keys) with min/max of every rhs. Keys are low-cardinality, so the
-   map-side partial aggregate shrinks every partition to a few thousand rows before the shuffle.
+   codes) and grouped by (set id, keys) with min/max of every rhs. The map-side partial aggregate reduces
+   every partition to its distinct keys before the shuffle.
 4. Per set: n_groups and the number of groups with min = max, per rhs. The result has C^2 rows.
 """
 
@@ -22,65 +22,64 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabletwin.functions.numeric import as_text, nan_to_null, scalar_columns
-from tabletwin.session import spread
+from tabletwin.functions.numeric import nan_to_null, scalar_columns
 
 # Fixed values from the reference's settings.
 DEFAULT_THRESHOLD = 0.95
 EXACT_EPS = 1e-9
-MAX_DISTINCT = 500
+MAX_DISTINCT = 500  # the reference's limit; discovery has none unless it is passed
 UNIQUE_RATIO = 0.95
 DEFAULT_MAX_LHS = 1
 
 
-def _scan_candidates(df: DataFrame, cols: list[str], max_distinct: int, unique_ratio: float):
-    """Two aggregates, no shuffle of rows: HyperLogLog estimates for every column (5 % error), then the exact
-    value sets of the columns estimated at <= 2 x max_distinct (bounded sets; they also give the string
-    dictionaries). Returns (n_rows, rows of (column, position, n_unique, is_candidate), value sets)."""
-    d = nan_to_null(df.select(cols))
-    est = d.agg(F.count(F.lit(1)).alias("_n"), *[F.approx_count_distinct(c).alias(f"e{i}") for i, c in enumerate(cols)]).first()
+def _code(column: str, kind: T.DataType):
+    """The value as a 64-bit code: equal values, and no others, have equal codes (up to hash collisions of
+    non-integers); NULL stays NULL."""
+    c = F.col(f"`{column}`")
+    if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType)):
+        return c.cast("bigint")
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        c = c + F.lit(0.0)  # -0.0 and 0.0 are one value
+    return F.when(c.isNotNull(), F.xxhash64(c))
+
+
+def _coded(df: DataFrame, cols: list[str]) -> DataFrame:
+    d = nan_to_null(df.select([F.col(f"`{c}`") for c in cols]))
+    fields = {f.name: f.dataType for f in d.schema.fields}
+    return d.select(*[_code(c, fields[c]).alias(c) for c in cols])
+
+
+def _scan_candidates(df: DataFrame, cols: list[str], max_distinct: int | None, unique_ratio: float):
+    """(n_rows, rows of (column, position, n_unique, is_candidate)). HyperLogLog estimates (5 % error) settle
+    columns that are far from every limit; the others are counted exactly as distinct (column, code) pairs."""
+    d = _coded(df, cols)
+    est = d.agg(F.count(F.lit(1)).alias("_n"), *[F.approx_count_distinct(F.col(f"`{c}`")).alias(f"e{i}") for i, c in enumerate(cols)]).first()
     n = est["_n"]
-    near = [c for i, c in enumerate(cols) if est[f"e{i}"] <= 2 * max_distinct]
-    sets = {}
+    top = 1.3 * unique_ratio * n if max_distinct is None else 2 * max_distinct
+    near = [(i, c) for i, c in enumerate(cols) if est[f"e{i}"] <= top]
+    exact = {}
     if near:
-        fields = {f.name: f.dataType for f in d.schema.fields}
-        row = d.agg(*[F.collect_set(as_text(c, fields[c]) if not isinstance(fields[c], (T.NumericType, T.BooleanType))
-                                    else F.col(c)).alias(f"x{i}") for i, c in enumerate(near)]).first()
-        sets = {c: row[f"x{i}"] for i, c in enumerate(near)}
+        pairs = d.select(F.inline(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"`{c}`").alias("v")) for i, c in near]))).where("v IS NOT NULL").distinct()
+        exact = {r["i"]: r["k"] for r in pairs.groupBy("i").agg(F.count(F.lit(1)).alias("k")).collect()}  # one row per column
     rows = []
     for i, c in enumerate(cols):
-        k = len(sets[c]) if c in sets else None
-        ok = k is not None and not (k >= unique_ratio * n) and k > 1 and k <= max_distinct
+        k = exact.get(i, 0) if any(j == i for j, _ in near) else None
+        ok = k is not None and 1 < k < unique_ratio * n and (max_distinct is None or k <= max_distinct)
         rows.append((c, i, k, bool(ok)))
-    return n, rows, sets
+    return n, rows
 
 
-def candidate_table(df: DataFrame, columns: Sequence[str] | None = None, max_distinct: int = MAX_DISTINCT,
+def candidate_table(df: DataFrame, columns: Sequence[str] | None = None, max_distinct: int | None = None,
                     unique_ratio: float = UNIQUE_RATIO) -> DataFrame:
     """FD1: (column_name, position, n_unique, is_candidate). n_unique is exact where it decides the outcome,
-    NULL for columns whose estimate is far above ``max_distinct`` (they are not candidates either way)."""
+    NULL for columns whose estimate is far above the limits (they are not candidates either way)."""
     cols = list(columns or scalar_columns(df))
-    _, rows, _ = _scan_candidates(df, cols, max_distinct, unique_ratio)
+    _, rows = _scan_candidates(df, cols, max_distinct, unique_ratio)
     return df.sparkSession.createDataFrame(rows, "column_name string, position int, n_unique bigint, is_candidate boolean")
 
 
-def _coded(df: DataFrame, cands: list[str], sets: dict) -> DataFrame:
-    """Candidates as doubles: numbers keep their value, strings get a dictionary code (<= 500 values each)."""
-    d = nan_to_null(df.select(cands))
-    fields = {f.name: f.dataType for f in d.schema.fields}
-    out = []
-    for c in cands:
-        if isinstance(fields[c], (T.NumericType, T.BooleanType)):
-            out.append(F.col(c).cast("double").alias(c))
-        else:
-            vals = sorted(sets[c])
-            m = F.create_map(*itertools.chain.from_iterable((F.lit(v), F.lit(float(i))) for i, v in enumerate(vals)))
-            out.append(F.element_at(m, as_text(c, fields[c])).alias(c))
-    return d.select(out)
-
-
 def confidences(df: DataFrame, candidates: Sequence[str], max_lhs: int = DEFAULT_MAX_LHS,
-                batch_size: int = 8, sets: dict | None = None) -> DataFrame:
+                batch_size: int = 8) -> DataFrame:
     """(lhs array<string>, rhs, confidence, n_groups, lhs_order, rhs_pos) for every lhs set of size
     1..max_lhs over ``candidates`` and every rhs not in the set. Unrounded confidence."""
     cands = list(candidates)
@@ -88,9 +87,7 @@ def confidences(df: DataFrame, candidates: Sequence[str], max_lhs: int = DEFAULT
     schema = "lhs array<string>, rhs string, confidence double, n_groups bigint, lhs_order int, rhs_pos int"
     if not cands:
         return spark.createDataFrame([], schema)
-    if sets is None:
-        _, _, sets = _scan_candidates(df, cands, 1 << 30, 2.0)
-    coded = _coded(df, cands, sets)
+    coded = _coded(df, cands)
     sets = [list(s) for k in range(1, max_lhs + 1) for s in itertools.combinations(cands, k)]
     parts = []
     for k in range(1, max_lhs + 1):
@@ -137,12 +134,12 @@ def rank_fds(fds: DataFrame) -> DataFrame:
 
 
 def discover(df: DataFrame, columns: Sequence[str] | None = None, max_lhs: int = DEFAULT_MAX_LHS,
-             threshold: float = DEFAULT_THRESHOLD, batch_size: int = 8) -> DataFrame:
+             threshold: float = DEFAULT_THRESHOLD, batch_size: int = 8, max_distinct: int | None = None) -> DataFrame:
     """FD1-FD6: ranked exact and probabilistic FDs of ``df``."""
     cols = list(columns or scalar_columns(df))
-    _, rows, sets = _scan_candidates(df, cols, MAX_DISTINCT, UNIQUE_RATIO)
+    _, rows = _scan_candidates(df, cols, max_distinct, UNIQUE_RATIO)
     cand = [r[0] for r in rows if r[3]]
-    return rank_fds(classify(confidences(df, cand, max_lhs, batch_size, sets), threshold))
+    return rank_fds(classify(confidences(df, cand, max_lhs, batch_size), threshold))
 
 
 def fd_meta(fds: DataFrame, n_rows: int, threshold: float, max_lhs: int) -> DataFrame:

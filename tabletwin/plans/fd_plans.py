@@ -46,9 +46,10 @@ LI_SAMPLE_SQL = f"""(SELECT * EXCLUDE (_key, _u) FROM (SELECT *, concat_ws('-',
 
 # ---- oracle SQL -------------------------------------------------------------------------------
 
-def _cand_sql(cols: list[str]) -> str:
+def _cand_sql(cols: list[str], limit: int | None = None) -> str:
     parts = [f"SELECT '{c}' AS column_name, {i} AS position, count(DISTINCT {c}) AS k FROM s" for i, c in enumerate(cols)]
-    return ("SELECT u.column_name, u.position, (u.k < 0.95 * n.n AND u.k > 1 AND u.k <= 500) AS is_candidate "
+    most = "" if limit is None else f" AND u.k <= {limit}"
+    return (f"SELECT u.column_name, u.position, (u.k < 0.95 * n.n AND u.k > 1{most}) AS is_candidate "
             f"FROM ({' UNION ALL '.join(parts)}) u, (SELECT count(*) AS n FROM s) n")
 
 
@@ -87,9 +88,9 @@ def _out(fds):
     return fds.select(F.concat_ws(",", "lhs").alias("lhs"), "rhs", "confidence")
 
 
-@query("fd_candidates", f"WITH s AS (SELECT * FROM {CUSTOMER_GEO_SQL}) SELECT column_name, is_candidate FROM ({_cand_sql(GEO_COLS)})")
+@query("fd_candidates", f"WITH s AS (SELECT * FROM {CUSTOMER_GEO_SQL}) SELECT column_name, is_candidate FROM ({_cand_sql(GEO_COLS, FD.MAX_DISTINCT)})")
 def fd_candidates(spark, sf):
-    return FD.candidate_table(customer_geo(spark, sf)).select("column_name", "is_candidate")
+    return FD.candidate_table(customer_geo(spark, sf), max_distinct=FD.MAX_DISTINCT).select("column_name", "is_candidate")
 
 
 @query("fd_confidence", fd_sql("part", PART_COLS) + "SELECT lhs, rhs, round(confidence, 6) AS confidence FROM conf")
@@ -171,6 +172,21 @@ def fd_lookup(spark, sf):
     return FD.representative_rows(g, "n_name", det, "c_custkey")
 
 
+BIG_COLS = ["k", "twin", "g"]
+BIG_SQL = """(SELECT (1152921504606846976 + c_custkey // 10)::BIGINT AS k, (1152921504606846976 + (c_custkey // 10) * 3)::BIGINT AS twin,
+  (1152921504606846976 + c_custkey % 7)::BIGINT AS g FROM customer)"""
+
+
+@query("fd_big_integers", fd_sql(BIG_SQL, BIG_COLS) + "SELECT lhs, rhs, round(confidence, 6) AS confidence FROM conf")
+def fd_big_integers(spark, sf):
+    """FD2 on integers above 2^53 that differ in their last digits: codes keep the native type."""
+    c = table(spark, sf, "customer")
+    base = F.lit(1152921504606846976)
+    d = c.select((base + F.floor(F.col("c_custkey") / 10)).cast("bigint").alias("k"), (base + F.floor(F.col("c_custkey") / 10) * 3).cast("bigint").alias("twin"),
+                 (base + F.col("c_custkey") % 7).cast("bigint").alias("g"))
+    return FD.confidences(d, BIG_COLS).select(F.concat_ws(",", "lhs").alias("lhs"), "rhs", F.round("confidence", 6).alias("confidence"))
+
+
 @query("distinct_pairs", f"SELECT DISTINCT c_mktsegment, n_regionkey FROM {CUSTOMER_GEO_SQL}")
 def distinct_pairs(spark, sf):
     """FD13: distinct (a, b) pairs."""
