@@ -102,7 +102,7 @@ class Dialect:
         return f"({i} + 1)" if self.spark else i
 
     def at(self, a: str, i: str) -> str:
-        return f"try_element_at({a}, CAST({i} AS INT))" if self.spark else f"list_extract({a}, {i})"
+        return f"try_element_at({a}, TRY_CAST({i} AS INT))" if self.spark else f"list_extract({a}, {i})"
 
     def pos(self, a: str, x: str) -> str:
         return f"array_position({a}, {x})" if self.spark else f"list_position({a}, {x})"
@@ -131,7 +131,7 @@ class Dialect:
         return f"array_sort(array_distinct({a}))" if self.spark else f"list_sort(list_distinct({a}))"
 
     def trunc_int(self, x: str) -> str:
-        return f"CAST({x} AS BIGINT)" if self.spark else f"CAST(trunc({x}) AS BIGINT)"
+        return f"TRY_CAST({x} AS BIGINT)" if self.spark else f"TRY_CAST(trunc({x}) AS BIGINT)"
 
     def fmt(self, f: str, *args: str) -> str:
         return f"{'format_string' if self.spark else 'printf'}({self.s(f)}, {', '.join(args)})"
@@ -157,8 +157,8 @@ def field_stages(engine: str) -> list[dict[str, str]]:
     up = lambda a: d.map(a, "x", "upper(x)")
     # stage 1: every regex result used more than once
     s1 = {
-        "n_rows": (f"coalesce({d.trunc_int('CAST(' + d.opt(p, P_ROWS_K, 1) + ' AS DOUBLE) * 1000')}, "
-                   f"CAST({d.opt(p, P_ROWS, 1)} AS BIGINT), CAST({d.opt(p, P_VERB, 1)} AS BIGINT))"),
+        "n_rows": (f"coalesce({d.trunc_int('TRY_CAST(' + d.opt(p, P_ROWS_K, 1) + ' AS DOUBLE) * 1000')}, "
+                   f"TRY_CAST({d.opt(p, P_ROWS, 1)} AS BIGINT), TRY_CAST({d.opt(p, P_VERB, 1)} AS BIGINT))"),
         "_k4": up(d.all(p, P_ASSIGN, 1)), "_v4": d.all(p, P_ASSIGN, 2),
         "_k5": up(d.all(p, P_COUNT, 2)), "_v5": d.all(p, P_COUNT, 1),
         "_k6": up(d.all(p, P_PCT, 2)), "_v6": d.all(p, P_PCT, 1),
@@ -176,7 +176,7 @@ def field_stages(engine: str) -> list[dict[str, str]]:
         **{f"_off{i}": d.has(p, P_OFF + kw) for i, (kw, _, _) in enumerate(SAFETY)},
     }
     # stage 2: EX5 entries kept unless they repeat the row count
-    s2 = {"_k5p": d.map("_k5", "x, i", f"CASE WHEN CAST({d.at('_v5', d.idx('i'))} AS BIGINT) IS DISTINCT FROM n_rows THEN x END"),
+    s2 = {"_k5p": d.map("_k5", "x, i", f"CASE WHEN TRY_CAST({d.at('_v5', d.idx('i'))} AS BIGINT) IS DISTINCT FROM n_rows THEN x END"),
           "_age_hit": d.has("_pa", P_AGE)}
     # stage 3: keys in order of first appearance (key=count, then kept count-key, then percent)
     s3 = {"_allk": d.cat("_k4", d.filt("_k5p", "x, i", f"x IS NOT NULL AND NOT {d.contains('_k4', 'x')} AND {d.pos('_k5p', 'x')} = {d.idx('i')}"), "_k6")}
@@ -186,9 +186,9 @@ def field_stages(engine: str) -> list[dict[str, str]]:
         return d.last(d.filt(d.map(ks, "y, j", f"CASE WHEN y = {x} THEN {d.at(vs, d.idx('j'))} END"), "z", "z IS NOT NULL"))
 
     kind = f"CASE WHEN {d.contains('_k6', 'x')} THEN 'percent' ELSE 'count' END"
-    val = (f"CASE WHEN {d.contains('_k6', 'x')} THEN CAST(CAST({last_of('_k6', '_v6', 'x')} AS DOUBLE) AS STRING) "
-           f"WHEN {d.contains('_k4', 'x')} THEN CAST(CAST({last_of('_k4', '_v4', 'x')} AS BIGINT) AS STRING) "
-           f"ELSE CAST(CAST({d.at('_v5', d.pos('_k5p', 'x'))} AS BIGINT) AS STRING) END")
+    val = (f"CASE WHEN {d.contains('_k6', 'x')} THEN TRY_CAST(TRY_CAST({last_of('_k6', '_v6', 'x')} AS DOUBLE) AS STRING) "
+           f"WHEN {d.contains('_k4', 'x')} THEN TRY_CAST(TRY_CAST({last_of('_k4', '_v4', 'x')} AS BIGINT) AS STRING) "
+           f"ELSE TRY_CAST(TRY_CAST({d.at('_v5', d.pos('_k5p', 'x'))} AS BIGINT) AS STRING) END")
     entries = d.map("_keys", "x", f"concat(x, ':', {kind}, ':', {val})")
     s5 = {"allocation": (f"CASE WHEN {d.size('_keys')} > 0 THEN {d.join(entries, ',')} "
                          f"WHEN _only IS NOT NULL THEN concat(_only, ':exclusive') END")}
@@ -209,23 +209,23 @@ def field_stages(engine: str) -> list[dict[str, str]]:
     off = [f"CASE WHEN NOT _on{i} AND _off{i} THEN {d.s(col)} END" for i, (_, col, _) in enumerate(SAFETY)]
     e["safety_on"] = f"nullif({d.join(d.filt(d.arr(*on), 'x', 'x IS NOT NULL'), ',')}, '')"
     e["safety_off"] = f"nullif({d.join(d.filt(d.arr(*off), 'x', 'x IS NOT NULL'), ',')}, '')"
-    e["ncap_min"] = f"CAST(coalesce({d.opt(p, P_NCAP, 1)}, {d.opt(p, P_STAR, 1)}) AS BIGINT)"
+    e["ncap_min"] = f"TRY_CAST(coalesce({d.opt(p, P_NCAP, 1)}, {d.opt(p, P_STAR, 1)}) AS BIGINT)"
     yo, mi, ol = AGE_PRESETS["young"], AGE_PRESETS["middle"], AGE_PRESETS["old"]
     for j, name in ((0, "age_min"), (1, "age_max")):
-        e[name] = (f"CASE WHEN _age_hit THEN CAST({d.ext('_pa', P_AGE, j + 1)} AS BIGINT) WHEN instr(_pa, 'young') > 0 THEN {yo[j]} "
+        e[name] = (f"CASE WHEN _age_hit THEN TRY_CAST({d.ext('_pa', P_AGE, j + 1)} AS BIGINT) WHEN instr(_pa, 'young') > 0 THEN {yo[j]} "
                    f"WHEN {d.has('_pa', P_MIDDLE)} THEN {mi[j]} WHEN {d.has('_pa', P_OLD)} THEN {ol[j]} END")
     nw, od = VAGE_PRESETS["new"], VAGE_PRESETS["old"]
     for j, name in ((0, "vehicle_age_min"), (1, "vehicle_age_max")):
-        e[name] = (f"CASE WHEN _has_vage THEN CAST({d.ext(p, P_VAGE, j + 1)} AS BIGINT) "
+        e[name] = (f"CASE WHEN _has_vage THEN TRY_CAST({d.ext(p, P_VAGE, j + 1)} AS BIGINT) "
                    f"WHEN _has_new THEN {nw[j]} WHEN _has_oldcars THEN {od[j]} END")
-    e["subscription_min"] = f"CAST({d.opt(p, P_SUB, 1)} AS BIGINT)"
-    e["subscription_max"] = f"CAST({d.opt(p, P_SUB, 2)} AS BIGINT)"
+    e["subscription_min"] = f"TRY_CAST({d.opt(p, P_SUB, 1)} AS BIGINT)"
+    e["subscription_max"] = f"TRY_CAST({d.opt(p, P_SUB, 2)} AS BIGINT)"
     e["region_code"] = f"upper({d.opt(p, P_REGION, 1)})"
     r = RATE_PRESETS
     preset = (f"CASE WHEN {d.has(p, P_RATE0)} THEN {r['none']} WHEN {d.has(p, P_RATE1)} THEN {r['all']} "
               f"WHEN instr({p}, 'high risk') > 0 OR instr({p}, 'risky') > 0 THEN {r['high']} "
               f"WHEN instr({p}, 'low risk') > 0 OR instr({p}, 'safe') > 0 THEN {r['low']} END")
-    e["claim_rate"] = f"CAST(coalesce(CAST({d.opt(p, P_RATE, 1)} AS DOUBLE) / 100.0, {preset}) AS DOUBLE)"
+    e["claim_rate"] = f"TRY_CAST(coalesce(TRY_CAST({d.opt(p, P_RATE, 1)} AS DOUBLE) / 100.0, {preset}) AS DOUBLE)"
     return [s1, s2, s3, s4, s5, e]
 
 
@@ -254,12 +254,12 @@ def describe_expr(engine: str, f: dict[str, str]) -> str:
         fc("transmission_type"),
         f"CASE WHEN {fc('steering_type')} IS NOT NULL THEN concat({fc('steering_type')}, ' steering') END",
         f"CASE WHEN {fc('rear_brakes_type')} IS NOT NULL THEN concat({fc('rear_brakes_type')}, ' brakes') END",
-        f"CASE WHEN {fc('ncap_min')} IS NOT NULL THEN concat('NCAP >=', CAST({fc('ncap_min')} AS STRING)) END",
+        f"CASE WHEN {fc('ncap_min')} IS NOT NULL THEN concat('NCAP >=', TRY_CAST({fc('ncap_min')} AS STRING)) END",
         f"CASE WHEN {fc('safety_on')} IS NOT NULL THEN {d.join(on_lab, ' | ')} END",
         f"CASE WHEN {fc('safety_off')} IS NOT NULL THEN {d.join(off_lab, ' | ')} END",
-        f"CASE WHEN {fc('age_min')} IS NOT NULL THEN concat('Age ', CAST({fc('age_min')} AS STRING), '-', CAST({fc('age_max')} AS STRING)) END",
-        f"CASE WHEN {fc('vehicle_age_min')} IS NOT NULL THEN concat('Vehicle age ', CAST({fc('vehicle_age_min')} AS STRING), '-', CAST({fc('vehicle_age_max')} AS STRING)) END",
-        f"CASE WHEN {fc('subscription_min')} IS NOT NULL THEN concat('Subscription ', CAST({fc('subscription_min')} AS STRING), '-', CAST({fc('subscription_max')} AS STRING)) END",
+        f"CASE WHEN {fc('age_min')} IS NOT NULL THEN concat('Age ', TRY_CAST({fc('age_min')} AS STRING), '-', TRY_CAST({fc('age_max')} AS STRING)) END",
+        f"CASE WHEN {fc('vehicle_age_min')} IS NOT NULL THEN concat('Vehicle age ', TRY_CAST({fc('vehicle_age_min')} AS STRING), '-', TRY_CAST({fc('vehicle_age_max')} AS STRING)) END",
+        f"CASE WHEN {fc('subscription_min')} IS NOT NULL THEN concat('Subscription ', TRY_CAST({fc('subscription_min')} AS STRING), '-', TRY_CAST({fc('subscription_max')} AS STRING)) END",
         f"CASE WHEN {fc('region_code')} IS NOT NULL THEN concat('Region ', {fc('region_code')}) END",
         f"CASE WHEN {fc('exclude')} IS NOT NULL THEN concat('Exclude ', replace({fc('exclude')}, ',', ', ')) END",
         f"CASE WHEN {fc('rest')} IS NOT NULL AND {fc('rest')} <> 'distribute' THEN concat('Rest -> ', {fc('rest')}) END",

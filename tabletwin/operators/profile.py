@@ -10,6 +10,7 @@ Work plan for a table of C columns (whatever its size):
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -133,9 +134,16 @@ class Profiler:
         if self.cat_value_counts() is not None:
             uniq.append(self.cat_value_counts().groupBy("column_name").agg(F.count(F.lit(1)).alias("n_unique")))
         if self.num_value_counts() is not None:
-            uniq.append(self.num_value_counts().groupBy("column_name").agg(F.count(F.lit(1)).alias("n_unique")))
+            # 64-bit integers and decimals are counted in their own type: doubles merge neighbours above 2^53
+            wide = [x for x in self.num_specs if x.dtype == "bigint" or x.dtype.startswith("decimal")]
+            names = [x.name for x in wide]
+            uniq.append(self.num_value_counts().where(~F.col("column_name").isin(names) if names else F.lit(True))
+                        .groupBy("column_name").agg(F.count(F.lit(1)).alias("n_unique")))
+            if wide:
+                text = _long(self.df, wide, lambda x: F.col(f"`{x.name}`").cast("string"))
+                uniq.append(text.distinct().groupBy("column_name").agg(F.count(F.lit(1)).alias("n_unique")))
         if uniq:
-            u = uniq[0] if len(uniq) == 1 else uniq[0].unionByName(uniq[1])
+            u = functools.reduce(DataFrame.unionByName, uniq)
             base = base.join(u, "column_name", "left")
         else:
             base = base.withColumn("n_unique", F.lit(None).cast("bigint"))

@@ -19,6 +19,10 @@ from pyspark.sql import functions as F
 from tabletwin.functions.rng import uniform
 
 
+#: Pools of at most this many rows are broadcast to the draws.
+BROADCAST_POOL = 200_000
+
+
 def buckets_for(n_rows: int, rows_per_bucket: int = 250_000, lo: int = 16, hi: int = 1 << 16) -> int:
     """Bucket count so a bucket's window partition stays a few hundred thousand rows."""
     return int(max(lo, min(hi, n_rows // rows_per_bucket + 1)))
@@ -71,10 +75,6 @@ def global_rank(df: DataFrame, u: Column, id_col: str, n_buckets: int, rank_col:
     return d.drop("_tt_u", "_tt_hi")
 
 
-def permutation_rank(df: DataFrame, seed: int, salt: str, id_col: str, n_rows: int, rank_col: str = "rank") -> DataFrame:
-    return global_rank(df, uniform(seed, salt, id_col), id_col, buckets_for(n_rows), rank_col)
-
-
 def exact_sample(df: DataFrame, n: int, seed: int = 42, key: str | None = None, salt: str = "sample") -> DataFrame:
     """Exactly ``min(n, count)`` rows, the same ones whatever the partitioning (AG17, FD7, SRC3): the rows
     whose (u, key) is below the cut point at rank n. No row is shuffled except those of one bucket.
@@ -82,15 +82,38 @@ def exact_sample(df: DataFrame, n: int, seed: int = 42, key: str | None = None,
     ``key`` must be unique per row (a business key); without one, a row hash of all columns is used.
     """
     if key is None:
-        key = "_tt_key"
-        df = df.withColumn(key, F.sha2(F.to_json(F.struct(*df.columns)), 256))
+        return _sample_rows(df, n, seed, salt)
     total = df.count()
     if n >= total:
-        return df.drop("_tt_key") if key == "_tt_key" else df
+        return df
     u = uniform(seed, salt, key)
     cut = rank_cut_points(df, u, key, [n], buckets_for(total)).get(n)
-    out = df.where(below(u, key, cut))
-    return out.drop("_tt_key") if key == "_tt_key" else out
+    return df.where(below(u, key, cut))
+
+
+def _sample_rows(df: DataFrame, n: int, seed: int, salt: str) -> DataFrame:
+    """Exactly ``min(n, count)`` rows of a table without a key, by the hash of all columns. Equal rows tie; of the
+    rows equal to the one at the cut, as many as are still wanted are taken (it does not matter which)."""
+    d = df.withColumn("_tt_key", F.sha2(F.to_json(F.struct(*df.columns)), 256))
+    total = d.count()
+    if n >= total:
+        return df
+    u = uniform(seed, salt, "_tt_key")
+    cut = rank_cut_points(d, u, "_tt_key", [n], buckets_for(total)).get(n)
+    less = d.where(below(u, "_tt_key", cut))
+    want = n - less.count()
+    at_cut = d.where((u == F.lit(cut[0])) & (F.col("_tt_key") == F.lit(cut[1]))).withColumn("_tt_at", F.monotonically_increasing_id())
+    if want <= 0:
+        return less.drop("_tt_key")
+    # one count per partition: the partitions before the last wanted row are taken whole
+    per = at_cut.groupBy(F.shiftright("_tt_at", 33).alias("p")).agg(F.count(F.lit(1)).alias("c")).orderBy("p").collect()
+    last = 0
+    for r in per:
+        last = (r["p"] << 33) + min(want, r["c"])
+        want -= min(want, r["c"])
+        if want == 0:
+            break
+    return less.drop("_tt_key").unionByName(at_cut.where(F.col("_tt_at") < last).drop("_tt_key", "_tt_at"))
 
 
 def draw_from_pool(
@@ -102,13 +125,15 @@ def draw_from_pool(
     value_cols: Sequence[str],
     pool_bucket: Column | None = None,
     n_draw_buckets: int = 256,
+    pool_rows: int | None = None,
 ) -> DataFrame:
     """Attach to every draw row one pool row, chosen with probability weight / total weight.
 
     Weights are integers (counts), so the cumulative bounds and the target ``floor(u * W)`` are exact.
     The pool is cut into ``[lo, hi)`` intervals; each interval is repeated over the draw buckets it
     covers (at most pool rows + draw buckets rows), and the draws join it on their bucket, so neither a
-    heavy pool value nor a large pool lands in one task.
+    heavy pool value nor a large pool lands in one task. A pool known to have at most ``BROADCAST_POOL``
+    rows is broadcast: the draws are then neither moved nor gathered.
     """
     bucket = pool_bucket  # None: a small pool, one running window (no offsets join)
     p = pool.where(F.col(weight_col) > 0).select(*value_cols, weight_col, *[c for c in order_cols if c not in value_cols])
@@ -118,6 +143,8 @@ def draw_from_pool(
     hi_b = F.least(F.floor(F.col("cum_hi") / F.col("_tt_total") * D) + 1, F.lit(D - 1))
     p = p.select(*value_cols, "cum_lo", "cum_hi", "_tt_total", F.explode(F.sequence(lo_b.cast("int"), hi_b.cast("int"))).alias("_tt_d"))
     d = draws.withColumn("_tt_u", u).withColumn("_tt_d", F.least(F.floor(F.col("_tt_u") * D), F.lit(D - 1)).cast("int"))
+    if pool_rows is not None and pool_rows <= BROADCAST_POOL:
+        p = F.broadcast(p)
     j = d.join(p, "_tt_d")
     k = F.floor(F.col("_tt_u") * F.col("_tt_total"))
     j = j.where((k >= F.col("cum_lo")) & (k < F.col("cum_hi")))

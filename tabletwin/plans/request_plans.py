@@ -104,7 +104,7 @@ def plan_from_row(r, n_default: int = SY.DEFAULT_ROWS, rate_default: float = SY.
         for item in r["allocation"].split(","):
             parts = item.split(":")
             allocs.append(SY.Allocation(parts[0], parts[1], float(parts[2]) if len(parts) > 2 else None))
-    plan = SY.Plan(n_rows=r["n_rows"] or n_default,
+    plan = SY.Plan(n_rows=n_default if r["n_rows"] is None else r["n_rows"],
                    label_rate=r["claim_rate"] if r["claim_rate"] is not None else rate_default,
                    allocations=allocs, rest=r["rest"] or "distribute",
                    exclude=r["exclude"].split(",") if r["exclude"] else [], key=r["model"])

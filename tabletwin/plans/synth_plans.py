@@ -74,11 +74,31 @@ def label_exact_rate(spark, sf):
 def sample_weighted(spark, sf):
     """SY4/JN6: weighted draws of a category by its value counts (inverse-CDF join)."""
     c = table(spark, sf, "customer")
-    pool = [(r["v"], r["count"]) for r in c.groupBy(F.col("c_mktsegment").alias("v")).count()
-            .orderBy(F.col("count").desc(), "v").limit(SY.POOL_CAP).collect()]
+    pool = SY.whole_pool(c, "c_mktsegment")
     return SY.draw_categorical(ids(spark, n_of(spark, sf, "orders")), spark, pool, "c_mktsegment", SEED, "seg")
 
 
+@query("sample_weighted_wide", f"""SELECT id, o_custkey FROM {Q.draw(Q.ids('SELECT count(*) FROM lineitem'),
+    Q.key_pool('orders', 'o_custkey'), 'v', SEED, 'cust', 'o_custkey')}""")
+def sample_weighted_wide(spark, sf):
+    """SY4 over a pool of many hundred values: all of them can be drawn."""
+    pool = SY.whole_pool(table(spark, sf, "orders"), "o_custkey")
+    return SY.draw_categorical(ids(spark, n_of(spark, sf, "lineitem")), spark, pool, "o_custkey", SEED, "cust")
+
+
+DUP_N = 777
+DUP_KEY = """sha256('{"event_type":"' || event_type || '"}')"""
+
+
+@query("sample_duplicates", f"""SELECT event_type, count(*) AS n FROM (SELECT event_type, {Q.sql_uniform(SEED, 'sample', DUP_KEY)} AS u, {DUP_KEY} AS k
+  FROM events QUALIFY row_number() OVER (ORDER BY u, k) <= {DUP_N}) GROUP BY event_type""")
+def sample_duplicates(spark, sf):
+    """AG17 on a table of a few distinct rows: the rows at the cut tie, and exactly n come out."""
+    from tabletwin.operators.rank import exact_sample
+    e = table(spark, sf, "events").select("event_type")
+    return exact_sample(e, DUP_N, seed=SEED).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
 # ---- pools (PF4-PF10, SY5, SY28) ------------------------------------------------------------------
 
 def _pool_sql(pred: str | None, exclude=(), key=None) -> str:
@@ -138,7 +158,7 @@ def pool_fallback(spark, sf):
 
 @query("pool_weights", f"SELECT model, count, count::DOUBLE / sum(count) OVER () AS weight FROM ({_pool_sql('lower(l.fuel_type) IN (' + chr(39) + 'petrol' + chr(39) + ')')})")
 def pool_weights(spark, sf):
-    """SY5: the filtered pool renormalised (a window over at most 100 pool rows)."""
+    """SY5: the filtered pool renormalised (a window over the pool)."""
     from pyspark.sql import Window
     p = _pool(spark, sf, SY.Plan(attr_in={"fuel_type": ["petrol"]}))
     return p.withColumn("weight", F.col("count") / F.sum("count").over(Window.partitionBy()))

@@ -24,9 +24,9 @@ def draw(src: str, pool: str, value: str, seed: int, salt: str, out_col: str) ->
   ON s._k >= c.hi - c.w AND s._k < c.hi)"""
 
 
-def key_pool(real: str, key: str, cap: int = 100) -> str:
+def key_pool(real: str, key: str) -> str:
     return (f"(SELECT CAST({key} AS VARCHAR) AS v, count(*) AS w FROM {real} WHERE {key} IS NOT NULL GROUP BY 1 "
-            f"ORDER BY w DESC, v LIMIT {cap})")
+            f"ORDER BY w DESC, v)")
 
 
 def lookup(real: str, key: str, cols: list[str], row_key: str) -> str:
