@@ -18,9 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabletwin.functions.numeric import as_text, is_integral, is_numeric, nan_to_null, scalar_columns
-from tabletwin.operators.rank import prefix_sum
+from tabletwin.operators.rank import part_of, prefix_sum, split_points
 from tabletwin.operators.topk import top_k_per_group
-from tabletwin.session import spread
 
 # Fixed values that must equal the reference: percentile levels, value-count cap, binary value sets.
 PERCENTILES = [1, 5, 10, 25, 50, 75, 90, 95, 99]
@@ -81,7 +80,7 @@ class Profiler:
     """Profile of one DataFrame. Tables are built lazily and shared between the outputs."""
 
     def __init__(self, df: DataFrame, columns: list[str] | None = None, top_n: int = VALUE_COUNT_CAP,
-                 percentile_buckets: int = 64):
+                 percentile_buckets: int = 16):
         self.source = df
         self.specs = column_specs(df, columns)
         self.df = nan_to_null(df.select([s.name for s in self.specs]))
@@ -205,16 +204,16 @@ class Profiler:
     def cumulative_counts(self) -> DataFrame:
         """(column, value, count, cum_lo, cum_hi, n): counts of values below / up to each distinct value.
 
-        The prefix sum runs per (column, equal-width value bucket), so no task holds a whole column.
+        The prefix sum runs per (column, part), where the parts hold about equally many distinct values each, so
+        neither a column nor a crowded range of it is one task. There are as many parts as shuffle partitions (at
+        least ``percentile_buckets``), so they grow in number with the cluster's setting for the data.
         """
         vc = self.num_value_counts()
-        mm = self.moments().select("column_name", F.col("min").alias("_mn"), F.col("max").alias("_mx"), "n")
-        B = self.percentile_buckets
+        parts = max(self.percentile_buckets, int(self.source.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        cuts = vc.groupBy("column_name").agg(split_points(parts).alias("_cuts"))
+        mm = self.moments().select("column_name", "n").join(cuts, "column_name")
         d = vc.join(F.broadcast(mm), "column_name")  # one row per profiled column: size bounded by C
-        width = F.col("_mx") - F.col("_mn")
-        b = F.when(width > 0, F.least(F.floor((F.col("value") - F.col("_mn")) / width * B), F.lit(B - 1))) \
-             .otherwise(F.lit(0)).cast("int")
-        return prefix_sum(d, F.col("count"), [F.col("value")], b, group_cols=["column_name"]).drop("_mn", "_mx")
+        return prefix_sum(d, F.col("count"), [F.col("value")], part_of(F.col("value"), F.col("_cuts")), group_cols=["column_name"]).drop("_cuts")
 
     def percentiles(self, levels=PERCENTILES) -> DataFrame:
         """AG8: exact linear-interpolation percentiles (numpy default), 6 dp, one column per level.
@@ -245,9 +244,9 @@ class Profiler:
             out.append(F.round(v0 + (v1 - v0) * frac, 6).alias(f"p{int(p)}"))
         return g.select("column_name", *out)
 
-    def numeric(self) -> DataFrame:
-        """AG4-AG7 with the median from the exact percentiles."""
-        med = self.percentiles([50]).withColumnRenamed("p50", "median")
+    def numeric(self, percentiles: DataFrame | None = None) -> DataFrame:
+        """AG4-AG7 with the median from the exact percentiles (``percentiles`` if they are at hand)."""
+        med = (self.percentiles([50]) if percentiles is None else percentiles.select("column_name", "p50")).withColumnRenamed("p50", "median")
         return self.moments().join(med, "column_name", "left")
 
     def value_counts(self, top_n: int | None = None) -> DataFrame:
@@ -284,8 +283,9 @@ class Profiler:
         base = self.base()
         out = base
         if self.num_specs:
-            num = self.numeric().drop("n", "std_pop")
-            out = out.join(num, "column_name", "left").join(self.percentiles(), "column_name", "left")
+            levels = self.percentiles()  # asked for once: the median is one of them
+            num = self.numeric(levels).drop("n", "std_pop")
+            out = out.join(num, "column_name", "left").join(levels, "column_name", "left")
         if self.cat_specs:
             out = out.join(self.categorical(), "column_name", "left")
         return out.orderBy("position")

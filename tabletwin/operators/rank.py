@@ -28,6 +28,18 @@ def buckets_for(n_rows: int, rows_per_bucket: int = 250_000, lo: int = 16, hi: i
     return int(max(lo, min(hi, n_rows // rows_per_bucket + 1)))
 
 
+def split_points(buckets: int):
+    """Aggregate: values that cut the column ``value`` into about ``buckets`` parts with equally many rows each,
+    wherever they lie (an outlier takes no more than its own part)."""
+    levels = [i / buckets for i in range(1, buckets)]
+    return F.percentile_approx("value", levels, max(10_000, 20 * buckets))
+
+
+def part_of(value: Column, splits: Column) -> Column:
+    """Number of split points at or below the value: a bucket that never falls as the value grows."""
+    return F.size(F.filter(splits, lambda s: s <= value))
+
+
 def prefix_sum(
     df: DataFrame,
     weight: Column,

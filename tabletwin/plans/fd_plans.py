@@ -10,7 +10,7 @@ from tabletwin.functions.rng import sql_uniform, uniform
 from tabletwin.operators import fd as FD
 from tabletwin.operators.rank import exact_sample
 from tabletwin.plans.registry import query
-from tabletwin.plans.tables import CUSTOMER_GEO_SQL, customer_geo, table
+from tabletwin.plans.tables import CUSTOMER_GEO_SQL, POLICIES_SQL, customer_geo, policies, table
 from tabletwin.session import cut_lineage
 
 GEO_COLS = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment", "n_nationkey", "n_name", "n_regionkey", "r_name"]
@@ -150,6 +150,24 @@ def fd_top15(spark, sf):
     return FD.fd_lines(_fds(lineitem_fd(spark, sf)), 15)
 
 
+POLICY_COLS = ["model", "segment", "fuel_type", "transmission_type", "steering_type", "rear_brakes_type", "is_esc", "is_parking_camera",
+               "is_tpms", "airbags", "displacement", "ncap_rating", "region_code", "region_density", "claim_status"]
+
+
+@query("fd_policies_ranked", fd_sql(POLICIES_SQL, POLICY_COLS) + "SELECT kind, rank, lhs, rhs, confidence FROM ranked")
+def fd_policies_ranked(spark, sf):
+    """FD3, FD6 on a table with many dependencies: the whole ranking."""
+    fds = FD.discover(policies(spark, sf), POLICY_COLS)
+    return fds.select("kind", "rank", F.concat_ws(",", "lhs").alias("lhs"), "rhs", "confidence")
+
+
+@query("fd_policies_top15", fd_sql(POLICIES_SQL, POLICY_COLS) + """SELECT kind, rank, printf('%s -> %s  (conf=%.4f)', replace(lhs, ',', ', '), rhs, confidence) AS line
+  FROM ranked WHERE rank <= 15""")
+def fd_policies_top15(spark, sf):
+    """FD9: more dependencies than lines, so the cut is made."""
+    return FD.fd_lines(FD.discover(policies(spark, sf), POLICY_COLS), 15)
+
+
 @query("fd_by_lhs", fd_sql(CUSTOMER_GEO_SQL, GEO_COLS) + """SELECT lhs, count(*) AS n_rhs, string_agg(rhs, ',' ORDER BY rhs) AS rhs_list
   FROM fds GROUP BY lhs""")
 def fd_by_lhs(spark, sf):

@@ -31,12 +31,15 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint folder.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as is. Only when it
-    is unset (local tests) a scratch folder is made and set.
+    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as is; without it that is an
+    error, since executors do not see a folder of the driver's. Only a local master without one (tests) gets a
+    scratch folder.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext.getCheckpointDir()
+    if not path and not (spark.sparkContext.master or "").split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not path:
         path = tempfile.mkdtemp(prefix="tabletwin-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
