@@ -5,7 +5,8 @@ Two documents link if their sets' Jaccard similarity is 0.8 or more. Linked sets
 n // 5 + 1 of each in any common order, so documents meet in tiles: one for each such shingle, sorted by set size.
 In a tile a document meets only those in its size band (sizes within a factor 0.8) that its shingle's rank allows.
 Pairs that pass are bounded from above by bit counts: each set has a parity bitmap, as wide as its size band asks,
-and two sets differ in at least as many shingles as their bitmaps differ in bits. What is left is decided by exact
+and two sets differ in at least as many shingles as their bitmaps differ in bits. Large tiles do so before they give
+pairs away. What is left is decided by exact
 intersection of the sorted arrays.
 
 Shingles in very many documents come last in the order, so tiles stay small; the list of these is bounded. Equal
@@ -33,22 +34,26 @@ from pyspark.sql import functions as F
 
 from tabletwin.llm import tokens as tk
 from tabletwin.llm.components import components
-from tabletwin.llm.store import map_arrow, written
+from tabletwin.llm.store import broadcast_if, map_arrow, written
 
 SHINGLE = 5
 #: Similar: 100 * intersection >= 80 * union, that is 9 * intersection >= 4 * (sum of sizes).
 NUM, DEN = 9, 4
 #: At most this many frequent shingles are broadcast (12 bytes each); they come last in the order of shingles.
 FREQUENT = 1 << 18
-FREQUENT_LEAST = 32
+FREQUENT_LEAST = 8
 #: Shingles counted at once in a task; those seen less than SEEN_LEAST times there count as rare.
 COUNT_AT_ONCE = 4_000_000
-SEEN_LEAST = 3
+SEEN_LEAST = 2
 #: Widths of the bitmaps, in bits.
 BITS = (64, 4096)
 #: Ids up to this many are broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
+#: Groups of equal sets up to this many are broadcast.
+BROADCAST_GROUPS = 500_000
 MINHASHES = 3
+#: Tiles with more documents than this compare bitmaps before they give pairs away.
+SMALL_TILE = 8
 
 
 def shingle_sets(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -250,72 +255,114 @@ def star_pairs(nodes: DataFrame) -> DataFrame:
 
 
 def tile_pairs(nodes: DataFrame) -> DataFrame:
-    """Distinct pairs of nodes (doc_id, n, part, prefix) of different parts that share a tile, by size and rank."""
+    """Distinct pairs of nodes (doc_id, n, bitmap, prefix, part) of different parts that share a tile, by size and rank."""
     rows = nodes.select("doc_id", "part", "n", F.posexplode("prefix").alias("rank", "h"))
     rows = rows.select("h", "doc_id", "part", F.expr("n * 4294967296 + rank").alias("tag"))
     tile = W.partitionBy("h")
     # tiles of one part, single documents among them, end here: nothing in them is left to decide
-    rows = rows.withColumn("lo", F.min("part").over(tile)).withColumn("hi", F.max("part").over(tile)).where(F.col("lo") < F.col("hi"))
-    rows = rows.select("h", "doc_id", "part", "tag").sortWithinPartitions("h", "tag")
-    return map_arrow(rows, _tile_work, "a long, b long").distinct()
+    rows = rows.withColumn("lo", F.min("part").over(tile)).withColumn("hi", F.max("part").over(tile)).withColumn("size", F.count(F.lit(1)).over(tile))
+    rows = written(rows.where(F.col("lo") < F.col("hi")).drop("lo", "hi"), "mixed")
+    by_tile = lambda df: df.repartition("h").sortWithinPartitions("h", "tag")
+    small = rows.where(F.col("size") <= SMALL_TILE).select("h", "doc_id", "part", "tag")
+    large = rows.where(F.col("size") > SMALL_TILE).select("h", "doc_id", "part", "tag").join(nodes.select("doc_id", "bitmap"), "doc_id").select("h", "doc_id", "part", "tag", "bitmap")
+    pairs = map_arrow(by_tile(small), _tile_work, "a long, b long").union(map_arrow(by_tile(large), _tile_work, "a long, b long"))
+    return pairs.distinct()
 
 
 def _tile_work(batches):
+    """Rows (h, doc_id, part, tag[, bitmap]) sorted by h and tag; whole tiles are compared together."""
     held = None
     for batch in batches:
-        cols = [batch.column(i).to_numpy() for i in range(4)]
-        if held is not None:
-            cols = [np.concatenate([x, y]) for x, y in zip(held, cols)]
-        cut = int(np.searchsorted(cols[0], cols[0][-1])) if len(cols[0]) else 0
-        held = [c[cut:] for c in cols]
+        if held is not None and len(held):
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        if len(batch) == 0:
+            continue
+        h = batch.column(0).to_numpy()
+        cut = int(np.searchsorted(h, h[-1]))
+        held = batch.slice(cut)
         if cut:
-            yield from _tile_batches([c[:cut] for c in cols])
-    if held is not None and len(held[0]):
+            yield from _tile_batches(batch.slice(0, cut))
+    if held is not None and len(held):
         yield from _tile_batches(held)
 
 
 def _allowed(x, y, n, rank, part):
     """Mask of index pairs (x before y in the tile, so n[x] <= n[y]) that can link and are not joined yet."""
-    most = 1 + np.minimum(rank[x], rank[y]) + np.minimum(n[x] - rank[x], n[y] - rank[y]) - 1
+    most = np.minimum(rank[x], rank[y]) + np.minimum(n[x] - rank[x], n[y] - rank[y])
     return (part[x] != part[y]) & (5 * n[x] >= 4 * n[y]) & (NUM * most >= DEN * (n[x] + n[y]))
 
 
-def _tile_batches(cols):
-    h, doc, part, tag = cols
+class Bitmaps:
+    """Bitmaps of a tile's documents in size order: equal widths are consecutive."""
+
+    def __init__(self, maps: list[bytes]):
+        self.width = np.array([len(m) for m in maps])
+        edge = np.flatnonzero(np.concatenate([[True], self.width[1:] != self.width[:-1], [True]]))
+        self.bands = [(a, b, np.frombuffer(b"".join(maps[a:b]), np.uint8).reshape(b - a, -1)) for a, b in zip(edge[:-1], edge[1:])]
+        self.folded = {}
+
+    def _at(self, band: int, width: int) -> np.ndarray:
+        if (band, width) not in self.folded:
+            m = self.bands[band][2]
+            m = np.bitwise_xor.reduce(m.reshape(len(m), -1, width), axis=1)
+            self.folded[band, width] = np.ascontiguousarray(m).view(np.uint64)
+        return self.folded[band, width]
+
+    def different(self, i: int, lo: int, hi: int) -> np.ndarray:
+        """Least differences between document i and documents lo..hi-1."""
+        out = np.zeros(hi - lo, np.int64)
+        mine = next(k for k, (a, b, _) in enumerate(self.bands) if a <= i < b)
+        for k, (a, b, _) in enumerate(self.bands):
+            s, e = max(a, lo), min(b, hi)
+            if s < e:
+                w = int(min(self.width[i], self.width[a]))
+                v = self._at(mine, w)[i - self.bands[mine][0]]
+                out[s - lo:e - lo] = np.bitwise_count(self._at(k, w)[s - a:e - a] ^ v).sum(1)
+        return out
+
+
+def _tile_batches(batch):
+    h, doc, part, tag = (batch.column(i).to_numpy() for i in range(4))
     n, rank = tag >> 32, tag & 0xFFFFFFFF
     edge = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1], [True]]))
-    size = np.diff(edge)
-    tile = np.repeat(np.arange(len(size)), size)
-    small = size[tile] <= 32
-    found_a, found_b = [], []
-
-    def add(x, y):
-        ok = _allowed(x, y, n, rank, part)
-        found_a.append(doc[x[ok]])
-        found_b.append(doc[y[ok]])
-
-    # small tiles: all of a batch at once, one distance after the other
-    rows = np.flatnonzero(small)
-    for step in range(1, 32):
-        x = rows[rows + step < len(h)]
-        x = x[tile[x] == tile[x + step]]
-        if len(x) == 0:
-            break
-        add(x, x + step)
-    # large tiles: documents outside the tile's main part against the band of sizes that they may link with
-    for t in np.flatnonzero(size > 32):
-        lo, hi = edge[t], edge[t + 1]
-        names, inverse, counts = np.unique(part[lo:hi], return_inverse=True, return_counts=True)
-        main = counts.argmax()
-        for i in np.flatnonzero(inverse != main):
-            a = lo + int(np.searchsorted(5 * n[lo:hi], 4 * n[lo + i]))
-            b = lo + int(np.searchsorted(4 * n[lo:hi], 5 * n[lo + i], side="right"))
-            before, after = np.arange(a, lo + i), np.arange(lo + i + 1, b)
-            add(before, np.full(len(before), lo + i))
-            add(np.full(len(after), lo + i), after)
-            if sum(map(len, found_a)) > 1_000_000:
-                yield _pair_batch(found_a, found_b)
-                found_a, found_b = [], []
+    found_a, found_b, held = [], [], 0
+    if len(batch.columns) == 4:
+        # small tiles: all of a batch at once, one distance after the other
+        tile = np.repeat(np.arange(len(edge) - 1), np.diff(edge))
+        for step in range(1, SMALL_TILE):
+            x = np.flatnonzero(tile[:-step] == tile[step:])
+            if len(x) == 0:
+                break
+            x = x[_allowed(x, x + step, n, rank, part)]
+            found_a.append(doc[x])
+            found_b.append(doc[x + step])
+    else:
+        # large tiles: documents outside the tile's main part against the band of sizes that they may link with
+        for lo, hi in zip(edge[:-1], edge[1:]):
+            maps = Bitmaps(batch.column(4).slice(lo, hi - lo).to_pylist())
+            _, inverse, counts = np.unique(part[lo:hi], return_inverse=True, return_counts=True)
+            main = inverse == counts.argmax()
+            sizes = n[lo:hi]
+            for i in np.flatnonzero(~main):
+                a = lo + int(np.searchsorted(5 * sizes, 4 * sizes[i]))
+                b = lo + int(np.searchsorted(4 * sizes, 5 * sizes[i], side="right"))
+                me = lo + i
+                other = np.arange(a, b)
+                other = other[(other > me) | main[other - lo]]
+                first, second = np.minimum(other, me), np.maximum(other, me)
+                ok = _allowed(first, second, n, rank, part)
+                first, second = first[ok], second[ok]
+                if len(first) == 0:
+                    continue
+                seen = np.where(first == me, second, first)
+                differ = maps.different(i, a - lo, b - lo)[seen - a]
+                ok = NUM * (n[first] + n[second] - differ) >= 2 * DEN * (n[first] + n[second])
+                found_a.append(doc[first[ok]])
+                found_b.append(doc[second[ok]])
+                held += int(ok.sum())
+                if held > 500_000:
+                    yield _pair_batch(found_a, found_b)
+                    found_a, found_b, held = [], [], 0
     if found_a:
         yield _pair_batch(found_a, found_b)
 
@@ -332,7 +379,7 @@ def _pair_batch(found_a, found_b):
 
 @dataclass
 class Join:
-    members: DataFrame  # doc_id, n, rep (least id with the same set; itself if the set is empty)
+    members: DataFrame  # doc_id, n, rep (least id with the same set; itself if the set is empty), copied
     links: DataFrame  # a, b, common: links between representatives that span every component
     parts: DataFrame  # node, component: representatives with links
 
@@ -342,13 +389,15 @@ def join(docs: DataFrame) -> Join:
     table = written(sets(docs, frequent_shingles(docs)), "sets")
     key = ["n", "k1", "k2"]
     full = table.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    reps = full.groupBy(*key).agg(F.min("doc_id").alias("rep"))
-    # a row's id may repeat with another text: such rows are one document, whose least representative stands for all
-    members = written(table.select("doc_id", *key).join(reps, key, "left")
-                      .withColumn("rep", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("rep")).otherwise(F.col("doc_id")))
-                      .select("doc_id", "n", "rep"), "members")
-    chosen = reps.select(F.col("rep").alias("doc_id"), *key)
-    nodes = written(full.join(chosen, ["doc_id", *key], "left_semi").dropDuplicates(["doc_id", *key]).drop("k1", "k2"), "nodes")
+    # groups are reduced before the shuffle; only those of two rows or more are joined back
+    copies = written(full.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows")).where("rows > 1").drop("rows"), "copies")
+    marked = table.join(broadcast_if(copies, BROADCAST_GROUPS), key, "left")
+    rep = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id"))
+    members = written(marked.select("doc_id", "n", rep.alias("rep"), F.col("rep").isNotNull().alias("copied")), "members")
+    single = marked.where((F.col("n") > 0) & F.col("doc_id").isNotNull() & (F.col("rep").isNull() | (F.col("rep") == F.col("doc_id"))))
+    # an id can stand for more than one row: equal rows, or other texts under the same id
+    own = single.drop("rep", "k1", "k2")
+    nodes = written(own if _unique(members) else own.dropDuplicates(["doc_id", "n", "minhash"]), "nodes")
 
     stars = written(by_bitmap(star_pairs(nodes), nodes), "stars")
     ends = lambda p: p.select(F.col("a").alias("doc_id")).union(p.select("b")).distinct()
@@ -356,8 +405,8 @@ def join(docs: DataFrame) -> Join:
     first = written(by_arrays(stars, known), "links")
     part = components(first)
 
-    parted = (nodes.select("doc_id", "n", "prefix").join(part.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-              .select("doc_id", "n", "prefix", F.coalesce("component", "doc_id").alias("part")))
+    parted = (nodes.select("doc_id", "n", "bitmap", "prefix").join(part.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+              .select("doc_id", "n", "bitmap", "prefix", F.coalesce("component", "doc_id").alias("part")))
     more = written(by_bitmap(tile_pairs(parted), nodes), "tiles")
     missing = ends(more).join(known.select("doc_id"), "doc_id", "left_anti")
     known = known.union(written(arrays(docs, missing), "arrays"))
@@ -365,6 +414,10 @@ def join(docs: DataFrame) -> Join:
     return Join(members, links, written(components(links.union(_same_id(members))), "parts"))
 
 
+def _unique(members: DataFrame) -> bool:
+    return members.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").limit(1).count() == 0
+
+
 def _same_id(members: DataFrame) -> DataFrame:
     """Links between the representatives of rows that share an id."""
     per = members.where(F.col("n") > 0).groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"))
