@@ -18,21 +18,16 @@ POL = f"(SELECT * FROM {POLICIES_SQL})"
 DETERMINED = ["segment", "fuel_type", "transmission_type", "steering_type", "rear_brakes_type", "is_esc",
               "is_parking_camera", "is_tpms", "airbags", "displacement", "ncap_rating"]
 DET_NUM = ["airbags", "displacement", "ncap_rating"]
-_BP = {}
 
 
-def blueprint(spark, sf, fitted=None, candidates=("norm", "expon", "uniform")):
-    """The learned blueprint of ``policies`` (FD discovery picks the model-determined columns). One per
-    session and scale; the fitted columns are always the two independent numeric ones."""
-    k = (id(spark), sf, tuple(candidates))
-    if k not in _BP:
-        # the blueprint makes a dozen passes (FDs, statistics, fits, pools) over a table that Spark derives
-        # with a join and an aggregation: materialise it once in the shared checkpoint folder
-        real = cut_lineage(policies(spark, sf))
-        _BP[k] = SY.Blueprint(real, key="model", row_key="policy_id", label_col="claim_status", id_col="policy_id",
-                              fitted=["subscription_length", "customer_age"], empirical={"vehicle_age": 12.0},
-                              sampled={"region_code": ["region_density"]}, fit_candidates=candidates)
-    return _BP[k]
+def blueprint(spark, sf, fitted=("subscription_length", "customer_age"), candidates=("norm", "expon", "uniform")):
+    """The blueprint of ``policies``, learned anew (FD discovery picks the model-determined columns)."""
+    # a dozen passes (FDs, statistics, fits, pools) over a table that Spark derives with a join and an
+    # aggregation: materialise it once in the shared checkpoint folder
+    real = cut_lineage(policies(spark, sf))
+    return SY.Blueprint(real, key="model", row_key="policy_id", label_col="claim_status", id_col="policy_id",
+                        fitted=list(fitted), empirical={"vehicle_age": 12.0},
+                        sampled={"region_code": ["region_density"]}, fit_candidates=candidates)
 
 
 def n_of(spark, sf, name):
@@ -181,7 +176,7 @@ N_POL = "SELECT count(*) FROM customer"
 
 
 def _alloc_sql(allocs, rest="distribute", exclude=()) -> str:
-    """SQL of ``Blueprint.allocation_segments`` + ``assign_keys`` for a literal plan."""
+    """SQL of ``Blueprint.key_ranges`` + ``assign_keys`` for a literal plan."""
     pool = Q.key_pool(POL, "model")
     known = f"(SELECT v FROM {pool})"
     n = f"({N_POL})"
@@ -325,8 +320,7 @@ def _draw_numeric(spark, df, col, dist, integral=False):
     """A numeric column drawn from ``dist`` for every row of ``df`` (n = its row count)."""
     st = dict(_stats(df, col), integral=integral)
     n = df.count()
-    x, _ = SY.numeric_draw(dist, st, SEED, col)
-    return ids(spark, n).select("id", SY.finish_numeric(x, st).alias(col))
+    return SY.with_drawn(ids(spark, n), col, dist, st, SEED).select("id", col)
 
 
 def _num_sql(src: str, col: str, draw: str, integral: bool = False) -> str:
@@ -558,8 +552,6 @@ def synth_numeric_gamma_beta(spark, sf):
         df = table(spark, sf, src)
         dist = fit_column(df, col, (name,))
         st = dict(_stats(df, col), integral=False)
-        tmp = SY.Blueprint.__new__(SY.Blueprint)
-        tmp.stats, tmp.dists = {col: st}, {col: dist}
-        d = SY.with_numeric(ids(spark, df.count()), tmp, col, SEED)
+        d = SY.with_drawn(ids(spark, df.count()), col, dist, st, SEED)
         out.append(d.select("id", F.lit(name).alias("family"), F.col(col).alias("x")))
     return out[0].unionByName(out[1])
