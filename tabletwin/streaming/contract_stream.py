@@ -32,11 +32,11 @@ def schema_violations(stream: DataFrame, contract: DataFrame,
 
 
 def run_available(spark: SparkSession, violations: DataFrame, name: str | None = None) -> DataFrame:
-    """Process every file available now into a memory table and return it (tests, small checks).
-    Production sinks use ``writeStream.format('parquet'|'delta')`` with the same checkpoint layout."""
+    """Process every file available now into a Parquet folder of the session's shared checkpoint folder and return
+    it as a table; a continuous run writes to the same kind of sink with another trigger."""
     name = name or f"violations_{uuid.uuid4().hex[:8]}"
-    ckpt = os.path.join(ensure_checkpoint_dir(spark), f"stream-{name}")
-    q = (violations.writeStream.format("memory").queryName(name).outputMode("append")
-         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    base = os.path.join(ensure_checkpoint_dir(spark), f"stream-{name}")
+    q = (violations.writeStream.format("parquet").outputMode("append").option("path", f"{base}/rows")
+         .option("checkpointLocation", f"{base}/progress").trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(violations.schema).parquet(f"{base}/rows")
