@@ -222,10 +222,14 @@ def ks_pvalue(d: Column, n: Column) -> Column:
 
 
 def fit_fixed_loc(df: DataFrame, col: str, name: str, loc: float = 0.0) -> dict:
-    """lognorm with a fixed loc (SciPy ``floc``): closed form s = std(ln(x - loc)), scale = exp(mean(ln(x - loc)))."""
+    """lognorm with a fixed loc (SciPy ``floc``): closed form s = std(ln(x - loc)), scale = exp(mean(ln(x - loc))).
+    The loc must lie below every value: otherwise no row is left out, but there is no fit ('empirical')."""
     if name != "lognorm":
         raise ValueError(name)
     x = F.col(col).cast("double")
-    r = nan_to_null(df.select(col)).where(x.isNotNull() & (x > loc)).agg(
-        F.stddev_pop(F.log(x - F.lit(loc))).alias("s"), F.avg(F.log(x - F.lit(loc))).alias("m")).first()
+    r = nan_to_null(df.select(col)).where(x.isNotNull()).agg(
+        F.min(x).alias("least"), F.stddev_pop(F.when(x > loc, F.log(x - F.lit(loc)))).alias("s"),
+        F.avg(F.when(x > loc, F.log(x - F.lit(loc)))).alias("m")).first()
+    if r["least"] is None or r["least"] <= loc:
+        return {"name": "empirical", "params": {}}
     return {"name": "lognorm", "params": {"s": round(r["s"], 8), "loc": float(loc), "scale": round(math.exp(r["m"]), 8)}}

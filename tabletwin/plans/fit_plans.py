@@ -85,11 +85,11 @@ def fit_params(spark, sf):
         F.struct(F.lit("scale").alias("param"), F.round("scale", 8).alias("value")))))
 
 
-@query("fit_lognorm", """SELECT 'value' AS column_name, round(stddev_pop(ln(value)), 8) AS s, 0.0::DOUBLE AS loc,
-  round(exp(avg(ln(value))), 8) AS scale FROM events WHERE value > 0""")
+@query("fit_lognorm", """SELECT 'value' AS column_name, round(stddev_pop(ln(value + 1.0)), 8) AS s, -1.0::DOUBLE AS loc,
+  round(exp(avg(ln(value + 1.0))), 8) AS scale FROM events WHERE value IS NOT NULL""")
 def fit_lognorm(spark, sf):
-    """FT5 with loc fixed at 0: s = std of ln x, scale = exp(mean of ln x)."""
-    f = FT.fit_fixed_loc(table(spark, sf, "events"), "value", "lognorm", 0.0)
+    """FT5 with loc fixed at -1, below every value: s = std of ln(x + 1), scale = exp(mean of ln(x + 1))."""
+    f = FT.fit_fixed_loc(table(spark, sf, "events"), "value", "lognorm", -1.0)
     return spark.createDataFrame([("value", f["params"]["s"], f["params"]["loc"], f["params"]["scale"])],
                                  "column_name string, s double, loc double, scale double")
 

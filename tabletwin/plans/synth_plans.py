@@ -360,12 +360,12 @@ def synth_numeric_uniform(spark, sf):
 
 
 @query("synth_numeric_lognorm", _num_sql("events", "value",
-       f"(0.0 + {_p('exp(avg(ln(value)))', 'events WHERE value > 0')} * exp({_p('stddev_pop(ln(value))', 'events WHERE value > 0')} * {Q.normal(SEED, 'value')}))"))
+       f"(-1.0 + {_p('exp(avg(ln(value + 1.0)))', 'events')} * exp({_p('stddev_pop(ln(value + 1.0))', 'events')} * {Q.normal(SEED, 'value')}))"))
 def synth_numeric_lognorm(spark, sf):
-    """SY16 lognorm (loc fixed at 0): loc + scale * exp(s * z)."""
+    """SY16 lognorm (loc fixed at -1, below every value): loc + scale * exp(s * z)."""
     from tabletwin.operators.fit import fit_fixed_loc
     e = table(spark, sf, "events")
-    return _draw_numeric(spark, e, "value", fit_fixed_loc(e, "value", "lognorm", 0.0))
+    return _draw_numeric(spark, e, "value", fit_fixed_loc(e, "value", "lognorm", -1.0))
 
 
 @query("synth_numeric_fallback", f"""SELECT a.id, a.customer_age, b.subscription_length FROM
