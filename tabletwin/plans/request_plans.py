@@ -128,14 +128,52 @@ def plan_from_row(r, n_default: int = SY.DEFAULT_ROWS, rate_default: float = SY.
     return plan
 
 
-SYNTH_REQUEST = "500 rows 50% M3, 30% M4, 20% M1 petrol middle aged 10% claim rate region c2"
+# Request texts and, written by hand, every field they must give (and no other).
+EXPECTED = [
+    ("1000 rows 50% M3, 30% M4, 20% M1", "n_rows=1000;allocation=M3:percent:50.0,M4:percent:30.0,M1:percent:20.0;rest=distribute"),
+    ("1100 rows 100 M3 rest equally", "n_rows=1100;allocation=M3:count:100;rest=equal"),
+    ("50 rows 100 M3", "n_rows=50;allocation=M3:count:100;rest=distribute"),
+    ("M3=200 M4:300", "allocation=M3:count:200,M4:count:300;rest=distribute"),
+    ("1000 rows petrol or diesel", "n_rows=1000;fuel_types=Diesel,Petrol"),
+    ("utility vehicles 200 rows", "n_rows=200;segment=Utility"),
+    ("without esc 500 rows", "n_rows=500;safety_off=is_esc"),
+    ("ncap 4+ vehicles 500 rows", "n_rows=500;ncap_min=4"),
+    ("middle aged drivers 500 rows", "n_rows=500;age_min=35;age_max=50"),
+    ("2.5k rows petrol", "n_rows=2500;fuel_types=Petrol"),
+    ("500 rows no claims", "n_rows=500;claim_rate=0.0"),
+    ("generate 456 rows data with 2% claim rate", "n_rows=456;claim_rate=0.02"),
+    ("only M3 1000 rows", "n_rows=1000;allocation=M3:exclusive;rest=distribute"),
+    ("5k rows no M5 no M7", "n_rows=5000;exclude=M5,M7"),
+    ("young drivers high risk 500 rows", "n_rows=500;age_min=18;age_max=35;claim_rate=0.15"),
+    ("senior drivers petrol 8% claim rate", "fuel_types=Petrol;age_min=55;age_max=75;claim_rate=0.08"),
+    ("2000 rows automatic with parking camera", "n_rows=2000;transmission_type=Automatic;safety_on=is_parking_camera"),
+    ("1k rows segment B2 disc brakes", "n_rows=1000;segment=B2;rear_brakes_type=Disc"),
+    ("3000 rows new cars low risk", "n_rows=3000;vehicle_age_min=0;vehicle_age_max=2;claim_rate=0.02"),
+    ("1000 rows petrol or diesel age 40-60", "n_rows=1000;fuel_types=Diesel,Petrol;age_min=40;age_max=60"),
+    ("500 rows 500 M3", "n_rows=500;model=M3"),
+    ("vehicle age 3-7", "vehicle_age_min=3;vehicle_age_max=7"),
+    ("manual steering", "steering_type=Manual"),
+    ("99999999999999999999 rows petrol", "fuel_types=Petrol"),
+    ("0 rows", "n_rows=0"),
+]
+_lit = lambda x: "'" + x.replace("'", "''") + "'"
+
+
+@query("req_expected", f"""SELECT o.o_orderkey AS request_id, e.given FROM orders o
+JOIN (VALUES {', '.join(f"({i}, {_lit(g)})" for i, (_, g) in enumerate(EXPECTED))}) e(i, given) ON o.o_orderkey % {len(EXPECTED)} = e.i""")
+def req_expected(spark, sf):
+    """EX1-EX22 against fields written by hand: each order carries one of the texts."""
+    o = table(spark, sf, "orders")
+    text = F.element_at(F.array(*[F.lit(t) for t, _ in EXPECTED]), (F.col("o_orderkey") % len(EXPECTED) + 1).cast("int"))
+    parsed = R.parse_requests(o.select(F.col("o_orderkey").alias("request_id"), text.alias("prompt")))
+    order = ["n_rows", "allocation", "exclude", "rest", "model"] + R.FIELDS[5:]
+    given = [F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{c}="), F.col(c).cast("string"))) for c in order]
+    return parsed.select("request_id", F.array_join(F.filter(F.array(*given), lambda x: x.isNotNull()), ";").alias("given"))
 
 
 @query("synth_from_request")
 def synth_from_request(spark, sf):
-    """SY27: one request text -> parsed plan (Spark) -> generated table from the blueprint of ``policies``."""
+    """SY27: the first order's allocation request, parsed with all others -> plan -> generated table."""
     from tabletwin.plans.synth_plans import blueprint
-    req = spark.createDataFrame([(1, SYNTH_REQUEST)], "request_id bigint, prompt string")
-    row = R.parse_requests(req).first()
-    plan = plan_from_row(row)
-    return SY.generate(spark, blueprint(spark, sf, fitted=("subscription_length", "customer_age")), plan, seed=42)
+    row = _parsed(spark, sf).where("request_id % 16 = 0").orderBy("request_id").first()
+    return SY.generate(spark, blueprint(spark, sf), plan_from_row(row), seed=42)
