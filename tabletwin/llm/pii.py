@@ -343,8 +343,10 @@ def _joined(spans: list[tuple[str, int, int]]) -> str:
 
 def sample_texts(docs: DataFrame, rows: int = SAMPLE_ROWS) -> list[str]:
     """Whole texts with a digit or an at sign and the least hash of their id."""
-    picked = docs.where(F.col("text").rlike("[0-9@]")).select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return [r.text for r in picked.collect()]
+    # only ids are compared; the texts of the chosen ones are fetched afterwards
+    least = docs.where(F.col("text").rlike("[0-9@]")).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    picked = docs.where(F.col("text").rlike("[0-9@]")).join(F.broadcast(least), "doc_id").select("doc_id", "text").limit(rows)
+    return [r.text for r in sorted(picked.collect(), key=lambda r: (r.doc_id, r.text))]
 
 
 def find(docs: DataFrame, weights: np.ndarray | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
