@@ -5,10 +5,10 @@ then, twice, neighbouring symbols are paired if the left one's name is of the le
 right class. A name is a hash of what it stands for, so all tasks give equal content equal names without a shared
 dictionary. Whether symbols merge depends on their neighbours only; hence inside two equal windows of 50 words all
 symbols agree but those within 8 words of the ends, and the least name that starts between words 8 and 34 of a
-window is the same wherever the window's words occur. Runs of three and more equal words merge with nothing; windows
+window is the same wherever the window's words occur, and so are the 24 words around it, whose hash is the key. Runs of three and more equal words merge with nothing; windows
 that hold part of one are found by the run's ends, and windows inside one by its word.
 
-These names (one for about 14 words) are the keys that are shuffled. A key in two documents reveals possible repeats;
+These keys (one for about 14 words) are what is shuffled. A key in two documents reveals possible repeats;
 only windows with such a key are then verified by a 96-bit hash of their 50 words: a window is removed if its words
 start in a document with a smaller id. Documents with equal word sequences are settled by one hash each. Windows
 that recur within a task's share are reduced there before the shuffle, so a passage that a third of all documents
@@ -38,12 +38,15 @@ ROUNDS = 2
 LONGEST = 2 << ROUNDS
 EDGE = 8
 SPAN = WINDOW - 2 * EDGE - LONGEST + 1
+#: Words from EDGE before a chosen symbol to the last that every window choosing it holds.
+AROUND = 2 * EDGE + LONGEST
 #: Windows held in a task before those that recur among them are reduced.
 AT_ONCE = 400_000
 #: Side tables with up to this many numbers are broadcast (8 bytes each); larger ones are joined by a shuffle.
-BROADCAST_NUMBERS = 8_000_000
+BROADCAST_NUMBERS = 2_000_000
 BROADCAST_GROUPS = 500_000
 _NONE = np.uint64(2**64 - 1)
+_POS = np.uint64(2**30 - 1)
 _C1, _C2 = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD1B54A32D192ED03)
 
 
@@ -106,14 +109,20 @@ class Slice:
         return out
 
     def find(self):
-        """(window starts, their keys) and the marks (first start, last start, key, row) that runs set."""
+        """(window starts, the word their key stands at or -1, keys of all words) and the marks that runs set."""
         n = len(self.h)
         at, name, frozen, run, length = symbols(self.h, self.row)
         v = np.full(n, _NONE)
-        v[at] = np.where(frozen, _NONE, tk.mix(name + _C1) >> np.uint64(1))
+        v[at] = np.where(frozen, _NONE, tk.mix(name + _C1) & ~_POS)
+        v = (v & ~_POS) | np.arange(n, dtype=np.uint64)
         starts = np.arange(max(0, n - WINDOW + 1))
         starts = starts[self.row[starts] == self.row[starts + WINDOW - 1]] if len(starts) else starts
         least = sliding_least(v, SPAN)[starts + EDGE] if len(starts) else np.zeros(0, np.uint64)
+        place = np.where((least | _POS) == _NONE, -1, (least & _POS).astype(np.int64))
+        # every window that chose a symbol holds the words around it: they make its key
+        around = np.zeros(n, np.uint64)
+        if n >= AROUND:
+            around[EDGE:n - AROUND + EDGE + 1] = tk.window_hashes(self.h, AROUND)
         marks = []
         if len(run):
             row, lo = self.row[run], self.first[self.row[run]]
@@ -125,16 +134,15 @@ class Slice:
             marks.append((last[e] + 2 - WINDOW, last[e], tk.mix(self.h[last[e] + 1] * _C2 + self.h[last[e]] + np.uint64(13)), row[e]))
             w = length >= WINDOW
             marks.append((run[w], last[w] - WINDOW + 1, tk.mix(self.h[run[w]] + np.uint64(17)), row[w]))
-        return starts, least, marks
+        return starts, place, around, marks
 
     def keys(self):
         """Distinct (row, key) pairs of all texts with a window, by row."""
-        starts, least, marks = self.find()
-        some = least != _NONE
-        change = np.ones(len(starts), bool)
-        change[1:] = (least[1:] != least[:-1]) | (self.row[starts[1:]] != self.row[starts[:-1]])
-        use = some & change
-        rows, keys = [self.row[starts[use]]], [least[use]]
+        starts, place, around, marks = self.find()
+        use = np.ones(len(starts), bool)
+        use[1:] = place[1:] != place[:-1]
+        use &= place >= 0
+        rows, keys = [self.row[starts[use]]], [around[place[use]]]
         for _, _, key, row in marks:
             fits = self.n_words[row] >= WINDOW
             rows.append(row[fits])
@@ -148,7 +156,7 @@ class Slice:
 
     def revealed(self, shared_row: np.ndarray, shared_key: np.ndarray) -> np.ndarray:
         """Starts of the windows with a key that is shared (the pairs say which keys of which rows are)."""
-        starts, least, marks = self.find()
+        starts, place, around, marks = self.find()
         known = np.sort(_keyed(shared_row, shared_key))
 
         def is_shared(row, key):
@@ -158,9 +166,9 @@ class Slice:
             return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
 
         change = np.ones(len(starts), bool)
-        change[1:] = (least[1:] != least[:-1]) | (self.row[starts[1:]] != self.row[starts[:-1]])
+        change[1:] = (place[1:] != place[:-1]) | (self.row[starts[1:]] != self.row[starts[:-1]])
         head = np.flatnonzero(change)
-        ok = is_shared(self.row[starts[head]], least[head]) & (least[head] != _NONE)
+        ok = is_shared(self.row[starts[head]], around[place[head]]) & (place[head] >= 0)
         hit = np.zeros(len(self.h) + 1, bool)
         hit[starts] = np.repeat(ok, np.diff(np.append(head, len(starts))))
         for lo, hi, key, row in marks:
@@ -204,8 +212,11 @@ def _reduced(parts):
     doc, k1, x, w1, w2 = doc[order], k1[order], x[order], w1[order], w2[order]
     new = np.ones(len(doc), bool)
     new[1:] = (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])
-    least = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
-    return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(k1), pa.array(x, pa.int32()), pa.array(w1), pa.array(w2, pa.int32()), pa.array(doc > least)],
+    sure = np.empty(len(doc), bool)
+    sure[order] = doc > doc[np.flatnonzero(new)][np.cumsum(new) - 1]
+    # rows leave in the order of the texts: neighbours share what a column repeats
+    doc, k1, x, w1, w2 = (np.concatenate(c) for c in zip(*parts))
+    return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(k1), pa.array(x, pa.int32()), pa.array(w1), pa.array(w2, pa.int32()), pa.array(sure)],
                                       names=[c.split()[0] for c in WINDOW_SCHEMA.split(", ")])
 
 
@@ -241,7 +252,7 @@ def beside(docs: DataFrame, side: DataFrame, numbers: int, how: str) -> DataFram
 
 
 def removed_windows(docs: DataFrame) -> DataFrame:
-    """(doc_id, k1, xs, whole): window starts to remove in the row of that id and content; ``whole``: all words."""
+    """(doc_id, k1, cover, whole): words to remove in the row of that id and content; ``whole``: all of them."""
     table = written(map_arrow(docs, _key_work, KEY_SCHEMA), "keys")
     table = table.where(F.col("doc_id").isNotNull() & (F.col("n_words") >= WINDOW))
     least = written(table.groupBy("n_words", "k1", "k2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most"), "least")
@@ -257,13 +268,26 @@ def removed_windows(docs: DataFrame) -> DataFrame:
     found = written(map_arrow(beside(docs.where("doc_id is not null"), needed, numbers, "inner").select("doc_id", "text", "shared"), _window_work, WINDOW_SCHEMA), "windows")
     open_ = found.where(~F.col("sure")).withColumn("least", F.min("doc_id").over(W.partitionBy("w1", "w2")))
     gone = found.where("sure").select("doc_id", "k1", "x").union(open_.where(F.col("doc_id") > F.col("least")).select("doc_id", "k1", "x"))
-    gone = gone.groupBy("doc_id", "k1").agg(F.collect_list("x").alias("xs"))
-    whole = copies.select("doc_id", "k1", F.array().cast("array<int>").alias("xs"), F.lit(True).alias("whole"))
+    gone = map_arrow(gone.groupBy("doc_id", "k1").agg(F.collect_list("x").alias("xs")), _cover_work, COVER_SCHEMA)
+    whole = copies.select("doc_id", "k1", F.array().cast("array<int>").alias("cover"), F.lit(True).alias("whole"))
     # windows of a row that is a copy can also turn up beside another text of the same id: the copy's mark settles it
-    gone = gone.join(copies, ["doc_id", "k1"], "left_anti").select("doc_id", "k1", "xs", F.lit(False).alias("whole"))
+    gone = gone.join(copies, ["doc_id", "k1"], "left_anti").select("doc_id", "k1", "cover", F.lit(False).alias("whole"))
     return gone.union(whole)
 
 
+COVER_SCHEMA = "doc_id long, k1 long, cover array<int>"
+
+
+def _cover_work(batches):
+    """Window starts of a row to the words they cover, as merged intervals."""
+    for batch in batches:
+        covers = []
+        for xs in batch.column(2):
+            x = xs.values.to_numpy().astype(np.int64)
+            covers.append(tk.merged(x, x + WINDOW).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(covers, pa.list_(pa.int32()))], names=["doc_id", "k1", "cover"])
+
+
 RESULT_SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
@@ -271,8 +295,8 @@ def cleaned(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256[, kept]) of every row of ``docs`` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     gone = written(removed_windows(docs), "gone")
-    numbers = gone.agg(F.sum(F.size("xs") + 2)).first()[0] or 0
-    side = gone.groupBy("doc_id").agg(F.collect_list(F.struct("k1", "whole", "xs")).alias("gone"))
+    numbers = gone.agg(F.sum(F.size("cover") + 4)).first()[0] or 0
+    side = gone.groupBy("doc_id").agg(F.collect_list(F.struct("k1", "whole", "cover")).alias("gone"))
 
     def work(batches):
         for batch in batches:
@@ -289,8 +313,7 @@ def cleaned(docs: DataFrame, with_text: bool = False) -> DataFrame:
                     if any(m["whole"] for m in own):
                         w, n = [], len(w)
                     elif own:
-                        xs = np.concatenate([np.asarray(m["xs"], np.int64) for m in own])
-                        mask = tk.covered(xs, WINDOW, len(w))
+                        mask = tk.inside(np.concatenate([np.asarray(m["cover"], np.int64) for m in own]), len(w))
                         w, n = [w[j] for j in np.flatnonzero(~mask)], int(mask.sum())
                     else:
                         n = 0

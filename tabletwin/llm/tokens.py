@@ -119,3 +119,23 @@ def covered(starts: np.ndarray, length: int, n: int) -> np.ndarray:
     np.add.at(d, starts, 1)
     np.add.at(d, np.minimum(starts + length, n), -1)
     return np.cumsum(d[:-1]) > 0
+
+
+def merged(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The union of half-open intervals as ascending numbers: start, end, start, end, ..."""
+    if len(starts) == 0:
+        return np.zeros(0, np.int64)
+    order = np.argsort(starts, kind="stable")
+    starts, reach = starts[order], np.maximum.accumulate(ends[order])
+    new = np.ones(len(starts), bool)
+    new[1:] = starts[1:] > reach[:-1]
+    head = np.flatnonzero(new)
+    return np.column_stack([starts[head], reach[np.append(head[1:], len(starts)) - 1]]).ravel()
+
+
+def inside(flat: np.ndarray, n: int) -> np.ndarray:
+    """Mask over n positions of the intervals that ``merged`` lists."""
+    d = np.zeros(n + 1, np.int64)
+    np.add.at(d, flat[0::2], 1)
+    np.add.at(d, np.minimum(flat[1::2], n), -1)
+    return np.cumsum(d[:-1]) > 0
