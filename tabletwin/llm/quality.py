@@ -121,7 +121,7 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 
 def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 120) -> np.ndarray:
     """Weights (bias last) of a regularised logistic regression by accelerated gradient steps."""
-    x = np.column_stack([x, np.ones(len(x))]).astype(np.float32)
+    x = np.concatenate([x, np.ones((len(x), 1))], axis=1, dtype=np.float32)
     power = np.ones(x.shape[1])
     for _ in range(12):
         power = x.T @ (x @ power)
@@ -270,8 +270,8 @@ def draw_sample(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLE
     words = table.column("words").combine_chunks()
     lens = np.diff(words.offsets.to_numpy())
     doc = table.column("doc_id").to_numpy()
-    meta = np.array(table.column("meta").to_pylist()).reshape(len(doc), N_META)
-    extra = np.array(table.column("extra").to_pylist()).reshape(len(doc), N_EXTRA)
+    numbers = lambda name, width: table.column(name).combine_chunks().flatten().to_numpy().reshape(len(doc), width)
+    meta, extra = numbers("meta", N_META), numbers("extra", N_EXTRA)
     held = tk.mix(doc.astype(np.uint64) + np.uint64(77)) % np.uint64(4) == 0
     return Sample(np.repeat(np.arange(len(doc)), lens), words.flatten().to_numpy(), extra, meta, {h: table.column(h).to_numpy() for h in HEADS}, held)
 
@@ -338,15 +338,21 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the classifier keeps, with all their columns, in one pass over the texts."""
     heads = fit(docs, labels)
     shared = docs.sparkSession.sparkContext.broadcast(heads)
-    judged = _columns(docs).columns
+    judged, taken = dict(_judged(docs)), set(docs.columns)
+    aside = {}
+    for c in judged:  # beside the row's own columns, under names that none of them has
+        aside[c] = "_" + c
+        while aside[c] in taken:
+            aside[c] = "_" + aside[c]
+    names = list(docs.columns)
 
     def work(batches):
         table = _used_words(shared.value)
         for batch in batches:
-            seen = pa.RecordBatch.from_arrays([batch.column(f"_{c}") for c in judged], names=judged)
+            seen = pa.RecordBatch.from_arrays([batch.column(n) for n in aside.values()], names=list(aside))
             good = [(q >= LEAST_GOOD) & (t < MOST_TOXIC) for _, _, q, t in verdicts(seen, shared.value, table)]
             if good:
-                yield batch.select([n for n in batch.schema.names if n not in {f"_{c}" for c in judged}]).filter(pa.array(np.concatenate(good)))
+                yield batch.select(names).filter(pa.array(np.concatenate(good)))
 
-    both = docs.select("*", *[c.alias(f"_{n}") for n, c in _judged(docs)])
+    both = docs.select("*", *[judged[c].alias(n) for c, n in aside.items()])
     return map_arrow(both, work, docs.schema)
