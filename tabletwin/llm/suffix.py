@@ -39,7 +39,7 @@ SLICE = 1 << 20
 HOT = 20_000
 #: Cuts held in a task before equal ones among them are settled.
 AT_ONCE = 50_000
-BROADCAST_NUMBERS = 8_000_000
+BROADCAST_NUMBERS = 2_000_000
 BROADCAST_KEYS = 2_000_000
 BROADCAST_GROUPS = 500_000
 _POS = np.uint64(2**30 - 1)
@@ -374,7 +374,7 @@ def _beside(docs, side, numbers, how):
 
 
 def removed_windows(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """(doc_id, k1, runs, whole): runs of window starts to remove in the row of that id and content."""
+    """(doc_id, k1, cover, whole): bytes to remove in the row of that id and content; ``whole``: all of them."""
     table = written(map_arrow(docs, _key_work, KEY_SCHEMA), "anchors")
     table = table.where(F.col("doc_id").isNotNull() & (F.col("n_bytes") >= WIDTH))
     least = written(table.groupBy("n_bytes", "k1", "k2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most"), "least")
@@ -389,16 +389,29 @@ def removed_windows(docs: DataFrame, hot: int = HOT) -> DataFrame:
     shared = written(shared, "shared")
     needed = written(alone.join(broadcast_if(shared, BROADCAST_KEYS), "key")
                      .groupBy("doc_id").agg(F.collect_set(F.expr("key | hot")).alias("shared")), "needed")
-    numbers = needed.agg(F.sum(F.size("shared"))).first()[0] or 0
-    cuts = written(map_arrow(_beside(docs.where("doc_id is not null"), needed, numbers, "inner").select("doc_id", "text", "shared"), _cut_work, CUT_SCHEMA), "cuts")
+    # the keys grow with the corpus at every size: both sides are shuffled unless Spark itself finds the keys tiny
+    cuts = written(map_arrow(docs.where("doc_id is not null").join(needed, "doc_id").select("doc_id", "text", "shared"), _cut_work, CUT_SCHEMA), "cuts")
     by_sort = map_arrow(cuts.where(F.col("kind") == CUT).select("key", "doc_id", "k1", "at", "x1", "x2", "body").repartition("key").sortWithinPartitions("key"), _sort_work, INTERVAL_SCHEMA)
     one = cuts.where(F.col("kind") == SINGLE).withColumn("o", F.struct("doc_id", "k1", "x1"))
     one = one.withColumn("first", F.min("o").over(W.partitionBy("w1", "w2"))).where(F.col("o") > F.col("first"))
     cols = ["doc_id", "k1", "x1", "x2"]
     gone = by_sort.union(cuts.where(F.col("kind") == SETTLED).select(*cols)).union(one.select(*cols))
-    gone = gone.groupBy("doc_id", "k1").agg(F.collect_list(F.struct("x1", "x2")).alias("runs"))
-    gone = gone.join(copies, ["doc_id", "k1"], "left_anti").select("doc_id", "k1", "runs", F.lit(False).alias("whole"))
-    return gone.union(copies.select("doc_id", "k1", F.array().cast("array<struct<x1:int,x2:int>>"), F.lit(True)))
+    gone = gone.groupBy("doc_id", "k1").agg(F.collect_list("x1").alias("x1"), F.collect_list("x2").alias("x2"))
+    gone = map_arrow(gone, _cover_work, COVER_SCHEMA)
+    gone = gone.join(copies, ["doc_id", "k1"], "left_anti").select("doc_id", "k1", "cover", F.lit(False).alias("whole"))
+    return gone.union(copies.select("doc_id", "k1", F.array().cast("array<int>"), F.lit(True)))
+
+
+COVER_SCHEMA = "doc_id long, k1 long, cover array<int>"
+
+
+def _cover_work(batches):
+    """Runs of window starts of a row to the bytes they cover, as merged intervals."""
+    for batch in batches:
+        covers = []
+        for a, b in zip(batch.column(2), batch.column(3)):
+            covers.append(tk.merged(a.values.to_numpy().astype(np.int64), b.values.to_numpy().astype(np.int64) + WIDTH).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(covers, pa.list_(pa.int32()))], names=["doc_id", "k1", "cover"])
 
 
 RESULT_SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -408,8 +421,8 @@ def cleaned(docs: DataFrame, hot: int = HOT, with_text: bool = False) -> DataFra
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) of every row of ``docs`` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     gone = written(removed_windows(docs, hot), "gone")
-    numbers = gone.agg(F.sum(F.size("runs") + 2)).first()[0] or 0
-    side = gone.groupBy("doc_id").agg(F.collect_list(F.struct("k1", "whole", "runs")).alias("gone"))
+    numbers = gone.agg(F.sum(F.size("cover") + 4)).first()[0] or 0
+    side = gone.groupBy("doc_id").agg(F.collect_list(F.struct("k1", "whole", "cover")).alias("gone"))
 
     def work(batches):
         for batch in batches:
@@ -426,11 +439,7 @@ def cleaned(docs: DataFrame, hot: int = HOT, with_text: bool = False) -> DataFra
                         if any(m["whole"] for m in own):
                             b, n, count = b[:0], len(b), 1
                         elif own:
-                            d = np.zeros(len(b) + 1, np.int64)
-                            for m in own:
-                                np.add.at(d, [r["x1"] for r in m["runs"]], 1)
-                                np.add.at(d, [r["x2"] + WIDTH for r in m["runs"]], -1)
-                            mask = np.cumsum(d[:-1]) > 0
+                            mask = tk.inside(np.concatenate([np.asarray(m["cover"], np.int64) for m in own]), len(b))
                             n, count = int(mask.sum()), int((mask[1:] & ~mask[:-1]).sum() + mask[0])
                             b = b[~mask]
                     kept = b.tobytes()
