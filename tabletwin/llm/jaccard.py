@@ -10,12 +10,16 @@ pairs away. What is left is decided by exact
 intersection of the sorted arrays.
 
 Shingles in very many documents come last in the order, so tiles stay small; the list of these is bounded. Equal
-sets are one node. Near copies are first joined along stars around the least and the largest member of equal
-min-hashes; tiles then compare only documents that no link has joined yet, so a large group of near copies costs
-its size and not its square. No candidate is dropped: every pair of different components that shares a tile is
-bounded and decided.
+sets are one node. Every pair of nodes that shares a tile is bounded and decided, so all links between different sets
+come out, also those within a large group of near copies (whose number grows with the square of the group). Tiles of
+many documents are dealt into blocks, and each pair of blocks is a task's tile of its own. A pair meets once in most
+cases: a tile leaves it out if one of the first shingles of both, before the tile's, has already made it meet.
 
-Results are links between class representatives (a spanning set of them), membership, and component numbers.
+Where only components are wanted (``keep_one``), a spanning set of links is enough: near copies are first joined along
+stars around the least and the largest member of equal min-hashes, and tiles then compare only documents that no link
+has joined yet. The stars' components also deal the candidate pairs into blocks that share their arrays.
+
+Results are links between class representatives, the number of them per document, membership, and component numbers.
 
 Cases: null and empty texts have empty sets and link with nothing; rows without an id link with nothing and have no
 component; rows that repeat an id are one document; very long texts are read whole; an empty table gives an empty
@@ -54,6 +58,12 @@ BROADCAST_GROUPS = 500_000
 MINHASHES = 3
 #: Tiles with more documents than this compare bitmaps before they give pairs away.
 SMALL_TILE = 8
+#: Tiles with more documents than this are dealt into blocks of about this many.
+TILE_BLOCK = 512
+#: The first shingles by which a tile knows that a pair has met before.
+HEAD = 4
+#: Documents and shingles of one block whose arrays meet those of another (or its own) in a task.
+PAIR_BLOCK, BLOCK_SHINGLES = 64, 1 << 20
 
 
 def shingle_sets(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -245,6 +255,82 @@ def by_arrays(pairs: DataFrame, sets_of: DataFrame) -> DataFrame:
     return map_arrow(pairs.join(side("b", "y"), "b").join(side("a", "x"), "a").select("a", "b", "x", "y"), work, "a long, b long, common long")
 
 
+def by_blocks(pairs: DataFrame, sets_of: DataFrame, part: DataFrame) -> DataFrame:
+    """What ``by_arrays`` gives, with arrays sent once for each pair of blocks: ``part`` (doc_id, n, part) has the part of
+    every node; a part's documents are dealt into blocks."""
+    def work(batches):
+        key, own = None, None
+        for batch in batches:
+            k = batch.column(0).to_numpy()
+            edge = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1], [True]])) if len(k) else [0]
+            out = []
+            for lo, hi in zip(edge[:-1], edge[1:]):
+                if key is None or k[lo] != key:
+                    key, own = k[lo], Block()
+                rows = batch.slice(lo, hi - lo)
+                sent = rows.filter(rows.column("b").is_null())
+                own.add(sent.column("a").to_pylist(), [np.frombuffer(x, np.uint64) for x in sent.column("shingles").to_pylist()])
+                asked = rows.filter(rows.column("b").is_valid())
+                if len(asked):
+                    out.append(own.links(asked.column("a").to_numpy(), asked.column("b").to_numpy()))
+            if out:
+                a, b, common = (np.concatenate(c) for c in zip(*out))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(common)], names=["a", "b", "common"])
+
+    size = part.groupBy("part").agg(F.ceil(F.greatest(F.count(F.lit(1)) / PAIR_BLOCK, F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
+    block = part.join(size, "part").select("doc_id", F.xxhash64("part", F.pmod(F.xxhash64("doc_id", F.lit(7)), "blocks")).alias("block")).dropDuplicates(["doc_id"])
+    side = lambda s: block.select(F.col("doc_id").alias(s), F.col("block").alias(f"k_{s}"))
+    keyed = pairs.join(side("b"), "b").join(side("a"), "a").select(F.xxhash64(F.least("k_a", "k_b"), F.greatest("k_a", "k_b")).alias("k"), "a", "b")
+    keyed = written(keyed, "keyed")
+    wanted = keyed.select("k", "a").union(keyed.select("k", "b")).distinct()
+    sent = wanted.join(sets_of.withColumnRenamed("doc_id", "a"), "a").select("k", "a", F.lit(None).cast("long").alias("b"), "shingles")
+    both = sent.union(keyed.select("k", "a", "b", F.lit(None).cast("binary")))
+    return map_arrow(both.repartition("k").sortWithinPartitions("k", F.col("b").asc_nulls_first()), work, "a long, b long, common long")
+
+
+class Block:
+    """The sorted arrays of the documents of two blocks and the exact intersections of their pairs."""
+
+    def __init__(self):
+        self.at, self.sets, self.table = {}, [], None
+
+    def add(self, ids, sets):
+        for i, s in zip(ids, sets):
+            self.at[i] = len(self.sets)
+            self.sets.append(s)
+
+    def _all(self) -> np.ndarray:
+        """Intersection sizes of all pairs, a slice of the shingles at a time."""
+        m = len(self.sets)
+        code, doc = np.concatenate(self.sets), np.repeat(np.arange(m), [len(s) for s in self.sets])
+        order = np.argsort(code, kind="stable")
+        code, doc = code[order], doc[order]
+        column = np.cumsum(np.concatenate([[False], code[1:] != code[:-1]]))
+        out = np.zeros((m, m))
+        for lo in range(0, int(column[-1]) + 1, 4096):
+            s, e = np.searchsorted(column, [lo, lo + 4096])
+            x = np.zeros((m, 4096), np.float32)
+            x[doc[s:e], column[s:e] - lo] = 1
+            out += x @ x.T
+        return out.astype(np.int64)
+
+    def links(self, a, b):
+        """The pairs that link, and their common shingles."""
+        x, y = np.array([self.at[i] for i in a.tolist()]), np.array([self.at[i] for i in b.tolist()])
+        if self.table is None and len(x) > 4 * len(self.sets):
+            self.table = self._all()
+        if self.table is not None:
+            common = self.table[x, y]
+        else:
+            common = np.zeros(len(x), np.int64)
+            for i, (p, q) in enumerate(zip(x, y)):
+                s, t = sorted((self.sets[p], self.sets[q]), key=len)
+                common[i] = (t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s).sum()
+        n = np.array([len(s) for s in self.sets])
+        ok = NUM * common >= DEN * (n[x] + n[y])
+        return a[ok], b[ok], common[ok]
+
+
 def star_pairs(nodes: DataFrame) -> DataFrame:
     """(a, b) between the least and the largest node of each group of equal min-hashes and its other members."""
     hashes = nodes.select("doc_id", F.posexplode("minhash").alias("k", "m"))
@@ -269,8 +355,32 @@ def tile_pairs(nodes: DataFrame) -> DataFrame:
     return pairs.distinct()
 
 
+def every_pair(nodes: DataFrame) -> DataFrame:
+    """Distinct pairs of nodes (doc_id, n, bitmap, prefix) that share a tile, by size, rank and bitmap."""
+    rows = nodes.select("doc_id", "n", F.posexplode("prefix").alias("rank", "h"))
+    # tiles are counted by a reduction, so no tile's rows gather; single documents end here
+    size = rows.groupBy("h").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    rows = rows.join(size, "h").select("h", "doc_id", F.expr("n * 4294967296 + rank").alias("tag"), "size")
+    rows = written(rows, "shared")
+    head = nodes.select("doc_id", "n", F.expr(f"transform(slice(prefix, 1, {HEAD}), x -> lpad(hex(x), 16, '0'))").alias("words"), "bitmap")
+    head = head.select("doc_id", "n", F.unhex(F.concat_ws("", "words")).alias("head"), "bitmap")
+    # rows of one id with different texts keep the head and bitmap of their own size
+    of = rows.withColumn("n", F.shiftright("tag", 32))
+    by_tile = lambda df: df.repartition("h").sortWithinPartitions("h", "tag")
+    small = of.where(F.col("size") <= SMALL_TILE).join(head.drop("bitmap"), ["doc_id", "n"]).select("h", "doc_id", F.col("doc_id").alias("part"), "tag", "head")
+    large = of.where(F.col("size") > SMALL_TILE)
+    blocks = F.ceil(F.col("size") / TILE_BLOCK)
+    large = large.withColumn("mine", F.pmod(F.xxhash64("doc_id", F.lit(3)), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    # within one block documents differ, between two blocks only those of different blocks are compared
+    large = large.select(F.xxhash64("h", F.least("mine", "other"), F.greatest("mine", "other")).alias("h"), "doc_id", "n", "tag",
+                         F.when(F.col("mine") == F.col("other"), F.col("doc_id")).otherwise(F.col("mine")).alias("part"))
+    large = large.join(head, ["doc_id", "n"]).select("h", "doc_id", "part", "tag", "head", "bitmap")
+    few = by_bitmap(map_arrow(by_tile(small), _tile_work, "a long, b long").distinct(), nodes)
+    return few.union(map_arrow(by_tile(large), _tile_work, "a long, b long")).distinct()
+
+
 def _tile_work(batches):
-    """Rows (h, doc_id, part, tag[, bitmap]) sorted by h and tag; whole tiles are compared together."""
+    """Rows (h, doc_id, part, tag[, head][, bitmap]) sorted by h and tag; whole tiles are compared together."""
     held = None
     for batch in batches:
         if held is not None and len(held):
@@ -292,6 +402,31 @@ def _allowed(x, y, n, rank, part):
     return (part[x] != part[y]) & (5 * n[x] >= 4 * n[y]) & (NUM * most >= DEN * (n[x] + n[y]))
 
 
+def _heads(batch, rank) -> tuple[np.ndarray, np.ndarray] | None:
+    """The first shingles of each row that come before the tile's; two sets of fillers that equal nothing."""
+    if "head" not in batch.schema.names:
+        return None
+    own = np.zeros((len(batch), HEAD), ">u8")
+    for i, raw in enumerate(batch.column("head").to_pylist()):
+        v = np.frombuffer(raw, ">u8")
+        own[i, :len(v)] = v
+    before = np.arange(HEAD) < rank[:, None]
+    own = own.astype(np.uint64)
+    return np.where(before, own, np.uint64(1)), np.where(before, own, np.uint64(2))
+
+
+def _unmet(heads, x, y):
+    """Mask of index pairs that no tile of their first shingles has seen."""
+    if heads is None:
+        return np.ones(len(x), bool)
+    met = np.zeros(len(x), bool)
+    for i in range(HEAD):
+        left = heads[0][x, i]
+        for j in range(HEAD):
+            met |= left == heads[1][y, j]
+    return ~met
+
+
 class Bitmaps:
     """Bitmaps of a tile's documents in size order: equal widths are consecutive."""
 
@@ -325,8 +460,9 @@ def _tile_batches(batch):
     h, doc, part, tag = (batch.column(i).to_numpy() for i in range(4))
     n, rank = tag >> 32, tag & 0xFFFFFFFF
     edge = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1], [True]]))
+    heads = _heads(batch, rank)
     found_a, found_b, held = [], [], 0
-    if len(batch.columns) == 4:
+    if "bitmap" not in batch.schema.names:
         # small tiles: all of a batch at once, one distance after the other
         tile = np.repeat(np.arange(len(edge) - 1), np.diff(edge))
         for step in range(1, SMALL_TILE):
@@ -334,12 +470,13 @@ def _tile_batches(batch):
             if len(x) == 0:
                 break
             x = x[_allowed(x, x + step, n, rank, part)]
+            x = x[_unmet(heads, x, x + step)]
             found_a.append(doc[x])
             found_b.append(doc[x + step])
     else:
         # large tiles: documents outside the tile's main part against the band of sizes that they may link with
         for lo, hi in zip(edge[:-1], edge[1:]):
-            maps = Bitmaps(batch.column(4).slice(lo, hi - lo).to_pylist())
+            maps = Bitmaps(batch.column("bitmap").slice(lo, hi - lo).to_pylist())
             _, inverse, counts = np.unique(part[lo:hi], return_inverse=True, return_counts=True)
             main = inverse == counts.argmax()
             sizes = n[lo:hi]
@@ -352,6 +489,8 @@ def _tile_batches(batch):
                 first, second = np.minimum(other, me), np.maximum(other, me)
                 ok = _allowed(first, second, n, rank, part)
                 first, second = first[ok], second[ok]
+                ok = _unmet(heads, first, second)
+                first, second = first[ok], second[ok]
                 if len(first) == 0:
                     continue
                 seen = np.where(first == me, second, first)
@@ -380,11 +519,12 @@ def _pair_batch(found_a, found_b):
 @dataclass
 class Join:
     members: DataFrame  # doc_id, n, rep (least id with the same set; itself if the set is empty), copied
-    links: DataFrame  # a, b, common: links between representatives that span every component
+    links: DataFrame  # a, b, common: all links between representatives (spanning: enough of them for every component)
     parts: DataFrame  # node, component: representatives with links
 
 
-def join(docs: DataFrame) -> Join:
+def join(docs: DataFrame, spanning: bool = False) -> Join:
+    """All links; with ``spanning`` only as many as the components need."""
     docs = _ids(docs)
     table = written(sets(docs, frequent_shingles(docs)), "sets")
     key = ["n", "k1", "k2"]
@@ -407,11 +547,18 @@ def join(docs: DataFrame) -> Join:
 
     parted = (nodes.select("doc_id", "n", "bitmap", "prefix").join(part.withColumnRenamed("node", "doc_id"), "doc_id", "left")
               .select("doc_id", "n", "bitmap", "prefix", F.coalesce("component", "doc_id").alias("part")))
-    more = written(by_bitmap(tile_pairs(parted), nodes), "tiles")
+    more = written(by_bitmap(tile_pairs(parted), nodes) if spanning else every_pair(nodes), "tiles")
     missing = ends(more).join(known.select("doc_id"), "doc_id", "left_anti")
     known = known.union(written(arrays(docs, missing), "arrays"))
-    links = first.union(written(by_arrays(more, known), "links"))
-    return Join(members, links, written(components(links.union(_same_id(members))), "parts"))
+    if spanning:
+        links = first.union(written(by_arrays(more, known), "links"))
+        return Join(members, links, written(components(links.union(_same_id(members))), "parts"))
+    links = written(by_blocks(more, known, parted.select("doc_id", "n", "part")), "links")
+    # components need one link between two parts
+    of = lambda s: part.select(F.col("node").alias(s), F.col("component").alias(f"c_{s}"))
+    between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b")).where("a != b").distinct()
+    edges = first.select("a", "b").union(between).union(_same_id(members).select("a", "b"))
+    return Join(members, links, written(components(edges), "parts"))
 
 
 def _unique(members: DataFrame) -> bool:
@@ -424,17 +571,24 @@ def _same_id(members: DataFrame) -> DataFrame:
     return per.where(F.col("a") < F.col("b")).select("a", "b", F.lit(0).cast("long").alias("common"))
 
 
-def component_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, rep) for every row of ``docs``."""
-    j = join(docs)
+def _component_rows(j: Join) -> DataFrame:
     out = j.members.alias("m").join(j.parts.alias("p"), F.col("m.rep") == F.col("p.node"), "left")
     return out.select("m.doc_id", F.col("m.n").alias("n_shingles"), F.coalesce("p.component", "m.rep").alias("component_id"), "m.rep")
 
 
+def component_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id, rep, n_links) for every row of ``docs``; n_links: links of its representative
+    with other representatives, that is different sets that its own links with (null id or empty set: none)."""
+    j = join(docs)
+    per = j.links.select(F.col("a").alias("rep")).union(j.links.select("b")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
+    rows = _component_rows(j)
+    return rows.join(per, "rep", "left").select(*rows.columns, F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with one document of each component: the one with the least id. Rows without an id stay;
     of rows that repeat a kept id, one stays."""
-    rows = written(component_rows(docs).select("doc_id", "component_id"), "kept")
+    rows = written(_component_rows(join(docs, spanning=True)).select("doc_id", "component_id"), "kept")
     gone = rows.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti")
     if rows.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").limit(1).count():
