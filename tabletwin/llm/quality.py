@@ -2,13 +2,14 @@
 
 The content view sees which words a text has (hashed, those that tell the classes apart by a chi-square test); the
 metadata view sees language, source, length, and the page's layout (lines, capitals, digits, symbols). Both are
-logistic regressions, fitted on a bounded sample of labelled documents. Over some rounds each view labels documents
-of a bounded unlabelled pool on which its calibrated probability is extreme, and these join the other view's training
-set. Held-out labelled documents calibrate each view and fit the weights with which both are combined. Two heads,
+logistic regressions, fitted on a bounded sample of labelled documents. Over some rounds each view labels the
+unlabelled documents on which its calibrated probability is extreme, and these join the other view's training set.
+All unlabelled documents take part: tasks score them and reduce what the fits need to word counts per class, and to
+gradient and curvature sums of Newton steps; no unlabelled row reaches the driver. Held-out labelled documents calibrate each view and fit the weights with which both are combined. Two heads,
 quality and toxicity, share all of this. All documents are scored in one pass.
 
-Bounds: ``LABELLED_ROWS`` labelled and ``POOL_ROWS`` unlabelled documents (least hash of the id) are used for fitting.
-Everything else covers all rows.
+Bounds: ``LABELLED_ROWS`` labelled documents (least hash of the id) are used for fitting; ``pool_rows`` bounds the
+unlabelled ones only if it is passed. Everything else covers all rows.
 
 Cases: null and empty texts have no words and are scored by their metadata; null languages, sources and counts are
 values of their own; repeated label rows count once (their largest label); labels without documents and null labels
@@ -27,10 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabletwin.llm import tokens as tk
-from tabletwin.llm.store import map_arrow
+from tabletwin.llm.store import broadcast_if, map_arrow, written
 
 LABELLED_ROWS = 6_000
-POOL_ROWS = 2_000
+#: Labelled ids up to this many are broadcast to set the others apart.
+BROADCAST_IDS = 2_000_000
+NEWTON_STEPS, NEWTON_ENOUGH = 8, 1e-3
 ROUNDS = 2
 #: A view hands a pseudo-label on if its probability is this close to 0 or 1.
 CONFIDENT = 0.02
@@ -162,17 +165,19 @@ class Sample:
         x[self.row[hit], at[hit]] = 1.0
         return x
 
-    def telling_words(self, y: np.ndarray) -> np.ndarray:
-        """Sorted codes of the words whose presence depends most on the label, on the rows with y >= 0."""
-        has = y >= 0
-        use = has[self.row]
-        n1, n0 = float((y == 1).sum()), float((y == 0).sum())
-        pos = np.bincount(self.word[use & (y[self.row] == 1)], minlength=1 << WORD_BITS).astype(float)
-        neg = np.bincount(self.word[use & (y[self.row] == 0)], minlength=1 << WORD_BITS).astype(float)
-        n, seen = n1 + n0, pos + neg
-        chi2 = n * (pos * (n0 - neg) - neg * (n1 - pos)) ** 2 / np.maximum(n1 * n0 * seen * (n - seen), 1e-9)
-        best = np.argsort(-chi2, kind="stable")[:MAX_WORDS]
-        return np.sort(best[chi2[best] >= MIN_CHI2])
+    def counts(self, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows with each word by class (0, 1) of ``y`` (-1: none), and rows by class."""
+        per = np.stack([np.bincount(self.word[y[self.row] == c], minlength=1 << WORD_BITS) for c in (0, 1)])
+        return per.astype(float), np.array([(y == 0).sum(), (y == 1).sum()], float)
+
+
+def telling_words(per: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Sorted codes of the words whose presence depends most on the label."""
+    (neg, pos), (n0, n1) = per, rows
+    n, seen = n1 + n0, pos + neg
+    chi2 = n * (pos * (n0 - neg) - neg * (n1 - pos)) ** 2 / np.maximum(n1 * n0 * seen * (n - seen), 1e-9)
+    best = np.argsort(-chi2, kind="stable")[:MAX_WORDS]
+    return np.sort(best[chi2[best] >= MIN_CHI2])
 
 
 @dataclass
@@ -188,33 +193,218 @@ def _platt(z: np.ndarray, y: np.ndarray) -> np.ndarray:
     return logistic(z[:, None], y, l2=0.05, steps=150) if len(set(y.tolist())) == 2 else np.array([1.0, 0.0])
 
 
-def co_train(s: Sample, name: str, rounds: int = ROUNDS) -> Head:
-    given = s.labels[name].astype(float)
-    fit_rows, held = (given >= 0) & ~s.held, (given >= 0) & s.held
-    known = given[fit_rows]
-    if len(set(known.tolist())) < 2:
-        share = float(known.mean()) if len(known) else 0.5
-        const = np.log((share * 100 + 1) / ((1 - share) * 100 + 1))
-        return Head(np.zeros(0, np.int64), np.zeros(N_EXTRA + 1), np.zeros(N_META + 1), np.array([1.0, 0.0, 1.0, 0.0]), np.array([0.0, 0.0, const]))
-    labels = [np.where(fit_rows, given, -1.0), np.where(fit_rows, given, -1.0)]  # content, metadata
-    words = s.telling_words(np.where(fit_rows, given, -1))
-    for r in range(rounds + 1):
-        if r > 0:
-            words = s.telling_words(labels[0])
-        views = [s.presence(words), s.meta]
-        w = [logistic(v[y >= 0], y[y >= 0]) for v, y in zip(views, labels)]
-        z = [apply(a, v) for a, v in zip(w, views)]
-        cal = [_platt(q[held], given[held]) for q in z]
-        if r == rounds:
-            break
-        p = [sigmoid(c[0] * q + c[1]) for c, q in zip(cal, z)]
+@dataclass
+class Views:
+    """Both views of one head after a round."""
+
+    words: np.ndarray
+    content: np.ndarray
+    meta: np.ndarray
+    calibration: np.ndarray
+
+
+def content_logit(words, w, row, code, extra) -> np.ndarray:
+    n = len(words)
+    z = extra @ w[n:n + N_EXTRA] + w[-1]
+    if n:
+        at = np.minimum(np.searchsorted(words, code), n - 1)
+        hit = words[at] == code
+        z = z + np.bincount(row[hit], w[at[hit]], minlength=len(extra))
+    return z
+
+
+def pseudo_labels(rounds: list[Views], row, code, extra, meta) -> np.ndarray:
+    """(2, rows): labels handed to the content and to the metadata view, each by the other in the first round in which
+    it was sure (-1: none)."""
+    y = np.full((2, len(meta)), -1, np.int64)
+    for v in rounds:
+        c = v.calibration
+        p = (sigmoid(c[0] * content_logit(v.words, v.content, row, code, extra) + c[1]), sigmoid(c[2] * apply(v.meta, meta) + c[3]))
         for view in (0, 1):
-            other = 1 - view
-            sure = (given < 0) & (labels[other] < 0) & (np.minimum(p[view], 1 - p[view]) < CONFIDENT)
-            labels[other] = np.where(sure, (p[view] > 0.5).astype(float), labels[other])
-    logits = np.column_stack([cal[0][0] * z[0] + cal[0][1], cal[1][0] * z[1] + cal[1][1]])
-    blend = logistic(logits[held], given[held], l2=0.05, steps=300) if len(set(given[held].tolist())) == 2 else np.array([0.5, 0.5, 0.0])
-    return Head(words, w[0], w[1], np.concatenate(cal), blend)
+            sure = (y[1 - view] < 0) & (np.minimum(p[view], 1 - p[view]) < CONFIDENT)
+            y[1 - view][sure] = p[view][sure] > 0.5
+    return y
+
+
+def _pool_features(batches):
+    for batch in batches:
+        buf, offsets = tk.text_buffer(batch.column("text"))
+        for lo, hi, part, off in tk.slices(buf, offsets):
+            row, code = word_codes(part, off)
+            extra = repetition(row, code, hi - lo)
+            both = np.unique((row << WORD_BITS) | code)
+            yield both >> WORD_BITS, both & ((1 << WORD_BITS) - 1), extra, _meta_of(batch, lo, hi, part, off)
+
+
+def pool_counts(pool: DataFrame, rounds: dict[str, list[Views]]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """``Sample.counts`` over the pool's labels for the content view; rows by class have the code -1."""
+    shared = pool.sparkSession.sparkContext.broadcast(rounds)
+
+    def work(batches):
+        names = list(shared.value)
+        per = np.zeros((len(names), 2, 1 << WORD_BITS), np.int64)
+        rows = np.zeros((len(names), 2), np.int64)
+        for row, code, extra, meta in _pool_features(batches):
+            for i, h in enumerate(names):
+                y = pseudo_labels(shared.value[h], row, code, extra, meta)[0]
+                for c in (0, 1):
+                    np.add.at(per[i, c], code[y[row] == c], 1)
+                    rows[i, c] += (y == c).sum()
+        for i, h in enumerate(names):
+            at = np.flatnonzero(per[i].any(axis=0))
+            cols = [np.concatenate([[-1], at]), *(np.concatenate([[rows[i, c]], per[i, c, at]]) for c in (0, 1))]
+            yield pa.RecordBatch.from_arrays([pa.array([h] * len(cols[0])), *map(pa.array, cols)], names=["head", "code", "n0", "n1"])
+
+    # at most one row a head and code reaches the driver
+    found = map_arrow(pool, work, "head string, code long, n0 long, n1 long").groupBy("head", "code").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
+    head, code = np.array(found.column("head").to_pylist(), object), found.column("code").to_numpy()
+    n = np.stack([found.column(c).to_numpy() for c in ("n0", "n1")])
+    out = {}
+    for h in rounds:
+        per, rows = np.zeros((2, 1 << WORD_BITS)), np.zeros(2)
+        is_word, total = (head == h) & (code >= 0), (head == h) & (code < 0)
+        per[:, code[is_word]] = n[:, is_word]
+        out[h] = per, rows + n[:, total].sum(axis=1)
+    return out
+
+
+def compact(pool: DataFrame, rounds: dict[str, list[Views]], words: dict[str, np.ndarray]) -> DataFrame:
+    """(y, at, extra, meta) of the pool's rows that have a label: what the Newton steps read. ``at`` are places in the
+    sorted union of the heads' words."""
+    union = np.unique(np.concatenate(list(words.values()))).astype(np.int64)
+    shared = pool.sparkSession.sparkContext.broadcast((rounds, union))
+
+    def work(batches):
+        rounds, union = shared.value
+        for row, code, extra, meta in _pool_features(batches):
+            y = np.concatenate([pseudo_labels(v, row, code, extra, meta) for v in rounds.values()]).astype(np.int8)
+            use = np.flatnonzero((y >= 0).any(axis=0))
+            if len(union):
+                at = np.minimum(np.searchsorted(union, code), len(union) - 1)
+                hit = union[at] == code
+                row, at = row[hit], at[hit].astype(np.int16)
+            else:
+                row, at = row[:0], np.zeros(0, np.int16)
+            first = np.searchsorted(row, np.arange(len(meta) + 1))
+            cells = lambda f: pa.array([f(i) for i in use], pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [cells(lambda i: y[:, i].tobytes()), cells(lambda i: at[first[i]:first[i + 1]].tobytes()),
+                 cells(lambda i: extra[i].astype(np.float32).tobytes()), cells(lambda i: meta[i].astype(np.float32).tobytes())], names=["y", "at", "extra", "meta"])
+
+    return written(map_arrow(pool, work, "y binary, at binary, extra binary, meta binary"), "exchange")
+
+
+def _sums(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Loss, gradient and curvature of rows ``x`` with labels ``y`` at ``w`` (bias last), in one array."""
+    x = np.concatenate([x, np.ones((len(x), 1), np.float32)], axis=1, dtype=np.float32)
+    z = x @ w
+    p = sigmoid(z)
+    curve = x.T @ (x * (p * (1 - p)).astype(np.float32)[:, None])
+    return np.concatenate([[np.sum(np.logaddexp(0, z) - y * z)], x.T @ (p - y), curve.astype(float).ravel()])
+
+
+def _pool_sums(rows: DataFrame, words: dict[str, np.ndarray], w: dict) -> dict:
+    """``_sums`` over the compact rows for every (head, view) in ``w``, added up in tasks."""
+    shared = rows.sparkSession.sparkContext.broadcast((words, w))
+
+    def work(batches):
+        words, w = shared.value
+        union = np.unique(np.concatenate(list(words.values()))).astype(np.int64)
+        names, out = list(words), {}
+        for batch in batches:
+            for lo in range(0, len(batch), 2048):
+                part = batch.slice(lo, 2048)
+                cells = [part.column(c).to_pylist() for c in range(4)]
+                y = np.frombuffer(b"".join(cells[0]), np.int8).reshape(len(part), -1)
+                at = np.frombuffer(b"".join(cells[1]), np.int16)
+                x = np.zeros((len(part), len(union)), np.float32)
+                x[np.repeat(np.arange(len(part)), [len(c) // 2 for c in cells[1]]), at] = 1
+                extra, meta = (np.frombuffer(b"".join(c), np.float32).reshape(len(part), -1) for c in cells[2:])
+                for h, view in w:
+                    own = y[:, 2 * names.index(h) + view]
+                    use = own >= 0
+                    if use.any():
+                        seen = meta[use] if view else np.concatenate([x[use][:, np.searchsorted(union, words[h])], extra[use]], axis=1)
+                        out[h, view] = out.get((h, view), 0) + _sums(seen, own[use], w[h, view])
+        for (h, view), v in out.items():
+            yield pa.RecordBatch.from_arrays([pa.array([f"{h} {view}"]), pa.array([v.tobytes()], pa.binary())], names=["k", "v"])
+
+    def add(batches):
+        out = {}
+        for batch in batches:
+            for k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                out[k] = out.get(k, 0) + np.frombuffer(v)
+        for k, v in out.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([v.tobytes()], pa.binary())], names=["k", "v"])
+
+    schema = "k string, v binary"
+    found = map_arrow(map_arrow(rows, work, schema).repartition("k"), add, schema).collect()  # one row a head and view
+    return {(r.k.split()[0], int(r.k.split()[1])): np.frombuffer(r.v) for r in found}
+
+
+def newton(own: dict, rows: DataFrame, words: dict[str, np.ndarray], start: dict) -> dict:
+    """Weights per (head, view) of the regularised logistic regression on the rows ``own`` (x, y) and the compact rows."""
+    w, last, step, done = dict(start), {}, {}, set()
+    for _ in range(NEWTON_STEPS):
+        open_ = {k: v for k, v in w.items() if k not in done}
+        if not open_:
+            break
+        pool = _pool_sums(rows, words, open_)
+        for k, v in open_.items():
+            d = len(v)
+            total = _sums(*own[k], v) + pool.get(k, 0)
+            damp = np.full(d, 1.0)
+            damp[-1] = 1e-3
+            loss = total[0] + 0.5 * np.sum(damp * v * v)
+            if k in last and loss > last[k] + 1e-6 * abs(last[k]):  # too far: half the step
+                step[k] = step[k] / 2
+                w[k] = v - step[k]
+                continue
+            g, curve = total[1:d + 1] + damp * v, total[d + 1:].reshape(d, d) + np.diag(damp)
+            move = np.linalg.solve(curve, -g)
+            last[k], step[k] = loss, move
+            w[k] = v + move
+            if -g @ move < 2 * NEWTON_ENOUGH:
+                done.add(k)
+    return w
+
+
+def co_train(s: Sample, pool: DataFrame, rounds: int = ROUNDS) -> dict[str, Head]:
+    """Both heads; the pool's passes serve them together."""
+    out, rows = {}, {}
+    for name in HEADS:
+        given = s.labels[name].astype(float)
+        fit_rows, held = (given >= 0) & ~s.held, (given >= 0) & s.held
+        known = given[fit_rows]
+        if len(set(known.tolist())) < 2:
+            share = float(known.mean()) if len(known) else 0.5
+            const = np.log((share * 100 + 1) / ((1 - share) * 100 + 1))
+            out[name] = Head(np.zeros(0, np.int64), np.zeros(N_EXTRA + 1), np.zeros(N_META + 1), np.array([1.0, 0.0, 1.0, 0.0]), np.array([0.0, 0.0, const]))
+        else:
+            rows[name] = given, fit_rows, held
+    done = {h: [] for h in rows}
+    logits = {}
+    for r in range((rounds + 1) if rows else 0):
+        counts = {h: s.counts(np.where(fit_rows, given, -1)) for h, (given, fit_rows, _) in rows.items()}
+        if r > 0:
+            more = pool_counts(pool, done)
+            counts = {h: tuple(x + y for x, y in zip(counts[h], more[h])) for h in rows}
+        words = {h: telling_words(*counts[h]) for h in rows}
+        views = {h: (s.presence(words[h]), s.meta) for h in rows}
+        own = {(h, k): (views[h][k][rows[h][1]].astype(np.float32), rows[h][0][rows[h][1]]) for h in rows for k in (0, 1)}
+        w = {k: logistic(*own[k]) for k in own}
+        if r > 0:
+            w = newton(own, compact(pool, done, words), words, w)
+        for h, (given, _, held) in rows.items():
+            z = [apply(w[h, k], views[h][k]) for k in (0, 1)]
+            cal = [_platt(q[held], given[held]) for q in z]
+            done[h].append(Views(words[h], w[h, 0], w[h, 1], np.concatenate(cal)))
+            logits[h] = np.column_stack([c[0] * q + c[1] for c, q in zip(cal, z)])
+    for h, (given, _, held) in rows.items():
+        blend = logistic(logits[h][held], given[held], l2=0.05, steps=300) if len(set(given[held].tolist())) == 2 else np.array([0.5, 0.5, 0.0])
+        v = done[h][-1]
+        out[h] = Head(v.words, v.content, v.meta, v.calibration, blend)
+    return out
 
 
 FEATURE_SCHEMA = "doc_id long, words array<long>, extra array<double>, meta array<double>, quality int, toxic int"
@@ -254,16 +444,29 @@ def _features(batches):
                 names=["doc_id", "words", "extra", "meta", "quality", "toxic"])
 
 
-def draw_sample(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS, pool_rows: int = POOL_ROWS) -> Sample:
-    """The bounded rows for fitting, with the features of their whole texts."""
-    # ids beyond the bound never leave the executors: both picks are top-k by a hash of the id
-    picked = (labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & F.col("toxic").isNotNull())
-              .groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"), F.max("toxic").cast("int").alias("toxic")))
+def _picked(labels: DataFrame) -> DataFrame:
+    return (labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & F.col("toxic").isNotNull())
+            .groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"), F.max("toxic").cast("int").alias("toxic")))
+
+
+def _least(df: DataFrame, n: int) -> DataFrame:
+    # ids beyond the bound never leave the executors: a top-k by a hash of the id
+    return df.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(n)
+
+
+def unlabelled(docs: DataFrame, labels: DataFrame, pool_rows: int | None = None) -> DataFrame:
+    """All documents with an id and without a label (or ``pool_rows`` ids of them)."""
+    picked = written(_picked(labels).select("doc_id"), "labelled")
+    pool = _columns(docs).where(F.col("doc_id").isNotNull()).join(broadcast_if(picked, BROADCAST_IDS), "doc_id", "left_anti")
+    if pool_rows is None:
+        return pool
+    return pool.join(F.broadcast(_least(pool.select("doc_id").distinct(), pool_rows)), "doc_id", "left_semi")
+
+
+def draw_sample(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS) -> Sample:
+    """The bounded labelled rows for fitting, with the features of their whole texts."""
     ids = docs.select("doc_id").where(F.col("doc_id").isNotNull()).distinct()
-    least = lambda df, n: df.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(n)
-    known = least(picked.join(ids, "doc_id", "left_semi"), labelled_rows)
-    pool = least(ids.join(picked, "doc_id", "left_anti"), pool_rows).select("doc_id", F.lit(-1).alias("quality"), F.lit(-1).alias("toxic"))
-    chosen = known.unionByName(pool)
+    chosen = _least(_picked(labels).join(ids, "doc_id", "left_semi"), labelled_rows)
     table = (map_arrow(_columns(docs).join(F.broadcast(chosen), "doc_id"), _features, FEATURE_SCHEMA)).toArrow()
     order = np.argsort(table.column("doc_id").to_numpy(), kind="stable")
     table = table.take(pa.array(order))
@@ -276,18 +479,12 @@ def draw_sample(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLE
     return Sample(np.repeat(np.arange(len(doc)), lens), words.flatten().to_numpy(), extra, meta, {h: table.column(h).to_numpy() for h in HEADS}, held)
 
 
-def fit(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS, pool_rows: int = POOL_ROWS) -> dict[str, Head]:
-    s = draw_sample(docs, labels, labelled_rows, pool_rows)
-    return {h: co_train(s, h) for h in HEADS}
+def fit(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS, pool_rows: int | None = None) -> dict[str, Head]:
+    return co_train(draw_sample(docs, labels, labelled_rows), unlabelled(docs, labels, pool_rows))
 
 
 def head_logit(head: Head, row: np.ndarray, code: np.ndarray, extra: np.ndarray, meta: np.ndarray) -> np.ndarray:
-    n = len(head.words)
-    z = extra @ head.content[n:n + N_EXTRA] + head.content[-1]
-    if len(head.words):
-        at = np.minimum(np.searchsorted(head.words, code), len(head.words) - 1)
-        hit = head.words[at] == code
-        z = z + np.bincount(row[hit], head.content[at[hit]], minlength=len(meta))
+    z = content_logit(head.words, head.content, row, code, extra)
     c = head.calibration
     return head.blend[0] * (c[0] * z + c[1]) + head.blend[1] * (c[2] * apply(head.meta, meta) + c[3]) + head.blend[2]
 
