@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from tabletwin.llm import decontam, jaccard, mixing, pii, quality, recompress, rules, secrets, sharding, suffix
+from tabletwin.llm import bitplane, bpe, decontam, jaccard, mixing, phrases, pii, quality, recompress, rules, secrets, sharding, suffix
 from tabletwin.llm.store import source_table
 
 SHARDS = 24
@@ -58,5 +59,40 @@ def op10_sharding(spark, sf_dir):
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
-QUERIES = {"op1_pii": op1_pii, "op2_jaccard_join": op2_jaccard_join, "op3_suffix_dedup": op3_suffix_dedup, "op4_mixing": op4_mixing, "op5_quality_rules": op5_quality_rules, "op6_quality_classifier": op6_quality_classifier, "op7_decontamination": op7_decontamination, "op8_secrets": op8_secrets, "op9_substring_dedup": op9_substring_dedup, "op10_sharding": op10_sharding}
-ORACLE = {"op4_mixing": mixing.MIX_SQL, "op9_substring_dedup": recompress.CLEAN_SQL}
+
+def op11_bpe(spark, sf_dir):
+    ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    out = bpe.decode(bpe.encode(source_table(spark, sf_dir, "documents"), ranks, pattern), ranks, pattern)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_bitplane_clusters(spark, sf_dir):
+    out = bitplane.cluster(source_table(spark, sf_dir, "embeddings"), clusters=40, rounds=5, salt="2:")
+    code = F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256)
+    return out.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", code.alias("centroid_sha256"))
+
+
+def op13_collocations(spark, sf_dir):
+    return phrases.collocations(source_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op1_pii": op1_pii,
+    "op2_jaccard_join": op2_jaccard_join,
+    "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_mixing": op4_mixing,
+    "op5_quality_rules": op5_quality_rules,
+    "op6_quality_classifier": op6_quality_classifier,
+    "op7_decontamination": op7_decontamination,
+    "op8_secrets": op8_secrets,
+    "op9_substring_dedup": op9_substring_dedup,
+    "op10_sharding": op10_sharding,
+    "op11_bpe": op11_bpe,
+    "op12_bitplane_clusters": op12_bitplane_clusters,
+    "op13_collocations": op13_collocations,
+}
+ORACLE = {
+    "op4_mixing": mixing.MIX_SQL,
+    "op9_substring_dedup": recompress.CLEAN_SQL,
+    "op12_bitplane_clusters": bitplane.cluster_sql(),
+}
