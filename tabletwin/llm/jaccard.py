@@ -15,11 +15,18 @@ come out, also those within a large group of near copies (whose number grows wit
 many documents are dealt into blocks, and each pair of blocks is a task's tile of its own. A pair meets once in most
 cases: a tile leaves it out if one of the first shingles of both, before the tile's, has already made it meet.
 
-Where only components are wanted (``keep_one``), a spanning set of links is enough: near copies are first joined along
+Components need only a spanning set of links (``keep_one``, ``component_rows``): near copies are first joined along
 stars around the least and the largest member of equal min-hashes, and tiles then compare only documents that no link
-has joined yet. The stars' components also deal the candidate pairs into blocks that share their arrays.
+has joined yet.
 
-Results are links between class representatives, the number of them per document, membership, and component numbers.
+The number of links of each document needs no links as rows (``link_counts``). Every link lies within a component, so a
+component's documents are dealt into bands of size and these into blocks; each pair of blocks whose sizes can link is
+a tile of its own, where bitmaps bound and sorted arrays decide all its pairs, and one number per document leaves it.
+A pair of documents meets in exactly one tile. A large group of near copies is spread over its tiles, and what travels
+is its arrays, once for each tile of their block.
+
+``join(docs).links`` lists all links between class representatives; their number, as that of any such list, grows
+with the square of a group of near copies.
 
 Cases: null and empty texts have empty sets and link with nothing; rows without an id link with nothing and have no
 component; rows that repeat an id are one document; very long texts are read whole; an empty table gives an empty
@@ -62,6 +69,9 @@ SMALL_TILE = 8
 TILE_BLOCK = 512
 #: The first shingles by which a tile knows that a pair has met before.
 HEAD = 4
+#: Documents of a block of a component (and at most BLOCK_SHINGLES shingles); bands of size by this factor, a little more
+#: than 1.25, so that documents that link are in one band or in neighbouring ones.
+COUNT_BLOCK, BAND = 512, 1.26
 #: Documents and shingles of one block whose arrays meet those of another (or its own) in a task.
 PAIR_BLOCK, BLOCK_SHINGLES = 64, 1 << 20
 
@@ -300,13 +310,19 @@ class Block:
             self.sets.append(s)
 
     def _all(self) -> np.ndarray:
-        """Intersection sizes of all pairs, a slice of the shingles at a time."""
+        """Intersection sizes of all pairs of two, a slice of the shingles at a time."""
         m = len(self.sets)
         code, doc = np.concatenate(self.sets), np.repeat(np.arange(m), [len(s) for s in self.sets])
         order = np.argsort(code, kind="stable")
         code, doc = code[order], doc[order]
-        column = np.cumsum(np.concatenate([[False], code[1:] != code[:-1]]))
         out = np.zeros((m, m))
+        # shingles of one document only are in no intersection of two
+        same = code[1:] == code[:-1]
+        shared = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+        code, doc = code[shared], doc[shared]
+        if len(code) == 0:
+            return out.astype(np.int64)
+        column = np.cumsum(np.concatenate([[False], code[1:] != code[:-1]]))
         for lo in range(0, int(column[-1]) + 1, 4096):
             s, e = np.searchsorted(column, [lo, lo + 4096])
             x = np.zeros((m, 4096), np.float32)
@@ -521,6 +537,7 @@ class Join:
     members: DataFrame  # doc_id, n, rep (least id with the same set; itself if the set is empty), copied
     links: DataFrame  # a, b, common: all links between representatives (spanning: enough of them for every component)
     parts: DataFrame  # node, component: representatives with links
+    arrays: DataFrame  # doc_id, shingles: the sorted shingles of the representatives that were compared, all in parts
 
 
 def join(docs: DataFrame, spanning: bool = False) -> Join:
@@ -552,13 +569,13 @@ def join(docs: DataFrame, spanning: bool = False) -> Join:
     known = known.union(written(arrays(docs, missing), "arrays"))
     if spanning:
         links = first.union(written(by_arrays(more, known), "links"))
-        return Join(members, links, written(components(links.union(_same_id(members))), "parts"))
+        return Join(members, links, written(components(links.union(_same_id(members))), "parts"), known)
     links = written(by_blocks(more, known, parted.select("doc_id", "n", "part")), "links")
     # components need one link between two parts
     of = lambda s: part.select(F.col("node").alias(s), F.col("component").alias(f"c_{s}"))
     between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b")).where("a != b").distinct()
     edges = first.select("a", "b").union(between).union(_same_id(members).select("a", "b"))
-    return Join(members, links, written(components(edges), "parts"))
+    return Join(members, links, written(components(edges), "parts"), known)
 
 
 def _unique(members: DataFrame) -> bool:
@@ -576,13 +593,92 @@ def _component_rows(j: Join) -> DataFrame:
     return out.select("m.doc_id", F.col("m.n").alias("n_shingles"), F.coalesce("p.component", "m.rep").alias("component_id"), "m.rep")
 
 
+def _tile_links(shingles: list[np.ndarray], side: np.ndarray) -> np.ndarray:
+    """Links of each document of a tile: with all others of side 0, or with those of the other side (1, 2)."""
+    order = np.argsort([len(s) for s in shingles], kind="stable")
+    held, side = [shingles[i] for i in order], side[order]
+    n = np.array([len(s) for s in held])
+    maps = Bitmaps([bitmap(s) for s in held])
+    x, y = [], []
+    for i in range(len(held)):
+        hi = int(np.searchsorted(4 * n, 5 * n[i], side="right"))
+        other = np.arange(i + 1, hi)
+        other = other[(side[i] == 0) | (side[other] != side[i])]
+        if len(other):
+            differ = maps.different(i, i + 1, hi)[other - i - 1]
+            other = other[NUM * (n[i] + n[other] - differ) >= 2 * DEN * (n[i] + n[other])]
+        if len(other):
+            x.append(np.full(len(other), i))
+            y.append(other)
+    found = np.zeros(len(held), np.int64)
+    if x:
+        block = Block()
+        block.add(range(len(held)), held)
+        a, b, _ = block.links(np.concatenate(x), np.concatenate(y))
+        np.add.at(found, a, 1)
+        np.add.at(found, b, 1)
+    out = np.zeros(len(held), np.int64)
+    out[order] = found
+    return out
+
+
+TILE = ["component", "band", "kind", "i", "j"]
+
+
+def link_counts(j: Join) -> DataFrame:
+    """(rep, n_links) of every representative with links: the links with other representatives."""
+    size = F.octet_length("shingles") / 8
+    nodes = j.parts.join(j.arrays.select(F.col("doc_id").alias("node"), size.cast("long").alias("n")), "node").where("n > 0")
+    nodes = written(nodes.select("node", "component", "n", F.floor(F.log(F.col("n")) / F.log(F.lit(BAND))).cast("int").alias("band")), "sized")
+    room = lambda c, s: F.ceil(F.greatest(c / COUNT_BLOCK, s / BLOCK_SHINGLES)).cast("long")
+    per = nodes.groupBy("component", "band").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
+    whole = per.groupBy("component").agg(room(F.sum("c"), F.sum("s")).alias("all"))
+    per = written(per.join(whole, "component").select("component", "band", room(F.col("c"), F.col("s")).alias("blocks"), "all"), "bands")
+    own = nodes.join(per, ["component", "band"]).withColumn("mine", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")))
+    # a component of one block's size is a tile as it is
+    small = own.where("all = 1").select("node", "component", F.lit(-1).alias("band"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), F.lit(0).alias("side"))
+    large = own.where("all > 1")
+    to = lambda blocks: F.explode(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1))
+    inner = large.select("*", to("blocks").alias("other")).select(
+        "node", "component", "band", F.lit(0).alias("kind"), F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"),
+        F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2).alias("side"))
+    next_to = lambda step: large.join(per.select("component", (F.col("band") - step).alias("band"), F.col("blocks").alias("theirs")), ["component", "band"])
+    above = next_to(1).select("*", to("theirs").alias("other")).select("node", "component", "band", F.lit(1).alias("kind"), F.col("mine").alias("i"), F.col("other").alias("j"), F.lit(1).alias("side"))
+    below = next_to(-1).select("*", to("theirs").alias("other")).select("node", "component", (F.col("band") - 1).alias("band"), F.lit(1).alias("kind"), F.col("other").alias("i"), F.col("mine").alias("j"), F.lit(2).alias("side"))
+    dealt = small.union(inner).union(above).union(below)
+    sent = dealt.join(j.arrays.withColumnRenamed("doc_id", "node"), "node").select(*TILE, "node", "side", "shingles")
+
+    def work(batches):
+        key, nodes, sides, held = None, [], [], []
+
+        def close():
+            n = _tile_links(held, np.array(sides))
+            some = np.flatnonzero(n)
+            return pa.RecordBatch.from_arrays([pa.array(np.array(nodes, np.int64)[some]), pa.array(n[some])], names=["rep", "n"])
+
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in range(len(TILE)))))
+            for at, (k, node, side) in enumerate(zip(keys, batch.column(5).to_pylist(), batch.column(6).to_pylist())):
+                if k != key:
+                    if len(held) > 1:
+                        yield close()
+                    key, nodes, sides, held = k, [], [], []
+                nodes.append(node)
+                sides.append(side)
+                held.append(np.frombuffer(batch.column(7)[at].as_py(), np.uint64))
+        if len(held) > 1:
+            yield close()
+
+    counts = map_arrow(sent.repartition(*TILE).sortWithinPartitions(*TILE), work, "rep long, n long")
+    return counts.groupBy("rep").agg(F.sum("n").alias("n_links"))
+
+
 def component_rows(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, rep, n_links) for every row of ``docs``; n_links: links of its representative
     with other representatives, that is different sets that its own links with (null id or empty set: none)."""
-    j = join(docs)
-    per = j.links.select(F.col("a").alias("rep")).union(j.links.select("b")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
+    j = join(docs, spanning=True)
     rows = _component_rows(j)
-    return rows.join(per, "rep", "left").select(*rows.columns, F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    return rows.join(link_counts(j), "rep", "left").select(*rows.columns, F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

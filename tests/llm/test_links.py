@@ -36,7 +36,7 @@ def brute_links(rows):
 
 def test_all_links_and_counts(spark, monkeypatch):
     # every route: frequent shingles, tiles in blocks, arrays in blocks
-    for name, value in (("FREQUENT_LEAST", 3), ("SMALL_TILE", 3), ("TILE_BLOCK", 6), ("PAIR_BLOCK", 4)):
+    for name, value in (("FREQUENT_LEAST", 3), ("SMALL_TILE", 3), ("TILE_BLOCK", 6), ("PAIR_BLOCK", 4), ("COUNT_BLOCK", 5)):
         monkeypatch.setattr(jaccard, name, value)
     rows = near_copies()
     want, rep = brute_links(rows)
@@ -50,3 +50,24 @@ def test_all_links_and_counts(spark, monkeypatch):
     parts = brute.jaccard_rows(rows)
     assert got == {d: (*parts[d], per[rep[brute.shingles(t)]] if brute.shingles(t) else 0) for d, t in rows}
     assert len(want) > 2 * len(rep)  # far more links than span the components
+
+
+def test_counts_of_one_block_and_of_many(spark, monkeypatch):
+    """Components within one tile, and components whose bands of size are several blocks."""
+    rows = near_copies()
+    want, rep = brute_links(rows)
+    per = Counter(x for pair in want for x in pair)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    j = jaccard.join(docs, spanning=True)
+    for block in (512, 9, 1):
+        monkeypatch.setattr(jaccard, "COUNT_BLOCK", block)
+        got = {r.rep: r.n_links for r in jaccard.link_counts(j).collect()}
+        assert got == dict(per)
+
+
+def test_bands_hold_all_links():
+    import math
+
+    band = lambda n: math.floor(math.log(n) / math.log(jaccard.BAND))
+    for n in list(range(1, 3000)) + [10**k for k in range(4, 12)]:
+        assert band(n * 5 // 4) - band(n) <= 1
