@@ -1,7 +1,7 @@
 """Phrase collocations: exact n-gram counts from one FM-index per shard of words, summed across shards.
 
 Every task cuts its texts into shards of at most about ``SHARD`` words (cuts fall between pieces, which phrases do not
-cross). A shard becomes two Burrows-Wheeler texts over word ids, of the words and of their reverse, both sorted to a
+cross), and holds twice that at most over all languages. A shard becomes two Burrows-Wheeler texts over word ids, of the words and of their reverse, both sorted to a
 depth of four words, which is as deep as phrases go. A phrase is a pair of intervals, one in each. Its neighbours on
 the left stand in the first text's interval, those on the right in the second's, with their counts, and extending the
 phrase by one of them moves both intervals. So one word grows to the left, then to the right, then to the left.
@@ -22,6 +22,8 @@ table, or one without candidates, gives an empty result.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,7 +33,7 @@ from tabletwin.llm import tokens
 from tabletwin.llm.store import map_arrow, written
 from tabletwin.operators.topk import top_k_per_group
 
-SHARD = 1 << 21
+SHARD = 1 << 20
 SIDE_ROWS = 1_000_000
 DEPTH = 4
 
@@ -173,13 +175,11 @@ def _shard_rows(batches):
 
     def build(lang: str):
         nonlocal made, task
-        import uuid
-
         task = task or uuid.uuid4().hex
         parts = held.pop(lang)
         size.pop(lang)
         h, h2, letters = (np.concatenate([p[i] for p in parts]) for i in (0, 1, 2))
-        at = np.concatenate([[0], np.cumsum(letters)])
+        at = np.concatenate([[0], np.cumsum(letters, dtype=np.int64)])
         buf = np.concatenate([p[3] for p in parts])
         h, h2 = np.append(h, np.uint64(0)), np.append(h2, np.uint64(0))
         first, text = numbered(h, h2)
@@ -198,7 +198,7 @@ def _shard_rows(batches):
         return pa.RecordBatch.from_arrays(arrays, ["lang", "shard", "words", "h", "h2", "before", "after"])
 
     def add(lang, h, h2, letters, buf):
-        held.setdefault(lang, []).append((h, h2, letters, buf))
+        held.setdefault(lang, []).append((h.copy(), h2.copy(), letters, buf.copy()))  # not the whole slice
         size[lang] = size.get(lang, 0) + len(h)
 
     for batch in batches:
@@ -218,10 +218,12 @@ def _shard_rows(batches):
                     room = SHARD - size.get(lang, 0)
                     k = np.searchsorted(border, lo + max(room, 1))
                     hi = len(h) if lo + room >= len(h) or k == len(border) else int(border[k])
-                    add(lang, h[lo:hi], h2[lo:hi], letters[lo:hi], solid[where[lo]:where[hi]])
+                    add(lang, h[lo:hi], h2[lo:hi], letters[lo:hi].astype(np.int32), solid[where[lo]:where[hi]])
                     lo = hi
                     if size[lang] >= SHARD:
                         yield build(lang)
+                    elif sum(size.values()) >= 2 * SHARD:
+                        yield build(max(size, key=size.get))
     for lang in list(held):
         yield build(lang)
 
