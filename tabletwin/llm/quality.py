@@ -154,6 +154,7 @@ class Sample:
     meta: np.ndarray
     labels: dict[str, np.ndarray]
     held: np.ndarray
+    table: DataFrame  # the same rows, written: words, quality, toxic, held
 
     def presence(self, words: np.ndarray) -> np.ndarray:
         x = np.zeros((len(self.meta), len(words) + N_EXTRA), np.float32)
@@ -165,19 +166,25 @@ class Sample:
         x[self.row[hit], at[hit]] = 1.0
         return x
 
-    def counts(self, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows with each word by class (0, 1) of ``y`` (-1: none), and rows by class."""
-        per = np.stack([np.bincount(self.word[y[self.row] == c], minlength=1 << WORD_BITS) for c in (0, 1)])
-        return per.astype(float), np.array([(y == 0).sum(), (y == 1).sum()], float)
+    def counts(self, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Words, rows with each of them by class (0, 1) of ``y`` (-1: none), and rows by class."""
+        codes, place = np.unique(self.word, return_inverse=True)
+        per = np.stack([np.bincount(place[y[self.row] == c], minlength=len(codes)) for c in (0, 1)])
+        return codes, per.astype(float), np.array([(y == 0).sum(), (y == 1).sum()], float)
 
 
-def telling_words(per: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Sorted codes of the words whose presence depends most on the label."""
-    (neg, pos), (n0, n1) = per, rows
+def chi_square(neg, pos, n0, n1, most=np.maximum):
+    """Dependence of a word's presence on the class, from rows with the word and all rows of each class."""
     n, seen = n1 + n0, pos + neg
-    chi2 = n * (pos * (n0 - neg) - neg * (n1 - pos)) ** 2 / np.maximum(n1 * n0 * seen * (n - seen), 1e-9)
+    off = pos * (n0 - neg) - neg * (n1 - pos)
+    return n * (off * off) / most(n1 * n0 * seen * (n - seen), 1e-9)
+
+
+def telling_words(codes: np.ndarray, per: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Sorted codes of the words whose presence depends most on the label (ties: smaller codes)."""
+    chi2 = chi_square(*per, *rows)
     best = np.argsort(-chi2, kind="stable")[:MAX_WORDS]
-    return np.sort(best[chi2[best] >= MIN_CHI2])
+    return np.sort(codes[best[chi2[best] >= MIN_CHI2]])
 
 
 @dataclass
@@ -236,8 +243,9 @@ def _pool_features(batches):
             yield both >> WORD_BITS, both & ((1 << WORD_BITS) - 1), extra, _meta_of(batch, lo, hi, part, off)
 
 
-def pool_counts(pool: DataFrame, rounds: dict[str, list[Views]]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """``Sample.counts`` over the pool's labels for the content view; rows by class have the code -1."""
+def pool_counts(pool: DataFrame, rounds: dict[str, list[Views]], sample: DataFrame) -> DataFrame:
+    """The written (head, code, n0, n1): rows with a word by class of the content view's labels, over the pool and the
+    sample's rows for fitting; rows by class have the code -1."""
     shared = pool.sparkSession.sparkContext.broadcast(rounds)
 
     def work(batches):
@@ -255,16 +263,25 @@ def pool_counts(pool: DataFrame, rounds: dict[str, list[Views]]) -> dict[str, tu
             cols = [np.concatenate([[-1], at]), *(np.concatenate([[rows[i, c]], per[i, c, at]]) for c in (0, 1))]
             yield pa.RecordBatch.from_arrays([pa.array([h] * len(cols[0])), *map(pa.array, cols)], names=["head", "code", "n0", "n1"])
 
-    # at most one row a head and code reaches the driver
-    found = map_arrow(pool, work, "head string, code long, n0 long, n1 long").groupBy("head", "code").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
-    head, code = np.array(found.column("head").to_pylist(), object), found.column("code").to_numpy()
-    n = np.stack([found.column(c).to_numpy() for c in ("n0", "n1")])
-    out = {}
+    found = map_arrow(pool, work, "head string, code long, n0 long, n1 long")
+    with_rows = F.explode(F.concat(F.array(F.lit(-1).cast("long")), "words")).alias("code")
+    of = lambda y, c: F.when(F.col(y) == c, 1).otherwise(0).cast("long").alias(f"n{c}")
     for h in rounds:
-        per, rows = np.zeros((2, 1 << WORD_BITS)), np.zeros(2)
-        is_word, total = (head == h) & (code >= 0), (head == h) & (code < 0)
-        per[:, code[is_word]] = n[:, is_word]
-        out[h] = per, rows + n[:, total].sum(axis=1)
+        given = sample.where(~F.col("held") & (F.col(h) >= 0)).select(F.lit(h).alias("head"), h, with_rows)
+        found = found.union(given.select("head", "code", of(h, 0), of(h, 1)))
+    out = written(found.groupBy("head", "code").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "word-counts")
+    shared.destroy()
+    return out
+
+
+def chosen_words(counts: DataFrame) -> dict[str, np.ndarray]:
+    """``telling_words`` of each head from counts that stay in Spark: at most MAX_WORDS rows a head reach the driver."""
+    out = {}
+    for r in counts.where("code < 0").collect():
+        neg, pos = F.col("n0").cast("double"), F.col("n1").cast("double")
+        chi2 = chi_square(neg, pos, F.lit(float(r.n0)), F.lit(float(r.n1)), lambda x, least: F.greatest(x, F.lit(least)))
+        best = counts.where((F.col("head") == r["head"]) & (F.col("code") >= 0)).select("code", chi2.alias("chi2")).where(F.col("chi2") >= MIN_CHI2)
+        out[r["head"]] = np.sort(np.array([x.code for x in best.orderBy(F.desc("chi2"), "code").limit(MAX_WORDS).collect()], np.int64))
     return out
 
 
@@ -291,7 +308,9 @@ def compact(pool: DataFrame, rounds: dict[str, list[Views]], words: dict[str, np
                 [cells(lambda i: y[:, i].tobytes()), cells(lambda i: at[first[i]:first[i + 1]].tobytes()),
                  cells(lambda i: extra[i].astype(np.float32).tobytes()), cells(lambda i: meta[i].astype(np.float32).tobytes())], names=["y", "at", "extra", "meta"])
 
-    return written(map_arrow(pool, work, "y binary, at binary, extra binary, meta binary"), "exchange")
+    out = written(map_arrow(pool, work, "y binary, at binary, extra binary, meta binary"), "exchange")
+    shared.destroy()
+    return out
 
 
 def _sums(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -338,7 +357,11 @@ def _pool_sums(rows: DataFrame, words: dict[str, np.ndarray], w: dict) -> dict:
             yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([v.tobytes()], pa.binary())], names=["k", "v"])
 
     schema = "k string, v binary"
-    found = map_arrow(map_arrow(rows, work, schema).repartition("k"), add, schema).collect()  # one row a head and view
+    # in two steps, so that no task adds up more than about the root of the number of tasks
+    groups = max(1, int(rows.rdd.getNumPartitions() ** 0.5))
+    each = map_arrow(rows, work, schema).withColumn("g", F.pmod(F.spark_partition_id(), F.lit(groups))).repartition("k", "g").select("k", "v")
+    found = map_arrow(map_arrow(each, add, schema).repartition("k"), add, schema).collect()  # one row a head and view
+    shared.destroy()
     return {(r.k.split()[0], int(r.k.split()[1])): np.frombuffer(r.v) for r in found}
 
 
@@ -385,11 +408,10 @@ def co_train(s: Sample, pool: DataFrame, rounds: int = ROUNDS) -> dict[str, Head
     done = {h: [] for h in rows}
     logits = {}
     for r in range((rounds + 1) if rows else 0):
-        counts = {h: s.counts(np.where(fit_rows, given, -1)) for h, (given, fit_rows, _) in rows.items()}
-        if r > 0:
-            more = pool_counts(pool, done)
-            counts = {h: tuple(x + y for x, y in zip(counts[h], more[h])) for h in rows}
-        words = {h: telling_words(*counts[h]) for h in rows}
+        if r == 0:
+            words = {h: telling_words(*s.counts(np.where(fit_rows, given, -1))) for h, (given, fit_rows, _) in rows.items()}
+        else:
+            words = chosen_words(pool_counts(pool, done, s.table))
         views = {h: (s.presence(words[h]), s.meta) for h in rows}
         own = {(h, k): (views[h][k][rows[h][1]].astype(np.float32), rows[h][0][rows[h][1]]) for h in rows for k in (0, 1)}
         w = {k: logistic(*own[k]) for k in own}
@@ -407,7 +429,7 @@ def co_train(s: Sample, pool: DataFrame, rounds: int = ROUNDS) -> dict[str, Head
     return out
 
 
-FEATURE_SCHEMA = "doc_id long, words array<long>, extra array<double>, meta array<double>, quality int, toxic int"
+FEATURE_SCHEMA = "doc_id long, words array<long>, extra array<double>, meta array<double>, quality int, toxic int, held boolean"
 _COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -440,8 +462,9 @@ def _features(batches):
             yield pa.RecordBatch.from_arrays(
                 [cut("doc_id"), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(code, pa.int64())),
                  pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1) * N_EXTRA, pa.int32()), pa.array(extra.ravel())),
-                 pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1) * N_META, pa.int32()), pa.array(meta.ravel())), cut("quality"), cut("toxic")],
-                names=["doc_id", "words", "extra", "meta", "quality", "toxic"])
+                 pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1) * N_META, pa.int32()), pa.array(meta.ravel())), cut("quality"), cut("toxic"),
+                 pa.array(tk.mix(cut("doc_id").to_numpy().astype(np.uint64) + np.uint64(77)) % np.uint64(4) == 0)],
+                names=[c.split()[0] for c in FEATURE_SCHEMA.split(", ")])
 
 
 def _picked(labels: DataFrame) -> DataFrame:
@@ -467,7 +490,8 @@ def draw_sample(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLE
     """The bounded labelled rows for fitting, with the features of their whole texts."""
     ids = docs.select("doc_id").where(F.col("doc_id").isNotNull()).distinct()
     chosen = _least(_picked(labels).join(ids, "doc_id", "left_semi"), labelled_rows)
-    table = (map_arrow(_columns(docs).join(F.broadcast(chosen), "doc_id"), _features, FEATURE_SCHEMA)).toArrow()
+    kept = written(map_arrow(_columns(docs).join(F.broadcast(chosen), "doc_id"), _features, FEATURE_SCHEMA), "sample")
+    table = kept.toArrow()
     order = np.argsort(table.column("doc_id").to_numpy(), kind="stable")
     table = table.take(pa.array(order))
     words = table.column("words").combine_chunks()
@@ -475,8 +499,10 @@ def draw_sample(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLE
     doc = table.column("doc_id").to_numpy()
     numbers = lambda name, width: table.column(name).combine_chunks().flatten().to_numpy().reshape(len(doc), width)
     meta, extra = numbers("meta", N_META), numbers("extra", N_EXTRA)
-    held = tk.mix(doc.astype(np.uint64) + np.uint64(77)) % np.uint64(4) == 0
-    return Sample(np.repeat(np.arange(len(doc)), lens), words.flatten().to_numpy(), extra, meta, {h: table.column(h).to_numpy() for h in HEADS}, held)
+    held = np.asarray(table.column("held").combine_chunks()).astype(bool)
+    # hashed words and rows fit 32 bits
+    word, row = words.flatten().to_numpy().astype(np.int32), np.repeat(np.arange(len(doc), dtype=np.int32), lens)
+    return Sample(row, word, extra, meta, {h: table.column(h).to_numpy() for h in HEADS}, held, kept)
 
 
 def fit(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS, pool_rows: int | None = None) -> dict[str, Head]:
