@@ -1,12 +1,8 @@
 """Distribution fits for numeric columns (FT1-FT12) from sufficient statistics.
 
-Every family is fitted by maximum likelihood with free loc and scale, as SciPy's ``fit`` does, but from
-aggregates computed in Spark (no per-row work on the driver):
-  * norm, expon, uniform: closed form from count, mean, population std, min, max;
-  * lognorm: for a fixed loc closed form from mean/std of ln(x - loc); loc searched on a grid that is
-    refined a few times; all grid points of one round are one aggregate;
-  * gamma: for a fixed loc the shape solves ln(a) - digamma(a) = ln(mean(x-loc)) - mean(ln(x-loc)); same grid;
-  * beta: loc/scale on a grid around [min, max], shapes by Newton on mean(ln z), mean(ln(1-z)).
+Every family is fitted by maximum likelihood with free loc and scale, from aggregates computed in Spark (no per-row work
+on the driver). norm, expon and uniform are closed forms of count, mean, population std, min and max, given here;
+lognorm, gamma and beta are searched for in ``fit_all``, for all columns at once.
 AIC = 2k - 2 logL with k = number of parameters including loc and scale; best = lowest AIC.
 """
 
@@ -15,13 +11,10 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabletwin.functions import special
 from tabletwin.functions.numeric import nan_to_null
-from tabletwin.session import spread
 
 # Fixed values that must equal the reference: candidate list, constant threshold, rounding of outputs.
 CANDIDATES = ("norm", "gamma", "beta", "lognorm", "expon", "uniform")
@@ -84,122 +77,18 @@ def best_closed_form(df: DataFrame, columns: Sequence[str], candidates: Sequence
         F.when(const, F.lit(None).cast("double")).otherwise(F.col("b.aic")).alias("aic"))
 
 
-# ---- fits with a loc search (driver solves small equations on aggregated numbers) ----------------
+def fit_column(df: DataFrame, col: str, candidates: Sequence[str] = CANDIDATES, ks: bool = False) -> dict:
+    """FT1-FT12 for one column: the best family by AIC as {name, params, aic}, with ``ks`` also ks_statistic and
+    ks_pvalue. Many columns at once: ``fit_all.fit_all``."""
+    from tabletwin.operators.fit_all import fit_all
+    from tabletwin.operators.profile import Profiler
 
-def _grid_stats(df: DataFrame, col: str, locs: list[float], with_sq: bool = True) -> list[tuple]:
-    """For each loc: (mean ln(x-loc), pop std of ln(x-loc), mean(x-loc)) in one aggregate."""
-    x = F.col(col).cast("double")
-    aggs = []
-    for i, lc in enumerate(locs):
-        lx = F.log(x - F.lit(lc))
-        aggs += [F.avg(lx).alias(f"l{i}"), F.stddev_pop(lx).alias(f"s{i}"), F.avg(x - F.lit(lc)).alias(f"d{i}")]
-    r = nan_to_null(df.select(col)).where(x.isNotNull()).agg(*aggs).first()
-    return [(r[f"l{i}"], r[f"s{i}"], r[f"d{i}"]) for i in range(len(locs))]
-
-
-def _loc_grid(lo: float, hi: float, k: int) -> list[float]:
-    return [float(v) for v in np.linspace(lo, hi, k)]
-
-
-def fit_lognorm_gamma(df: DataFrame, col: str, st: dict, rounds: int = 4, k: int = 12) -> list[dict]:
-    """FT5/FT6: lognorm (s, loc, scale) and gamma (a, loc, scale), each maximising its profile likelihood
-    over loc < min. Both read the same per-loc averages, so each round is one aggregate job for both."""
-    n, mn, mx = st["n"], st["min"], st["max"]
-    rng = max(mx - mn, 1e-12)
-    top = mn - 1e-3 * rng
-    box = {"lognorm": [mn - 10 * rng, top, None], "gamma": [mn - 10 * rng, top, None]}
-    for _ in range(rounds):
-        grids = {f: _loc_grid(box[f][0], box[f][1], k) for f in box}
-        locs = grids["lognorm"] + grids["gamma"]
-        stats = _grid_stats(df, col, locs)
-        for lc, (ml, sl, _) in zip(grids["lognorm"], stats[:k]):
-            if ml is None or sl is None or sl <= 0:
-                continue
-            ll = -n * (math.log(sl) + 0.5 * LN_2PI + 0.5) - n * ml
-            if box["lognorm"][2] is None or ll > box["lognorm"][2][0]:
-                box["lognorm"][2] = (ll, {"s": sl, "loc": lc, "scale": math.exp(ml)})
-        for lc, (ml, _, md) in zip(grids["gamma"], stats[k:]):
-            if ml is None or md is None or md <= 0 or math.log(md) - ml <= 0:
-                continue
-            a = special.gamma_shape_mle(math.log(md) - ml)
-            scale = md / a
-            ll = n * (-special.lgamma(a) - a * math.log(scale) + (a - 1) * ml - md / scale)
-            if box["gamma"][2] is None or ll > box["gamma"][2][0]:
-                box["gamma"][2] = (ll, {"a": a, "loc": lc, "scale": scale})
-        for f in box:
-            lo, hi, best = box[f]
-            if best is None:
-                continue
-            step = (hi - lo) / (k - 1)
-            box[f][0], box[f][1] = best[1]["loc"] - step, min(best[1]["loc"] + step, top)
-    return [{"name": f, "params": box[f][2][1], "loglik": box[f][2][0], "k": 3} for f in box if box[f][2] is not None]
-
-
-def fit_beta(df: DataFrame, col: str, st: dict, rounds: int = 3, k: int = 6) -> dict | None:
-    """FT7: beta (a, b, loc, scale) with loc < min and loc + scale > max on a 2-D grid."""
-    n, mn, mx = st["n"], st["min"], st["max"]
-    rng = max(mx - mn, 1e-12)
-    x = F.col(col).cast("double")
-    pads = [1e-3 * rng * (4 ** i) for i in range(k)]
-    best = None
-    for _ in range(rounds):
-        pairs = [(mn - p, mx + q) for p in pads for q in pads]
-        aggs = []
-        for i, (a0, b0) in enumerate(pairs):
-            z = (x - F.lit(a0)) / F.lit(b0 - a0)
-            aggs += [F.avg(F.log(z)).alias(f"p{i}"), F.avg(F.log(F.lit(1.0) - z)).alias(f"q{i}")]
-        r = nan_to_null(df.select(col)).where(x.isNotNull()).agg(*aggs).first()
-        for i, (a0, b0) in enumerate(pairs):
-            lp, lq = r[f"p{i}"], r[f"q{i}"]
-            if lp is None or lq is None:
-                continue
-            sh = special.beta_shapes_mle(lp, lq)
-            if sh is None:
-                continue
-            a, b = sh
-            scale = b0 - a0
-            ll = n * ((a - 1) * lp + (b - 1) * lq - special.lbeta(a, b) - math.log(scale))
-            if best is None or ll > best[0]:
-                best = (ll, a, b, a0, scale, pads)
-        if best is None:
-            return None
-        pads = [p * 0.5 for p in pads]
-    ll, a, b, lc, sc, _ = best
-    return {"name": "beta", "params": {"a": a, "b": b, "loc": lc, "scale": sc}, "loglik": ll, "k": 4}
-
-
-def fit_column(df: DataFrame, col: str, candidates: Sequence[str] = CANDIDATES) -> dict:
-    """FT1-FT12 for one column: the best family by AIC as {name, params, aic}. Only a handful of aggregate
-    jobs run; the solves on their results are scalar work on the driver."""
-    st = moments(df, [col]).first().asDict()
-    if not st["n"]:
-        return {"name": "empirical", "params": {}, "aic": None}
-    if st["std_pop"] is not None and st["std_pop"] < CONSTANT_STD:
-        return {"name": "constant", "params": {"value": st["min"]}, "aic": None}
-    n = st["n"]
-    fits = []
-    if "norm" in candidates and st["std_pop"] > 0:
-        fits.append({"name": "norm", "params": {"loc": st["mean"], "scale": st["std_pop"]},
-                     "loglik": -n / 2 * LN_2PI - n * math.log(st["std_pop"]) - n / 2, "k": 2})
-    if "expon" in candidates and st["mean"] - st["min"] > 0:
-        sc = st["mean"] - st["min"]
-        fits.append({"name": "expon", "params": {"loc": st["min"], "scale": sc}, "loglik": -n * math.log(sc) - n, "k": 2})
-    if "uniform" in candidates and st["max"] - st["min"] > 0:
-        sc = st["max"] - st["min"]
-        fits.append({"name": "uniform", "params": {"loc": st["min"], "scale": sc}, "loglik": -n * math.log(sc), "k": 2})
-    if "lognorm" in candidates or "gamma" in candidates:
-        fits += [f for f in fit_lognorm_gamma(df, col, st) if f["name"] in candidates]
-    if "beta" in candidates:
-        f = fit_beta(df, col, st)
-        if f is not None:
-            fits.append(f)
-    fits = [f for f in fits if f["loglik"] is not None and math.isfinite(f["loglik"])]
-    if not fits:
-        return {"name": "empirical", "params": {}, "aic": None}
-    for f in fits:
-        f["aic"] = 2 * f["k"] - 2 * f["loglik"]
-    b = min(fits, key=lambda f: f["aic"])
-    return {"name": b["name"], "params": {k: round(float(v), 8) for k, v in b["params"].items()}, "aic": round(b["aic"], 4)}
+    best = next(r for r in fit_all(Profiler(df, [col]), candidates, ks) if r["chosen"])
+    params = best["params"] if best["name"] == "constant" else {k: round(float(v), 8) for k, v in best["params"].items()}
+    out = {"name": best["name"], "params": params, "aic": None if best["aic"] is None else round(best["aic"], 4)}
+    if ks:
+        out |= {k: None if best[k] is None else round(best[k], 6) for k in ("ks_statistic", "ks_pvalue")}
+    return out
 
 
 def ks_statistic(cum: DataFrame, cdf: Column) -> DataFrame:

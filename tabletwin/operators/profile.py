@@ -278,14 +278,26 @@ class Profiler:
             "column_name", F.coalesce("cardinality", F.lit(0)).cast("bigint").alias("cardinality"), "mode", "mode_frequency",
             F.coalesce("is_binary", F.lit(True)).alias("is_binary"), "positive_rate")
 
-    def table(self) -> DataFrame:
-        """AG14: one row per column with every statistic (numeric fields NULL for categorical and back)."""
+    def fits(self, candidates=None) -> DataFrame:
+        """FT1-FT12: the chosen distribution per numeric column: dist_name, dist_params, aic, ks_statistic, ks_pvalue."""
+        from tabletwin.operators.fit import CANDIDATES
+        from tabletwin.operators.fit_all import fit_all, fits_table
+
+        rows = [r for r in fit_all(self, candidates or CANDIDATES) if r["chosen"]]
+        return fits_table(self.source.sparkSession, rows).select(
+            "column_name", F.col("name").alias("dist_name"), F.col("params").alias("dist_params"), "aic", "ks_statistic", "ks_pvalue")
+
+    def table(self, fits: DataFrame | None = None) -> DataFrame:
+        """AG14: one row per column with every statistic (numeric fields NULL for categorical and back), with ``fits``
+        (rows of ``fits()``) also the fitted distribution."""
         base = self.base()
         out = base
         if self.num_specs:
             levels = self.percentiles()  # asked for once: the median is one of them
             num = self.numeric(levels).drop("n", "std_pop")
             out = out.join(num, "column_name", "left").join(levels, "column_name", "left")
+        if fits is not None:
+            out = out.join(F.broadcast(fits), "column_name", "left")  # one row a column
         if self.cat_specs:
             out = out.join(self.categorical(), "column_name", "left")
         return out.orderBy("position")

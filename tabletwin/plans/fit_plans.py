@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tabletwin.functions.numeric import round_doubles
 from tabletwin.operators import fit as FT
+from tabletwin.operators.fit_all import fit_all, fits_table, ks_statistics
 from tabletwin.operators.profile import Profiler
 from tabletwin.plans.registry import query
 from tabletwin.plans.sqlgen import union_all
@@ -94,33 +95,36 @@ def fit_lognorm(spark, sf):
                                  "column_name string, s double, loc double, scale double")
 
 
-def _fit_rows(spark, df, cols, cands):
+def _fits(spark, sf, wanted, cands, chosen=True):
+    """Fits of columns of driver tables, all columns of a table at once."""
     rows = []
-    for c in cols:
-        f = FT.fit_column(df, c, cands)
-        rows.append((c, f["name"], {k: float(v) for k, v in f["params"].items()}, f["aic"]))
-    return spark.createDataFrame(rows, "column_name string, name string, params map<string,double>, aic double")
+    for name, cols in wanted.items():
+        rows += [r for r in fit_all(Profiler(table(spark, sf, name), cols), cands) if r["chosen"] or not chosen]
+    return fits_table(spark, rows)
 
 
 @query("fit_gamma")
 def fit_gamma(spark, sf):
-    """FT6: gamma (a, loc, scale) with a searched loc, on events.value and lineitem.l_extendedprice."""
-    return _fit_rows(spark, table(spark, sf, "events"), ["value"], ("gamma",)).unionByName(
-        _fit_rows(spark, table(spark, sf, "lineitem"), ["l_extendedprice"], ("gamma",)))
+    """FT6, FT9: gamma (a, loc, scale) with free loc, on events.value and lineitem.l_extendedprice."""
+    return _fits(spark, sf, {"events": ["value"], "lineitem": ["l_extendedprice"]}, ("gamma",)).drop("chosen")
 
 
 @query("fit_beta")
 def fit_beta(spark, sf):
-    """FT7: beta (a, b, loc, scale) on lineitem.l_discount and orders.o_totalprice."""
-    return _fit_rows(spark, table(spark, sf, "lineitem"), ["l_discount"], ("beta",)).unionByName(
-        _fit_rows(spark, table(spark, sf, "orders"), ["o_totalprice"], ("beta",)))
+    """FT7, FT9: beta (a, b, loc, scale) on lineitem.l_discount and orders.o_totalprice."""
+    return _fits(spark, sf, {"lineitem": ["l_discount"], "orders": ["o_totalprice"]}, ("beta",)).drop("chosen")
 
 
 @query("fit_all_candidates")
 def fit_all_candidates(spark, sf):
-    """FT1-FT12: best of all six families by AIC for the numeric columns of ``events`` and ``lineitem``."""
-    return _fit_rows(spark, table(spark, sf, "events"), ["value"], FT.CANDIDATES).unionByName(
-        _fit_rows(spark, table(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice"], FT.CANDIDATES))
+    """FT1-FT12: best of all six families by AIC for the numeric columns of ``events`` and ``lineitem``, with KS."""
+    return _fits(spark, sf, {"events": ["value"], "lineitem": ["l_quantity", "l_extendedprice"]}, FT.CANDIDATES).drop("chosen")
+
+
+@query("fit_every_family")
+def fit_every_family(spark, sf):
+    """FT2-FT9: all six families of one column with AIC and KS numbers, and which one is chosen."""
+    return _fits(spark, sf, {"events": ["value"]}, FT.CANDIDATES, chosen=False)
 
 
 def _ks_sql(src, col, family):
@@ -165,3 +169,65 @@ def ks_uniform(spark, sf):
 def ks_expon(spark, sf):
     """FT9 for the exponential fit of events.value."""
     return _ks(spark, table(spark, sf, "events"), "value", "expon")
+
+
+# ---- KS of all six families at parameters that moments give, against distribution functions summed up in SQL ------
+
+KS_ALL = {"events": ["value"], "lineitem": ["l_extendedprice", "l_quantity"]}
+
+
+def _moment_fits(m):
+    """Parameters of all families from n, mean, population std, min and max: closed forms where there are any, else by the
+    method of moments between (min - pad) and (max + pad), pad = a tenth of the range."""
+    mean, var, pad = m["mean"], m["std_pop"] ** 2, (m["max"] - m["min"]) / 10
+    lo, width = m["min"] - pad, m["max"] - m["min"] + 2 * pad
+    y, z = mean - lo, (mean - lo) / width
+    both = z * (1 - z) / (var / width ** 2) - 1
+    s2 = math.log(1 + var / y ** 2)
+    return {
+        "norm": {"loc": mean, "scale": m["std_pop"]}, "expon": {"loc": m["min"], "scale": mean - m["min"]}, "uniform": {"loc": m["min"], "scale": m["max"] - m["min"]},
+        "lognorm": {"s": math.sqrt(s2), "loc": lo, "scale": y / math.sqrt(1 + var / y ** 2)}, "gamma": {"a": y * y / var, "loc": lo, "scale": var / y},
+        "beta": {"a": z * both, "b": (1 - z) * both, "loc": lo, "scale": width},
+    }
+
+
+def norm_cdf_sql(z: str) -> str:
+    """Standard normal CDF by the series of the incomplete gamma function of 1/2 at z^2 / 2."""
+    x = f"greatest(({z}) * ({z}) / 2, 1e-300)"
+    return f"(0.5 + sign({z}) * 0.5 * list_sum(list_transform(range(0, 120), lambda k: exp((k + 0.5) * ln({x}) - {x} - lgamma(k + 1.5)))))"
+
+
+def _ks_all_sql():
+    parts = []
+    for t, cols in KS_ALL.items():
+        for c in cols:
+            parts.append(f"""SELECT '{c}' AS column_name, {c}::DOUBLE AS v, count(*) AS cnt FROM {t} WHERE {c} IS NOT NULL GROUP BY 2""")
+    gamma = "list_sum(list_transform(range(0, 400), lambda k: exp((a + k) * ln(x) - x - lgamma(a + k + 1))))"
+    # the beta series converges like a power of x: beyond the mean, the other end is summed
+    series = lambda a, b, x: f"list_sum(list_transform(range(0, 600), lambda k: exp(lgamma({a} + {b} + k) - lgamma({a} + k + 1) - lgamma({b}) + ({a} + k) * ln({x}) + {b} * ln(1 - {x}))))"
+    return f"""WITH vc AS ({union_all(parts)}),
+m AS (SELECT column_name, sum(cnt) AS n, sum(v * cnt) / sum(cnt) AS mean, min(v) AS mn, max(v) AS mx FROM vc GROUP BY 1),
+s AS (SELECT m.*, var, mn - (mx - mn) / 10 AS lo, (mx - mn) * 1.2 AS width, mean - (mn - (mx - mn) / 10) AS y0 FROM m JOIN
+  (SELECT vc.column_name, sum(cnt * (v - mean) * (v - mean)) / sum(cnt) AS var FROM vc JOIN m ON vc.column_name = m.column_name GROUP BY 1) q ON m.column_name = q.column_name),
+cum AS (SELECT vc.column_name, v, sum(cnt) OVER (PARTITION BY vc.column_name ORDER BY v ROWS UNBOUNDED PRECEDING) AS hi, cnt, s.* EXCLUDE (column_name) FROM vc JOIN s ON vc.column_name = s.column_name),
+f AS (SELECT *, y0 * y0 / var AS a, (v - lo) / (var / y0) AS x, y0 / width AS z, (y0 / width) * (1 - y0 / width) / (var / (width * width)) - 1 AS k0, ln(1 + var / (y0 * y0)) AS s2 FROM cum),
+g AS (SELECT *, z * k0 AS ba, (1 - z) * k0 AS bb, (v - lo) / width AS bx FROM f),
+d AS (
+  SELECT column_name, n, hi, cnt, 'norm' AS name, {norm_cdf_sql('(v - mean) / sqrt(var)')} AS p FROM g
+  UNION ALL SELECT column_name, n, hi, cnt, 'expon', 1 - exp(-(v - mn) / (mean - mn)) FROM g
+  UNION ALL SELECT column_name, n, hi, cnt, 'uniform', (v - mn) / (mx - mn) FROM g
+  UNION ALL SELECT column_name, n, hi, cnt, 'lognorm', {norm_cdf_sql('ln((v - lo) / (y0 / sqrt(1 + var / (y0 * y0)))) / sqrt(s2)')} FROM g
+  UNION ALL SELECT column_name, n, hi, cnt, 'gamma', {gamma} FROM g
+  UNION ALL SELECT column_name, n, hi, cnt, 'beta', CASE WHEN bx <= z THEN {series('ba', 'bb', 'bx')} ELSE 1 - {series('bb', 'ba', '(1 - bx)')} END FROM g)
+SELECT column_name, name, round(max(greatest(hi::DOUBLE / n - p, p - (hi - cnt)::DOUBLE / n)), 6) AS ks_statistic FROM d GROUP BY 1, 2"""
+
+
+@query("ks_all", _ks_all_sql())
+def ks_all(spark, sf):
+    """FT9: the KS statistic of all six families for columns of two tables, one job a table."""
+    rows = []
+    for name, cols in KS_ALL.items():
+        p = Profiler(table(spark, sf, name), cols)
+        fits = [(m["column_name"], f, params) for m in p.moment_rows() for f, params in _moment_fits(m).items()]
+        rows += [(c, f, round(d, 6)) for (c, f), d in ks_statistics(p.cumulative_counts(), fits).items()]
+    return spark.createDataFrame(rows, "column_name string, name string, ks_statistic double")

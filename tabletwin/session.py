@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -62,3 +63,13 @@ def spread(df):
     if df.rdd.getNumPartitions() < want:
         return df.repartition(want)
     return df
+
+
+def map_arrow(df, work, schema):
+    """``df.mapInArrow`` whose Python workers also look for this package where the driver found it (local mode,
+    or nodes that share the path; elsewhere ship the package with --py-files)."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = df.sparkSession.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH"), root) if x)
+    return df.mapInArrow(work, schema)
