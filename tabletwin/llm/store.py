@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabletwin.session import ensure_checkpoint_dir
+from tabletwin.session import ensure_checkpoint_dir, map_arrow
+
+__all__ = ["broadcast_if", "map_arrow", "shared_path", "source_table", "utf8_bytes", "word_count", "words_of", "written"]
 
 #: Words: runs of characters other than space and U+0009..U+000D.
 WORD_SPLIT = r"[ \x09-\x0D]+"
@@ -49,13 +50,3 @@ def source_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def broadcast_if(df: DataFrame, rows: int) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``rows`` rows (it should be a written table); else as it is."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
-def map_arrow(df: DataFrame, work, schema) -> DataFrame:
-    """``df.mapInArrow`` whose Python workers also look for this package where the driver found it (local mode,
-    or nodes that share the path; elsewhere ship the package with --py-files)."""
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    env = df.sparkSession.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH"), root) if x)
-    return df.mapInArrow(work, schema)
