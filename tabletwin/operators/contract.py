@@ -178,10 +178,9 @@ def check(df: DataFrame, contract: DataFrame, row_key: str, inline_limit: int =
     return out
 
 
-def summary(violations: DataFrame, show: int = 50) -> DataFrame:
-    """CT15: violations per (column, check), the first ``show`` in order, and the count beyond them."""
-    c = violations.groupBy("column_name", "check_name").agg(F.count(F.lit(1)).alias("n_violations"))
-    return c
+def summary(violations: DataFrame) -> DataFrame:
+    """CT15: violations per (column, check); ``report_lines`` lists the first of them."""
+    return violations.groupBy("column_name", "check_name").agg(F.count(F.lit(1)).alias("n_violations"))
 
 
 def report_lines(violations: DataFrame, show: int = 50) -> DataFrame:

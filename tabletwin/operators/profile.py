@@ -301,3 +301,30 @@ class Profiler:
         if self.cat_specs:
             out = out.join(self.categorical(), "column_name", "left")
         return out.orderBy("position")
+
+
+def declared_numbers(df: DataFrame, types: dict[str, str]) -> DataFrame:
+    """AG13: statistics of columns read as numeric types that are declared for them, one row per column, one job for all:
+    (column_name, declared, n, min, max, mean, n_bad, error). A column with a value that its type cannot take, or that is
+    not in the table, gives the text of its first error (least value) and no statistics; the others are not touched by it.
+    Nulls and NaN are missing."""
+    have = set(df.columns)
+    aggs, rows = [], []
+    for i, (name, kind) in enumerate(types.items()):
+        stats = {"n": "long", "min": "double", "max": "double", "mean": "double"}
+        if name in have:
+            raw = F.col(f"`{name}`")
+            value = raw.try_cast(kind)
+            number = F.when(~F.isnan(value.cast("double")), value.cast("double"))
+            bad = F.when(raw.isNotNull() & value.isNull(), raw.cast("string"))
+            aggs += [f(number).alias(f"{k}{i}") for k, f in (("n", F.count), ("min", F.min), ("max", F.max), ("mean", F.avg))]
+            aggs += [F.count(bad).alias(f"bad{i}"), F.min(bad).alias(f"first{i}")]
+            n_bad, fine = F.col(f"bad{i}"), F.col(f"bad{i}") == 0
+            text = F.concat(n_bad.cast("string"), F.lit(f" values are not {kind}, the first is "), F.col(f"first{i}"))
+            cells = [F.when(fine, F.col(f"{k}{i}")).cast(t).alias(k) for k, t in stats.items()]
+            error = F.when(~fine, text)
+        else:
+            n_bad, error = F.lit(0), F.lit("no such column")
+            cells = [F.lit(None).cast(t).alias(k) for k, t in stats.items()]
+        rows.append(F.struct(F.lit(name).alias("column_name"), F.lit(kind).alias("declared"), *cells, n_bad.cast("long").alias("n_bad"), error.alias("error")))
+    return df.agg(*(aggs or [F.count(F.lit(1)).alias("rows")])).select(F.inline(F.array(*rows)))

@@ -153,10 +153,10 @@ def pool_fallback(spark, sf):
 
 @query("pool_weights", f"SELECT model, count, count::DOUBLE / sum(count) OVER () AS weight FROM ({_pool_sql('lower(l.fuel_type) IN (' + chr(39) + 'petrol' + chr(39) + ')')})")
 def pool_weights(spark, sf):
-    """SY5: the filtered pool renormalised (a window over the pool)."""
-    from pyspark.sql import Window
+    """SY5: the filtered pool renormalised by its total, which is one number."""
     p = _pool(spark, sf, SY.Plan(attr_in={"fuel_type": ["petrol"]}))
-    return p.withColumn("weight", F.col("count") / F.sum("count").over(Window.partitionBy()))
+    total = p.agg(F.sum("count").alias("t")).first().t
+    return p.withColumn("weight", F.col("count") / F.lit(total))
 
 
 @query("available_values", f"""SELECT 'model' AS kind, model AS value FROM (SELECT DISTINCT model FROM {POL})
@@ -283,7 +283,8 @@ def _keys_with_lookup(spark, sf):
     bp = blueprint(spark, sf)
     n = policies(spark, sf).count()
     df = SY.assign_keys(ids(spark, n), bp, SY.Plan(n_rows=n), SEED, n)
-    return bp, df.join(F.broadcast(bp.lookup.withColumn("model", F.col("model").cast("string"))), "model", "left")
+    look = bp.lookup.withColumn("model", F.col("model").cast("string"))
+    return bp, df.join(F.broadcast(look) if bp.broadcast_lookup else look, "model", "left")
 
 
 @query("fd_lookup_join", f"SELECT * FROM {_lookup_join_sql()}")

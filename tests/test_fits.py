@@ -152,3 +152,17 @@ def test_exact_p_values():
     # both sides of the switch to the asymptotic series agree closely
     assert cdf.ks_pvalue(10_000, 0.009) == pytest.approx(cdf.ks_pvalue(10_001, 0.009), abs=5e-3)
     assert 0.99 < cdf.ks_pvalue(20_000, 0.001) <= 1.0
+
+
+def test_errors_of_single_columns(spark):
+    from tabletwin.operators.profile import declared_numbers
+
+    rows = [("1", 2.5, "x"), ("2", None, "7"), (None, float("nan"), None), ("3", 1.5, "y")]
+    df = spark.createDataFrame(rows, "a string, b double, c string")
+    got = {r.column_name: r for r in declared_numbers(df, {"a": "int", "b": "double", "c": "bigint", "d": "int"}).collect()}
+    assert (got["a"].n, got["a"].min, got["a"].max, got["a"].mean, got["a"].error) == (3, 1, 3, 2, None)
+    assert (got["b"].n, got["b"].mean, got["b"].error) == (2, 2.0, None)
+    assert got["c"].n is None and got["c"].n_bad == 2 and got["c"].error == "2 values are not bigint, the first is x"
+    assert got["d"].error == "no such column"
+    empty = {r.column_name: r for r in declared_numbers(df.limit(0), {"a": "int", "c": "int"}).collect()}
+    assert empty["a"].n == 0 and empty["c"].error is None
