@@ -105,102 +105,3 @@ def norm_ppf(p: float) -> float:
     e = 0.5 * math.erfc(-x / math.sqrt(2)) - p
     u = e * math.sqrt(2 * math.pi) * math.exp(x * x / 2)
     return x - u / (1 + x * u / 2)
-
-
-# ---- vectorised CDFs for the quantile tables of gamma and beta draws ------------------------------
-
-def gammainc_vec(a: float, x):
-    """Regularised lower incomplete gamma P(a, x) for an array x (series below a+1, continued fraction above)."""
-    import numpy as np
-
-    x = np.asarray(x, dtype=float)
-    out = np.zeros_like(x)
-    pos = x > 0
-    xs = np.where(pos, x, 1.0)
-    lead = np.exp(-xs + a * np.log(xs) - math.lgamma(a))
-    # series
-    term = np.full_like(xs, 1.0 / a)
-    ssum = term.copy()
-    for n in range(1, 500):
-        term = term * xs / (a + n)
-        ssum = ssum + term
-    p_series = ssum * lead
-    # continued fraction for Q
-    tiny = 1e-300
-    b = xs + 1.0 - a
-    c = np.full_like(xs, 1.0 / tiny)
-    d = 1.0 / np.where(np.abs(b) < tiny, tiny, b)
-    h = d.copy()
-    for i in range(1, 300):
-        an = -i * (i - a)
-        b = b + 2.0
-        d = an * d + b
-        d = np.where(np.abs(d) < tiny, tiny, d)
-        c = b + an / c
-        c = np.where(np.abs(c) < tiny, tiny, c)
-        d = 1.0 / d
-        h = h * d * c
-    p_cf = 1.0 - lead * h
-    out = np.where(xs < a + 1.0, p_series, p_cf)
-    return np.clip(np.where(pos, out, 0.0), 0.0, 1.0)
-
-
-def betainc_vec(a: float, b: float, x):
-    """Regularised incomplete beta I_x(a, b) for an array x in [0, 1]."""
-    import numpy as np
-
-    x = np.clip(np.asarray(x, dtype=float), 0.0, 1.0)
-
-    def cf(aa, bb, xx):
-        tiny = 1e-300
-        qab, qap, qam = aa + bb, aa + 1.0, aa - 1.0
-        c = np.ones_like(xx)
-        d = 1.0 - qab * xx / qap
-        d = 1.0 / np.where(np.abs(d) < tiny, tiny, d)
-        h = d.copy()
-        for m in range(1, 400):
-            m2 = 2 * m
-            an = m * (bb - m) * xx / ((qam + m2) * (aa + m2))
-            d = 1.0 + an * d
-            d = 1.0 / np.where(np.abs(d) < tiny, tiny, d)
-            c = 1.0 + an / c
-            c = np.where(np.abs(c) < tiny, tiny, c)
-            h = h * d * c
-            an = -(aa + m) * (qab + m) * xx / ((aa + m2) * (qap + m2))
-            d = 1.0 + an * d
-            d = 1.0 / np.where(np.abs(d) < tiny, tiny, d)
-            c = 1.0 + an / c
-            c = np.where(np.abs(c) < tiny, tiny, c)
-            h = h * d * c
-        return h
-
-    inner = (x > 0) & (x < 1)
-    xs = np.where(inner, x, 0.5)
-    lbt = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
-    front = np.exp(lbt + a * np.log(xs) + b * np.log1p(-xs))
-    direct = front * cf(a, b, xs) / a
-    flipped = 1.0 - front * cf(b, a, 1.0 - xs) / b
-    val = np.where(xs < (a + 1.0) / (a + b + 2.0), direct, flipped)
-    return np.clip(np.where(x <= 0, 0.0, np.where(x >= 1, 1.0, val)), 0.0, 1.0)
-
-
-def quantile_table(name: str, params: dict, m: int = 4096):
-    """Standardised quantiles q[i] = F^-1(i/m), i = 0..m, of gamma(a) or beta(a, b) (loc 0, scale 1),
-    by inverting the CDF on a fine grid. Endpoints use the 1e-9 / 1 - 1e-9 quantiles."""
-    import numpy as np
-
-    if name == "gamma":
-        a = params["a"]
-        hi = a + 40.0 * math.sqrt(a) + 60.0
-        xs = np.concatenate([np.linspace(0.0, hi, 200_001)])
-        cdf = gammainc_vec(a, xs)
-    elif name == "beta":
-        xs = np.linspace(0.0, 1.0, 200_001)
-        cdf = betainc_vec(params["a"], params["b"], xs)
-    else:
-        raise ValueError(name)
-    cdf = np.maximum.accumulate(cdf)
-    us = np.linspace(0.0, 1.0, m + 1)
-    us[0], us[-1] = 1e-9, 1 - 1e-9
-    keep = np.concatenate([[True], np.diff(cdf) > 0])
-    return np.interp(us, cdf[keep], xs[keep])

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import functions as F
 
-from tabletwin.functions.rng import sql_standard_normal, sql_uniform, standard_normal, uniform
+from tabletwin.functions.rng import sql_gamma, sql_standard_normal, sql_uniform, standard_normal, uniform
 from tabletwin.operators import compare as CMP
 from tabletwin.operators import synth as SY
 from tabletwin.operators.rank import buckets_for, global_rank
 from tabletwin.plans import synth_sql as Q
 from tabletwin.plans.registry import query
 from tabletwin.plans.tables import POLICIES_SQL, policies, table
-from tabletwin.session import cut_lineage
+from tabletwin.session import cut_lineage, ensure_checkpoint_dir
+from tabletwin.sources.stages import run_stage
 
 SEED = 42
 POL = f"(SELECT * FROM {POLICIES_SQL})"
@@ -215,7 +219,7 @@ def _alloc_sql(allocs, rest="distribute", exclude=()) -> str:
 
 def _alloc(spark, sf, plan: SY.Plan):
     bp = blueprint(spark, sf)
-    n = policies(spark, sf).count()
+    n = bp.real.count()
     plan.n_rows = n
     return SY.assign_keys(ids(spark, n), bp, plan, SEED, n).select("id", "model")
 
@@ -265,6 +269,26 @@ def alloc_rest_prop(spark, sf):
     return _alloc(spark, sf, _plan([("M3", "count", 100)], exclude=["M5", "M7"]))
 
 
+N_LINES = "SELECT count(*) FROM lineitem"
+WIDE_POOL = Q.key_pool("orders", "o_custkey")
+
+
+@query("alloc_rest_equal_wide", f"""WITH b AS (SELECT * FROM {Q.ranked(Q.ids(N_LINES), SEED, "alloc", "r")}),
+named AS (SELECT min(v) AS k FROM {WIDE_POOL}),
+p AS (SELECT v, row_number() OVER (ORDER BY w DESC, v) - 1 AS place, count(*) OVER () AS m FROM {WIDE_POOL} WHERE v <> (SELECT k FROM named)),
+s AS (SELECT (({N_LINES}) - 100) // max(m) AS share, (({N_LINES}) - 100) % max(m) AS more FROM p)
+SELECT b.id, CASE WHEN b.r < 100 THEN (SELECT k FROM named) ELSE p.v END AS o_custkey FROM b CROSS JOIN s LEFT JOIN p ON b.r >= 100
+  AND p.place = CASE WHEN b.r - 100 < more * (share + 1) THEN (b.r - 100) // (share + 1) ELSE more + (b.r - 100 - more * (share + 1)) // greatest(share, 1) END""")
+def alloc_rest_equal_wide(spark, sf):
+    """SY6, SY11 over a key whose values grow with the data: 100 rows of the first key, the rest equally over all others."""
+    o = table(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("o_custkey"), "o_orderkey")
+    bp = SY.Blueprint(o, key="o_custkey", row_key="o_orderkey", determined=[])
+    n = n_of(spark, sf, "lineitem")
+    first = bp.key_counts.agg(F.min("o_custkey")).first()[0]
+    plan = SY.Plan(n_rows=n, allocations=[SY.Allocation(first, "count", 100)], rest="equal")
+    return SY.assign_keys(ids(spark, n), bp, plan, SEED, n).select("id", "o_custkey")
+
+
 @query("synth_allocation_counts", f"SELECT model, count(*) AS count FROM ({_alloc_sql([('M3', 'count', 100)], rest='equal')}) GROUP BY model")
 def synth_allocation_counts(spark, sf):
     """AG26: rows per key of an equal-rest allocation (max - min <= 1 among the rest)."""
@@ -281,7 +305,7 @@ def _lookup_join_sql() -> str:
 
 def _keys_with_lookup(spark, sf):
     bp = blueprint(spark, sf)
-    n = policies(spark, sf).count()
+    n = bp.real.count()
     df = SY.assign_keys(ids(spark, n), bp, SY.Plan(n_rows=n), SEED, n)
     look = bp.lookup.withColumn("model", F.col("model").cast("string"))
     return bp, df.join(F.broadcast(look) if bp.broadcast_lookup else look, "model", "left")
@@ -392,7 +416,7 @@ def _boot_sql(rng=None):
 
 def _boot(spark, sf, rng=None):
     bp = blueprint(spark, sf)
-    n = policies(spark, sf).count()
+    n = bp.real.count()
     return bp, SY.bootstrap_draw(ids(spark, n), bp, "vehicle_age", SEED, rng)
 
 
@@ -488,7 +512,10 @@ def synth_table_sql() -> str:
 
 def _synth_table(spark, sf):
     bp = blueprint(spark, sf, fitted=tuple(FITTED))
-    n = policies(spark, sf).count()
+    return _generated(spark, bp, bp.real.count())
+
+
+def _generated(spark, bp, n):
     plan = SY.Plan(n_rows=n, label_rate=0.06, allocations=[SY.Allocation(k, t, v) for k, t, v in TABLE_PLAN], rest="equal")
     return SY.generate(spark, bp, plan, seed=SEED)
 
@@ -503,6 +530,32 @@ def synth_table(spark, sf):
     return _synth_table(spark, sf)
 
 
+STAGE_INPUTS = ("customer", "nation", "region", "orders")
+
+
+def learned(spark, sf, root):
+    """The blueprint of ``policies`` as a saved stage under ``root``, learned only if it is not there yet."""
+    def build():
+        bp = blueprint(spark, sf, fitted=tuple(FITTED))
+        tables, meta = SY.artifacts(bp)
+        return tables, meta | {"n_rows": bp.real.count()}
+
+    inputs = [f"{sf.rstrip('/')}/{t}.parquet" for t in STAGE_INPUTS]
+    return run_stage(spark, root, "blueprint", inputs, {"fitted": FITTED, "candidates": ["norm", "expon", "uniform"]}, build)
+
+
+@query("synth_table_from_artifacts", SYNTH_TABLE_SQL)
+def synth_table_from_artifacts(spark, sf):
+    """SRC4, SY26: the blueprint is saved as a stage, found again, and the table is made from the saved profile,
+    dependencies, pools and lookups alone: its plan does not read the real table."""
+    root = os.path.join(ensure_checkpoint_dir(spark), f"stages-{uuid.uuid4().hex}")
+    learned(spark, sf, root)
+    saved = learned(spark, sf, root)
+    if not saved.reused:
+        raise RuntimeError("a finished stage ran again")
+    return _generated(spark, SY.SavedBlueprint(saved), saved.meta["n_rows"])
+
+
 OVERLAP_COLS = ["model", "customer_age", "region_code", "subscription_length", "fuel_type", "segment", "airbags"]
 
 
@@ -548,7 +601,7 @@ def real_sample(spark, sf):
 
 @query("synth_numeric_gamma_beta")
 def synth_numeric_gamma_beta(spark, sf):
-    """SY16 gamma and beta: draws through a fixed 4,096-point quantile table (broadcast) for the fitted
+    """SY16 gamma and beta: draws for the fitted
     gamma of events.value and beta of lineitem.l_discount, one draw per source row."""
     from tabletwin.operators.fit import fit_column
     out = []
@@ -559,3 +612,37 @@ def synth_numeric_gamma_beta(spark, sf):
         d = SY.with_drawn(ids(spark, df.count()), col, dist, st, SEED)
         out.append(d.select("id", F.lit(name).alias("family"), F.col(col).alias("x")))
     return out[0].unionByName(out[1])
+
+
+def _moments_sql(src, col):
+    return f"(SELECT avg({col}::DOUBLE) AS m, var_pop({col}::DOUBLE) AS v, min({col}::DOUBLE) AS mn, max({col}::DOUBLE) AS mx, count(*) AS n FROM {src})"
+
+
+GAMMA_SRC = _moments_sql("lineitem", "l_quantity")
+GAMMA_SHAPE = f"(SELECT round(m * m / v, 6) FROM {GAMMA_SRC})"
+
+
+@query("synth_numeric_gamma", f"""SELECT id, {Q.finish(f"((SELECT round(v / m, 6) FROM {GAMMA_SRC}) * g)", f"(SELECT mn FROM {GAMMA_SRC})", f"(SELECT mx FROM {GAMMA_SRC})", False)} AS l_quantity
+FROM {sql_gamma(SEED, 'num:l_quantity', Q.ids('SELECT count(*) FROM lineitem'), GAMMA_SHAPE)}""")
+def synth_numeric_gamma(spark, sf):
+    """SY16 gamma (loc 0, shape and scale from mean and variance): numbered tries, replayed in the oracle."""
+    li = table(spark, sf, "lineitem")
+    r = li.agg(F.avg("l_quantity").alias("m"), F.var_pop("l_quantity").alias("v")).first()
+    return _draw_numeric(spark, li, "l_quantity", {"name": "gamma", "params": {"a": round(r.m * r.m / r.v, 6), "loc": 0.0, "scale": round(r.v / r.m, 6)}})
+
+
+BETA_SRC = f"(SELECT (m - mn) / (mx - mn) AS m, v / ((mx - mn) * (mx - mn)) AS v, mn, mx FROM {_moments_sql('orders', 'o_totalprice')})"
+BETA_A, BETA_B = (f"(SELECT round({x} * (m * (1 - m) / v - 1), 6) FROM {BETA_SRC})" for x in ("m", "(1 - m)"))
+
+
+@query("synth_numeric_beta", f"""SELECT id, {Q.finish(f"((SELECT mn FROM {BETA_SRC}) + (SELECT mx - mn FROM {BETA_SRC}) * (ga.g / (ga.g + gb.g)))", f"(SELECT mn FROM {BETA_SRC})", f"(SELECT mx FROM {BETA_SRC})", False)} AS o_totalprice
+FROM {sql_gamma(SEED, 'num:o_totalprice:a', Q.ids('SELECT count(*) FROM orders'), BETA_A)} ga
+JOIN {sql_gamma(SEED, 'num:o_totalprice:b', Q.ids('SELECT count(*) FROM orders'), BETA_B)} gb USING (id)""")
+def synth_numeric_beta(spark, sf):
+    """SY16 beta over the column's range (a and b from mean and variance): the share of one gamma draw in two."""
+    o = table(spark, sf, "orders")
+    r = o.agg(F.avg("o_totalprice").alias("m"), F.var_pop("o_totalprice").alias("v"), F.min("o_totalprice").alias("mn"), F.max("o_totalprice").alias("mx")).first()
+    span = r.mx - r.mn
+    m, v = (r.m - r.mn) / span, r.v / (span * span)
+    k = m * (1 - m) / v - 1
+    return _draw_numeric(spark, o, "o_totalprice", {"name": "beta", "params": {"a": round(m * k, 6), "b": round((1 - m) * k, 6), "loc": r.mn, "scale": span}})
