@@ -11,18 +11,23 @@ one distinct non-null value. Plan:
    codes) and grouped by (set id, keys) with min/max of every rhs. The map-side partial aggregate reduces
    every partition to its distinct keys before the shuffle.
 4. Per set: n_groups and the number of groups with min = max, per rhs. The result has C^2 rows.
+5. ``discover`` goes level by level (``levelwise``): pairs that follow from a smaller exact set are not counted, and pairs
+   that a sample of rows already contradicts are dropped before the table is scanned for them.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabletwin.functions.numeric import nan_to_null, scalar_columns
+from tabletwin.session import cut_lineage
 
 # Fixed values from the reference's settings.
 DEFAULT_THRESHOLD = 0.95
@@ -30,6 +35,7 @@ EXACT_EPS = 1e-9
 MAX_DISTINCT = 500  # the reference's limit; discovery has none unless it is passed
 UNIQUE_RATIO = 0.95
 DEFAULT_MAX_LHS = 1
+SAMPLE_ROWS = 100_000
 
 
 def _code(column: str, kind: T.DataType):
@@ -78,44 +84,150 @@ def candidate_table(df: DataFrame, columns: Sequence[str] | None = None, max_dis
     return df.sparkSession.createDataFrame(rows, "column_name string, position int, n_unique bigint, is_candidate boolean")
 
 
+CONF_SCHEMA = "lhs array<string>, rhs string, confidence double, n_groups bigint, lhs_order int, rhs_pos int"
+
+
+def measure(coded: DataFrame, wanted: Sequence[tuple[int, Sequence[str], Sequence[str]]], cands: Sequence[str],
+            batch_size: int = 8) -> DataFrame:
+    """(sid, rhs_pos, n_groups, n_det) of ``wanted`` (set id, lhs set, rhs columns): lhs sets of one size go in batches,
+    one scan per batch. ``n_det`` counts the groups with exactly one distinct non-null rhs."""
+    spark = coded.sparkSession
+    pos = {c: i for i, c in enumerate(cands)}
+    parts = []
+    for k in sorted({len(s) for _, s, _ in wanted}):
+        of_size = [w for w in wanted if len(w[1]) == k]
+        for b in range(0, len(of_size), batch_size):
+            batch = of_size[b:b + batch_size]
+            rhs = [c for c in cands if any(c in r for _, _, r in batch)]
+            arr = F.array(*[F.struct(F.lit(i).alias("sid"), *[F.col(f"`{c}`").alias(f"k{j}") for j, c in enumerate(s)])
+                            for i, s, _ in batch])
+            x = coded.select(F.explode(arr).alias("_s"), *[F.col(f"`{c}`").alias(f"r{pos[c]}") for c in rhs]).select("_s.*", *[f"r{pos[c]}" for c in rhs])
+            x = x.where(" AND ".join(f"k{j} IS NOT NULL" for j in range(k)))
+            keys = ["sid"] + [f"k{j}" for j in range(k)]
+            g = x.groupBy(*keys).agg(*[(F.min(f"r{pos[c]}") == F.max(f"r{pos[c]}")).alias(f"d{pos[c]}") for c in rhs])
+            per = g.groupBy("sid").agg(F.count(F.lit(1)).alias("n_groups"), *[
+                F.sum(F.coalesce(F.col(f"d{pos[c]}"), F.lit(False)).cast("int")).alias(f"d{pos[c]}") for c in rhs])
+            parts.append(per.select("sid", "n_groups", F.inline(F.array(*[
+                F.struct(F.lit(pos[c]).alias("rhs_pos"), F.col(f"d{pos[c]}").alias("n_det")) for c in rhs]))))
+    per = parts[0]
+    for p in parts[1:]:
+        per = per.unionByName(p)
+    # (set id, rhs) grid: sets x C short rows, built on the driver from the candidate list
+    grid = spark.createDataFrame([(i, list(s), c, pos[c]) for i, s, r in wanted for c in r], "sid int, lhs array<string>, rhs string, rhs_pos int")
+    return grid.join(per, ["sid", "rhs_pos"])
+
+
+def _sets(cands: Sequence[str], max_lhs: int) -> list[tuple[str, ...]]:
+    return [s for k in range(1, max_lhs + 1) for s in itertools.combinations(cands, k)]
+
+
 def confidences(df: DataFrame, candidates: Sequence[str], max_lhs: int = DEFAULT_MAX_LHS,
                 batch_size: int = 8) -> DataFrame:
     """(lhs array<string>, rhs, confidence, n_groups, lhs_order, rhs_pos) for every lhs set of size
     1..max_lhs over ``candidates`` and every rhs not in the set. Unrounded confidence."""
     cands = list(candidates)
+    wanted = [(i, s, [c for c in cands if c not in s]) for i, s in enumerate(_sets(cands, max_lhs))]
+    wanted = [w for w in wanted if w[2]]
+    if not wanted:
+        return df.sparkSession.createDataFrame([], CONF_SCHEMA)
+    out = measure(_coded(df, cands), wanted, cands, batch_size)
+    return out.select("lhs", "rhs", (F.col("n_det") / F.col("n_groups")).alias("confidence"), "n_groups",
+                      F.col("sid").alias("lhs_order"), "rhs_pos")
+
+
+@dataclass
+class Lattice:
+    """What a levelwise search did: sets whose groups were counted over the whole table, sets judged on the sample, and
+    pairs that followed from smaller sets or were ruled out by the sample."""
+
+    counted_sets: int = 0
+    sampled_sets: int = 0
+    implied_pairs: int = 0
+    ruled_out_pairs: int = 0
+
+
+def levelwise(df: DataFrame, candidates: Sequence[str], max_lhs: int, threshold: float = DEFAULT_THRESHOLD, batch_size: int = 8,
+              sample_rows: int = SAMPLE_ROWS, done: Lattice | None = None) -> DataFrame:
+    """The pairs of ``confidences`` that reach ``threshold``, level by level, with two exact short cuts:
+
+    * if a set determines a column exactly, so does every larger set, as long as neither the column nor the columns
+      added hold nulls: such a pair needs no count (its ``n_groups`` is null);
+    * a group with two values in a sample of rows has two in the table, and the table has no more groups than rows nor
+      than the product of the columns' distinct values. So the sample's mixed groups bound the confidence from above,
+      and a pair whose bound is below the threshold is out.
+
+    What is left is counted over the whole table. Per level the driver takes the pairs that hold (at most sets x columns
+    of a few numbers)."""
+    cands = list(candidates)
     spark = df.sparkSession
-    schema = "lhs array<string>, rhs string, confidence double, n_groups bigint, lhs_order int, rhs_pos int"
+    done = Lattice() if done is None else done
     if not cands:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], CONF_SCHEMA)
+    pos = {c: i for i, c in enumerate(cands)}
     coded = _coded(df, cands)
-    sets = [list(s) for k in range(1, max_lhs + 1) for s in itertools.combinations(cands, k)]
-    parts = []
+    head = coded.agg(F.count(F.lit(1)).alias("n"), *[F.count(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cands)],
+                     *[F.approx_count_distinct(f"`{c}`").alias(f"u{i}") for i, c in enumerate(cands)]).first()
+    n = head["n"]
+    whole = {c for i, c in enumerate(cands) if head[f"c{i}"] == n}  # columns without nulls
+    most = {c: max(1.0, 1.3 * head[f"u{i}"]) for i, c in enumerate(cands)}  # an estimate with room for its error
+    sample = None
+    if n > 2 * sample_rows:
+        # rows by the hash of their values: the same sample on any partitioning
+        sample = cut_lineage(coded.where(F.pmod(F.xxhash64(*[f"`{c}`" for c in cands]), F.lit(n // sample_rows)) == 0))
+    order = {s: i for i, s in enumerate(_sets(cands, max_lhs))}
+    exact: set[tuple[frozenset, str]] = set()
+    found = []
     for k in range(1, max_lhs + 1):
-        ks = [(i, s) for i, s in enumerate(sets) if len(s) == k]
-        for b in range(0, len(ks), batch_size):
-            batch = ks[b:b + batch_size]
-            arr = F.array(*[F.struct(F.lit(i).alias("sid"), *[F.col(c).alias(f"k{j}") for j, c in enumerate(s)])
-                            for i, s in batch])
-            x = coded.select(F.explode(arr).alias("_s"), *cands).select("_s.*", *cands)
+        wanted = []
+        for s in itertools.combinations(cands, k):
+            open_rhs = []
+            for c in cands:
+                if c in s:
+                    continue
+                if c in whole and any(s[i] in whole and (frozenset(s[:i] + s[i + 1:]), c) in exact for i in range(k)):
+                    exact.add((frozenset(s), c))
+                    found.append((list(s), c, 1.0, None, order[s], pos[c]))
+                    done.implied_pairs += 1
+                else:
+                    open_rhs.append(c)
+            if open_rhs:
+                wanted.append((order[s], s, open_rhs))
+        if sample is not None and wanted:
+            done.sampled_sets += len(wanted)
+            groups = {i: min(float(n), math.prod(most[c] for c in s)) for i, s, _ in wanted}
+            mixed = _mixed(sample, wanted, cands, batch_size)
+            out = {(r.sid, r.rhs) for r in mixed.collect() if 1.0 - r.n_mixed / groups[r.sid] < threshold}
+            done.ruled_out_pairs += len(out)
+            wanted = [(i, s, left) for i, s, r in wanted if (left := [c for c in r if (i, c) not in out])]
+        if not wanted:
+            continue
+        done.counted_sets += len(wanted)
+        held = measure(coded, wanted, cands, batch_size).where(F.col("n_det") / F.col("n_groups") >= threshold)
+        for r in held.select("sid", "lhs", "rhs", (F.col("n_det") / F.col("n_groups")).alias("c"), "n_groups", "rhs_pos").collect():
+            found.append((r.lhs, r.rhs, r.c, r.n_groups, r.sid, r.rhs_pos))
+            if r.c == 1.0:
+                exact.add((frozenset(r.lhs), r.rhs))
+    return spark.createDataFrame(found, CONF_SCHEMA)
+
+
+def _mixed(sample: DataFrame, wanted, cands: Sequence[str], batch_size: int) -> DataFrame:
+    """(sid, rhs, n_mixed): groups of the sample with two different values or more of the rhs."""
+    pos = {c: i for i, c in enumerate(cands)}
+    parts = []
+    for k in sorted({len(s) for _, s, _ in wanted}):
+        of_size = [w for w in wanted if len(w[1]) == k]
+        for b in range(0, len(of_size), batch_size):
+            batch = of_size[b:b + batch_size]
+            arr = F.array(*[F.struct(F.lit(i).alias("sid"), *[F.col(f"`{c}`").alias(f"k{j}") for j, c in enumerate(s)]) for i, s, _ in batch])
+            x = sample.select(F.explode(arr).alias("_s"), *[F.col(f"`{c}`").alias(f"r{i}") for i, c in enumerate(cands)]).select("_s.*", *[f"r{i}" for i in range(len(cands))])
             x = x.where(" AND ".join(f"k{j} IS NOT NULL" for j in range(k)))
-            keys = ["sid"] + [f"k{j}" for j in range(k)]
-            g = x.groupBy(*keys).agg(*[(F.min(c) == F.max(c)).alias(f"d{ci}") for ci, c in enumerate(cands)])
-            per = g.groupBy("sid").agg(F.count(F.lit(1)).alias("n_groups"),
-                                       *[F.sum(F.coalesce(F.col(f"d{ci}"), F.lit(False)).cast("int")).alias(f"d{ci}")
-                                         for ci in range(len(cands))])
-            parts.append(per)
-    per = parts[0]
+            g = x.groupBy("sid", *[f"k{j}" for j in range(k)]).agg(*[(F.min(f"r{i}") < F.max(f"r{i}")).alias(f"m{i}") for i in range(len(cands))])
+            per = g.groupBy("sid").agg(*[F.count(F.when(F.col(f"m{i}"), 1)).alias(f"m{i}") for i in range(len(cands))])
+            parts.append(per.select("sid", F.inline(F.array(*[F.struct(F.lit(c).alias("rhs"), F.col(f"m{pos[c]}").alias("n_mixed")) for c in cands]))))
+    out = parts[0]
     for p in parts[1:]:
-        per = per.unionByName(p)
-    # (set id, rhs) grid: sets x C rows, built on the driver from the candidate list (bounded)
-    grid = spark.createDataFrame(
-        [(i, s, c, ci) for i, s in enumerate(sets) for ci, c in enumerate(cands) if c not in s],
-        "sid int, lhs array<string>, rhs string, rhs_pos int")
-    stacked = per.select("sid", "n_groups", F.inline(F.array(*[
-        F.struct(F.lit(ci).alias("rhs_pos"), F.col(f"d{ci}").alias("n_det")) for ci in range(len(cands))])))
-    out = grid.join(stacked, ["sid", "rhs_pos"])
-    return out.select("lhs", "rhs", (F.col("n_det") / F.col("n_groups")).alias("confidence"), "n_groups",
-                      F.col("sid").alias("lhs_order"), "rhs_pos")
+        out = out.unionByName(p)
+    return out.where("n_mixed > 0")
 
 
 def classify(conf: DataFrame, threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
@@ -139,7 +251,7 @@ def discover(df: DataFrame, columns: Sequence[str] | None = None, max_lhs: int =
     cols = list(columns or scalar_columns(df))
     _, rows = _scan_candidates(df, cols, max_distinct, UNIQUE_RATIO)
     cand = [r[0] for r in rows if r[3]]
-    return rank_fds(classify(confidences(df, cand, max_lhs, batch_size), threshold))
+    return rank_fds(classify(levelwise(df, cand, max_lhs, threshold, batch_size), threshold))
 
 
 def fd_meta(fds: DataFrame, n_rows: int, threshold: float, max_lhs: int) -> DataFrame:

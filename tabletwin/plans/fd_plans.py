@@ -209,3 +209,15 @@ def fd_big_integers(spark, sf):
 def distinct_pairs(spark, sf):
     """FD13: distinct (a, b) pairs."""
     return customer_geo(spark, sf).select("c_mktsegment", "n_regionkey").distinct()
+
+
+LATTICE_COLS = ["model", "segment", "fuel_type", "transmission_type", "airbags", "region_code", "claim_status"]
+LATTICE_SRC = f"(SELECT {', '.join(LATTICE_COLS)} FROM {POLICIES_SQL})"
+
+
+@query("fd_lattice", fd_sql(LATTICE_SRC, LATTICE_COLS, 3) + """SELECT lhs, rhs, confidence, kind,
+  row_number() OVER (PARTITION BY kind ORDER BY confidence DESC, len(string_split(lhs, ',')), lhs_pos, rhs_pos) AS rank FROM fds""")
+def fd_lattice(spark, sf):
+    """FD4 with left sides of up to three columns, searched level by level."""
+    fds = FD.discover(cut_lineage(policies(spark, sf).select(*LATTICE_COLS)), max_lhs=3)
+    return fds.select(F.concat_ws(",", "lhs").alias("lhs"), "rhs", "confidence", "kind", "rank")
