@@ -6,7 +6,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabletwin.functions import requests as R
+from tabletwin.functions.rng import sql_uniform
 from tabletwin.operators import synth as SY
+from tabletwin.operators.synth_many import Mapping, generate_many
+from tabletwin.plans import synth_sql as Q
 from tabletwin.plans.registry import query
 from tabletwin.plans.tables import table
 
@@ -36,9 +39,22 @@ NUMS_SQL = """(o_custkey % 40 + 1) * 50 AS n, o_orderkey % 11 + 1 AS a, (o_order
 REQUESTS_SQL = f"(SELECT o_orderkey AS request_id, {PROMPT_SQL} AS prompt FROM (SELECT o_orderkey, {NUMS_SQL} FROM orders))"
 
 
+# The same templates, one request per supplier: few enough that every request's table can be made.
+SUPPLIER_SQL = "(SELECT s_suppkey AS o_orderkey, s_nationkey + s_suppkey * 7 AS o_custkey FROM supplier)"
+SUPPLIER_REQUESTS_SQL = f"(SELECT o_orderkey AS request_id, {PROMPT_SQL} AS prompt FROM (SELECT o_orderkey, {NUMS_SQL} FROM {SUPPLIER_SQL}))"
+
+
 def requests_table(spark, sf):
     """(request_id, prompt): one request text per order, built from the order's columns."""
-    o = table(spark, sf, "orders")
+    return _texts(table(spark, sf, "orders"))
+
+
+def supplier_requests(spark, sf):
+    """(request_id, prompt): one request text per supplier."""
+    return _texts(table(spark, sf, "supplier").selectExpr("s_suppkey AS o_orderkey", "s_nationkey + s_suppkey * 7 AS o_custkey"))
+
+
+def _texts(o):
     return o.selectExpr("o_orderkey", *_num_exprs()).selectExpr("o_orderkey AS request_id", f"{PROMPT_SQL} AS prompt")
 
 
@@ -177,3 +193,78 @@ def synth_from_request(spark, sf):
     from tabletwin.plans.synth_plans import blueprint
     row = _parsed(spark, sf).where("request_id % 16 = 0").orderBy("request_id").first()
     return SY.generate(spark, blueprint(spark, sf), plan_from_row(row), seed=42)
+
+
+MAPPING = Mapping(
+    equal={c: c for c in ("segment", "transmission_type", "steering_type", "rear_brakes_type")}, among={"fuel_type": "fuel_types"},
+    least={"ncap_rating": "ncap_min"}, on="safety_on", off="safety_off",
+    clips={"customer_age": ("age_min", "age_max"), "subscription_length": ("subscription_min", "subscription_max")},
+    ranges={"vehicle_age": ("vehicle_age_min", "vehicle_age_max")}, fixed={"region_code": "region_code"})
+
+
+def _tables_for_all(spark, sf):
+    from tabletwin.plans.synth_plans import blueprint
+    parsed = R.parse_requests(supplier_requests(spark, sf))
+    return generate_many(parsed, blueprint(spark, sf), MAPPING, seed=42)
+
+
+def _many_sql() -> str:
+    """Rows, labels and ranges per request and key, with every row's key and label replayed."""
+    from tabletwin.plans.synth_plans import DETERMINED, POL
+    at = "r.request_id || ':' || t.id"
+    flag = lambda f, vals: " AND ".join(
+        f"(NOT list_contains(string_split(coalesce(r.{f}, ''), ','), '{c}') OR lower(l.{c}) IN {vals})" for c in DETERMINED if c.startswith("is_"))
+    eq = " AND ".join(f"(r.{c} IS NULL OR lower(l.{c}) = lower(r.{c}))" for c in MAPPING.equal)
+    out = "list_contains(string_split(coalesce(r.exclude, ''), ','), p.v)"
+    return f"""WITH r AS MATERIALIZED (SELECT *, coalesce(n_rows, 1000) AS n, coalesce(claim_rate, 0.06) AS rate FROM ({R.parse_sql(SUPPLIER_REQUESTS_SQL)})),
+pool AS MATERIALIZED (SELECT v, w, row_number() OVER (ORDER BY w DESC, v) AS pos FROM {Q.key_pool(POL, 'model')}),
+l AS MATERIALIZED (SELECT * FROM {Q.lookup(POL, 'model', DETERMINED, 'policy_id')}),
+asked AS MATERIALIZED (SELECT r.request_id, r.n, u.i, split_part(u.x, ':', 1) AS k, split_part(u.x, ':', 2) AS kind, TRY_CAST(split_part(u.x, ':', 3) AS DOUBLE) AS v
+  FROM r, (SELECT request_id AS q, unnest(string_split(allocation, ',')) AS x, generate_subscripts(string_split(allocation, ','), 1) AS i FROM r WHERE allocation IS NOT NULL) u
+  WHERE u.q = r.request_id AND split_part(u.x, ':', 1) IN (SELECT v FROM pool)),
+only_ AS (SELECT request_id, arg_min(k, i) AS k FROM asked WHERE kind = 'exclusive' GROUP BY 1),
+wants AS (SELECT *, greatest(0, CASE WHEN kind = 'percent' THEN round_even(n * v / 100.0, 0) ELSE v END)::BIGINT AS c FROM asked WHERE kind <> 'exclusive'),
+segs AS (SELECT request_id, k, least(n, s - c) AS lo, least(n, s) AS hi FROM (SELECT *, sum(c) OVER (PARTITION BY request_id ORDER BY i) AS s FROM wants) WHERE request_id NOT IN (SELECT request_id FROM only_)),
+done AS (SELECT r.request_id, r.n, r.rest, CASE WHEN o.k IS NOT NULL THEN r.n ELSE coalesce((SELECT max(hi) FROM segs WHERE segs.request_id = r.request_id), 0) END AS done, o.k AS only_k,
+  r.allocation IS NOT NULL AS alloc, r.allocation IS NOT NULL AND r.rest <> 'equal' AND r.rest IN (SELECT v FROM pool) AND NOT list_contains(string_split(coalesce(r.exclude, ''), ','), r.rest) AS named
+  FROM r LEFT JOIN only_ o ON r.request_id = o.request_id),
+cand AS (SELECT r.request_id, p.v, p.w, p.pos, r.allocation IS NOT NULL AS alloc, NOT {out} AS allowed, EXISTS (SELECT 1 FROM asked a WHERE a.request_id = r.request_id AND a.k = p.v) AS taken,
+  coalesce(NOT {out} AND {eq} AND (r.fuel_types IS NULL OR list_contains(string_split(lower(r.fuel_types), ','), lower(l.fuel_type)))
+    AND (r.ncap_min IS NULL OR l.ncap_rating >= r.ncap_min) AND {flag('safety_on', "('yes', '1', 'true', 'y')")} AND {flag('safety_off', "('no', '0', 'false', 'n')")}
+    AND (r.model IS NULL OR lower(p.v) = lower(r.model)), false) AS passes
+  FROM r CROSS JOIN pool p LEFT JOIN l ON p.v = l.model),
+step AS (SELECT *, CASE WHEN alloc THEN allowed OR NOT bool_or(allowed) OVER q ELSE passes OR NOT bool_or(passes) OVER q END AS in1 FROM cand WINDOW q AS (PARTITION BY request_id)),
+free AS MATERIALIZED (SELECT request_id, v, w, row_number() OVER (PARTITION BY request_id ORDER BY pos) - 1 AS place, count(*) OVER (PARTITION BY request_id) AS m,
+  sum(w) OVER (PARTITION BY request_id ORDER BY v ROWS UNBOUNDED PRECEDING) AS hi, sum(w) OVER (PARTITION BY request_id) AS total FROM (
+  SELECT *, in1 AND (NOT alloc OR NOT taken OR NOT bool_or(in1 AND NOT taken) OVER (PARTITION BY request_id)) AS in2 FROM step) WHERE in2),
+rows_ AS MATERIALIZED (SELECT r.request_id, t.id, r.rate, r.n, {sql_uniform(42, 'key', at)} AS uk,
+  row_number() OVER (PARTITION BY r.request_id ORDER BY {sql_uniform(42, 'alloc', at)}, t.id) - 1 AS rk, row_number() OVER (PARTITION BY r.request_id ORDER BY {sql_uniform(42, 'label', at)}, t.id) - 1 AS lab
+  FROM r, LATERAL (SELECT unnest(range(r.n)) AS id) t),
+keyed AS (SELECT x.request_id, x.id, CAST(lab < greatest(0, least(round_even(x.n * rate, 0), x.n)) AS BIGINT) AS label,
+  CASE WHEN d.only_k IS NOT NULL THEN d.only_k WHEN rk < d.done THEN s.k WHEN d.named THEN d.rest WHEN d.alloc AND d.rest = 'equal' THEN e.v ELSE f.v END AS model
+  FROM rows_ x JOIN done d ON x.request_id = d.request_id LEFT JOIN segs s ON s.request_id = x.request_id AND rk >= s.lo AND rk < s.hi
+  LEFT JOIN (SELECT DISTINCT request_id, m, total FROM free) z ON z.request_id = x.request_id
+  LEFT JOIN free e ON e.request_id = x.request_id AND rk >= d.done AND e.place = CASE WHEN rk - d.done < ((x.n - d.done) % z.m) * ((x.n - d.done) // z.m + 1) THEN (rk - d.done) // ((x.n - d.done) // z.m + 1)
+    ELSE (x.n - d.done) % z.m + (rk - d.done - ((x.n - d.done) % z.m) * ((x.n - d.done) // z.m + 1)) // greatest((x.n - d.done) // z.m, 1) END
+  LEFT JOIN free f ON f.request_id = x.request_id AND floor(uk * z.total) >= f.hi - f.w AND floor(uk * z.total) < f.hi)
+SELECT k.request_id, k.model, count(*) AS n_rows, sum(label)::BIGINT AS n_labels, min(l.segment) AS segment, min(l.fuel_type) AS fuel_type FROM keyed k LEFT JOIN l ON k.model = l.model GROUP BY 1, 2"""
+
+
+@query("synth_from_requests", _many_sql())
+def synth_from_requests(spark, sf):
+    """SY27 for every request of a table: rows and labels per request and key, with the key's attributes."""
+    made = _tables_for_all(spark, sf)
+    return made.groupBy("request_id", "model").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("claim_status").alias("n_labels"),
+                                                   F.min("segment").alias("segment"), F.min("fuel_type").alias("fuel_type"))
+
+
+@query("synth_request_bounds", f"""SELECT request_id, n_rows_made, age_ok, months_ok, region_ok FROM (
+  SELECT request_id, coalesce(n_rows, 1000) AS n_rows_made, true AS age_ok, true AS months_ok, true AS region_ok FROM ({R.parse_sql(SUPPLIER_REQUESTS_SQL)})) WHERE n_rows_made > 0""")
+def synth_request_bounds(spark, sf):
+    """SY21, SY23, SY24 per request: ages within the asked range, vehicle ages within the asked years and their jitter
+    (in months), one asked region."""
+    made = _tables_for_all(spark, sf).alias("m").join(R.parse_requests(supplier_requests(spark, sf)).alias("q"), "request_id")
+    ok = lambda c: F.coalesce(F.min(c.cast("int")) == 1, F.lit(True))
+    months = (F.col("m.vehicle_age") >= (F.col("q.vehicle_age_min") - 0.1) * 12 - 1) & (F.col("m.vehicle_age") <= (F.greatest("q.vehicle_age_max", "q.vehicle_age_min") + 0.1) * 12 + 1)
+    return made.groupBy("request_id").agg(F.count(F.lit(1)).alias("n_rows_made"), ok(F.col("m.customer_age").between(F.col("q.age_min"), F.col("q.age_max"))).alias("age_ok"),
+                                          ok(months).alias("months_ok"), ok(F.col("m.region_code") == F.col("q.region_code")).alias("region_ok"))
