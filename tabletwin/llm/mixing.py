@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tabletwin.llm.store import WORD, word_count, written
+from tabletwin.llm.store import named, unused, WORD, word_count, written
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -83,14 +83,16 @@ def repeated(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) ->
     """The mix itself: rows of ``docs`` as often as it takes them, the one at the cut as a whole. Rows without words
     are left out. Each source's passes and its key at the cut are one row; texts are neither shuffled nor sorted."""
     s = shares(docs.select("doc_id", "text", "source"), weights, max_epochs)
-    cut = written(s.groupBy("source").agg(F.max("passes").alias("_passes"), F.max(F.when(F.col("part") > 0, F.col("key"))).alias("_cut")), "cuts")
-    cut = cut.withColumnRenamed("source", "_source")
+    # beside the rows' own columns, under names that none of them has
+    source, passes, at_cut, copies = (unused(docs.columns, n) for n in ("_source", "_passes", "_cut", "_copies"))
+    cut = written(s.groupBy("source").agg(F.max("passes").alias(passes), F.max(F.when(F.col("part") > 0, F.col("key"))).alias(at_cut)), "cuts")
+    cut = cut.withColumnRenamed("source", source)
     few = cut.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    out = docs.join(F.broadcast(cut) if few else cut, F.col("source").eqNullSafe(F.col("_source")))
-    last = F.coalesce(mix_key(F.col("doc_id")) <= F.col("_cut"), F.lit(False)).cast("int")
-    times = F.when(F.coalesce(F.col("text"), F.lit("")).rlike(WORD), F.col("_passes").cast("int") + last).otherwise(F.lit(0))
-    out = out.withColumn("_copies", F.sequence(F.lit(1), times)).where(times > 0)
-    return out.withColumn("_copy", F.explode("_copies")).select(*docs.columns)
+    out = docs.join(F.broadcast(cut) if few else cut, F.col("source").eqNullSafe(F.col(source)))
+    last = F.coalesce(mix_key(F.col("doc_id")) <= F.col(at_cut), F.lit(False)).cast("int")
+    times = F.when(F.coalesce(F.col("text"), F.lit("")).rlike(WORD), F.col(passes).cast("int") + last).otherwise(F.lit(0))
+    out = out.withColumn(copies, F.sequence(F.lit(1), times)).where(times > 0)
+    return out.withColumn(copies, F.explode(copies)).select(*[named(c) for c in docs.columns])
 
 
 

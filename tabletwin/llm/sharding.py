@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tabletwin.llm.store import utf8_bytes
+from tabletwin.llm.store import named, unused, utf8_bytes
 
 #: Slots are numbered within (shard, bin) and shifted by the counts before: a shard is no single task.
 SLOT_BINS = 4096
@@ -48,7 +48,7 @@ def shard(df: DataFrame, weights: Sequence[float], key: str = "doc_id", text: st
     shard) and grown_shard (the shard if one more of weight ``grow_by`` is added; null if ``grow_by`` is None)."""
     body = F.coalesce(F.col(text), F.lit(""))
     out = df.select(
-        *[F.col(f"`{c}`") for c in df.columns if c not in {text, "size", "text_crc32", "shard", "slot", "grown_shard"}],
+        *[named(c) for c in df.columns if c not in {text, "size", "text_crc32", "shard", "slot", "grown_shard"}],
         (utf8_bytes(F.col(text)) + 8).alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"))
     at = record_key(F.col(key))
     out = out.withColumn("shard", rendezvous(at, weights))
@@ -69,14 +69,16 @@ def with_shard(df: DataFrame, weights: Sequence[float], key: str = "doc_id") ->
 
 def slots(df: DataFrame, key: str) -> DataFrame:
     """Gapless numbers from 0 in each shard: counts of (shard, bin) are summed over bins, rows are numbered within."""
-    df = df.withColumn("_bin", F.conv(F.substring(F.md5(F.concat_ws("|", record_key(F.col(key)), "size", "text_crc32")), 1, 3), 16, 10).cast("int") % SLOT_BINS)
-    bins = df.groupBy("shard", "_bin").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(W.partitionBy("shard").orderBy("_bin").rowsBetween(W.unboundedPreceding, -1))
+    # beside the rows' own columns, under names that none of them has
+    at, place, before_bin = (unused(df.columns, n) for n in ("_bin", "_k", "_first"))
+    df = df.withColumn(at, F.conv(F.substring(F.md5(F.concat_ws("|", record_key(F.col(key)), "size", "text_crc32")), 1, 3), 16, 10).cast("int") % SLOT_BINS)
+    bins = df.groupBy("shard", at).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(W.partitionBy("shard").orderBy(at).rowsBetween(W.unboundedPreceding, -1))
     # at most shards x SLOT_BINS rows of three numbers, whatever the input
-    first = bins.select("shard", "_bin", F.coalesce(before, F.lit(0)).alias("_first"))
-    within = F.row_number().over(W.partitionBy("shard", "_bin").orderBy(key, "size", "text_crc32")) - 1
-    return (df.withColumn("_k", within).join(first, ["shard", "_bin"])
-              .withColumn("slot", (F.col("_first") + F.col("_k")).cast("long")).drop("_bin", "_k", "_first"))
+    first = bins.select("shard", at, F.coalesce(before, F.lit(0)).alias(before_bin))
+    within = F.row_number().over(W.partitionBy("shard", at).orderBy(key, "size", "text_crc32")) - 1
+    return (df.withColumn(place, within).join(first, ["shard", at])
+              .withColumn("slot", (F.col(before_bin) + F.col(place)).cast("long")).drop(at, place, before_bin))
 
 
 def expected_share(weights: Sequence[float]) -> list[float]:

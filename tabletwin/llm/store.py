@@ -27,6 +27,19 @@ def written(df: DataFrame, name: str, options: dict[str, str] | None = None) ->
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def named(column: str):
+    """The column of exactly this name, whatever characters it holds."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def unused(columns, name: str) -> str:
+    """``name``, with underscores before it until no column has it (upper and lower case are one)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def words_of(text):
     """Array of the words of a text column (null or empty: empty array), built-in functions only."""
     parts = F.split(F.coalesce(text, F.lit("")), WORD_SPLIT)
