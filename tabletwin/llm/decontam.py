@@ -5,7 +5,9 @@ ignores the others, so a hit survives substitutions at ignored positions. Seeds
 hashed; seeds of all document positions are first tried against a bit table of the benchmark's hashes (three bits per
 seed), the few that pass join the benchmark's seeds by hash, and every hit is verified: on the hit's diagonal some
 window of ``MIN_TOKENS`` tokens around it must agree in all but ``MAX_DIFFERENT`` positions. Items shorter than the window must
-agree as a whole, with at most a sixth of their tokens different; items shorter than a mask are matched by none.
+agree as a whole, with at most a sixth of their tokens different. Their masks are the runs of tokens that a cut into one part
+more than the allowed differences leaves: at least one part has none, so no placing is missed, at any length from one
+token on. Documents are read at the lengths of such parts only if the benchmark has short items.
 
 Cases: null and empty texts have no tokens; very long texts are read whole; repeated rows are judged each by
 itself; an empty benchmark or an empty table marks nothing; further columns are kept.
@@ -55,13 +57,43 @@ def positions(words: Column, mask: str) -> Column:
     return F.when(n >= 0, F.sequence(F.lit(0), n)).otherwise(F.array().cast("array<int>"))
 
 
+def allowed(length: int) -> int:
+    """Differences allowed in an item of ``length`` tokens, fewer than ``MIN_TOKENS``."""
+    return length // 6
+
+
+def parts_of(length: int) -> list[tuple[int, int]]:
+    """(start, tokens) of the parts of a short item: one more than its allowed differences."""
+    n = allowed(length) + 1
+    cuts = [i * length // n for i in range(n + 1)]
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
+
+
+def part_mask(length: int) -> tuple[int, str]:
+    """Number and mask of a part of ``length`` tokens."""
+    return len(MASKS) + length, "1" * length
+
+
+def document_masks(items: DataFrame) -> list[tuple[int, str]]:
+    """The masks that documents are read with: the fixed ones and those of the parts of the short items there are."""
+    size = F.size(tokens(F.col("text")))
+    short = [r.n for r in items.select(size.alias("n")).where(F.col("n").between(1, MIN_TOKENS - 1)).distinct().collect()]
+    return list(enumerate(MASKS)) + [part_mask(k) for k in sorted({k for n in short for _, k in parts_of(n)})]
+
+
 def benchmark_seeds(items: DataFrame) -> DataFrame:
     """(seed, item_id, item_at, item_words) for every mask and position of the items (item_id, text)."""
     def of(hashes, mask, number):
         return F.transform(positions(hashes, mask), lambda i: F.struct(seed_at(hashes, i, mask, number).alias("seed"), i.alias("item_at")))
 
+    def part(hashes, start, length):
+        number, mask = part_mask(length)
+        return F.struct(seed_at(hashes, F.lit(start), mask, number).alias("seed"), F.lit(start).alias("item_at"))
+
     def seeds(words):
-        return let(word_hashes(words), lambda h: F.flatten(F.array(*[of(h, m, k) for k, m in enumerate(MASKS)])))
+        short = [F.when(F.size(words) == n, F.array(*[part(h, a, k) for a, k in parts_of(n)])) for h in [word_hashes(words)] for n in range(1, MIN_TOKENS)]
+        long = let(word_hashes(words), lambda h: F.flatten(F.array(*[of(h, m, k) for k, m in enumerate(MASKS)])))
+        return F.when(F.size(words) >= MIN_TOKENS, long).otherwise(F.coalesce(*short))
 
     w = items.select("item_id", tokens(F.col("text")).alias("item_words"))
     return w.select("item_id", "item_words", F.explode(seeds(F.col("item_words"))).alias("s")).select("s.seed", "item_id", "s.item_at", "item_words")
@@ -89,7 +121,7 @@ def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     seeds = benchmark_seeds(items)
     n_seeds = seeds.count()
     bits = min(max(TABLE_BITS[0], (32 * max(n_seeds, 1) - 1).bit_length()), TABLE_BITS[1])
-    reach = MIN_TOKENS
+    reach, masks = MIN_TOKENS, document_masks(items)
 
     def known(seed, table):
         hit = [F.getbit(F.get(table, F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63)).cast("int")) == 1 for at in slots(seed, bits)]
@@ -101,7 +133,7 @@ def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
             at = F.filter(positions(hashes, mask), lambda i: known(seed_at(hashes, i, mask, k), table))
             return F.transform(at, lambda i: F.struct(i.alias("at"), seed_at(hashes, i, mask, k).alias("seed")))
 
-        found = F.flatten(F.array(*[of(m, k) for k, m in enumerate(MASKS)]))
+        found = F.flatten(F.array(*[of(m, k) for k, m in masks]))
         # the words around a hit go along, so that documents need not be joined again
         return F.transform(found, lambda p: F.struct(p["at"].alias("at"), p["seed"].alias("seed"), F.greatest(p["at"] - reach, F.lit(0)).alias("from"),
                                                      F.slice(words, F.greatest(p["at"] - reach, F.lit(0)) + 1, 2 * reach + 8).alias("near")))
