@@ -28,8 +28,11 @@ from tabletwin.llm import tokens as tk
 from tabletwin.llm.store import map_arrow
 
 SAMPLE_ROWS = 200
-MAX_TOKENS = 13
+MAX_TOKENS = 24
 BUCKETS = 1 << 14
+#: Bounds of the labelled sample, beside its documents: entities taken of a text, blocks taken of a text without any, and
+#: tokens of a block. They bound the fit alone; finding reads all of every text.
+FIT_ENTITIES, FIT_BLOCKS, FIT_TOKENS = 8, 4, 80
 #: A segment is added if its margin over leaving its tokens outside is at least this (log odds).
 MARGIN = 2.0
 
@@ -85,7 +88,7 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
 
 # ---- token blocks -------------------------------------------------------------------------------------------
 
-_TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|[^\s]")
+_TOKEN = re.compile(r"[\[({]\s?(?:at|AT|dot|DOT)\s?[\])}]|[0-9]+|[^\W\d_]+|[^\s]")
 #: What an entity is built around: a number with its punctuation, an at sign, a spelled-out one.
 _CORE = re.compile(r"[+(]{0,2}[0-9][0-9() .+-]*|@|[\[({]\s?(?:at|AT)\s?[\])}]|\sat\s(?=[\w.%+-]{1,64}\sdot\s)")
 _RIGHT = re.compile(r"\s?[\w.%+-]{1,64}(?:(?:\s?[\[({]\s?(?:dot|DOT)\s?[\])}]\s?|\sdot\s)[\w.%+-]{1,64})*")
@@ -174,13 +177,19 @@ def segment_features(text: str, toks: list[tuple[int, int]], i: int, j: int) ->
 class Lattice:
     """All candidate segments of one block, with their features."""
 
-    def __init__(self, text: str, block: tuple[int, int]):
+    def __init__(self, text: str, block: tuple[int, int], also: frozenset[tuple[int, int]] = frozenset()):
+        """``also``: code point spans that are candidates whatever their length (known entities)."""
         self.text = text
         self.toks = [(m.start(), m.end()) for m in _TOKEN.finditer(text, *block)]
         spans, feats = [], []
         for i in range(len(self.toks)):
-            for j in range(i + 1, min(len(self.toks), i + MAX_TOKENS) + 1):
-                if j - i < 2 and self.toks[i][1] - self.toks[i][0] < 9:
+            for j in range(i + 1, len(self.toks) + 1):
+                known = (self.toks[i][0], self.toks[j - 1][1]) in also
+                if j - i > MAX_TOKENS and not known:
+                    if not also:
+                        break
+                    continue
+                if j - i < 2 and self.toks[i][1] - self.toks[i][0] < 9 and not known:
                     continue  # a single token is an entity only as a long run of digits
                 spans.append((i, j))
                 feats.append(segment_features(text, self.toks, i, j))
@@ -245,6 +254,10 @@ EXAMPLES = (("write to ann.lee@mail.example.org today", "email"), ("from bob_r@e
             ("mail: info@example.co.uk", "email"), ("by kim@uni.example.edu.", "email"), ("reach +1 (646) 555-0190 or", "phone"), ("call +1 (212) 555-0147 now", "phone"), ("host 192.168.20.7 is up", "ip"), ("card 4111 1111 1111 1111 was", "card"))
 
 
+#: Ways to spell out an address.
+FORMS = 5
+
+
 def _rewritten(text: str, span: tuple[int, int], kind: str, n: int) -> tuple[str, tuple[int, int]] | None:
     """The entity in a form that the base patterns miss, in its place."""
     s = text[span[0]:span[1]]
@@ -256,10 +269,9 @@ def _rewritten(text: str, span: tuple[int, int], kind: str, n: int) -> tuple[str
         s = (f"{a} {b}-{c}", f"{a.strip('()')}-{b}-{c}", f"{a.strip('()')}.{b}.{c}")[n % 3]
     elif kind == "email":
         user, host = s.split("@", 1)
-        name, _, top = host.rpartition(".")
-        s = (f"{user} (at) {name}.{top}", f"{user}[at]{name}[dot]{top}", f"{user} at {name} dot {top}")[n % 3]
-        if " dot " in s and "." in name:
-            s = f"{user} at {name.replace('.', ' dot ')} dot {top}"
+        spelled = lambda dot: host.replace(".", dot)
+        s = (f"{user} (at) {host}", f"{user}[at]{spelled('[dot]')}", f"{user} at {spelled(' dot ')}", f"{user} [at] {spelled(' [dot] ')}",
+             f"{user} (at) {spelled(' (dot) ')}")[n % FORMS]
     else:
         return None
     return text[:span[0]] + s + text[span[1]:], (span[0], span[0] + len(s))
@@ -276,21 +288,21 @@ def training_cases(texts: list[str]) -> list[tuple[Lattice, list[tuple[int, int]
     for text, kind in EXAMPLES:
         span = next(iter(base_spans(text)[kind]))
         snippets.append((text, [(span, kind)]))
-        snippets += [(new[0], [(new[1], kind)]) for n in range(3) if (new := _rewritten(text, span, kind, n))]
+        snippets += [(new[0], [(new[1], kind)]) for n in range(FORMS) if (new := _rewritten(text, span, kind, n))]
     for text in texts:
         found = [(s, k) for k, v in base_spans(text).items() for s in v]
-        for n, (span, kind) in enumerate(sorted(found)[:8]):
+        for n, (span, kind) in enumerate(sorted(found)[:FIT_ENTITIES]):
             near, at = _context(text, span)
             snippets.append((near, [(s, k) for k, v in base_spans(near).items() for s in v]))
             if new := _rewritten(near, at, kind, n):
                 snippets.append((new[0], [(new[1], kind)] + [(s, k) for k, v in base_spans(new[0]).items() for s in v if s[1] <= new[1][0] or s[0] >= new[1][1]]))
         if not found:
-            snippets += [(text[max(0, a - 30):b + 30], []) for a, b in blocks(text)[:4]]
+            snippets += [(text[max(0, a - 30):b + 30], []) for a, b in blocks(text)[:FIT_BLOCKS]]
     cases = []
     for text, gold in snippets:
         for block in blocks(text):
-            lat = Lattice(text, block)
-            if len(lat.toks) > 80:
+            lat = Lattice(text, block, frozenset(s for s, _ in gold))
+            if len(lat.toks) > FIT_TOKENS:
                 continue
             where = {(lat.toks[i][0], lat.toks[j - 1][1]): k for k, (i, j) in enumerate(lat.spans)}
             cases.append((lat, [(where[s], KINDS.index(k)) for s, k in gold if s in where]))
@@ -345,8 +357,9 @@ def sample_texts(docs: DataFrame, rows: int = SAMPLE_ROWS) -> list[str]:
     """Whole texts with a digit or an at sign and the least hash of their id."""
     # only ids are compared; the texts of the chosen ones are fetched afterwards
     least = docs.where(F.col("text").rlike("[0-9@]")).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    picked = docs.where(F.col("text").rlike("[0-9@]")).join(F.broadcast(least), "doc_id").select("doc_id", "text").limit(rows)
-    return [r.text for r in sorted(picked.collect(), key=lambda r: (r.doc_id, r.text))]
+    picked = docs.where(F.col("text").rlike("[0-9@]")).join(F.broadcast(least), "doc_id").select("doc_id", "text")
+    # repeated ids: the first texts in order, whatever the plan
+    return [r.text for r in picked.orderBy("doc_id", "text").limit(rows).collect()]
 
 
 def find(docs: DataFrame, weights: np.ndarray | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
