@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from tabletwin.llm import bitplane, bpe, decontam, jaccard, mixing, phrases, pii, quality, recompress, rules, secrets, sharding, suffix
-from tabletwin.llm.store import source_table
+from tabletwin.llm.store import shared_path, source_table
 
 SHARDS = 24
 
@@ -42,7 +42,12 @@ def op7_decontamination(spark, sf_dir):
 
 
 def op8_secrets(spark, sf_dir):
-    found = secrets.scan(source_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    versions = source_table(spark, sf_dir, "documents").select("doc_id", "text")
+    # an earlier run has recorded the older ids; this one scans all, and of their contents only those that are new
+    ledger = shared_path(spark, "ledger")
+    middle = versions.agg(F.percentile_approx("doc_id", 0.5)).first()[0]
+    secrets.record(versions.where(F.col("doc_id") <= F.lit(middle)), ledger)
+    found = secrets.scan(versions, ledger)
     base = F.filter("spans", lambda s: s["kind"].isin([r.kind for r in secrets.BASE_RULES]))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     return found.select("doc_id", *[count(r.kind).alias(f"n_{r.kind}") for r in secrets.BASE_RULES],

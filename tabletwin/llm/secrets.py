@@ -128,18 +128,26 @@ def new_findings(versions: DataFrame, ledger: DataFrame | None = None, rules=RUL
                  .select("blob", "r.rule", "r.spans"))
 
 
+LEDGER_SCHEMA = f"blob string, rule string, spans {SPAN_TYPE}"
+
+
+def record(versions: DataFrame, ledger_path: str, rules=RULES, text: str = "text") -> None:
+    """Add to the ledger what it lacks of ``versions``, without joining findings back to paths."""
+    spark = versions.sparkSession
+    old = spark.read.schema(LEDGER_SCHEMA).parquet(ledger_path) if _has_rows(spark, ledger_path) else None
+    written(new_findings(versions, old, rules, text), "secrets").write.mode("append").parquet(ledger_path)
+
+
 def scan(versions: DataFrame, ledger_path: str | None = None, rules=RULES, text: str = "text") -> DataFrame:
     """Rows of ``versions`` without the text, plus ``blob`` and ``spans`` (all findings of the rules' present
     versions, by start, then rule). With ``ledger_path`` (Parquet folder) the ledger is read and added to."""
     spark = versions.sparkSession
     paths = versions.select(*[F.col(f"`{c}`") for c in versions.columns if c not in {text, "blob", "spans"}], blob_of(F.col(text)).alias("blob"))
-    old = None
-    if ledger_path is not None and _has_rows(spark, ledger_path):
-        old = spark.read.parquet(ledger_path)
-    found = written(new_findings(versions, old, rules, text), "secrets")
-    if ledger_path is not None:
-        found.write.mode("append").parquet(ledger_path)
-        found = spark.read.parquet(ledger_path)
+    if ledger_path is None:
+        found = written(new_findings(versions, None, rules, text), "secrets")
+    else:
+        record(versions, ledger_path, rules, text)
+        found = spark.read.schema(LEDGER_SCHEMA).parquet(ledger_path)
     hits = (found.where(F.col("rule").isin([r.key for r in rules]) & (F.size("spans") > 0))
                  .groupBy("blob").agg(F.array_sort(F.flatten(F.collect_set("spans"))).alias("spans")))
     return (paths.join(hits, "blob", "left")
