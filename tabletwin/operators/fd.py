@@ -55,6 +55,12 @@ def _coded(df: DataFrame, cols: list[str]) -> DataFrame:
     return d.select(*[_code(c, fields[c]).alias(c) for c in cols])
 
 
+def _distinct_counts(coded: DataFrame, cols: Sequence[tuple[int, str]]) -> dict[int, int]:
+    """Distinct non-null codes of each (number, column), as distinct (number, code) pairs."""
+    pairs = coded.select(F.inline(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"`{c}`").alias("v")) for i, c in cols]))).where("v IS NOT NULL").distinct()
+    return {r["i"]: r["k"] for r in pairs.groupBy("i").agg(F.count(F.lit(1)).alias("k")).collect()}  # one row per column
+
+
 def _scan_candidates(df: DataFrame, cols: list[str], max_distinct: int | None, unique_ratio: float):
     """(n_rows, rows of (column, position, n_unique, is_candidate)). HyperLogLog estimates (5 % error) settle
     columns that are far from every limit; the others are counted exactly as distinct (column, code) pairs."""
@@ -63,10 +69,7 @@ def _scan_candidates(df: DataFrame, cols: list[str], max_distinct: int | None, u
     n = est["_n"]
     top = 1.3 * unique_ratio * n if max_distinct is None else 2 * max_distinct
     near = [(i, c) for i, c in enumerate(cols) if est[f"e{i}"] <= top]
-    exact = {}
-    if near:
-        pairs = d.select(F.inline(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"`{c}`").alias("v")) for i, c in near]))).where("v IS NOT NULL").distinct()
-        exact = {r["i"]: r["k"] for r in pairs.groupBy("i").agg(F.count(F.lit(1)).alias("k")).collect()}  # one row per column
+    exact = _distinct_counts(d, near) if near else {}
     rows = []
     for i, c in enumerate(cols):
         k = exact.get(i, 0) if any(j == i for j, _ in near) else None
@@ -147,7 +150,7 @@ class Lattice:
 
 
 def levelwise(df: DataFrame, candidates: Sequence[str], max_lhs: int, threshold: float = DEFAULT_THRESHOLD, batch_size: int = 8,
-              sample_rows: int = SAMPLE_ROWS, done: Lattice | None = None) -> DataFrame:
+              sample_rows: int = SAMPLE_ROWS, done: Lattice | None = None, distinct: dict[str, int] | None = None) -> DataFrame:
     """The pairs of ``confidences`` that reach ``threshold``, level by level, with two exact short cuts:
 
     * if a set determines a column exactly, so does every larger set, as long as neither the column nor the columns
@@ -156,7 +159,7 @@ def levelwise(df: DataFrame, candidates: Sequence[str], max_lhs: int, threshold:
       than the product of the columns' distinct values. So the sample's mixed groups bound the confidence from above,
       and a pair whose bound is below the threshold is out.
 
-    What is left is counted over the whole table. Per level the driver takes the pairs that hold (at most sets x columns
+    ``distinct`` gives the columns' distinct values if they are known. What is left is counted over the whole table. Per level the driver takes the pairs that hold (at most sets x columns
     of a few numbers)."""
     cands = list(candidates)
     spark = df.sparkSession
@@ -165,13 +168,14 @@ def levelwise(df: DataFrame, candidates: Sequence[str], max_lhs: int, threshold:
         return spark.createDataFrame([], CONF_SCHEMA)
     pos = {c: i for i, c in enumerate(cands)}
     coded = _coded(df, cands)
-    head = coded.agg(F.count(F.lit(1)).alias("n"), *[F.count(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cands)],
-                     *[F.approx_count_distinct(f"`{c}`").alias(f"u{i}") for i, c in enumerate(cands)]).first()
+    head = coded.agg(F.count(F.lit(1)).alias("n"), *[F.count(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cands)]).first()
     n = head["n"]
     whole = {c for i, c in enumerate(cands) if head[f"c{i}"] == n}  # columns without nulls
-    most = {c: max(1.0, 1.3 * head[f"u{i}"]) for i, c in enumerate(cands)}  # an estimate with room for its error
     sample = None
     if n > 2 * sample_rows:
+        if distinct is None:
+            found_distinct = _distinct_counts(coded, list(enumerate(cands)))
+            distinct = {c: found_distinct.get(i, 0) for i, c in enumerate(cands)}
         # rows by the hash of their values: the same sample on any partitioning
         sample = cut_lineage(coded.where(F.pmod(F.xxhash64(*[f"`{c}`" for c in cands]), F.lit(n // sample_rows)) == 0))
     order = {s: i for i, s in enumerate(_sets(cands, max_lhs))}
@@ -194,7 +198,7 @@ def levelwise(df: DataFrame, candidates: Sequence[str], max_lhs: int, threshold:
                 wanted.append((order[s], s, open_rhs))
         if sample is not None and wanted:
             done.sampled_sets += len(wanted)
-            groups = {i: min(float(n), math.prod(most[c] for c in s)) for i, s, _ in wanted}
+            groups = {i: min(float(n), float(math.prod(max(1, distinct[c]) for c in s))) for i, s, _ in wanted}
             mixed = _mixed(sample, wanted, cands, batch_size)
             out = {(r.sid, r.rhs) for r in mixed.collect() if 1.0 - r.n_mixed / groups[r.sid] < threshold}
             done.ruled_out_pairs += len(out)
@@ -251,7 +255,8 @@ def discover(df: DataFrame, columns: Sequence[str] | None = None, max_lhs: int =
     cols = list(columns or scalar_columns(df))
     _, rows = _scan_candidates(df, cols, max_distinct, UNIQUE_RATIO)
     cand = [r[0] for r in rows if r[3]]
-    return rank_fds(classify(levelwise(df, cand, max_lhs, threshold, batch_size), threshold))
+    known = {r[0]: r[2] for r in rows if r[3]}
+    return rank_fds(classify(levelwise(df, cand, max_lhs, threshold, batch_size, distinct=known), threshold))
 
 
 def fd_meta(fds: DataFrame, n_rows: int, threshold: float, max_lhs: int) -> DataFrame:
