@@ -3,6 +3,11 @@
 Every stage works on all rows that the one before kept: the classifier's rejects go, one document of each group of
 near copies stays, documents that overlap the benchmark go, sources are mixed to their target weights (documents of
 sources that run short repeat, as rows), and the rows get their shards.
+
+Cases: null and empty texts are judged by their metadata, are near copies of nothing and hold no benchmark item; very long
+texts are read whole; rows without an id are never compared for near copies and stay as they were; repeated rows of an
+id are one document (the near-copy stage keeps one row of it); every stage but the last returns the columns it was given,
+whatever their names, and the last adds ``shard`` (replacing a column of that name); an empty table stays empty.
 """
 
 from __future__ import annotations
