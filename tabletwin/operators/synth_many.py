@@ -1,9 +1,10 @@
 """Tables for many requests in one job (SY27).
 
-Requests are a table, one parsed plan per row, and their rows are made together: a plan's row count becomes blocks of
-row numbers, so one request for billions of rows is many tasks; ranks within a request come from prefix sums over
-(request, part of the draw), so neither a large request nor a request that holds most rows is one task; and what a plan
-asks for (allocation ends, filtered keys, ranges) are columns that rows meet by the request's id.
+Requests are a table, one parsed plan per row, and their rows are made together. A request of up to ``RANK_PART`` rows is
+made and ranked where its plan lies, so its rows are never shuffled. A larger one becomes blocks of row numbers, so one
+request for billions of rows is many tasks, and its ranks come from prefix sums over (request, part of the draw). What a
+plan asks for (allocation ends, filtered keys, ranges) are columns that rows meet by the request's id; plans are
+dealt by it and stay on the executors.
 
 Draws are keyed by request and row number: a request gives the same rows whatever other requests stand beside it.
 
@@ -17,7 +18,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabletwin.functions.rng import uniform
@@ -27,9 +28,10 @@ from tabletwin.session import cut_lineage
 
 MANY_KEYS = 10_000
 BLOCK_ROWS = 10_000
+#: Rows ranked in one window; also the rows of a task's requests together, on average at most four times this many.
 RANK_PART = 250_000
-#: Plans up to this many are broadcast to the rows; more are joined by a shuffle.
-BROADCAST_PLANS = 20_000
+#: Plans of large requests up to this many are broadcast to their rows; more are joined by a shuffle.
+BROADCAST_PLANS = 1_000
 
 
 @dataclass
@@ -162,7 +164,39 @@ def _key(seed: int) -> Column:
 
 def _with_plan(rows: DataFrame, p: DataFrame) -> DataFrame:
     small = p.limit(BROADCAST_PLANS + 1).count() <= BROADCAST_PLANS
-    return rows.drop("_n").join(F.broadcast(p) if small else p, "request_id")
+    # no broadcast of many plans, however well they compress in the shuffle
+    return rows.drop("_n").join(F.broadcast(p) if small else p.hint("merge"), "request_id")
+
+
+def _whole_requests(p: DataFrame, rows: int, seed: int, ranks: dict[str, str]) -> DataFrame:
+    """The rows of plans that ask for at most ``RANK_PART``, ranked (``ranks``: salt by column) and with their plans. All
+    steps share one dealing by the request, which only plans pass through."""
+    parts = max(p.sparkSession.sparkContext.defaultParallelism, rows // (4 * RANK_PART) + 1)
+    dealt = p.select("request_id", "_n").repartition(parts, "request_id")
+    d = dealt.where("_n > 0").select("request_id", "_n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)).alias("id"))
+    draw = F.concat_ws(":", "request_id", "id")
+    for out, salt in ranks.items():
+        run = Window.partitionBy("request_id").orderBy("_u", "id")
+        d = d.withColumn("_u", uniform(seed, salt, draw)).withColumn(out, F.row_number().over(run).cast("bigint") - 1).drop("_u")
+    return d.drop("_n").join(p.repartition(parts, "request_id").hint("merge"), "request_id").withColumn("_draw", draw)
+
+
+def _split_requests(p: DataFrame, seed: int, ranks: dict[str, str]) -> DataFrame:
+    """The rows of larger requests in blocks, ranked over parts of the draw, with plans."""
+    d = row_numbers(p).withColumn("_draw", F.concat_ws(":", "request_id", "id"))
+    for out, salt in ranks.items():
+        d = _rank(d, seed, salt, out)
+    return _with_plan(d, p)
+
+
+def _ranked_rows(p: DataFrame, seed: int, ranks: dict[str, str]) -> DataFrame:
+    """Every row of every plan: its number and draw key, its ranks and its plan's columns."""
+    wide = F.col("_n") > RANK_PART
+    size = p.agg(F.sum(F.when(wide, F.col("_n"))).alias("wide"), F.sum(F.when(~wide, F.greatest("_n", F.lit(0)))).alias("whole")).first()
+    whole = _whole_requests(p.where(~wide), size["whole"] or 0, seed, ranks)
+    if not size["wide"]:
+        return whole
+    return whole.unionByName(_split_requests(p.where(wide), seed, ranks))
 
 
 def _ranged_pool(pool: DataFrame, col: str, p: DataFrame, lo: str, hi: str, st: dict) -> tuple[DataFrame, DataFrame, int]:
@@ -211,11 +245,7 @@ def generate_many(requests: DataFrame, bp: SY.Blueprint, mapping: Mapping, seed:
         p, *held[c] = _ranged_pool(bp.numeric_counts(c), c, q, f"_q_{lo}", f"_q_{hi}", bp.stats[c])
         p = p.withColumnsRenamed({x: f"{x}:{c}" for x in ("_from", "_upto", "_total", "_lo")})
     p = cut_lineage(p)
-    df = row_numbers(p).withColumn("_draw", F.concat_ws(":", "request_id", "id"))
-    df = _rank(df, seed, "alloc", "_rank")
-    if bp.label_col:
-        df = _rank(df, seed, "label", "_lab")
-    df = _with_plan(df, p)
+    df = _ranked_rows(p, seed, {"_rank": "alloc"} | ({"_lab": "label"} if bp.label_col else {}))
     df = df.withColumn(bp.key, _key(seed))
     if bp.label_col:
         df = df.withColumn(bp.label_col, (F.col("_lab") < F.col("_labels")).cast("bigint"))

@@ -78,3 +78,22 @@ def test_repeated_ids_are_an_error_and_no_requests_give_no_rows(spark, bp):
     with pytest.raises(ValueError, match="unique"):
         SM.generate_many(twice, bp, MAPPING)
     assert SM.generate_many(parsed(spark).limit(0), bp, MAPPING).count() == 0
+
+
+def test_rows_of_ordinary_requests_are_not_shuffled_and_plans_not_broadcast(spark, bp, monkeypatch):
+    p = spark.createDataFrame([(i, 40, 10) for i in range(50)], "request_id long, _n long, _labels long")
+    plan = lambda: SM._ranked_rows(p, 7, {"_rank": "alloc", "_lab": "label"})._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(SM, "BROADCAST_PLANS", 0)
+    # plans are dealt once for the rows and once for the join; two windows and the join need no more
+    assert plan().count("Exchange hashpartitioning") == 2 and "Broadcast" not in plan()
+    monkeypatch.setattr(SM, "RANK_PART", 30)
+    assert "Broadcast" not in plan().split("SortMergeJoin")[0]
+    rows = SM._ranked_rows(p, 7, {"_rank": "alloc"}).collect()
+    monkeypatch.setattr(SM, "RANK_PART", 40)
+    assert sorted(SM._ranked_rows(p, 7, {"_rank": "alloc"}).select("request_id", "id", "_rank").collect()) == sorted((r.request_id, r.id, r._rank) for r in rows)
+
+
+def test_requests_of_one_file_are_parsed_by_many_tasks(spark):
+    d = parsed(spark, ["500 rows"] * 400)
+    sizes = d.rdd.glom().map(len).collect()
+    assert len(sizes) == 8 * spark.sparkContext.defaultParallelism and max(sizes) <= 30
