@@ -276,8 +276,8 @@ FIELDS = ["n_rows", "allocation", "exclude", "rest", "model", "fuel_types", "seg
 
 def parse_requests(df: DataFrame, text_col: str = "prompt", keep: tuple[str, ...] = ("request_id",)) -> DataFrame:
     """EX1-EX23 as a chain of narrow projections: every field plus the description line."""
-    from tabletwin.session import spread
-    src = df if df.isStreaming else spread(df)
+    from tabletwin.session import dealt
+    src = df if df.isStreaming else dealt(df)
     out = src.selectExpr(*keep, f"lower(trim({text_col})) AS p")
     carried = list(keep) + ["p"]
     for st in field_stages("spark"):
