@@ -12,7 +12,7 @@ one distinct non-null value. Plan:
    every partition to its distinct keys before the shuffle.
 4. Per set: n_groups and the number of groups with min = max, per rhs. The result has C^2 rows.
 5. ``discover`` goes level by level (``levelwise``): pairs that follow from a smaller exact set are not counted, and pairs
-   that a sample of rows already contradicts are dropped before the table is scanned for them.
+   that a sample of rows, or one in ``GROUP_PARTS`` of a set's groups, already contradicts are not counted in full.
 """
 
 from __future__ import annotations
@@ -36,6 +36,9 @@ MAX_DISTINCT = 500  # the reference's limit; discovery has none unless it is pas
 UNIQUE_RATIO = 0.95
 DEFAULT_MAX_LHS = 1
 SAMPLE_ROWS = 100_000
+#: One in so many groups of a set is looked at whole before all are counted: more than this times the allowed share of mixed
+#: groups there rules a pair out.
+GROUP_PARTS = 8
 
 
 def _code(column: str, kind: T.DataType):
@@ -90,6 +93,17 @@ def candidate_table(df: DataFrame, columns: Sequence[str] | None = None, max_dis
 CONF_SCHEMA = "lhs array<string>, rhs string, confidence double, n_groups bigint, lhs_order int, rhs_pos int"
 
 
+def _expanded(coded: DataFrame, batch, rhs: Sequence[str], pos: dict[str, int], k: int, parts: int = 1) -> DataFrame:
+    """(sid, k0.., r of every ``rhs``): each row once per set of the batch, without null keys; ``r`` is null where the set
+    doesn't ask for it, so it takes no room in the shuffle. ``parts``: only whole groups, one in so many by their hash."""
+    one = lambda i, s, r: F.struct(F.lit(i).alias("sid"), *[F.col(f"`{c}`").alias(f"k{j}") for j, c in enumerate(s)], *[
+        (F.col(f"`{c}`") if c in r else F.lit(None).cast("bigint")).alias(f"r{pos[c]}") for c in rhs])
+    rows = F.array(*[one(*w) for w in batch])
+    if parts > 1:
+        rows = F.filter(rows, lambda e: F.pmod(F.xxhash64(e["sid"], *[e[f"k{j}"] for j in range(k)]), F.lit(parts)) == 0)
+    return coded.select(F.explode(rows).alias("_s")).select("_s.*").where(" AND ".join(f"k{j} IS NOT NULL" for j in range(k)))
+
+
 def measure(coded: DataFrame, wanted: Sequence[tuple[int, Sequence[str], Sequence[str]]], cands: Sequence[str],
             batch_size: int = 8) -> DataFrame:
     """(sid, rhs_pos, n_groups, n_det) of ``wanted`` (set id, lhs set, rhs columns): lhs sets of one size go in batches,
@@ -102,10 +116,7 @@ def measure(coded: DataFrame, wanted: Sequence[tuple[int, Sequence[str], Sequenc
         for b in range(0, len(of_size), batch_size):
             batch = of_size[b:b + batch_size]
             rhs = [c for c in cands if any(c in r for _, _, r in batch)]
-            arr = F.array(*[F.struct(F.lit(i).alias("sid"), *[F.col(f"`{c}`").alias(f"k{j}") for j, c in enumerate(s)])
-                            for i, s, _ in batch])
-            x = coded.select(F.explode(arr).alias("_s"), *[F.col(f"`{c}`").alias(f"r{pos[c]}") for c in rhs]).select("_s.*", *[f"r{pos[c]}" for c in rhs])
-            x = x.where(" AND ".join(f"k{j} IS NOT NULL" for j in range(k)))
+            x = _expanded(coded, batch, rhs, pos, k)
             keys = ["sid"] + [f"k{j}" for j in range(k)]
             g = x.groupBy(*keys).agg(*[(F.min(f"r{pos[c]}") == F.max(f"r{pos[c]}")).alias(f"d{pos[c]}") for c in rhs])
             per = g.groupBy("sid").agg(F.count(F.lit(1)).alias("n_groups"), *[
@@ -157,7 +168,8 @@ def levelwise(df: DataFrame, candidates: Sequence[str], max_lhs: int, threshold:
       added hold nulls: such a pair needs no count (its ``n_groups`` is null);
     * a group with two values in a sample of rows has two in the table, and the table has no more groups than rows nor
       than the product of the columns' distinct values. So the sample's mixed groups bound the confidence from above,
-      and a pair whose bound is below the threshold is out.
+      and a pair whose bound is below the threshold is out. Sets of many small groups, which a sample of rows splits, are
+      then judged in the same way on one in ``GROUP_PARTS`` of their groups, with all rows of these.
 
     ``distinct`` gives the columns' distinct values if they are known. What is left is counted over the whole table. Per level the driver takes the pairs that hold (at most sets x columns
     of a few numbers)."""
@@ -199,10 +211,13 @@ def levelwise(df: DataFrame, candidates: Sequence[str], max_lhs: int, threshold:
         if sample is not None and wanted:
             done.sampled_sets += len(wanted)
             groups = {i: min(float(n), float(math.prod(max(1, distinct[c]) for c in s))) for i, s, _ in wanted}
-            mixed = _mixed(sample, wanted, cands, batch_size)
-            out = {(r.sid, r.rhs) for r in mixed.collect() if 1.0 - r.n_mixed / groups[r.sid] < threshold}
-            done.ruled_out_pairs += len(out)
-            wanted = [(i, s, left) for i, s, r in wanted if (left := [c for c in r if (i, c) not in out])]
+            for rows, parts in ((sample, 1), (coded, GROUP_PARTS)):
+                mixed = _mixed(rows, wanted, cands, batch_size, parts)
+                out = {(r.sid, r.rhs) for r in mixed.collect() if 1.0 - r.n_mixed / groups[r.sid] < threshold}
+                done.ruled_out_pairs += len(out)
+                wanted = [(i, s, left) for i, s, r in wanted if (left := [c for c in r if (i, c) not in out])]
+                if not wanted:
+                    break
         if not wanted:
             continue
         done.counted_sets += len(wanted)
@@ -214,22 +229,21 @@ def levelwise(df: DataFrame, candidates: Sequence[str], max_lhs: int, threshold:
     return spark.createDataFrame(found, CONF_SCHEMA)
 
 
-def _mixed(sample: DataFrame, wanted, cands: Sequence[str], batch_size: int) -> DataFrame:
-    """(sid, rhs, n_mixed): groups of the sample with two different values or more of the rhs."""
+def _mixed(rows: DataFrame, wanted, cands: Sequence[str], batch_size: int, parts: int = 1) -> DataFrame:
+    """(sid, rhs, n_mixed): groups of the rows (or one in ``parts`` of them) with two different values or more of the rhs."""
     pos = {c: i for i, c in enumerate(cands)}
-    parts = []
+    found = []
     for k in sorted({len(s) for _, s, _ in wanted}):
         of_size = [w for w in wanted if len(w[1]) == k]
         for b in range(0, len(of_size), batch_size):
             batch = of_size[b:b + batch_size]
-            arr = F.array(*[F.struct(F.lit(i).alias("sid"), *[F.col(f"`{c}`").alias(f"k{j}") for j, c in enumerate(s)]) for i, s, _ in batch])
-            x = sample.select(F.explode(arr).alias("_s"), *[F.col(f"`{c}`").alias(f"r{i}") for i, c in enumerate(cands)]).select("_s.*", *[f"r{i}" for i in range(len(cands))])
-            x = x.where(" AND ".join(f"k{j} IS NOT NULL" for j in range(k)))
-            g = x.groupBy("sid", *[f"k{j}" for j in range(k)]).agg(*[(F.min(f"r{i}") < F.max(f"r{i}")).alias(f"m{i}") for i in range(len(cands))])
-            per = g.groupBy("sid").agg(*[F.count(F.when(F.col(f"m{i}"), 1)).alias(f"m{i}") for i in range(len(cands))])
-            parts.append(per.select("sid", F.inline(F.array(*[F.struct(F.lit(c).alias("rhs"), F.col(f"m{pos[c]}").alias("n_mixed")) for c in cands]))))
-    out = parts[0]
-    for p in parts[1:]:
+            rhs = [c for c in cands if any(c in r for _, _, r in batch)]
+            x = _expanded(rows, batch, rhs, pos, k, parts)
+            g = x.groupBy("sid", *[f"k{j}" for j in range(k)]).agg(*[(F.min(f"r{pos[c]}") < F.max(f"r{pos[c]}")).alias(f"m{pos[c]}") for c in rhs])
+            per = g.groupBy("sid").agg(*[F.count(F.when(F.col(f"m{pos[c]}"), 1)).alias(f"m{pos[c]}") for c in rhs])
+            found.append(per.select("sid", F.inline(F.array(*[F.struct(F.lit(c).alias("rhs"), F.col(f"m{pos[c]}").alias("n_mixed")) for c in rhs]))))
+    out = found[0]
+    for p in found[1:]:
         out = out.unionByName(p)
     return out.where("n_mixed > 0")
 

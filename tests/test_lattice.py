@@ -42,3 +42,14 @@ def test_no_candidates_and_no_rows(spark):
     df = spark.createDataFrame([], "x int, y int")
     assert FD.levelwise(df, [], 2).count() == 0 and FD.levelwise(df, ["x", "y"], 2).count() == 0
     assert FD.confidences(df, ["x"]).count() == 0
+
+
+def test_pairs_of_small_groups_are_ruled_out_by_whole_groups(spark, monkeypatch):
+    i = F.col("id")
+    df = spark.range(0, 8000, 1, 4).select(F.floor(i / 4).alias("g"), (i % 4).alias("v"), F.floor(i / 40).alias("w"))
+    every = held(FD.confidences(df, df.columns), 0.95)
+    counted, measure = [], FD.measure
+    monkeypatch.setattr(FD, "measure", lambda coded, wanted, *a: counted.extend((s, c) for _, s, r in wanted for c in r) or measure(coded, wanted, *a))
+    # a sample of one row in forty hardly ever has two rows of a group
+    assert held(FD.levelwise(df, df.columns, 1, sample_rows=200), 0.95) == every
+    assert (("g",), "v") not in counted and (("g",), "w") in counted and every[(("g",), "w")][0] == 1.0
