@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import zlib
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -156,21 +157,25 @@ class Sample:
     held: np.ndarray
     table: DataFrame  # the same rows, written: words, quality, toxic, held
 
-    def presence(self, words: np.ndarray) -> np.ndarray:
-        x = np.zeros((len(self.meta), len(words) + N_EXTRA), np.float32)
-        x[:, len(words):] = self.extra
+    def presence(self, words: np.ndarray, rows: np.ndarray | None = None) -> np.ndarray:
+        """The content view of all rows, or of those marked in ``rows``."""
+        rows = np.ones(len(self.meta), bool) if rows is None else rows
+        x = np.zeros((int(rows.sum()), len(words) + N_EXTRA), np.float32)
+        x[:, len(words):] = self.extra[rows]
         if len(words) == 0:
             return x
-        at = np.minimum(np.searchsorted(words, self.word), len(words) - 1)
-        hit = words[at] == self.word
-        x[self.row[hit], at[hit]] = 1.0
+        table = np.zeros(1 << WORD_BITS, bool)
+        table[words] = True
+        hit = np.flatnonzero(table[self.word])
+        hit = hit[rows[self.row[hit]]]
+        x[np.cumsum(rows)[self.row[hit]] - 1, np.searchsorted(words, self.word[hit])] = 1.0
         return x
 
     def counts(self, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Words, rows with each of them by class (0, 1) of ``y`` (-1: none), and rows by class."""
-        codes, place = np.unique(self.word, return_inverse=True)
-        per = np.stack([np.bincount(place[y[self.row] == c], minlength=len(codes)) for c in (0, 1)])
-        return codes, per.astype(float), np.array([(y == 0).sum(), (y == 1).sum()], float)
+        per = np.stack([np.bincount(self.word[(y == c)[self.row]], minlength=1 << WORD_BITS) for c in (0, 1)])
+        codes = np.flatnonzero(per.any(axis=0))  # a word of neither class tells nothing
+        return codes, per[:, codes].astype(float), np.array([(y == 0).sum(), (y == 1).sum()], float)
 
 
 def chi_square(neg, pos, n0, n1, most=np.maximum):
@@ -366,7 +371,8 @@ def _pool_sums(rows: DataFrame, words: dict[str, np.ndarray], w: dict) -> dict:
 
 
 def newton(own: dict, rows: DataFrame, words: dict[str, np.ndarray], start: dict) -> dict:
-    """Weights per (head, view) of the regularised logistic regression on the rows ``own`` (x, y) and the compact rows."""
+    """Weights per (head, view) of the regularised logistic regression on the rows ``own`` (x, y; or functions that give
+    them, so that one view is held at a time) and the compact rows."""
     w, last, step, done = dict(start), {}, {}, set()
     for _ in range(NEWTON_STEPS):
         open_ = {k: v for k, v in w.items() if k not in done}
@@ -375,7 +381,7 @@ def newton(own: dict, rows: DataFrame, words: dict[str, np.ndarray], start: dict
         pool = _pool_sums(rows, words, open_)
         for k, v in open_.items():
             d = len(v)
-            total = _sums(*own[k], v) + pool.get(k, 0)
+            total = _sums(*(own[k]() if callable(own[k]) else own[k]), v) + pool.get(k, 0)
             damp = np.full(d, 1.0)
             damp[-1] = 1e-3
             loss = total[0] + 0.5 * np.sum(damp * v * v)
@@ -412,13 +418,14 @@ def co_train(s: Sample, pool: DataFrame, rounds: int = ROUNDS) -> dict[str, Head
             words = {h: telling_words(*s.counts(np.where(fit_rows, given, -1))) for h, (given, fit_rows, _) in rows.items()}
         else:
             words = chosen_words(pool_counts(pool, done, s.table))
-        views = {h: (s.presence(words[h]), s.meta) for h in rows}
-        own = {(h, k): (views[h][k][rows[h][1]].astype(np.float32), rows[h][0][rows[h][1]]) for h in rows for k in (0, 1)}
-        w = {k: logistic(*own[k]) for k in own}
+        # dense rows are built when a fit reads them: the driver holds those of one view, not of all
+        given_rows = lambda h, k: (s.meta[rows[h][1]].astype(np.float32) if k else s.presence(words[h], rows[h][1]), rows[h][0][rows[h][1]])
+        own = {(h, k): partial(given_rows, h, k) for h in rows for k in (0, 1)}
+        w = {k: logistic(*own[k]()) for k in own}
         if r > 0:
             w = newton(own, compact(pool, done, words), words, w)
         for h, (given, _, held) in rows.items():
-            z = [apply(w[h, k], views[h][k]) for k in (0, 1)]
+            z = [apply(w[h, 0], s.presence(words[h])), apply(w[h, 1], s.meta)]
             cal = [_platt(q[held], given[held]) for q in z]
             done[h].append(Views(words[h], w[h, 0], w[h, 1], np.concatenate(cal)))
             logits[h] = np.column_stack([c[0] * q + c[1] for c, q in zip(cal, z)])
@@ -502,7 +509,11 @@ def draw_sample(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLE
     held = np.asarray(table.column("held").combine_chunks()).astype(bool)
     # hashed words and rows fit 32 bits
     word, row = words.flatten().to_numpy().astype(np.int32), np.repeat(np.arange(len(doc), dtype=np.int32), lens)
-    return Sample(row, word, extra, meta, {h: table.column(h).to_numpy() for h in HEADS}, held, kept)
+    labels = {h: table.column(h).to_numpy().copy() for h in HEADS}
+    meta, extra = meta.copy(), extra.copy()  # not as parts of the table, which goes
+    del table, words
+    pa.default_memory_pool().release_unused()
+    return Sample(row, word, extra, meta, labels, held, kept)
 
 
 def fit(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS, pool_rows: int | None = None) -> dict[str, Head]:

@@ -156,3 +156,31 @@ def test_recorded_contents_are_not_scanned_again(spark, tmp_path):
     assert secrets.new_findings(d, ledger).select("blob").distinct().count() == 1
     secrets.record(d, path)
     assert secrets.new_findings(d, spark.read.schema(secrets.LEDGER_SCHEMA).parquet(path)).count() == 0
+
+
+def test_classifier_fits_hold_the_dense_rows_of_one_view_at_a_time(spark, monkeypatch):
+    import weakref
+
+    from tabletwin.llm import quality
+    n, rng = 3000, np.random.default_rng(1)
+    good = rng.integers(0, 2, n)
+    row = np.repeat(np.arange(n, dtype=np.int32), 400)
+    word = (rng.integers(0, 500, len(row)) * (1 + good[row])).astype(np.int32)
+    both = np.unique((row.astype(np.int64) << quality.WORD_BITS) | word)
+    row, word = (both >> quality.WORD_BITS).astype(np.int32), (both & ((1 << quality.WORD_BITS) - 1)).astype(np.int32)
+    labels = {h: good for h in quality.HEADS}
+    s = quality.Sample(row, word, np.zeros((n, quality.N_EXTRA)), rng.random((n, quality.N_META)), labels, np.arange(n) % 4 == 0, None)
+    words = quality.telling_words(*s.counts(np.where(s.held, -1, good)))
+    some = rng.random(n) < 0.3
+    assert len(words) > 400 and np.array_equal(s.presence(words, some), s.presence(words)[some])
+    made, alive, presence = [], [], quality.Sample.presence
+
+    def seen(*a):
+        alive.append(sum(r() is not None for r in made))
+        x = presence(*a)
+        made.append(weakref.ref(x))
+        return x
+
+    monkeypatch.setattr(quality.Sample, "presence", seen)
+    quality.co_train(s, None, rounds=0)
+    assert len(alive) >= 2 and max(alive) == 0
