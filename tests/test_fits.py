@@ -166,3 +166,71 @@ def test_errors_of_single_columns(spark):
     assert got["d"].error == "no such column"
     empty = {r.column_name: r for r in declared_numbers(df.limit(0), {"a": "int", "c": "int"}).collect()}
     assert empty["a"].n == 0 and empty["c"].error is None
+
+
+def test_trials_share_the_sums_of_their_ends(spark, monkeypatch):
+    """39 first trials of a column have 14 ends between them; the numbers are those of plain sums."""
+    from tabletwin.operators import fit_all as module
+
+    x = np.array([1.0, 2.0, 4.0, 7.0, 7.5])
+    n = np.array([3, 1, 2, 1, 5])
+    searches = [Search("x", f, float(x.min()), float(x.max())) for f in ("lognorm", "gamma", "beta")]
+    trials = [(i, "x", *s.ends(at)) for i, (s, at) in enumerate((s, at) for s in searches for at in s.trials)]
+    counts = spark.createDataFrame([("x", float(v), int(k)) for v, k in zip(x, n)], "column_name string, value double, count long")
+    made = []
+    create = type(spark).createDataFrame
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, data, *a, **k: (made.append(len(data)), create(self, data, *a, **k))[1])
+    got = module.trial_sums(counts, trials)
+    assert len(trials) == 39 and made == [14] and sorted(got) == list(range(39))
+    mean = lambda v: float((v * n).sum() / n.sum())
+    for i, _, lo, hi in trials:
+        y = x - lo
+        want = {"u": np.log(y), "uu": np.log(y) ** 2, "v": 1 / y, "vv": 1 / y**2, "uv": np.log(y) / y, "uvv": np.log(y) / y**2, "y": y}
+        if hi is not None:
+            want |= {"q": np.log(hi - x), "r": 1 / (hi - x), "rr": 1 / (hi - x) ** 2}
+        for k, v in want.items():
+            assert got[i][k] == pytest.approx(mean(v), rel=1e-12), (i, k)
+        assert hi is not None or got[i]["q"] is None
+
+
+def test_rows_are_not_read_again_after_a_fit(spark, frame):
+    """Fits write the value counts once: what follows, and the KS numbers, read those."""
+    read = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    source = spark.createDataFrame(frame[["g"]])
+    p = Profiler(source.mapInArrow(passed, source.schema))
+    plain = Profiler(source).percentiles().collect()
+    fit_all(p, ("norm", "lognorm"))
+    # moments for the fit, the value counts, and two passes of the profile's moments
+    assert read.value == 4 * len(frame)
+    assert p.percentiles().collect() == plain and read.value == 4 * len(frame)
+
+
+def test_gaps_are_looked_for_where_they_can_be(monkeypatch):
+    from tabletwin.operators import fit_all as module
+
+    rng = np.random.default_rng(1)
+    asked = []
+    whole = cdf.cdf
+    for n, shift in ((1, 0.0), (7, 0.3), (64, 0.0), (65, 0.0), (20_000, 0.05), (20_000, 0.0)):
+        x = np.unique(np.round(rng.normal(shift, 1, n), 4))
+        c = rng.integers(1, 5, len(x))
+        hi = np.cumsum(c) / c.sum()
+        lo = hi - c / c.sum()
+        for name, params in (("norm", {"loc": 0.0, "scale": 1.0}), ("uniform", {"loc": -2.0, "scale": 3.0}), ("gamma", {"a": 30.0, "loc": -6.0, "scale": 0.2})):
+            f = whole(name, params, x)
+            want = max(float((hi - f).max()), float((f - lo).max()))
+            order = rng.permutation(len(x))
+            monkeypatch.setattr(cdf, "cdf", lambda *a: (asked.append(len(a[2])), whole(*a))[1])
+            asked.clear()
+            got = module.largest_gap(name, params, x[order], lo[order], hi[order])
+            assert got == pytest.approx(want, abs=1e-12), (n, name)
+            if n == 20_000 and name == "uniform":
+                assert sum(asked) < len(x) / 4
+            assert module.largest_gap(name, params, x[order], lo[order], hi[order], 0.999) == 0.999 or want > 0.999
+            monkeypatch.setattr(cdf, "cdf", whole)
