@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tabletwin.llm import bitplane, bpe, phrases, queries
@@ -262,3 +263,55 @@ def test_phrase_query_and_empty(spark):
     none = spark.createDataFrame([], DOC_SCHEMA)
     assert phrases.collocations(none).count() == 0
     assert phrases.collocations(spark.createDataFrame([(1, sentence(random.Random(1), 20), "en", "s", 1)], DOC_SCHEMA)).count() == 0
+
+
+def test_counts_of_shards_are_added_up_in_a_task(spark, monkeypatch):
+    """A phrase that every shard of a task holds leaves the task once, whatever the number of shards; a small limit of
+    held rows only adds rows."""
+    rows = [("en", "one two three four five six. " * 10)] * 30 + [("de", "one two three four five six. " * 10)] * 20
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(20)  # a task makes its own shards
+    shards = phrases.index(docs).coalesce(1)
+    assert shards.count() >= 20
+    each = shards.select("lang", F.explode("words").alias("w")).select("lang", "w.h", "w.h2").distinct()
+    words = each.withColumn("id", F.dense_rank().over(Window.orderBy("lang", "h")).cast("long") * (1 << 33))
+    base = shards.join(F.broadcast(phrases._listed(words, {})), "lang").drop("lang", "shard")
+    totals = lambda df: sorted((r.w0, r.w1, r.n) for r in df.groupBy("w0", "w1").agg(F.sum("n").alias("n")).collect())
+    local = phrases._level(base, 2)
+    assert local.count() == 10 and {n for *_, n in totals(local)} == {300, 200}
+    monkeypatch.setattr(phrases, "HELD_ROWS", 4)
+    many = phrases._level(base, 2)
+    assert many.count() > 10 and totals(many) == totals(local)
+
+
+def test_phrases_are_placed_by_their_words():
+    """Membership in the listed phrases of a shard, and sums over shards, against plain sets."""
+    g = np.random.Generator(np.random.PCG64(11))
+    alive = [np.array([[1], [2], [3], [5], [6]])]
+    alive.append(np.array([[a, b] for a in (1, 2, 3, 5, 6) for b in (1, 2, 3, 5, 6) if g.random() < 0.5]))
+    pairs = set(map(tuple, alive[1].tolist()))
+    alive.append(np.array([[a, b, c] for a, b in pairs for c in (1, 2, 3, 5, 6) if (b, c) in pairs and g.random() < 0.5]))
+    listed = phrases.Listed(alive, 7)
+    for k in (1, 2, 3):
+        have = set(map(tuple, alive[k - 1].tolist()))
+        tried = g.integers(1, 7, (400, k))
+        assert listed.holds(tried).tolist() == [tuple(p) in have for p in tried.tolist()]
+    assert listed.holds(np.zeros((0, 3), np.int64)).tolist() == []
+    held, want = [], Counter()
+    for _ in range(5):
+        ids = np.sort(g.choice(1 << 60, 5, replace=False)) if not held else held[0][2]
+        found = np.array(sorted({tuple(p) for p in g.integers(1, 6, (60, 4)).tolist()}))
+        n, symbol = g.integers(1, 9, len(found)), g.permutation(5) + 1
+        held.append((found, n, ids, symbol))
+        name = dict(zip(symbol.tolist(), ids.tolist()))
+        for p, c in zip(found.tolist(), n.tolist()):
+            want[tuple(name[x] for x in p)] += c
+    found, n, ids, symbol = phrases.together(held)
+    assert Counter({tuple(ids[p].tolist()): c for p, c in zip(found, n.tolist())}) == want and len(n) == len(want)
+
+
+def test_stable_order_of_large_keys():
+    g = np.random.Generator(np.random.PCG64(2))
+    for top in (1, 50, 1 << 40, (1 << 62) + 5):
+        key = g.integers(0, top, 300)
+        assert phrases.stable_order(key).tolist() == np.argsort(key, kind="stable").tolist()
+    assert phrases.stable_order(np.zeros(0, np.int64)).tolist() == []
