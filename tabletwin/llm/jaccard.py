@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from tabletwin.llm import tokens as tk
 from tabletwin.llm.components import components
-from tabletwin.llm.store import broadcast_if, map_arrow, written
+from tabletwin.llm.store import broadcast_if, in_fewer_files, map_arrow, written
 
 SHINGLE = 5
 #: Similar: 100 * intersection >= 80 * union, that is 9 * intersection >= 4 * (sum of sizes).
@@ -56,6 +56,8 @@ FREQUENT_LEAST = 8
 #: Shingles counted at once in a task; those seen less than SEEN_LEAST times there count as rare.
 COUNT_AT_ONCE = 4_000_000
 SEEN_LEAST = 2
+#: Bytes of text that a task turns into shingles at a time: arrays of eight bytes for each of them are made on the way.
+SLICE_BYTES = 1 << 18
 #: Widths of the bitmaps, in bits.
 BITS = (64, 4096)
 #: Ids up to this many are broadcast (8 bytes each); more are joined by a shuffle.
@@ -109,25 +111,33 @@ def _ids(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def _seen_often(keys: np.ndarray) -> pa.RecordBatch:
+    """(h, n): the keys seen SEEN_LEAST times or more. ``keys`` is sorted in place, as a task's largest array."""
+    keys.sort()
+    edge = np.ones(len(keys) + 1, bool)
+    np.not_equal(keys[1:], keys[:-1], out=edge[1:-1])
+    far = max(len(keys) - SEEN_LEAST + 1, 0)  # a run that starts there or later is too short
+    long = keys[:far] == keys[SEEN_LEAST - 1:]
+    first, last = np.flatnonzero(edge[:far] & long), np.flatnonzero(edge[SEEN_LEAST:] & long) + SEEN_LEAST - 1
+    return pa.RecordBatch.from_arrays([pa.array(keys[first].view(np.int64)), pa.array(last - first + 1, pa.int64())], names=["h", "n"])
+
+
 def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """(hashes ascending, ranks): the most frequent shingles, at most FREQUENT of them."""
-    def count(keys):
-        h, n = np.unique(np.concatenate(keys), return_counts=True)
-        often = n >= SEEN_LEAST
-        return pa.RecordBatch.from_arrays([pa.array(h[often].view(np.int64)), pa.array(n[often], pa.int64())], names=["h", "n"])
-
     def work(batches):
-        keys, held = [], 0
+        held, n = np.empty(COUNT_AT_ONCE, np.uint64), 0
         for batch in batches:
-            for _, _, part, off in tk.slices(*tk.text_buffer(batch.column(1))):
+            for _, _, part, off in tk.slices(*tk.text_buffer(batch.column(1)), SLICE_BYTES):
                 s, _ = shingle_sets(part, off)
-                keys.append(s)
-                held += len(s)
-                if held >= COUNT_AT_ONCE:
-                    yield count(keys)
-                    keys, held = [], 0
-        if keys:
-            yield count(keys)
+                if n + len(s) > len(held):
+                    held = np.concatenate([held[:n], s])
+                held[n:n + len(s)] = s
+                n += len(s)
+                if n >= COUNT_AT_ONCE:
+                    yield _seen_often(held[:n])
+                    n = 0
+        if n:
+            yield _seen_often(held[:n])
 
     seen = map_arrow(docs, work, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT_LEAST)
     top = seen.orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow()
@@ -176,7 +186,7 @@ def sets(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     def work(batches):
         often, rank = shared.value
         for batch in batches:
-            for lo, hi, part, off in tk.slices(*tk.text_buffer(batch.column(1))):
+            for lo, hi, part, off in tk.slices(*tk.text_buffer(batch.column(1)), SLICE_BYTES):
                 s, first = shingle_sets(part, off)
                 n = np.diff(first)
                 full = np.flatnonzero(n)
@@ -220,7 +230,7 @@ def arrays(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(doc_id, shingles): the sorted shingles of the documents whose id is in ``ids`` (doc_id, distinct)."""
     def work(batches):
         for batch in batches:
-            for lo, hi, part, off in tk.slices(*tk.text_buffer(batch.column(1))):
+            for lo, hi, part, off in tk.slices(*tk.text_buffer(batch.column(1)), SLICE_BYTES):
                 s, first = shingle_sets(part, off)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo), pa.array([s[first[i]:first[i + 1]].tobytes() for i in range(hi - lo)], pa.binary())], names=["doc_id", "shingles"])
@@ -547,7 +557,8 @@ def join(docs: DataFrame, spanning: bool = False) -> Join:
     key = ["n", "k1", "k2"]
     full = table.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     # groups are reduced before the shuffle; only those of two rows or more are joined back
-    copies = written(full.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows")).where("rows > 1").drop("rows"), "copies")
+    copies = full.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows")).where("rows > 1").drop("rows")
+    copies = written(in_fewer_files(copies, table.count()), "copies")
     marked = table.join(broadcast_if(copies, BROADCAST_GROUPS), key, "left")
     rep = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id"))
     members = written(marked.select("doc_id", "n", rep.alias("rep"), F.col("rep").isNotNull().alias("copied")), "members")

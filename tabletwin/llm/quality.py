@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabletwin.llm import tokens as tk
-from tabletwin.llm.store import broadcast_if, map_arrow, written
+from tabletwin.llm.store import broadcast_if, in_fewer_files, map_arrow, written
 
 LABELLED_ROWS = 6_000
 #: Labelled ids up to this many are broadcast to set the others apart.
@@ -276,7 +276,8 @@ def pool_counts(pool: DataFrame, rounds: dict[str, list[Views]], sample: DataFra
     for h in rounds:
         given = sample.where(~F.col("held") & (F.col(h) >= 0)).select(F.lit(h).alias("head"), h, with_rows)
         found = found.union(given.select("head", "code", of(h, 0), of(h, 1)))
-    out = written(found.groupBy("head", "code").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "word-counts")
+    counts = found.groupBy("head", "code").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    out = written(in_fewer_files(counts, len(rounds) << WORD_BITS), "word-counts")
     shared.destroy()
     return out
 
@@ -487,7 +488,7 @@ def _least(df: DataFrame, n: int) -> DataFrame:
 
 def unlabelled(docs: DataFrame, labels: DataFrame, pool_rows: int | None = None) -> DataFrame:
     """All documents with an id and without a label (or ``pool_rows`` ids of them)."""
-    picked = written(_picked(labels).select("doc_id"), "labelled")
+    picked = written(in_fewer_files(_picked(labels).select("doc_id"), labels.count()), "labelled")
     pool = _columns(docs).where(F.col("doc_id").isNotNull()).join(broadcast_if(picked, BROADCAST_IDS), "doc_id", "left_anti")
     if pool_rows is None:
         return pool

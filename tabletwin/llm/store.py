@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from tabletwin.session import ensure_checkpoint_dir, map_arrow
 
-__all__ = ["broadcast_if", "map_arrow", "shared_path", "source_table", "utf8_bytes", "word_count", "words_of", "written"]
+__all__ = ["broadcast_if", "in_fewer_files", "map_arrow", "shared_path", "source_table", "utf8_bytes", "word_count", "words_of", "written"]
 
 #: Words: runs of characters other than space and U+0009..U+000D.
 WORD_SPLIT = r"[ \x09-\x0D]+"
 WORD = r"[^ \x09-\x0D]+"
+#: Rows of a few numbers that one task writes as a file, where there are more files than cores need.
+ROWS_A_FILE = 100_000
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -27,6 +29,12 @@ def written(df: DataFrame, name: str, options: dict[str, str] | None = None) ->
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def in_fewer_files(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of about ``rows`` rows of a few numbers, in as many partitions as these need (at least four a core, never more
+    than it has): a task that writes a file also makes folders and sets their rights, which costs more than few rows."""
+    return df.coalesce(max(4 * df.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS_A_FILE)))
+
+
 def named(column: str):
     """The column of exactly this name, whatever characters it holds."""
     return F.col("`" + column.replace("`", "``") + "`")
